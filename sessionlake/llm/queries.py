@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from .chat import OP6_SQL, op6_chat_format
+from .fmindex import OP4_SQL, op4_decontamination
 from .mixing import OP5_SQL, op5_source_mixing
+from .topk import OP1_SQL, op1_exact_topk
 
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
+    "op4_decontamination": op4_decontamination,
     "op5_source_mixing": op5_source_mixing,
     "op6_chat_format": op6_chat_format,
 }
 
 ORACLES = {
+    "op1_exact_topk": OP1_SQL,
+    "op4_decontamination": OP4_SQL,
     "op5_source_mixing": OP5_SQL,
     "op6_chat_format": OP6_SQL,
 }
