@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP6_SQL, op6_chat_format
 from .fmindex import OP4_SQL, op4_decontamination
 from .gam import op9_quality
+from .hmm import op7_hmm_score
 from .mixing import OP5_SQL, op5_source_mixing
 from .pii import op10_pii_surrogates
 from .topk import OP1_SQL, op1_exact_topk
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_source_mixing": op5_source_mixing,
     "op6_chat_format": op6_chat_format,
+    "op7_hmm_score": op7_hmm_score,
     "op9_quality": op9_quality,
     "op10_pii_surrogates": op10_pii_surrogates,
 }
