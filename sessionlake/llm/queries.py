@@ -8,11 +8,13 @@ from .gam import op9_quality
 from .hmm import op7_hmm_score
 from .jaccard import op3_ngram_jaccard
 from .mixing import OP5_SQL, op5_source_mixing
+from .phrases import OP2_SQL, op2_repeated_phrases
 from .pii import op10_pii_surrogates
 from .topk import OP1_SQL, op1_exact_topk
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_repeated_phrases": op2_repeated_phrases,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_decontamination": op4_decontamination,
     "op5_source_mixing": op5_source_mixing,
@@ -24,7 +26,9 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_topk": OP1_SQL,
+    "op2_repeated_phrases": op2_repeated_phrases,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op2_repeated_phrases": OP2_SQL,
     "op4_decontamination": OP4_SQL,
     "op5_source_mixing": OP5_SQL,
     "op6_chat_format": OP6_SQL,
