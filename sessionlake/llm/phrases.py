@@ -51,41 +51,46 @@ SHARD_WORDS = 400_000  #: pattern words of a shard, about
 SPLIT_DOCS = 1000  #: texts of a split of a shard, about
 
 
-def _anchored(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor position, first and last window start of every run of windows with one anchor."""
+def _anchored(h: np.ndarray, row: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first window and last window of every run of windows with one anchor.
+
+    ``row`` says which text a word is of; windows never leave their text.
+    """
     n = len(h) - window + 1
     if n < 1:
         return (np.zeros(0, np.int64),) * 3
     run = rolling(h, k)
-    w = window - k + 1
-    least = window_min(run, w)
-    last = np.full(n, -1, np.int64)
-    for j in range(w):  # leftmost place of the minimum
-        last = np.where((last < 0) & (run[j : j + n] == least), np.arange(j, j + n), last)
-    begin = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
-    end = np.r_[begin[1:], n] - 1
-    return last[begin], begin, end
+    low = np.uint64(0xFFFFFFFF)
+    # the leftmost of the least hashes: places break ties
+    least = window_min((run & ~low) | np.arange(len(run), dtype=np.uint64), window - k + 1)
+    at = (least & low).astype(np.int64)
+    inside = row[:n] == row[window - 1 :]
+    fresh = np.r_[True, (at[1:] != at[:-1]) | (row[1:n] != row[: n - 1])]
+    begin = np.flatnonzero(fresh & inside)
+    count = np.add.reduceat(inside, np.flatnonzero(fresh))[inside[np.flatnonzero(fresh)]]
+    return at[begin], begin, begin + count - 1
 
 
 def _profile(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[pa.RecordBatch]:
     """One row per document: its key, word count, kept digest and anchors."""
     for part in chunks(batches):
         w = words(part, SPACES)
-        out: dict[str, list] = {x: [] for x in ("tk", "n_words", "digest", "fp", "ctx", "start", "stop")}
-        for i in range(part.rows.num_rows):
+        n_words = np.diff(w.first)
+        row = np.repeat(np.arange(len(n_words)), n_words)
+        at, begin, end = _anchored(w.hash, row, window, k)
+        fp = rolling(w.hash, k)[at] if len(at) else np.zeros(0, np.uint64)
+        ctx = _span_hash(w.hash, begin, end + window)
+        base = w.first[row[begin]] if len(at) else begin
+        cols = {"fp": fp, "ctx": ctx, "start": (begin - base).astype(np.int32), "stop": (end + window - base).astype(np.int32)}
+        edges = np.searchsorted(begin, w.first)
+        out: dict[str, list] = {x: [] for x in ("tk", "digest", *cols)}
+        for i in range(len(n_words)):
             raw = part.data[part.offsets[i] : part.offsets[i + 1]].tobytes()
-            h = w.hash[w.first[i] : w.first[i + 1]]
             out["tk"].append(xxhash.xxh3_128_digest(raw))
-            out["n_words"].append(len(h))
             out["digest"].append(hashlib.sha256(b" ".join(raw.split())).digest())
-            at, begin, end = _anchored(h, window, k)
-            fp = rolling(h, k)[at] if len(at) else np.zeros(0, np.uint64)
-            out["fp"].append(fp.view(np.int64).tobytes())
-            out["ctx"].append(_span_hash(h, begin, end + window).view(np.int64).tobytes())
-            out["start"].append(begin.astype(np.int32).tobytes())
-            out["stop"].append((end + window).astype(np.int32).tobytes())
-        cols = [part.rows.column("doc_id"), pa.array(out["tk"], pa.binary()), pa.array(out["n_words"], pa.int64()), *[pa.array(out[x], pa.binary()) for x in ("digest", "fp", "ctx", "start", "stop")]]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *out])
+            for x, v in cols.items():
+                out[x].append(v[edges[i] : edges[i + 1]].tobytes())
+        yield pa.RecordBatch.from_arrays([part.rows.column("doc_id"), pa.array(n_words, pa.int64()), *[pa.array(x, pa.binary()) for x in out.values()]], names=["doc_id", "n_words", *out])
 
 
 def _span_hash(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -172,7 +177,7 @@ def locate(patterns: list[np.ndarray], texts: Iterator[np.ndarray]) -> Iterator[
     for h in patterns:
         key = _as_symbols(h)
         known = automaton.get(key, None)
-        value = (len(h), int(rolling(h, len(h))[0]))
+        value = (len(h), int(_span_hash(h, np.array([0]), np.array([len(h)]))[0]))
         if known is None:
             automaton.add_word(key, [value])
         elif value not in known:
@@ -183,13 +188,13 @@ def locate(patterns: list[np.ndarray], texts: Iterator[np.ndarray]) -> Iterator[
         return
     automaton.make_automaton()
     for h in texts:
-        spans = []
-        for end, values in automaton.iter(_as_symbols(h)):
-            for n, digest in values:
-                start = end + 1 - n
-                if int(rolling(h[start : end + 1], n)[0]) == digest:
-                    spans.append((start, end + 1))
-        yield merged(spans)
+        hits = [(end + 1, *value) for end, values in automaton.iter(_as_symbols(h)) for value in values]
+        if not hits:
+            yield []
+            continue
+        stop, n, digest = (np.array(x, t) for x, t in zip(zip(*hits), (np.int64, np.int64, np.uint64)))
+        real = _span_hash(h, stop - n, stop) == digest
+        yield merged(list(zip((stop - n)[real].tolist(), stop[real].tolist())))
 
 
 def _scan(texts: pd.DataFrame, phrases: pd.DataFrame) -> pd.DataFrame:
@@ -228,7 +233,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", F.col("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    profile = written(docs.mapInArrow(partial(_profile, window=window, k=anchor), f"doc_id {kind}, tk binary, n_words long, digest binary, fp binary, ctx binary, start binary, stop binary"), "phrase-profile")
+    profile = written(docs.mapInArrow(partial(_profile, window=window, k=anchor), f"doc_id {kind}, n_words long, tk binary, digest binary, fp binary, ctx binary, start binary, stop binary"), "phrase-profile")
     twice = profile.select("fp").mapInArrow(partial(_flat, full=False), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1").select("fp")
     flat = profile.select("tk", "fp", "ctx", "start", "stop").mapInArrow(partial(_flat, full=True), "fp long, ctx long, tk binary, start int, stop int")
     seen = written(flat.join(twice, "fp", "left_semi"), "phrase-seen")
