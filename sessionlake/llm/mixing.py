@@ -103,27 +103,46 @@ def _cut(rows: DataFrame, need: DataFrame) -> DataFrame:
     return last.select(F.col("source").alias("cut_source"), F.coalesce("cut", "below").alias("cut"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEAT, key: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEAT, key: str = "mix", carry: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken, for each row of docs.
 
     ``copies`` is floor(rate) or one more; ``taken`` is copies * size, at most
     ``cap * size``. The extra copies fill each source's remaining words: the
     documents first in keyed hash order while they fit, then, for what is left,
-    those small enough to fit it, FILL_ROUNDS times.
+    those small enough to fit it, FILL_ROUNDS times. With ``carry`` the other
+    columns of docs (unless called like one of these) come along; documents
+    meet only tables of a row per source, so they aren't shuffled.
     """
     u = F.conv(F.substring(F.md5(F.concat(F.lit(key + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    rows = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), u.alias("u")), "mix-sizes")
-    rates = written(tilt(source_targets(rows, weights, cap)).withColumnRenamed("source", "rate_source"), "mix-rates")
-    rows = rows.join(rates, rows.source.eqNullSafe(rates.rate_source), "left").drop("rate_source")
-    rows = rows.withColumn("copies", F.floor("rate").cast("long")).withColumn("most", F.least(F.ceil("rate").cast("long"), F.lit(cap)))
+    own = ("doc_id", "source", "size", "u", "source_size", "target", "rate", "copies", "most", "taken", "need", "cut", "rate_source", "need_source", "cut_source", "weight")
+    extra = [c for c in docs.columns if c not in own] if carry else []
+
+    def measured(*more: str) -> DataFrame:
+        return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), u.alias("u"), *more)
+
+    sizes = written(measured(), "mix-sizes")
+    rates = written(tilt(source_targets(sizes, weights, cap)).withColumnRenamed("source", "rate_source").select("rate_source", "source_size", "target", "rate"), "mix-rates")
+
+    def started(rows: DataFrame) -> DataFrame:
+        rows = rows.join(rates, rows.source.eqNullSafe(rates.rate_source), "left").drop("rate_source")
+        return rows.withColumn("copies", F.floor("rate").cast("long")).withColumn("most", F.least(F.ceil("rate").cast("long"), F.lit(cap)))
+
+    def filled(rows: DataFrame, need: DataFrame, cut: DataFrame) -> DataFrame:
+        rows = rows.join(need, rows.source.eqNullSafe(need.need_source), "left").join(cut, rows.source.eqNullSafe(cut.cut_source), "left")
+        fits = (F.col("u") <= F.col("cut")) & (F.col("size") > 0) & (F.col("size") <= F.col("need")) & (F.col("copies") < F.col("most"))
+        return rows.withColumn("copies", F.col("copies") + F.coalesce(fits.cast("long"), F.lit(0))).drop("need_source", "need", "cut_source", "cut")
+
+    rows, rounds = started(sizes), []
     for _ in range(FILL_ROUNDS):
         per = rows.groupBy(F.col("source").alias("need_source")).agg(F.floor(F.first("target") - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("need"))
         need = written(per, "mix-need")
-        cut = written(_cut(rows, need), "mix-cut")
-        rows = rows.join(need, rows.source.eqNullSafe(need.need_source), "left").join(cut, rows.source.eqNullSafe(cut.cut_source), "left")
-        fits = (F.col("u") <= F.col("cut")) & (F.col("size") > 0) & (F.col("size") <= F.col("need")) & (F.col("copies") < F.col("most"))
-        rows = rows.withColumn("copies", F.col("copies") + F.coalesce(fits.cast("long"), F.lit(0))).drop("need_source", "need", "cut_source", "cut")
-    return rows.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        rounds.append((need, written(_cut(rows, need), "mix-cut")))
+        rows = filled(rows, *rounds[-1])
+    if carry:
+        rows = started(measured(*extra))
+        for need, cut in rounds:
+            rows = filled(rows, need, cut)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *extra)
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
