@@ -1,6 +1,375 @@
-"""Query catalogue of the retrieval engine: Spark queries and their SQL oracles."""
+"""Query catalogue of the retrieval engine: Spark queries and their SQL oracles.
+
+Oracles are written from the operators' meaning over the same tables; ``_BASE``
+holds the conversations as messages and sessions.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import derive, reading, recall, rerank
+from .operators.selector import Selector, implies
+from .plans import adapter
+from .plans.adapter import NOW, ROOT
+from .plans.find import FindOptions, find, message_hits, session_hits, union_hits
+
+QUERY = "reti of"
+TERMS = ["reti", "of"]
+PHRASE = ["of", "the"]
+NEEDLE = "ing th"
+PATHLIKE = "the of. and"
+SESSION = "conv-000003"
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def _m(spark, d):
+    return adapter.messages(spark, d).drop("conv_id")
+
+
+def _s(spark, d):
+    return adapter.sessions(spark, d).drop("conv_id")
+
+
+def _mt(spark, d):
+    return adapter.tokenised(_m(spark, d), "content_text")
+
+
+def _st(spark, d):
+    return adapter.tokenised(_s(spark, d), *recall.SESSION_WEIGHTS)
+
+
+_BASE = r"""
+WITH messages AS (SELECT 'conv-' || lpad(CAST(conv_id AS VARCHAR), 6, '0') AS session_uuid, conv_id,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, role, text AS content_text,
+  strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') AS "timestamp"
+  FROM conversations WHERE role IN ('user', 'assistant')),
+flat AS (SELECT *, trim(regexp_replace(content_text, '\s+', ' ', 'g')) AS t FROM messages),
+per AS (SELECT session_uuid, any_value(conv_id) AS conv_id, count(*) AS message_count, min("timestamp") AS started_at, max("timestamp") AS ended_at,
+  coalesce(substr(arg_min(content_text, seq) FILTER (role = 'user'), 1, 120), '(no title)') AS title,
+  'user: ' || (arg_min(t, seq) FILTER (role = 'user')) AS u1, 'assistant: ' || (arg_min(t, seq) FILTER (role = 'assistant')) AS a1,
+  CASE WHEN (max(seq) FILTER (role = 'user')) <> (min(seq) FILTER (role = 'user')) THEN 'follow-up: ' || (arg_max(t, seq) FILTER (role = 'user')) END AS u2,
+  CASE WHEN (max(seq) FILTER (role = 'assistant')) <> (min(seq) FILTER (role = 'assistant')) THEN 'latest: ' || (arg_max(t, seq) FILTER (role = 'assistant')) END AS a2
+  FROM flat GROUP BY session_uuid),
+notes AS (SELECT conv_id, substr(string_agg(t, ' | ' ORDER BY turn), 1, 4000) AS compact_text FROM
+  (SELECT conv_id, t, min(turn) AS turn FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'system') WHERE t <> '' GROUP BY conv_id, t) GROUP BY conv_id),
+sessions AS (SELECT session_uuid, title, substr(concat_ws(' | ', u1, a1, u2, a2), 1, 480) AS summary_text, coalesce(compact_text, '') AS compact_text, '' AS reasoning_summary_text,
+  started_at, ended_at, message_count, '/work/proj-' || CAST(per.conv_id % 7 AS VARCHAR) AS cwd, strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(per.conv_id AS INTEGER)), '%Y-%m-%d') AS path_date,
+  '/data/sessions/' || strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(per.conv_id AS INTEGER)), '%Y/%m/%d/rollout-%Y-%m-%dT%H-%M-%S-') || session_uuid || '.jsonl' AS file_path
+  FROM per LEFT JOIN notes USING (conv_id))"""
+
+
+def _toks(c: str) -> str:
+    return rf"regexp_extract_all(strip_accents(lower({c})), '[\p{{L}}\p{{M}}\p{{N}}]+')"
+
+
+def _cnt(tok: str, p: list[str]) -> str:
+    same = " AND ".join(f"{tok}[i + {j}] = '{w}'" for j, w in enumerate(p))
+    return f"len([i for i in generate_series(1, len({tok})) if {same}])"
+
+
+def _bm25_sql(table: str, cols: dict[str, float], phrases: list[list[str]], keys: str) -> str:
+    """CTEs tok, st and bm: rows of the table with every phrase and their score."""
+    toks = ", ".join(f"{_toks(c)} AS t_{i}" for i, c in enumerate(cols))
+    size = " + ".join(f"len(t_{i})" for i in range(len(cols)))
+    ns = ", ".join(f"{' + '.join(_cnt(f't_{i}', p) for i in range(len(cols)))} AS n{k}" for k, p in enumerate(phrases))
+    ws = ", ".join(f"{' + '.join(f'{w} * {_cnt(f't_{i}', p)}' for i, w in enumerate(cols.values()))} AS f{k}" for k, p in enumerate(phrases))
+    ds = ", ".join(f"count(*) FILTER (n{k} > 0) AS d{k}" for k in range(len(phrases)))
+    score = " ".join(f"- (CASE WHEN ln((N - d{k} + 0.5) / (d{k} + 0.5)) <= 0 THEN 1e-6 ELSE ln((N - d{k} + 0.5) / (d{k} + 0.5)) END) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(phrases)))
+    every = " AND ".join(f"n{k} > 0" for k in range(len(phrases)))
+    return f"""tok_{table} AS (SELECT {keys}, {toks} FROM {table}),
+cnt_{table} AS (SELECT {keys}, {size} AS dl, {ns}, {ws} FROM tok_{table}),
+st_{table} AS (SELECT count(*) AS N, sum(dl) / count(*) AS avgdl, {ds} FROM cnt_{table}),
+bm_{table} AS (SELECT {keys}, {score} AS score FROM cnt_{table}, st_{table} WHERE {every})"""
+
+
+# --- scan and derive
+@query("scan_path_date", _BASE + " SELECT file_path, path_date FROM sessions")
+def _(spark, d):
+    return _s(spark, d).select("file_path", derive.path_date(F.col("file_path")).alias("path_date"))
+
+
+@query("scan_source_root", _BASE + " SELECT file_path, '/data/sessions' AS source_root FROM sessions")
+def _(spark, d):
+    return _s(spark, d).select("file_path", derive.source_root(F.col("file_path")).alias("source_root"))
+
+
+@query("scan_json_lines", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS ok FROM events")
+def _(spark, d):
+    v = F.try_parse_json("props")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"), v.isNotNull().alias("ok"))
+
+
+@query("message_seq", _BASE + " SELECT session_uuid, seq, role FROM messages")
+def _(spark, d):
+    return _m(spark, d).select("session_uuid", "seq", "role")
+
+
+@query("session_bounds", _BASE + " SELECT session_uuid, started_at, ended_at FROM sessions")
+def _(spark, d):
+    return _s(spark, d).select("session_uuid", "started_at", "ended_at")
+
+
+@query("session_verdict", """SELECT conv_id, CASE WHEN count(*) FILTER (role = 'system') > 0 AND count(*) FILTER (role <> 'system') = 0 THEN 'filtered'
+  WHEN count(*) FILTER (role <> 'system') = 0 THEN 'skipped' ELSE 'parsed' END AS verdict FROM conversations GROUP BY conv_id""")
+def _(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.count_if(F.col("role") == "system").alias("i"), F.count_if(F.col("role") != "system").alias("k"))
+    return c.select("conv_id", derive.verdict(F.col("i"), F.col("k"), F.lit("x")).alias("verdict"))
+
+
+@query("filter_internal", "SELECT * FROM (VALUES (1, false), (2, true), (3, true), (4, false), (5, true)) AS t(id, internal)")
+def _(spark, d):
+    a = derive.INTERNAL_MARKERS
+    rows = [(1, "hello"), (2, a[2]), (3, a[2] + "\r\nmore"), (4, a[2] + " more"), (5, "  " + a[0] + "\n x")]
+    return spark.createDataFrame(rows, "id int, text string").select("id", derive.looks_internal(F.col("text")).alias("internal"))
+
+
+for _name, _col in (("derive_title", "title"), ("derive_summary", "summary_text"), ("derive_compact", "compact_text")):
+    query(_name, _BASE + f" SELECT session_uuid, {_col} FROM sessions")(lambda spark, d, c=_col: _s(spark, d).select("session_uuid", c))
+
+
+@query("trim_text", r"""SELECT doc_id, CASE WHEN length(t) > 220 THEN substr(t, 1, 220) || '…' ELSE t END AS shown FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)""")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.trim_text(F.col("text"), 220).alias("shown"))
+
+
+# --- selectors, lists, statistics
+_SEL = {
+    "selector_all": (Selector("all", ROOT), "true"),
+    "selector_cwd": (Selector("cwd", ROOT, "/work/proj-3"), "cwd = '/work/proj-3'"),
+    "selector_date_range": (Selector("date_range", ROOT, None, "2024-01-02", "2024-01-03"), "path_date BETWEEN '2024-01-02' AND '2024-01-03'"),
+    "selector_cwd_date_range": (Selector("cwd_date_range", ROOT, "/work/proj-3", "2024-01-02", "2024-01-03"), "cwd = '/work/proj-3' AND path_date BETWEEN '2024-01-02' AND '2024-01-03'"),
+}
+for _name, (_sel, _where) in _SEL.items():
+    query(_name, _BASE + f" SELECT session_uuid, file_path FROM sessions WHERE {_where}")(lambda spark, d, s=_sel: _s(spark, d).filter(s.predicate()).select("session_uuid", "file_path"))
+
+
+@query("selector_count", _BASE + " SELECT count(*) AS n FROM sessions WHERE cwd = '/work/proj-3'")
+def _(spark, d):
+    return _s(spark, d).filter(_SEL["selector_cwd"][0].predicate()).agg(F.count("*").alias("n"))
+
+
+_LIST = {
+    "list_cwd_contains": (dict(cwd="PROJ-5", limit=20), "cwd LIKE '%proj-5%'", "ended_at"), "list_since": (dict(since="2024-01-03T00:00:00Z", limit=20), "ended_at >= '2024-01-03T00:00:00Z'", "ended_at"),
+    "list_sort_ended": (dict(sort="ended"), "true", "ended_at"), "list_sort_started": (dict(sort="started"), "true", "started_at"), "list_sort_messages": (dict(sort="messages"), "true", "message_count"),
+}
+for _name, (_args, _where, _by) in _LIST.items():
+    query(_name, _BASE + f" SELECT session_uuid, cwd, ended_at, message_count FROM sessions WHERE {_where} ORDER BY {_by} DESC, session_uuid LIMIT 20")(
+        lambda spark, d, a=_args: reading.list_sessions(_s(spark, d), **a).select("session_uuid", "cwd", "ended_at", "message_count")
+    )
+
+query("stats_counts", _BASE + " SELECT count(*) AS session_count, CAST(coalesce(sum(message_count), 0) AS BIGINT) AS message_count, min(started_at) AS earliest, max(ended_at) AS latest, max(path_date) AS last_path_date FROM sessions")(lambda spark, d: reading.stats(_s(spark, d)))
+query("stats_top_cwds", _BASE + " SELECT cwd, count(*) AS n FROM sessions WHERE cwd <> '' GROUP BY cwd ORDER BY n DESC, cwd LIMIT 10")(lambda spark, d: reading.top_cwds(_s(spark, d)))
+query("inventory_cwd_groups", _BASE + " SELECT cwd, count(*) AS n, min(path_date) AS from_date, max(path_date) AS to_date FROM sessions WHERE cwd <> '' GROUP BY cwd")(lambda spark, d: reading.inventory(_s(spark, d)))
+query("inventory_totals", _BASE + " SELECT count(*) AS files, count(DISTINCT cwd) AS cwds, min(path_date) AS from_date, max(path_date) AS to_date FROM sessions")(
+    lambda spark, d: _s(spark, d).agg(F.count("*").alias("files"), F.countDistinct("cwd").alias("cwds"), F.min("path_date").alias("from_date"), F.max("path_date").alias("to_date"))
+)
+
+# --- reading
+query("read_range", _BASE + f" SELECT seq, role, content_text FROM messages WHERE session_uuid = '{SESSION}' AND seq BETWEEN 0 AND 3")(lambda spark, d: reading.message_range(_m(spark, d), SESSION, 1).select("seq", "role", "content_text"))
+query("read_page", _BASE + f" SELECT seq, role, content_text FROM messages WHERE session_uuid = '{SESSION}' ORDER BY seq LIMIT 2 OFFSET 1")(lambda spark, d: reading.message_page(_m(spark, d), SESSION, 1, 2).select("seq", "role", "content_text"))
+query("read_page_has_more", _BASE + f" SELECT message_count AS total_count, least(2, greatest(0, message_count - 1)) AS returned, 1 + least(2, greatest(0, message_count - 1)) < message_count AS has_more FROM sessions WHERE session_uuid = '{SESSION}'")(lambda spark, d: reading.page_state(_s(spark, d), _m(spark, d), SESSION, 1, 2))
+
+# --- text
+query("tokenize_words", r"""SELECT turn, conv_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+(?:[''.][\p{L}\p{M}\p{N}_]+)*'), ' ') AS words FROM conversations""")(lambda spark, d: spark.read.parquet(f"{d}/conversations.parquet").select("turn", "conv_id", F.array_join(X.words(F.col("text")), " ").alias("words")))
+_CJK_ROWS = [(1, "部署 health check"), (2, "豆包输入法"), (3, "法"), (4, "plain"), (5, "カナ漢字mixed한글")]
+query("tokenize_cjk_bigrams", "SELECT * FROM (VALUES (1, '部署'), (2, '豆包 包输 输入 入法'), (3, ''), (4, ''), (5, 'カナ ナ漢 漢字 한글')) AS t(id, bigrams)")(lambda spark, d: spark.createDataFrame(_CJK_ROWS, "id int, text string").select("id", F.array_join(X.cjk_bigrams(F.col("text")), " ").alias("bigrams")))
+query("has_cjk", "SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false), (5, true)) AS t(id, cjk)")(lambda spark, d: spark.createDataFrame(_CJK_ROWS, "id int, text string").select("id", X.has_cjk(F.col("text")).alias("cjk")))
+query("fts_tokens", f"SELECT doc_id, array_to_string({_toks('text')}, ' ') AS tokens FROM documents")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(X.fts_tokens(F.col("text")), " ").alias("tokens")))
+query("phrase_match", f"SELECT doc_id, {_cnt('t', PHRASE)} AS n FROM (SELECT doc_id, {_toks('text')} AS t FROM documents)")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.phrase_count(X.fts_tokens(F.col("text")), PHRASE).cast("long").alias("n")))
+_BM = _bm25_sql("messages", {"content_text": 1.0}, [["reti"], ["of"]], "session_uuid, seq")
+_BS = _bm25_sql("sessions", recall.SESSION_WEIGHTS, [["reti"], ["of"]], "session_uuid")
+query("bm25_messages", f"{_BASE}, {_BM} SELECT session_uuid, seq, round(score, 6) AS score FROM bm_messages")(lambda spark, d: recall.bm25(_mt(spark, d), {"content_text_tokens": 1.0}, TERMS).select("session_uuid", "seq", F.round("score", 6).alias("score")))
+query("bm25_sessions_weighted", f"{_BASE}, {_BS} SELECT session_uuid, round(score, 6) AS score FROM bm_sessions")(lambda spark, d: recall.bm25(_st(spark, d), {f"{c}_tokens": w for c, w in recall.SESSION_WEIGHTS.items()}, TERMS).select("session_uuid", F.round("score", 6).alias("score")))
+query("join_hits_sessions", f"{_BASE}, {_BM} SELECT b.session_uuid, seq, title, cwd FROM bm_messages AS b JOIN sessions USING (session_uuid)")(lambda spark, d: recall.bm25(_mt(spark, d), {"content_text_tokens": 1.0}, TERMS).join(_s(spark, d), "session_uuid").select("session_uuid", "seq", "title", "cwd"))
+query("snippet_like", f"""SELECT doc_id, CASE WHEN p > 0 THEN (CASE WHEN p > 41 THEN '…' ELSE '' END) || regexp_replace(substr(text, greatest(1, p - 40), p + {len(NEEDLE)} + 80 - greatest(1, p - 40)), '({NEEDLE})', '<mark>\\1</mark>', 'gi')
+  || (CASE WHEN p + {len(NEEDLE)} + 79 < length(text) THEN '…' ELSE '' END) ELSE substr(text, 1, 160) END AS snippet FROM (SELECT doc_id, text, instr(lower(text), '{NEEDLE}') AS p FROM documents)""")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.like_snippet(F.col("text"), NEEDLE).alias("snippet")))
+
+# --- find
+_ABOUT = "title, cwd, started_at, ended_at"
+_UNION = f"""{_BASE}, {_BM}, {_BS},
+mh AS (SELECT 'message' AS source, session_uuid, seq, role, content_text, {_ABOUT}, score FROM bm_messages JOIN messages USING (session_uuid, seq) JOIN sessions USING (session_uuid) WHERE {{where}} ORDER BY {{morder}} LIMIT {{limit}}),
+sh AS (SELECT 'session' AS source, session_uuid, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS role, title || chr(10) || summary_text || chr(10) || compact_text || chr(10) || reasoning_summary_text AS content_text, {_ABOUT}, score FROM bm_sessions JOIN sessions USING (session_uuid) WHERE {{where}} ORDER BY {{sorder}} LIMIT {{limit}}),
+un AS (SELECT *, row_number() OVER (ORDER BY source, {{uorder}}) AS ord FROM (SELECT * FROM mh UNION ALL SELECT * FROM sh))"""
+
+
+def _union_sql(where: str = "true", sort: str = "relevance", n: int = 10) -> str:
+    by, limit = ("score, ended_at DESC", max(12 * n, 50)) if sort == "relevance" else (f"{sort}_at DESC, score", max(100 * n, 1000))
+    tail = "" if sort == "relevance" else ", ended_at DESC"
+    out = _UNION
+    for k, v in {"{where}": where, "{morder}": f"{by}, seq, session_uuid", "{sorder}": f"{by}, session_uuid", "{uorder}": f"{by}{tail}, seq, session_uuid", "{limit}": str(limit)}.items():
+        out = out.replace(k, v)
+    return out
+
+
+def _rank_sql(order: str = "session_score DESC, f_ended DESC, first_ord", n: int = 10) -> str:
+    tc = " + ".join(f"CAST(contains(lower({{0}}), '{t}') AS INTEGER)" for t in TERMS)
+    return f""", sg AS (SELECT *, -score + 8 * CAST(contains(lower(content_text), '{QUERY}') AS INTEGER) + 2 * ({tc.format('content_text')}) + 4 * CAST(source = 'message' AS INTEGER) + 2 * CAST(coalesce(role, '') = 'user' AS INTEGER) AS signal,
+  contains(lower(title), '{QUERY}') AS tp, {tc.format('title')} AS tt, {tc.format('cwd')} AS ct FROM un),
+ag AS (SELECT session_uuid, count(*) AS hits, count(*) FILTER (source = 'session') AS session_hits, count(*) FILTER (source = 'message' AND role = 'user') AS user_hits, bool_or(tp) AS title_phrase, max(tt) AS title_terms, max(ct) AS cwd_terms, max(signal) AS signal,
+  arg_min(struct_pack(source, seq, role, content_text), struct_pack(a := source <> 'message', b := -signal, c := ord)) AS shown, arg_min(title, ord) AS f_title, arg_min(cwd, ord) AS f_cwd, arg_min(started_at, ord) AS f_started, arg_min(ended_at, ord) AS f_ended, min(ord) AS first_ord FROM sg GROUP BY session_uuid),
+sc AS (SELECT *, signal + 30 * CAST(title_phrase AS INTEGER) + 10 * title_terms + 18 * cwd_terms + 4 * least(user_hits, 3) + 2 * least(session_hits, 2) + 1.5 * least(hits, 6)
+  + greatest(0, 18 - 0.15 * greatest(0, (epoch(TIMESTAMP '2024-02-01') - epoch(strptime(f_ended, '%Y-%m-%dT%H:%M:%SZ'))) / 86400.0)) AS session_score FROM ag),
+rk AS (SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank FROM sc ORDER BY {order} LIMIT {n})"""
+
+
+_FIND = " SELECT rank, session_uuid, f_title AS title, f_cwd AS cwd, f_started AS started_at, f_ended AS ended_at, shown.source AS match_source, shown.seq AS match_seq, shown.role AS match_role, shown.content_text AS content_text, hits, round(session_score, 4) AS score FROM rk"
+
+
+def _hits(spark, d, **o):
+    return union_hits(_mt(spark, d), _st(spark, d), QUERY, FindOptions(**o))
+
+
+query("find_recall_limits", _union_sql(n=2) + " SELECT source, count(*) AS n FROM un GROUP BY source")(lambda spark, d: _hits(spark, d, limit=2).groupBy("source").agg(F.count("*").alias("n")))
+query("find_union_surfaces", _union_sql() + " SELECT source, session_uuid, seq, CAST(ord AS INTEGER) AS ord, round(score, 6) AS score FROM un")(lambda spark, d: _hits(spark, d).select("source", "session_uuid", "seq", "ord", F.round("score", 6).alias("score")))
+query("find_exclude", _union_sql("session_uuid NOT IN ('conv-000003', 'conv-000010')") + " SELECT DISTINCT session_uuid FROM un")(lambda spark, d: _hits(spark, d, exclude=[" conv-000003", "conv-000010", "conv-000003", ""]).select("session_uuid").distinct())
+for _name, _o, _sql in (
+    ("find_relevance", {}, _union_sql() + _rank_sql()), ("find_selector", {"selector": _SEL["selector_cwd"][0]}, _union_sql("cwd = '/work/proj-3'") + _rank_sql()),
+    ("find_sort_ended", {"sort": "ended"}, _union_sql(sort="ended") + _rank_sql("f_ended DESC, session_score DESC, first_ord")), ("find_sort_started", {"sort": "started"}, _union_sql(sort="started") + _rank_sql("f_started DESC, session_score DESC, first_ord")),
+):
+    query(_name, _sql + _FIND)(lambda spark, d, o=_o: find(_mt(spark, d), _st(spark, d), QUERY, FindOptions(**o)))
+query("find_ranked", _union_sql(n=3) + _rank_sql(n=3) + " SELECT rank, session_uuid FROM rk")(lambda spark, d: find(_mt(spark, d), _st(spark, d), QUERY, FindOptions(limit=3)).select("rank", "session_uuid"))
+query("read_range_by_query", f"{_BASE}, {_BM}, top AS (SELECT b.seq FROM bm_messages AS b JOIN messages AS m USING (session_uuid, seq) WHERE session_uuid = (SELECT min(session_uuid) FROM bm_messages) ORDER BY -score + 8 * CAST(contains(lower(content_text), '{QUERY}') AS INTEGER) + 2 * CAST(role = 'user' AS INTEGER) DESC, b.seq LIMIT 1) SELECT m.session_uuid, m.seq FROM messages AS m, top WHERE session_uuid = (SELECT min(session_uuid) FROM bm_messages) AND m.seq BETWEEN top.seq - 2 AND top.seq + 2")(lambda spark, d: _range_by_query(spark, d))
+
+
+def _range_by_query(spark, d):
+    m = _mt(spark, d)
+    hits = recall.bm25(m, {"content_text_tokens": 1.0}, TERMS)
+    one = hits.agg(F.min("session_uuid").alias("session_uuid"))
+    own = hits.join(F.broadcast(one), "session_uuid").withColumns({"source": F.lit("message")})
+    own = own.orderBy("score", "seq").limit(20).withColumn("signal", rerank.row_signal(rerank.classify(QUERY), TERMS))
+    anchor = own.groupBy("session_uuid").agg(F.max_by("seq", F.struct("signal", -F.col("seq"))).alias("anchor"))
+    return m.join(F.broadcast(anchor), "session_uuid").filter(F.col("seq").between(F.greatest(F.lit(0), F.col("anchor") - 2), F.col("anchor") + 2)).select("session_uuid", "seq")
+
+
+_CJK_M = [("s1", 0, "user", "部署 法 检查"), ("s1", 1, "assistant", "plain"), ("s2", 0, "user", "法律"), ("s3", 0, "user", "none")]
+
+
+def _cjk(spark):
+    m = spark.createDataFrame(_CJK_M, "session_uuid string, seq long, role string, content_text string").withColumn("timestamp", F.lit("t"))
+    s = spark.createDataFrame([(f"s{i}", f"2024-01-0{i}") for i in (1, 2, 3)], "session_uuid string, started_at string")
+    s = s.withColumns({"title": F.when(F.col("session_uuid") == "s3", "法").otherwise("t"), "summary_text": F.lit(""), "compact_text": F.lit(""), "reasoning_summary_text": F.lit(""), "cwd": F.lit("/w"), "ended_at": F.col("started_at"), "file_path": F.lit("/x"), "path_date": F.lit("")})
+    return m, s
+
+
+query("find_like_messages", "SELECT * FROM (VALUES ('s2', CAST(0 AS BIGINT), -1.0::DOUBLE), ('s1', CAST(0 AS BIGINT), -2.0::DOUBLE)) AS t(session_uuid, seq, score)")(lambda spark, d: message_hits(*_cjk(spark), "法", [], FindOptions()).select("session_uuid", "seq", "score"))
+query("find_like_sessions", "SELECT * FROM (VALUES ('s3', -1.0::DOUBLE)) AS t(session_uuid, score)")(lambda spark, d: session_hits(_cjk(spark)[1], "法", [], FindOptions()).select("session_uuid", "score"))
+
+# --- rerank
+_PROFILES = ["fly deploy", "sing-box start", "envchain", "src/a.ts", "python 3", "豆包输入法", "部署 health check"]
+query("query_profile", """SELECT q, lower(trim(q)) AS normalized, regexp_matches(trim(q), '\\s') AS is_multi_term, regexp_matches(q, '\\d') AS has_digits, CASE WHEN regexp_matches(q, '[\\s\\d\\\\/._:-]') THEN 'exact' ELSE 'broad' END AS kind,
+  regexp_matches(trim(q), '\\s') AND regexp_matches(q, '[\\\\/._:-]') AS is_path_like_command FROM (VALUES """ + ", ".join(f"('{q}')" for q in _PROFILES) + ") AS t(q)")(lambda spark, d: spark.createDataFrame([(q,) for q in _PROFILES], "q string").withColumns(rerank.profile_columns(F.col("q"))))
+query("term_coverage", "SELECT doc_id, " + " + ".join(f"CAST(contains(lower(text), '{t}') AS INTEGER)" for t in TERMS) + " AS n FROM documents")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", rerank.matched_terms(F.col("text"), TERMS).alias("n")))
+query("bounded_phrase", r"SELECT doc_id, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_./-])of the($|[^\p{L}\p{N}_./-])') AS hit FROM documents")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", rerank.bounded_phrase(F.lower("text"), "of the").alias("hit")))
+_SPAN_ROWS = [(1, ["a", "b", "c"]), (2, ["a", "x", "b", "a", "b", "c"]), (3, ["b", "c"]), (4, ["a", "x", "b", "y", "z", "c"]), (5, [])]
+query("ordered_span", "SELECT * FROM (VALUES (1, 0), (2, 0), (3, NULL), (4, 3), (5, NULL)) AS t(id, gaps)")(lambda spark, d: spark.createDataFrame(_SPAN_ROWS, "id int, t array<string>").select("id", rerank.ordered_span(F.col("t"), ["a", "b", "c"]).alias("gaps")))
+_BONUS = [(1, "run fly.io deploy now"), (2, "fly.io the deploy"), (3, "xfly.io deploy"), (4, "deploy only"), (5, "fly.io a b c d deploy")]
+query("command_bonus", "SELECT * FROM (VALUES (1, 36.0::DOUBLE), (2, 22.0::DOUBLE), (3, 0.0::DOUBLE), (4, 0.0::DOUBLE), (5, 0.0::DOUBLE)) AS t(id, bonus)")(lambda spark, d: spark.createDataFrame(_BONUS, "id int, content_text string").select("id", rerank.command_bonus(F.col("content_text"), rerank.classify("fly.io deploy"), X.query_terms("fly.io deploy")).alias("bonus")))
+query("score_row", _union_sql() + _rank_sql() + " SELECT session_uuid, seq, source, round(signal, 4) AS signal FROM sg")(lambda spark, d: _hits(spark, d).withColumn("signal", F.round(rerank.row_signal(rerank.classify(QUERY), TERMS), 4)).select("session_uuid", "seq", "source", "signal"))
+
+
+def _agg(spark, d):
+    return rerank.aggregate_hits(_hits(spark, d), rerank.classify(QUERY), TERMS)
+
+
+query("rerank_aggregate", _union_sql() + _rank_sql() + " SELECT session_uuid, hits, session_hits, user_hits, title_phrase, title_terms, cwd_terms, round(signal, 4) AS signal FROM ag")(lambda spark, d: _agg(spark, d).select("session_uuid", "hits", "session_hits", "user_hits", "title_phrase", "title_terms", "cwd_terms", F.round("signal", 4).alias("signal")))
+query("display_row", _union_sql() + _rank_sql() + " SELECT session_uuid, shown.source AS source, shown.seq AS seq FROM ag")(lambda spark, d: _agg(spark, d).select("session_uuid", "shown.source", "shown.seq"))
+query("recency_decay", _BASE + " SELECT session_uuid, round(greatest(0, 18 - 0.15 * greatest(0, (epoch(TIMESTAMP '2024-02-01') - epoch(strptime(ended_at, '%Y-%m-%dT%H:%M:%SZ'))) / 86400.0)), 6) AS recency FROM sessions")(lambda spark, d: _s(spark, d).select("session_uuid", F.round(rerank.recency(F.col("ended_at"), NOW), 6).alias("recency")))
+query("score_session", _union_sql() + _rank_sql() + " SELECT session_uuid, round(session_score, 4) AS score FROM sc")(lambda spark, d: _agg(spark, d).select("session_uuid", F.round(rerank.session_score(NOW), 4).alias("score")))
+
+# --- sync and coverage: the listing is the sessions' files, the index holds those of even message_count
+_FILES = "SELECT file_path, cwd, path_date, message_count AS size, 1704067200000 + message_count AS mtime FROM sessions"
+
+
+def _files(spark, d):
+    return _s(spark, d).select("file_path", "cwd", "path_date", F.col("message_count").alias("size"), (F.lit(1704067200000) + F.col("message_count")).alias("mtime"))
+
+
+def _classified(spark, d):
+    files = _files(spark, d)
+    indexed = files.filter("size % 2 = 0").select("file_path", F.col("mtime").alias("old_mtime"), F.when(F.col("size") == 4, 0).otherwise(F.col("size")).alias("old_size"))
+    j = files.join(indexed, "file_path", "left")
+    same = F.col("mtime").eqNullSafe(F.col("old_mtime")) & F.col("size").eqNullSafe(F.col("old_size"))
+    return j.select("file_path", F.when(same, "skipped").when(F.col("old_mtime").isNull(), "added").otherwise("updated").alias("action"))
+
+
+query("sync_classify", f"{_BASE} SELECT file_path, CASE WHEN size % 2 = 1 THEN 'added' WHEN size = 4 THEN 'updated' ELSE 'skipped' END AS action FROM ({_FILES})")(_classified)
+query("sync_counters", f"{_BASE} SELECT CASE WHEN size % 2 = 1 THEN 'added' WHEN size = 4 THEN 'updated' ELSE 'skipped' END AS action, count(*) AS n FROM ({_FILES}) GROUP BY 1")(lambda spark, d: _classified(spark, d).groupBy("action").agg(F.count("*").alias("n")))
+query("sync_reconcile_anti", f"{_BASE} SELECT file_path FROM ({_FILES}) WHERE cwd = '/work/proj-3' AND size % 2 = 1")(lambda spark, d: _files(spark, d).filter(_SEL["selector_cwd"][0].predicate()).join(_files(spark, d).filter("size % 2 = 0").select("file_path"), "file_path", "left_anti").select("file_path"))
+query("sync_retained_union", f"{_BASE} SELECT file_path FROM ({_FILES}) WHERE size > 2 UNION SELECT file_path FROM ({_FILES}) WHERE size % 2 = 0")(lambda spark, d: _files(spark, d).filter("size > 2").select("file_path").union(_files(spark, d).filter("size % 2 = 0").select("file_path")).distinct())
+query("source_fingerprint", f"{_BASE} SELECT sha256('{ROOT}' || string_agg(chr(0) || substr(file_path, {len(ROOT) + 2}) || chr(0) || mtime || chr(0) || size || chr(0) || path_date || chr(0) || cwd, '' ORDER BY file_path)) AS fingerprint, count(*) AS file_count FROM ({_FILES})")(lambda spark, d: reading.fingerprint(_files(spark, d), ROOT))
+
+_COVER = [(1, Selector("all", "/r")), (2, Selector("date_range", "/r", None, "2024-01-01", "2024-01-31")), (3, Selector("cwd", "/r", "/a")), (4, Selector("cwd_date_range", "/r", "/a", "2024-01-05", "2024-01-09")), (5, Selector("all", "/other"))]
+
+
+def _cover(spark, suffix: str):
+    rows = [(i, s.kind, s.root, s.cwd, s.from_date, s.to_date, ["v1", "v0"][i % 2], f"f{i}") for i, s in _COVER]
+    names = ["id", "kind", "root", "cwd", "from_date", "to_date", "version", "fp"]
+    df = spark.createDataFrame(rows, "id int, kind string, root string, cwd string, from_date string, to_date string, version string, fp string")
+    return df.select(*[F.col(n).alias(n + suffix) for n in names])
+
+
+def _of(suffix: str):
+    return {n: F.col(n + suffix) for n in ("kind", "root", "cwd", "from_date", "to_date")}
+
+
+_YES = [(1, 1), (1, 2), (1, 3), (1, 4), (2, 2), (2, 4), (3, 3), (3, 4), (4, 4), (5, 5)]
+query("coverage_implies", "SELECT * FROM (VALUES " + ", ".join(map(str, _YES)) + ") AS t(have, want)")(lambda spark, d: _cover(spark, "_h").join(F.broadcast(_cover(spark, "_w")), implies(_of("_h"), _of("_w"))).select(F.col("id_h").alias("have"), F.col("id_w").alias("want")))
+query("coverage_status", "SELECT * FROM (VALUES (4, true), (5, false), (3, false), (1, false), (2, true)) AS t(want, complete)")(
+    lambda spark, d: _cover(spark, "_w").join(F.broadcast(_cover(spark, "_h").filter("version_h = 'v1'")), implies(_of("_h"), _of("_w")), "left").groupBy(F.col("id_w").alias("want")).agg(F.bool_or(F.col("id_h").isNotNull()).alias("complete"))
+)
+query("coverage_freshness", "SELECT * FROM (VALUES (1, 'stale'), (2, 'fresh'), (3, 'stale'), (4, 'stale'), (5, 'stale')) AS t(id, freshness)")(
+    lambda spark, d: _cover(spark, "").select("id", F.when((F.col("fp") == "f2") & (F.col("version") == "v1"), "fresh").otherwise("stale").alias("freshness"))
+)
+query("coverage_requested", "SELECT * FROM (VALUES (1, 'missing', 'sync'), (2, 'fresh', 'query'), (3, 'missing', 'sync'), (4, 'fresh', 'query'), (5, 'missing', 'sync')) AS t(want, freshness, action)")(
+    lambda spark, d: _cover(spark, "_w").join(F.broadcast(_cover(spark, "_h").filter("version_h = 'v1'")), implies(_of("_h"), _of("_w")), "left").groupBy(F.col("id_w").alias("want"))
+    .agg(F.when(F.bool_or(F.col("fp_h") == "f2"), "fresh").when(F.count("id_h") > 0, "stale").otherwise("missing").alias("freshness"))
+    .withColumn("action", F.when(F.col("freshness") == "fresh", "query").otherwise("sync"))
+)
+
+
+def _for_session(spark, d):
+    of = {"kind": F.col("kind_s"), "root": F.lit("/r"), "cwd": F.col("cwd_s"), "from_date": F.col("date_s"), "to_date": F.col("date_s")}
+    asked = spark.createDataFrame([("all", None, None), ("cwd", "/a", None), ("date_range", None, "2024-01-07"), ("cwd_date_range", "/a", "2024-01-07")], "kind_s string, cwd_s string, date_s string")
+    return _cover(spark, "_h").join(F.broadcast(asked), implies(_of("_h"), of), "left_semi").select(F.col("id_h").alias("id"))
+
+
+query("coverage_for_session", "SELECT * FROM (VALUES (1), (2), (3), (4)) AS t(id)")(_for_session)
+
+# --- evaluation
+query("eval_compare", "SELECT * FROM (VALUES ('q2', 'b', 'c')) AS t(id, before, after)")(
+    lambda spark, d: spark.createDataFrame([("q1", "a"), ("q2", "b"), ("q3", "x")], "id string, before string").join(spark.createDataFrame([("q1", "a"), ("q2", "c"), ("q4", "x")], "id string, after string"), "id").filter("before <> after")
+)
+
+
+def _manual(spark, d):
+    got = find(_mt(spark, d), _st(spark, d), QUERY).agg(F.collect_list(F.struct("rank", "title", "cwd")).alias("r"))
+    asked = spark.createDataFrame([(1, "/work/", None), (2, None, "no such title"), (3, None, None)], "id int, cwd_has string, title_has string")
+    hit = lambda f, want: want.isNull() | F.exists("r", lambda x: F.contains(F.lower(x[f]), F.lower(want)) & (x["rank"] <= 5))
+    return asked.join(F.broadcast(got)).select("id", F.when(F.col("cwd_has").isNull() & F.col("title_has").isNull(), "skip").when(hit("cwd", F.col("cwd_has")) & hit("title", F.col("title_has")), "pass").otherwise("fail").alias("verdict"))
+
+
+query("eval_manual", "SELECT * FROM (VALUES (1, 'pass'), (2, 'fail'), (3, 'skip')) AS t(id, verdict)")(_manual)
+query("latency_percentiles", "SELECT event_type, median(value) AS p50, list_sort(list(value))[CAST(floor(0.95 * count(*)) AS BIGINT) + 1] AS p95 FROM events GROUP BY event_type")(
+    lambda spark, d: _latency(spark.read.parquet(f"{d}/events.parquet"))
+)
+
+
+def _latency(events):
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy("value"))
+    counts = events.groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), (F.floor(F.lit(0.95) * F.count("*")) + 1).alias("at"))
+    return events.select("event_type", "value", place.alias("place")).join(counts, "event_type").filter(F.col("place") == F.col("at")).select("event_type", "p50", F.col("value").alias("p95"))
