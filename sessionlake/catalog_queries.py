@@ -78,8 +78,10 @@ def _toks(c: str) -> str:
 
 
 def _cnt(tok: str, p: list[str]) -> str:
-    same = " AND ".join(f"{tok}[i + {j}] = '{w}'" for j, w in enumerate(p))
-    return f"len([i for i in generate_series(1, len({tok})) if {same}])"
+    """Occurrences of a phrase of one or two words in a list of tokens."""
+    if len(p) == 1:
+        return f"len(list_filter({tok}, lambda x: x = '{p[0]}'))"
+    return f"len(list_filter(list_zip({tok}, {tok}[2:]), lambda z: z[1] = '{p[0]}' AND z[2] = '{p[1]}'))"
 
 
 def _bm25_sql(table: str, cols: dict[str, float], phrases: list[list[str]], keys: str) -> str:
@@ -276,7 +278,7 @@ query("query_profile", """SELECT q, lower(trim(q)) AS normalized, regexp_matches
 query("term_coverage", "SELECT doc_id, " + " + ".join(f"CAST(contains(lower(text), '{t}') AS INTEGER)" for t in TERMS) + " AS n FROM documents")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", rerank.matched_terms(F.col("text"), TERMS).alias("n")))
 query("bounded_phrase", r"SELECT doc_id, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_./-])of the($|[^\p{L}\p{N}_./-])') AS hit FROM documents")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", rerank.bounded_phrase(F.lower("text"), "of the").alias("hit")))
 _SPAN_ROWS = [(1, ["a", "b", "c"]), (2, ["a", "x", "b", "a", "b", "c"]), (3, ["b", "c"]), (4, ["a", "x", "b", "y", "z", "c"]), (5, [])]
-query("ordered_span", "SELECT * FROM (VALUES (1, 0), (2, 0), (3, NULL), (4, 3), (5, NULL)) AS t(id, gaps)")(lambda spark, d: spark.createDataFrame(_SPAN_ROWS, "id int, t array<string>").select("id", rerank.ordered_span(F.col("t"), ["a", "b", "c"]).alias("gaps")))
+query("ordered_span", "SELECT * FROM (VALUES (1, 0), (2, 0), (3, -1), (4, 3), (5, -1)) AS t(id, gaps)")(lambda spark, d: spark.createDataFrame(_SPAN_ROWS, "id int, t array<string>").select("id", F.coalesce(rerank.ordered_span(F.col("t"), ["a", "b", "c"]), F.lit(-1)).alias("gaps")))
 _BONUS = [(1, "run fly.io deploy now"), (2, "fly.io the deploy"), (3, "xfly.io deploy"), (4, "deploy only"), (5, "fly.io a b c d deploy")]
 query("command_bonus", "SELECT * FROM (VALUES (1, 36.0::DOUBLE), (2, 22.0::DOUBLE), (3, 0.0::DOUBLE), (4, 0.0::DOUBLE), (5, 0.0::DOUBLE)) AS t(id, bonus)")(lambda spark, d: spark.createDataFrame(_BONUS, "id int, content_text string").select("id", rerank.command_bonus(F.col("content_text"), rerank.classify("fly.io deploy"), X.query_terms("fly.io deploy")).alias("bonus")))
 query("score_row", _union_sql() + _rank_sql() + " SELECT session_uuid, seq, source, round(signal, 4) AS signal FROM sg")(lambda spark, d: _hits(spark, d).withColumn("signal", F.round(rerank.row_signal(rerank.classify(QUERY), TERMS), 4)).select("session_uuid", "seq", "source", "signal"))

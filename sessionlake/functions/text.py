@@ -86,8 +86,14 @@ def phrase_count(tokens: Column, phrase: list[str]) -> Column:
     if k == 1:
         return F.size(F.filter(tokens, lambda t: t == phrase[0]))
     wanted = F.array(*map(F.lit, phrase))
-    places = F.sequence(F.lit(1), F.size(tokens) - k + 1)
-    return F.when(F.size(tokens) < k, F.lit(0)).otherwise(F.size(F.filter(places, lambda i: F.slice(tokens, i, k) == wanted)))
+
+    # a fold reads the tokens once; an index into them inside a lambda would compute them anew each time
+    def step(state: Column, t: Column) -> Column:
+        last = F.slice(F.concat(state["w"], F.array(t)), -k, k)
+        return F.struct((state["n"] + (last == wanted).cast("int")).alias("n"), last.alias("w"))
+
+    start = F.struct(F.lit(0).alias("n"), F.array_repeat(F.lit(""), k).alias("w"))
+    return F.aggregate(tokens, start, step, lambda s: s["n"])
 
 
 def like_snippet(c: Column, needle: str, before: int = 40, after: int = 80, fallback: int = 160) -> Column:
