@@ -8,6 +8,7 @@ from .gam import op9_quality
 from .hmm import op7_hmm_score
 from .jaccard import op3_ngram_jaccard
 from .mixing import OP5_SQL, op5_source_mixing
+from .parsing import op8_prefix_free_parse
 from .phrases import OP2_SQL, op2_repeated_phrases
 from .pii import op10_pii_surrogates
 from .topk import OP1_SQL, op1_exact_topk
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op6_chat_format": op6_chat_format,
     "op7_hmm_score": op7_hmm_score,
+    "op8_prefix_free_parse": op8_prefix_free_parse,
     "op9_quality": op9_quality,
     "op10_pii_surrogates": op10_pii_surrogates,
 }
