@@ -28,8 +28,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_topk": OP1_SQL,
-    "op2_repeated_phrases": op2_repeated_phrases,
-    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op2_repeated_phrases": OP2_SQL,
     "op4_decontamination": OP4_SQL,
     "op5_source_mixing": OP5_SQL,
