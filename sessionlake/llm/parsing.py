@@ -49,6 +49,7 @@ from .phrases import _anchored, _span_hash
 SIZE = 50
 TRIGGER = 24
 FILTER_BITS = 1 << 26
+BLOCK_WORDS = 1 << 13
 SHARD_BYTES = 1 << 21
 CHUNK = 1 << 20
 
@@ -83,6 +84,14 @@ def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["word", "bits"])
 
 
+def _filter_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block of the filter from its nonzero words."""
+    block = int(pdf["block"].iloc[0])
+    bits = np.zeros(BLOCK_WORDS, np.int64)
+    bits[pdf["word"].to_numpy(np.int64) - block * BLOCK_WORDS] = pdf["bits"].to_numpy(np.int64)
+    return pd.DataFrame({"block": [block], "bits": [bits.tobytes()]})
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], size: int, k: int, shared) -> Iterator[pa.RecordBatch]:
     """Phrases whose trigger passes the filter: fp, ctx, doc_id, text_key, start, stop."""
     bitmap: np.ndarray = shared.value
@@ -194,9 +203,11 @@ def remove_repeated_bytes(docs: DataFrame, size: int = SIZE, k: int = TRIGGER) -
     seen = named.mapInArrow(partial(_triggers, size=size, k=k), "fp long, lo long, hi long").groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     several = written(seen.filter("lo < hi").select("fp"), "parse-triggers")
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the finished shuffle's files
-    words = several.mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most FILTER_BITS / 64 rows
+    words = several.mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    blocks = words.withColumn("block", F.shiftright("word", BLOCK_WORDS.bit_length() - 1)).groupBy("block").applyInPandas(_filter_block, "block long, bits binary")
     bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    for block, bits in blocks.collect():  # at most FILTER_BITS bits in blocks
+        bitmap[block * BLOCK_WORDS : (block + 1) * BLOCK_WORDS] = np.frombuffer(bits, np.int64)
     shared = spark.sparkContext.broadcast(bitmap)
     found = named.mapInArrow(partial(_candidates, size=size, k=k, shared=shared), "fp long, ctx long, doc_id long, text_key long, start int, stop int")
     found = written(found.join(several, "fp", "left_semi"), "parse-phrases")
