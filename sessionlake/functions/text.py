@@ -63,15 +63,20 @@ def fts_tokens(c: Column) -> Column:
     return F.regexp_extract_all(fold(spread), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
 
 
-def query_terms(query: str) -> list[str]:
-    """Distinct level-1 terms of a query, in order (on the driver: a query is one short string)."""
+def level1(text: str) -> list[str]:
+    """Level-1 tokens of one string, in order."""
     out: list[str] = []
-    for piece in re.split(f"({_CJK_PY.pattern}+)", query):
+    for piece in re.split(f"({_CJK_PY.pattern}+)", text):
         if _CJK_PY.match(piece or " "):
             out += [piece[i : i + 2] for i in range(len(piece) - 1)]
         else:
             out += [w.lower() for w in re.findall(r"[^\W_]+(?:_+[^\W_]+)*(?:['.][^\W_]+)*", piece)]
-    return list(dict.fromkeys(out))
+    return out
+
+
+def query_terms(query: str) -> list[str]:
+    """Distinct level-1 terms of a query, in order (on the driver: a query is one short string)."""
+    return list(dict.fromkeys(level1(query)))
 
 
 def term_tokens(term: str) -> list[str]:

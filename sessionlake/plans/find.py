@@ -20,13 +20,16 @@ class FindOptions:
     sort: str = "relevance"
     selector: Selector | None = None
     exclude: list[str] = field(default_factory=list)
+    within: str | None = None
     now: str = "2024-02-01T00:00:00Z"
 
 
 def _scoped(rows: DataFrame, o: FindOptions) -> DataFrame:
-    """Selector and exclusions; applied after the statistics of the whole index."""
+    """Selector, session and exclusions; applied after the statistics of the whole index."""
     if o.selector:
         rows = rows.filter(o.selector.predicate())
+    if o.within is not None:
+        rows = rows.filter(F.col("session_uuid") == o.within)
     drop = list(dict.fromkeys(x.strip() for x in o.exclude if x.strip()))
     return rows.filter(~F.col("session_uuid").isin(drop)) if drop else rows
 
