@@ -62,7 +62,7 @@ def _texts(rows: pa.RecordBatch, column: str) -> Texts:
     return Texts(rows, data, off - off[0])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 21) -> Iterator[Texts]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 19) -> Iterator[Texts]:
     """Slices of the batches of about ``most`` text bytes; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
