@@ -46,6 +46,7 @@ from ._scratch import written
 from .fmindex import merged
 
 WINDOW = 35
+CHUNK = 1 << 21  #: text bytes whose anchors are counted together before the shuffle
 ANCHOR = 8
 SHARD_WORDS = 400_000  #: pattern words of a shard, about
 SPLIT_DOCS = 1000  #: texts of a split of a shard, about
@@ -73,7 +74,7 @@ def _anchored(h: np.ndarray, row: np.ndarray, window: int, k: int) -> tuple[np.n
 
 def _profile(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[pa.RecordBatch]:
     """One row per document: its key, word count, kept digest and anchors."""
-    for part in chunks(batches):
+    for part in chunks(batches, most=CHUNK):
         w = words(part, SPACES)
         n_words = np.diff(w.first)
         row = np.repeat(np.arange(len(n_words)), n_words)
@@ -120,7 +121,7 @@ def _flat(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBa
 
 def _single_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Windows of the contexts asked for: wh, n, sure, tk, start."""
-    for part in chunks(batches):
+    for part in chunks(batches, most=CHUNK):
         w = words(part, SPACES)
         rows = part.rows.select(["tk", "asked"]).to_pylist()
         wh, n, sure, tk, start = [], [], [], [], []
@@ -151,7 +152,7 @@ def _as_symbols(h: np.ndarray) -> str:
 
 def _cut_patterns(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """tk, words: the hashes of the words of each phrase, as bytes."""
-    for part in chunks(batches):
+    for part in chunks(batches, most=CHUNK):
         w = words(part, SPACES)
         tk, out = [], []
         for i, r in enumerate(part.rows.select(["tk", "whole", "starts"]).to_pylist()):
@@ -214,7 +215,7 @@ def _hashes(text: str) -> np.ndarray:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """tk, n_removed, digest of what is left."""
-    for part in chunks(batches):
+    for part in chunks(batches, most=CHUNK):
         removed, digest = [], []
         for i, r in enumerate(part.rows.select(["tk", "spans"]).to_pylist()):
             own = part.data[part.offsets[i] : part.offsets[i + 1]].tobytes().split()
@@ -274,7 +275,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in chunks(batches):
+    for part in chunks(batches, most=CHUNK):
         keys = [xxhash.xxh3_128_digest(part.data[a:b].tobytes()) for a, b in zip(part.offsets, part.offsets[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.rows.column("text")], names=["tk", "text"])
 
