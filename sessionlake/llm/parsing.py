@@ -15,7 +15,8 @@ smaller doc_id is to go.
    trigger into shards. A shard sorts all suffixes of its phrases by prefix
    doubling, up to ``size`` bytes, which with the parse's smallest documents
    orders the corpus's strings; equal strings are neighbours, and all but those
-   of the smallest document are removed.
+   of the smallest document are removed, wherever the phrase stands in the
+   document it was sorted for.
 
 Triggers in a single document are left out by a first count. What of them is
 broadcast is a Bloom filter of FILTER_BITS bits, whatever the input; an exact
@@ -111,15 +112,15 @@ def _candidates(batches: Iterator[pa.RecordBatch], size: int, k: int, shared) ->
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the phrases asked for in each text: fp, doc_id, text_key, start, body."""
+    """The bytes of the phrases asked for in each text: fp, ctx, doc_id, body."""
     for part in chunks(batches, most=CHUNK):
-        out: dict[str, list] = {x: [] for x in ("fp", "doc_id", "text_key", "start", "body")}
-        for i, r in enumerate(part.rows.select(["doc_id", "text_key", "asked"]).to_pylist()):
+        out: dict[str, list] = {x: [] for x in ("fp", "ctx", "doc_id", "body")}
+        for i, r in enumerate(part.rows.select(["doc_id", "asked"]).to_pylist()):
             raw = part.data[part.offsets[i] : part.offsets[i + 1]].tobytes()
             for x in r["asked"]:
-                for name, v in (("fp", x["fp"]), ("doc_id", r["doc_id"]), ("text_key", r["text_key"]), ("start", x["start"]), ("body", raw[x["start"] : x["stop"]])):
+                for name, v in (("fp", x["fp"]), ("ctx", x["ctx"]), ("doc_id", r["doc_id"]), ("body", raw[x["start"] : x["stop"]])):
                     out[name].append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
 
@@ -152,21 +153,20 @@ def sorted_strings(bodies: list[bytes], size: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _shard(pdf: pd.DataFrame, size: int) -> pd.DataFrame:
-    """Ranges of each text that hold a string of a smaller document of the shard."""
-    pdf = pdf.reset_index(drop=True)
+    """Ranges of each phrase, counted from its start, that hold a string of a smaller document of the shard."""
+    pdf = pdf.drop_duplicates(["fp", "ctx"]).reset_index(drop=True)
     body, offset, kind = sorted_strings(pdf["body"].tolist(), size)
     if not len(body):
-        return pd.DataFrame({"doc_id": [], "text_key": [], "spans": []})
+        return pd.DataFrame({"fp": [], "ctx": [], "cuts": []})
     doc = pdf["doc_id"].to_numpy()[body]
     first = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
     least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.r_[first, len(kind)]))
     gone = doc > least
-    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    ids, keys, starts = pdf["doc_id"].tolist(), pdf["text_key"].tolist(), pdf["start"].to_numpy()
+    out: dict[int, list[tuple[int, int]]] = {}
     for b, o in zip(body[gone].tolist(), offset[gone].tolist()):
-        s = int(starts[b]) + o
-        out.setdefault((ids[b], keys[b]), []).append((s, s + size))
-    return pd.DataFrame([(d, k, [x for s in merged(v) for x in s]) for (d, k), v in out.items()], columns=["doc_id", "text_key", "spans"])
+        out.setdefault(b, []).append((o, o + size))
+    fps, ctxs = pdf["fp"].tolist(), pdf["ctx"].tolist()
+    return pd.DataFrame([(fps[b], ctxs[b], [x for s in merged(v) for x in s]) for b, v in out.items()], columns=["fp", "ctx", "cuts"])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,20 +219,23 @@ def remove_repeated_bytes(docs: DataFrame, size: int = SIZE, k: int = TRIGGER) -
     found = _settled(found.join(several, "fp", "left_semi"), "parse-phrases")
     dictionary = _settled(found.groupBy("fp", "ctx").agg(F.min(F.struct("doc_id", "text_key", "start", "stop")).alias("at")), "parse-dictionary")
 
-    # the parse: whole phrases of larger documents
-    whole = found.join(dictionary.select("fp", "ctx", F.col("at.doc_id").alias("least")), ["fp", "ctx"]).filter("doc_id > least")
-    whole = whole.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(F.array("start", "stop"))).alias("spans"))
-
     # the dictionary: phrases that share a trigger, in their smallest document
     mixed_ = dictionary.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("fp")
-    open_ = dictionary.join(mixed_, "fp", "left_semi").select("fp", "at.*")
-    asked = open_.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("fp", "start", "stop")).alias("asked"))
+    open_ = dictionary.join(mixed_, "fp", "left_semi").select("fp", "ctx", "at.*")
+    asked = open_.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("fp", "ctx", "start", "stop")).alias("asked"))
     keyed = named.mapInArrow(_keyed, "doc_id long, text_key long, text string")
-    bodies = _settled(keyed.join(asked, ["doc_id", "text_key"]).mapInArrow(_cut, "fp long, doc_id long, text_key long, start int, body binary"), "parse-bodies")
+    bodies = _settled(keyed.join(asked, ["doc_id", "text_key"]).mapInArrow(_cut, "fp long, ctx long, doc_id long, body binary"), "parse-bodies")
     volume = bodies.agg(F.sum(F.length("body")).alias("v")).first()["v"] or 0
     shards = max(1, -(-volume // SHARD_BYTES))
-    spans = bodies.groupBy(F.pmod(F.xxhash64("fp"), F.lit(shards)).alias("shard")).applyInPandas(lambda pdf: _shard(pdf.drop(columns="shard", errors="ignore"), size), "doc_id long, text_key long, spans array<int>")
-    every = _settled(spans.unionByName(whole), "parse-spans").groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans"))
+    cuts = bodies.groupBy(F.pmod(F.xxhash64("fp"), F.lit(shards)).alias("shard")).applyInPandas(lambda pdf: _shard(pdf.drop(columns="shard", errors="ignore"), size), "fp long, ctx long, cuts array<int>")
+    cuts = _settled(cuts, "parse-cuts")
+
+    # the parse: whole phrases in larger documents, their cuts wherever they stand in the smallest
+    placed = found.join(dictionary.select("fp", "ctx", F.col("at.doc_id").alias("least")), ["fp", "ctx"]).join(cuts, ["fp", "ctx"], "left")
+    placed = placed.filter("doc_id > least OR cuts IS NOT NULL")
+    ranges = F.when(F.col("doc_id") > F.col("least"), F.array("start", "stop")).otherwise(F.transform("cuts", lambda x: x + F.col("start")))
+    spans = placed.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(ranges)).alias("spans"))
+    every = _settled(spans.withColumn("spans", F.array("spans")), "parse-spans")
     rows = docs.mapInArrow(_keyed, "doc_id long, text_key long, text string").join(every, ["doc_id", "text_key"], "left")
     return rows.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans array<int>")
 

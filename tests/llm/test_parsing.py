@@ -32,3 +32,13 @@ def test_matches_brute_force(spark):
     got = sorted(tuple(r)[:5] for r in remove_repeated_bytes(df).collect())
     assert got == sorted(brute([(i, (t or "").encode()) for i, t, _ in rows], 50))
     assert remove_repeated_bytes(df.limit(0)).count() == 0
+
+
+def test_passage_repeated_in_its_smallest_document(spark):
+    rng = np.random.default_rng(8)
+    text = lambda n: "".join(rng.choice(list("abcdef"), n))
+    a, b, c, d, e = (text(100) for _ in range(5))
+    s, long = text(60), text(150)
+    rows = [(1, a + s + b + long), (2, c + s + d + c + s + d), (3, e + long + d + e + long + d), (3, "x" + e + long + d), (4, c + s + d)]
+    got = sorted(tuple(r)[:5] for r in remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute([(i, t.encode()) for i, t in rows], 50))
