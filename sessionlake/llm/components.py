@@ -1,4 +1,4 @@
-"""Connected components by minimum labels and pointer jumping, as DataFrames."""
+"""Connected components by hooking of minimum labels and pointer jumping, as DataFrames."""
 
 from __future__ import annotations
 
@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from ._scratch import written
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """v, label for every end of an edge (a, b): label is the smallest vertex reachable.
 
-    A round takes the least label among a vertex and its neighbours, then the
-    label of that label. Each round is written to the shared folder.
+    A round takes, for every vertex, the least label of its neighbours' labels,
+    and writes it onto the vertex and onto the vertex that its label names, so
+    that whole trees are hooked at once and their depth halves (FastSV). Labels
+    only fall, so the rounds end; each is written to the shared folder.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("v").alias("low"), F.col("label").alias("next"))
-        after = low.join(jump, "low", "left").select("v", F.least("low", F.coalesce("next", "low")).alias("label"), (F.least("low", F.coalesce("next", "low")) < F.col("label")).alias("moved"))
+    while True:
+        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("next"))
+        above = labels.join(jump, "label").select("v", "label", "next")
+        near = both.join(above.select(F.col("v").alias("b"), "next"), "b").groupBy(F.col("a").alias("v")).agg(F.min("next").alias("near"))
+        low = written(above.join(near, "v").select("v", "label", F.least("label", "next", "near").alias("low")), "cc-near")
+        hooks = low.groupBy(F.col("label").alias("v")).agg(F.min("low").alias("hook"))
+        after = low.join(hooks, "v", "left").select("v", F.least("low", "hook").alias("label"), (F.least("low", "hook") < F.col("label")).alias("moved"))
         after = written(after, "cc-labels")
         labels = after.select("v", "label")
         if after.filter("moved").isEmpty():
             return labels
-    raise RuntimeError("components: labels still move")

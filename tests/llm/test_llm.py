@@ -100,6 +100,12 @@ def test_components(spark):
     assert rows_of(components(edges), "v", "label") == [(1, 1), (2, 1), (3, 1), (5, 5), (7, 7), (8, 7), (9, 1)]
 
 
+def test_components_of_a_shuffled_chain(spark):
+    ids = np.random.default_rng(6).permutation(3000).tolist()
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    assert rows_of(components(edges), "v", "label") == sorted(((i, 0) for i in range(3000)), key=str)
+
+
 def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(5)
     t = np.r_[rng.integers(1, 4, 500), 0]
