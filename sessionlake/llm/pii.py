@@ -11,9 +11,13 @@ within their lists, so that "Smith" alone and "John Smith" agree.
 
 Collision check: over the distinct values of all documents, a surrogate that
 two values share, or that is itself a value of the corpus, is drawn again with
-the next attempt number, until none is left (MAX_ATTEMPTS). Where there are no
-such values, documents aren't shuffled at all; else the few attempt numbers are
-joined to the documents concerned.
+the next attempt number, until none is left; values of one surname, or of one
+address in other case, are drawn again together. Redrawn surnames are made of
+letters and redrawn addresses get more of them, one more with each attempt, so
+that there is room for any number; if STALLED rounds in a row leave no fewer
+collisions (more values than their shape can hold), the check raises. Where there
+are no such values, documents aren't shuffled at all; else the few attempt
+numbers are joined to the documents concerned.
 
 Defined results: a null text stays null and has no entities; an empty table
 gives no rows; repeated rows get equal results; columns other than text are
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._scratch import written
 
-MAX_ATTEMPTS = 8
+STALLED = 8  #: rounds without fewer collisions, after which the check raises
 
 # Lexicons of common names, by script and gender.
 MALE = "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Andrew Peter Hans Klaus Pierre Jean Carlos Miguel".split()
@@ -37,6 +41,7 @@ SURNAMES = "Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Tayl
 MALE_CYRILLIC = "Иван Алексей Дмитрий Сергей Андрей Николай Михаил Павел".split()
 FEMALE_CYRILLIC = "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана".split()
 SURNAMES_CYRILLIC = "Иванов Петров Сидоров Кузнецов Смирнов Попов Соколов Лебедев".split()
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя"
 
 _LABEL = r'(?i:passwords?|passwd|pwd|tokens?|secrets?|api[_-]?key|access[_-]?key)'
 KINDS = {
@@ -71,7 +76,7 @@ def kind_of(e: Column) -> Column:
     return (
         F.when(e.contains("@"), "email").when(e.rlike("^(?:AKIA|ASIA)[0-9A-Z]{16}$"), "key").when(e.rlike(f"^(?:{KINDS['ip']})$"), "ip")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike(r"^[\d \-]+$") & F.length(digits).isin(15, 16), "card").when(e.rlike(r"^[+(]|^\d{3}[ .\-]\d{3}[ .\-]\d{4}$"), "phone")
-        .when(e.rlike(r"^\p{Lu}\p{Ll}+(?:[ \-]\p{Lu}?\p{Ll}+){0,2}$") & ~e.rlike(r"\d"), "name").when(e.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]{11,}$"), "iban").otherwise("secret")
+        .when(e.rlike(r"^\p{Lu}\p{Ll}+(?:[ \-]\p{Lu}?\p{Ll}+){0,2}$") & ~e.rlike(r"\d") | e.rlike(r"^\p{IsCyrillic}+ \p{IsCyrillic}+$"), "name").when(e.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]{11,}$"), "iban").otherwise("secret")
     )
 
 
@@ -116,13 +121,27 @@ def _permuted(word: Column, names: list[str], key: str) -> Column:
     return F.when(at > 0, F.element_at(F.array(*map(F.lit, names)), ((at - 1 + turn) % len(names) + 1).cast("int")))
 
 
-def _surname(word: Column, stream: Column, key: str) -> Column:
+def _letters(n: Column, stream: Column, alphabet: str) -> Column:
+    """n letters (at most 25) drawn from the hex ``stream``."""
+    letters = F.array(*map(F.lit, alphabet))
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(letters, (F.conv(stream.substr((i * 5 - 4).cast("int"), F.lit(5)), 16, 10).cast("int") % len(alphabet) + 1).cast("int"))), "")
+
+
+def _surname(word: Column, stream: Column, key: str, attempt: Column) -> Column:
     known = _permuted(word, SURNAMES, key)
     russian = F.coalesce(_permuted(word, SURNAMES_CYRILLIC, key), F.concat(_permuted(F.regexp_replace(word, "а$", ""), SURNAMES_CYRILLIC, key), F.lit("а")))
     n = F.conv(F.substring(stream, 1, 7), 16, 10).cast("int")
     made = F.element_at(F.array(*map(F.lit, SURNAMES_CYRILLIC)), (n % len(SURNAMES_CYRILLIC) + 1).cast("int"))
     other = F.when(word.rlike(r"^\p{IsCyrillic}"), F.concat(made, F.when(word.rlike("[ая]$"), "а").otherwise(""))).otherwise(_shaped(word, stream))
-    return F.coalesce(known, russian, other)
+    n_letters = F.least(attempt + 5, F.lit(23))
+    fresh = F.when(word.rlike(r"^\p{IsCyrillic}"), F.concat(F.initcap(_letters(n_letters, stream, CYRILLIC)), F.when(word.rlike("[аяАЯ]$"), "а").otherwise(""))).otherwise(F.initcap(_letters(n_letters, stream, LATIN)))
+    return F.when(attempt > 0, fresh).otherwise(F.coalesce(known, russian, other))
+
+
+def _drawn_with(value: Column) -> Column:
+    """What values that are drawn again together have in common."""
+    kind = kind_of(value)
+    return F.when(kind == "email", F.concat(F.lit("email|"), F.lower(value))).when(kind == "name", F.concat(F.lit("name|"), F.substring_index(value, " ", -1))).otherwise(F.concat(F.lit("|"), value))
 
 
 def surrogate(value: Column, attempt: Column, key: str) -> Column:
@@ -136,16 +155,19 @@ def surrogate(value: Column, attempt: Column, key: str) -> Column:
     s = stream(canonical)
     octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(s.substr((i * 8 + 1).cast("int"), F.lit(6)), 16, 10).cast("int") % 254 + 1).cast("string"))
     local, domain = F.substring_index(value, "@", 1), F.substring_index(canonical, "@", -1)
-    email = F.concat(_shaped(local, s), F.lit("@"), _shaped(F.substring_index(domain, ".", 1), F.sha2(F.concat_ws("|", F.lit(key), domain), 512)), F.lit(".example.org"))
+    longer = F.when(attempt > 0, _letters(F.least(attempt, F.lit(25)), F.sha2(s, 512), LATIN)).otherwise("")
+    email = F.concat(_shaped(local, s), longer, F.lit("@"), _shaped(F.substring_index(domain, ".", 1), F.sha2(F.concat_ws("|", F.lit(key), domain), 512)), F.lit(".example.org"))
     first = F.substring_index(value, " ", 1)
     lists = (MALE, FEMALE, MALE_CYRILLIC, FEMALE_CYRILLIC)
     new_first = F.coalesce(*[_permuted(first, x, key) for x in lists])
     last = F.when(value.contains(" "), F.substring_index(value, " ", -1)).otherwise(value)
-    new_last = _surname(last, stream(last), key)
+    new_last = _surname(last, stream(last), key, attempt)
     prefix = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .\-(])", 0)
     phone = F.concat(prefix, _shaped(value.substr(F.length(prefix) + 1, F.length(value)), s))
+    # a value with hardly a letter or digit to change: its signs become letters
+    bare = (attempt > 0) & ~kind.isin("email", "name") & (F.length(F.regexp_replace(value, "[^A-Za-z0-9]", "")) < 6)
     return (
-        F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", _card(value, s)).when(kind == "phone", phone)
+        F.when(bare, _shaped(F.regexp_replace(value, "[^A-Za-z0-9]", "x"), s)).when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", _card(value, s)).when(kind == "phone", phone)
         .when(kind == "name", F.when(new_first.isNotNull() & value.contains(" "), F.concat(new_first, F.lit(" "), new_last)).otherwise(new_last))
         .when(kind == "key", _shaped(value, s, keep=4)).when(kind == "iban", _shaped(value, s, keep=2))
         .when(value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$"), F.when(value.rlike("[a-f]"), _shaped(value, s, hexadecimal=True)).otherwise(F.upper(_shaped(F.lower(value), s, hexadecimal=True))))
@@ -155,18 +177,25 @@ def surrogate(value: Column, attempt: Column, key: str) -> Column:
 
 def redraws(docs: DataFrame, key: str) -> DataFrame | None:
     """value, attempt for those values whose first surrogate collides; None if there are none."""
-    values = written(docs.select(F.explode(F.array_distinct(found(F.col("text")))).alias("value")).distinct(), "pii-values")
-    now = values.withColumn("attempt", F.lit(0))
-    for n in range(1, MAX_ATTEMPTS):
-        drawn = now.select("value", "attempt", surrogate(F.col("value"), F.col("attempt"), key).alias("s"))
-        first = drawn.groupBy("s").agg(F.min("value").alias("value"), F.count("*").alias("n")).filter(F.col("n") > 1)
-        shared = drawn.join(first.select("s", F.col("value").alias("owner")), "s").filter(F.col("value") != F.col("owner")).select("value")
-        real = drawn.join(values.select(F.col("value").alias("s")), "s", "left_semi").select("value")
+    values = docs.select(F.explode(F.array_distinct(found(F.col("text")))).alias("value")).distinct()
+    values = written(values.withColumn("unit", _drawn_with(F.col("value"))), "pii-values")
+    now, n, fewest, stalled = values.withColumn("attempt", F.lit(0)), 0, None, 0
+    while True:
+        drawn = written(now.select("value", "unit", surrogate(F.col("value"), F.col("attempt"), key).alias("s")), "pii-drawn")
+        first = drawn.groupBy("s").agg(F.min("unit").alias("owner"), F.max("unit").alias("other")).filter("owner < other")
+        shared = drawn.join(first.select("s", "owner"), "s").filter(F.col("unit") != F.col("owner")).select("unit")
+        real = drawn.join(values.select(F.col("value").alias("s")), "s", "left_semi").select("unit")
         again = written(shared.union(real).distinct(), "pii-again")
-        if again.isEmpty():
+        left = again.count()
+        if not left:
             break
-        now = written(now.join(again.withColumn("more", F.lit(n)), "value", "left").select("value", F.coalesce("more", "attempt").alias("attempt")), "pii-attempts")
-    changed = now.filter(F.col("attempt") > 0)
+        stalled = 0 if fewest is None or left < fewest else stalled + 1
+        fewest = left if fewest is None else min(fewest, left)
+        if stalled == STALLED:
+            raise RuntimeError(f"redraws: {left} surrogates still collide")
+        n += 1
+        now = written(now.join(again.withColumn("more", F.lit(n)), "unit", "left").select("value", "unit", F.coalesce("more", "attempt").alias("attempt")), "pii-attempts")
+    changed = now.filter(F.col("attempt") > 0).select("value", "attempt")
     return None if changed.isEmpty() else changed
 
 

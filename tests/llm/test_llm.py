@@ -18,7 +18,7 @@ from sessionlake.llm.hmm import Chain, forward, score_texts
 from sessionlake.llm.jaccard import similarity_classes
 from sessionlake.llm.mixing import mix
 from sessionlake.llm.phrases import remove_repeated
-from sessionlake.llm.pii import replace_entities
+from sessionlake.llm.pii import FEMALE, MALE, SURNAMES, replace_entities
 from sessionlake.llm.topk import top_k
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -197,3 +197,13 @@ def test_surrogates(spark):
     surname = re.search(r"Mr\. (\w+)", new)[1]
     assert re.search(rf"\w+ {surname}\. Later", new)
     assert out[2]["text"] is None and out[3]["text"] == "version 3. CC BY-NC 4.0." and out[4]["text"] == ""
+
+
+def test_surrogates_stay_apart(spark):
+    values = [f"{a} {b}" for a in MALE[:6] + FEMALE[:3] for b in SURNAMES] + [f"Mr. {b}" for b in SURNAMES]
+    values += [f"Иван {a}{b}ский" for a in ("Бел", "Гор", "Дуб", "Зел", "Вер") for b in ("ов", "ен", "ин", "ан", "ев")] + ["Иван ПЕТРОВ", "Иван СИДОРОВ", "Анна Белова"]
+    values += [f"{i}@x.com" for i in range(10)] + ["_@x1.com", "_@y2.com", "_@z3.com", "password=--------", "password=++++++++", "password=+------1"]
+    d = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    new = {values[r["doc_id"]]: r["text"] for r in replace_entities(d).collect()}
+    assert len(set(new.values())) == len(values) and not set(new.values()) & set(values)
+    assert all(new[f"James {b}"].split()[1] == new[f"Mary {b}"].split()[1] == new[f"Mr. {b}"].split()[1] for b in SURNAMES)
