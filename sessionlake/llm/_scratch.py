@@ -14,6 +14,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Shuffle files go at the end of the execution that made them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Frames of ``written`` with their folders.
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; set to a fresh one only where unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,9 +44,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: lost executors cost a re-read, not a recomputation.
+    So the files of the shuffles that led to the table may go once it is there.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again."""
+    for df in tables:
+        found = _paths.pop(id(df), None)
+        if found:
+            _remove(df.sparkSession, found[1])

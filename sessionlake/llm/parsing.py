@@ -195,20 +195,13 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_spans"])
 
 
-def _settled(df: DataFrame, name: str) -> DataFrame:
-    """``written``, after which Spark may drop the files of the shuffles that led to it."""
-    out = written(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def remove_repeated_bytes(docs: DataFrame, size: int = SIZE, k: int = TRIGGER) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed_spans for every row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     seen = named.mapInArrow(partial(_triggers, size=size, k=k), "fp long, lo long, hi long").groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    several = _settled(seen.filter("lo < hi").select("fp"), "parse-triggers")
+    several = written(seen.filter("lo < hi").select("fp"), "parse-triggers")
     words = several.mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     blocks = words.withColumn("block", F.shiftright("word", BLOCK_WORDS.bit_length() - 1)).groupBy("block").applyInPandas(_filter_block, "block long, bits binary")
     bitmap = np.zeros(FILTER_BITS // 64, np.int64)
@@ -216,26 +209,26 @@ def remove_repeated_bytes(docs: DataFrame, size: int = SIZE, k: int = TRIGGER) -
         bitmap[block * BLOCK_WORDS : (block + 1) * BLOCK_WORDS] = np.frombuffer(bits, np.int64)
     shared = spark.sparkContext.broadcast(bitmap)
     found = named.mapInArrow(partial(_candidates, size=size, k=k, shared=shared), "fp long, ctx long, doc_id long, text_key long, start int, stop int")
-    found = _settled(found.join(several, "fp", "left_semi"), "parse-phrases")
-    dictionary = _settled(found.groupBy("fp", "ctx").agg(F.min(F.struct("doc_id", "text_key", "start", "stop")).alias("at")), "parse-dictionary")
+    found = written(found.join(several, "fp", "left_semi"), "parse-phrases")
+    dictionary = written(found.groupBy("fp", "ctx").agg(F.min(F.struct("doc_id", "text_key", "start", "stop")).alias("at")), "parse-dictionary")
 
     # the dictionary: phrases that share a trigger, in their smallest document
     mixed_ = dictionary.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("fp")
     open_ = dictionary.join(mixed_, "fp", "left_semi").select("fp", "ctx", "at.*")
     asked = open_.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("fp", "ctx", "start", "stop")).alias("asked"))
     keyed = named.mapInArrow(_keyed, "doc_id long, text_key long, text string")
-    bodies = _settled(keyed.join(asked, ["doc_id", "text_key"]).mapInArrow(_cut, "fp long, ctx long, doc_id long, body binary"), "parse-bodies")
+    bodies = written(keyed.join(asked, ["doc_id", "text_key"]).mapInArrow(_cut, "fp long, ctx long, doc_id long, body binary"), "parse-bodies")
     volume = bodies.agg(F.sum(F.length("body")).alias("v")).first()["v"] or 0
     shards = max(1, -(-volume // SHARD_BYTES))
     cuts = bodies.groupBy(F.pmod(F.xxhash64("fp"), F.lit(shards)).alias("shard")).applyInPandas(lambda pdf: _shard(pdf.drop(columns="shard", errors="ignore"), size), "fp long, ctx long, cuts array<int>")
-    cuts = _settled(cuts, "parse-cuts")
+    cuts = written(cuts, "parse-cuts")
 
     # the parse: whole phrases in larger documents, their cuts wherever they stand in the smallest
     placed = found.join(dictionary.select("fp", "ctx", F.col("at.doc_id").alias("least")), ["fp", "ctx"]).join(cuts, ["fp", "ctx"], "left")
     placed = placed.filter("doc_id > least OR cuts IS NOT NULL")
     ranges = F.when(F.col("doc_id") > F.col("least"), F.array("start", "stop")).otherwise(F.transform("cuts", lambda x: x + F.col("start")))
     spans = placed.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(ranges)).alias("spans"))
-    every = _settled(spans.withColumn("spans", F.array("spans")), "parse-spans")
+    every = written(spans.withColumn("spans", F.array("spans")), "parse-spans")
     rows = docs.mapInArrow(_keyed, "doc_id long, text_key long, text string").join(every, ["doc_id", "text_key"], "left")
     return rows.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans array<int>")
 
