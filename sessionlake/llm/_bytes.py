@@ -33,6 +33,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_PLACES = 64
+_PLACED = mixed(np.arange(_PLACES << 8, dtype=np.uint64) * _P + _P)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
@@ -88,8 +92,25 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
+def _byte_values(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """64 random bits for every byte and its place in its word (``start``: where words begin)."""
+    n = len(data)
+    origin = np.zeros(n, np.int64)
+    origin[start] = start
+    np.maximum.accumulate(origin, out=origin)
+    place = np.arange(n, dtype=np.int64) - origin
+    out = _PLACED[(np.minimum(place, _PLACES - 1) << 8) | data]
+    late = np.flatnonzero(place >= _PLACES)
+    out[late] = mixed(((place[late] << 8) | data[late]).astype(np.uint64) * _P + _P)
+    return out
+
+
 def words(texts: Texts, separators: np.ndarray = SPACES, lower: bool = False) -> Words:
-    """Maximal runs of bytes that aren't separators; runs end with their row."""
+    """Maximal runs of bytes that aren't separators; runs end with their row.
+
+    A word's hash sums random values of its bytes and their places, so that, unlike
+    in a polynomial modulo 2^64, no words have equal hashes by their build.
+    """
     data = lowered(texts.data) if lower else texts.data
     n = len(data)
     inside = np.zeros(n + 1, bool)
@@ -102,11 +123,9 @@ def words(texts: Texts, separators: np.ndarray = SPACES, lower: bool = False) ->
     stop[1:] = inside[:-1] & (~inside[1:] | begin[1:])
     s, e = np.flatnonzero(start), np.flatnonzero(stop)
     first = np.searchsorted(s, texts.offsets)
-    power, inverse = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    h = mixed((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
-    return Words(s, e, first, h)
+    np.cumsum(_byte_values(data, s), out=total[1:])
+    return Words(s, e, first, mixed(total[e] - total[s] + (e - s).astype(np.uint64)))
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:

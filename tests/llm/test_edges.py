@@ -47,9 +47,10 @@ def classes_of(texts, k, percent):
     return {i: top(i) for i in ids}
 
 
-@pytest.mark.parametrize("block", [2, 1024])
-def test_jaccard_lists_of_near_copies_that_do_not_link(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+@pytest.mark.parametrize("few, dense, hot, star", [(4, 4, 4096, 1024), (2, 0, 5, 7)])
+def test_jaccard_lists_of_near_copies_that_do_not_link(spark, monkeypatch, few, dense, hot, star):
+    for name, value in (("FEW", few), ("DENSE", dense), ("HOT", hot), ("STAR", star)):
+        monkeypatch.setattr(jaccard, name, value)
     rng = np.random.default_rng(5)
     base = [f"w{x}" for x in rng.integers(0, 400, 150)]
     texts = {}
@@ -64,6 +65,31 @@ def test_jaccard_lists_of_near_copies_that_do_not_link(spark, monkeypatch, block
     assert got == want and 1 < len(set(want.values())) < 60
 
 
+def test_jaccard_light_sets_and_edits_of_other_kinds(spark):
+    rng = np.random.default_rng(9)
+    texts = {}
+    for n, copies, most in ((8, 20, 2), (13, 30, 2), (60, 40, 4), (200, 20, 15)):
+        base = [f"w{x}" for x in rng.integers(0, 900, n)]
+        for _ in range(copies):
+            t = list(base)
+            for _ in range(int(rng.integers(0, most + 1))):
+                at, kind = int(rng.integers(0, len(t))), rng.random()
+                t[at : at + (kind < 0.7)] = [f"w{rng.integers(0, 900)}"] if kind > 0.3 else []
+            texts[int(rng.integers(0, 1 << 40))] = " ".join(t)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for k, percent in ((4, 85), (5, 80)):
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.similarity_classes(d, k, percent).collect()}
+        assert got == classes_of(texts, k, percent)
+
+
+def test_jaccard_repeated_ids_are_one_vertex(spark):
+    a, b, c = ("a b c d e f", "p q r s t u", "p q r s t u v w x y z")
+    rows = [(5, a, 1), (5, b, 2), (3, a, 3), (9, b, 4), (9, b, 5), (None, a, 6), (7, c, 7), (8, "", 8), (8, None, 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, key long").withColumn("label", F.lit(0)).withColumn("rep", F.lit("x"))
+    got = sorted(tuple(r) for r in jaccard.similarity_classes(d).collect() if r["doc_id"] is not None)
+    assert got == [(3, 3, 3), (5, 3, 3), (5, 3, 3), (7, 8, 7), (8, 0, 8), (8, 0, 8), (9, 3, 3), (9, 3, 3)]
+
+
 @pytest.mark.parametrize("name, apply", [
     ("join", jaccard.similarity_classes), ("bytes", remove_repeated_bytes), ("phrases", remove_repeated), ("surrogates", replace_entities), ("mix", mix),
     ("leaks", lambda d: find_leaks(d, d.select(F.lit("i").alias("item_id"), "text"))), ("lm", lambda d: score_texts(d, F.col("doc_id") > 0)),
