@@ -8,7 +8,7 @@ from .gam import op9_quality
 from .hmm import op7_hmm_score
 from .jaccard import op3_ngram_jaccard
 from .mixing import OP5_SQL, op5_source_mixing
-from .parsing import op8_prefix_free_parse
+from .parsing import OP8_SQL, op8_prefix_free_parse
 from .phrases import OP2_SQL, op2_repeated_phrases
 from .pii import op10_pii_surrogates
 from .topk import OP1_SQL, op1_exact_topk
@@ -32,4 +32,5 @@ ORACLES = {
     "op4_decontamination": OP4_SQL,
     "op5_source_mixing": OP5_SQL,
     "op6_chat_format": OP6_SQL,
+    "op8_prefix_free_parse": OP8_SQL,
 }
