@@ -6,8 +6,10 @@ Documents with equal shingle sets form a class; the join is between classes.
   that a partner's overlap can have are enumerated; linked light sets share one.
 * Heavy sets: scanned through inverted lists. In an order of all shingles that
   puts common ones last, two linked sets share one of their first
-  ``n - ceil(t n) + 1`` shingles, so only those are listed. Light sets just
-  under the boundary are listed too, for their heavy partners.
+  ``n - ceil(t n) + 1`` shingles; SPARE percent more are listed, so that they
+  share as many, and a set that shares fewer with all others together links with
+  nothing. Light sets just under the boundary are listed too, for their heavy
+  partners.
 
 The boundary is the largest size at which enumerating costs no more than
 scanning; the mean length of the lists that small sets scan is counted over all
@@ -63,6 +65,7 @@ OCTAVE = 8  #: steps of the counts' logarithm
 FEW = 4  #: lists of at most so many sets give all their pairs
 HOT = 4096  #: sets of a longer list are dealt to tasks in parts of about so many
 STAR = 1024  #: members of a star that meet their pivot in one task, about
+SPARE = 5  #: percent of a set's size by which its prefix is longer than need be
 DENSE = 4  #: pairs a row at which lists give stars once more
 
 
@@ -76,6 +79,11 @@ def most_apart(n, m, percent: int):
     return n + m - 2 * need(n, m, percent)
 
 
+def spare(n):
+    """How many listed shingles two linked sets share, if the smaller one has n (a number or a Column)."""
+    return 1 + (n * SPARE // 100 if isinstance(n, int) else F.floor(n * SPARE / 100))
+
+
 def subset_sizes(n: int, percent: int, most: int) -> list[int]:
     """Overlaps that a light set of n can have to have with another light set."""
     return sorted({need(n, m, percent) for m in range(1, most + 1) if need(n, m, percent) <= min(n, m)})
@@ -193,7 +201,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], k: int, percent: int, boundary: i
                     pick = np.array(list(combinations(range(n), c)))
                     mine.append((mixed(mixed(s[pick] + np.uint64(c)).sum(1, dtype=np.uint64)), level[pick].min(1)))
             if 100 * n >= percent * boundary:
-                at = np.argsort(level, kind="stable")[: n + 1 - -(-percent * n // 100)]
+                at = np.argsort(level, kind="stable")[: n + spare(n) - -(-percent * n // 100)]
                 mine.append((s[at], level[at]))
             for key, seen in mine:
                 keys.append(key)
@@ -316,11 +324,24 @@ def choose_boundary(mean_list: float, percent: int) -> int:
     return best
 
 
-def _candidates(tokens: DataFrame) -> DataFrame:
-    """a, x, star: all pairs of short lists, and stars of the others around their least class."""
+def _lists(tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """key, c, salt: each class once a list, without those that share fewer keys than a link needs.
+
+    ``sizes`` holds c and n of every class.
+    """
+    together = Window.partitionBy("key", "salt")
+    seen = tokens.select("key", "c", "salt", F.lag("c").over(together.orderBy("c")).alias("before"), (F.min("c").over(together) < F.max("c").over(together)).alias("shared"))
+    seen = written(seen.filter("(before IS NULL OR before <> c) AND (shared OR salt > 0)").select("key", "c", "salt"), "jaccard-lists")
+    least = spare(F.floor((percent * F.col("n") + 99) / 100))
+    enough = seen.groupBy("c").count().join(sizes, "c").filter(F.col("count") >= least).select("c")
+    return seen.join(enough, "c", "left_semi")
+
+
+def _candidates(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """a, x, star: pairs of short lists, and stars of the others around their least class."""
     together = Window.partitionBy("key", "salt")
     by_class = together.orderBy("c")
-    rows = tokens.select("key", "c", "salt", F.count("*").over(together).alias("held"), F.min("c").over(together).alias("lead"), *[F.lag("c", i).over(by_class).alias(f"c{i}") for i in range(1, FEW)])
+    rows = lists.select("key", "c", "salt", F.count("*").over(together).alias("held"), F.min("c").over(together).alias("lead"), *[F.lag("c", i).over(by_class).alias(f"c{i}") for i in range(1, FEW)])
 
     def pair(key: Column | None, a: Column, star: bool) -> Column:
         return F.struct((F.lit(None).cast("long") if key is None else key).alias("key"), a.alias("a"), F.lit(star).alias("star"))
@@ -328,11 +349,15 @@ def _candidates(tokens: DataFrame) -> DataFrame:
     few = F.array(*[pair(None, F.col(f"c{i}"), False) for i in range(1, FEW)])
     of_hot = F.array(pair(F.col("key"), F.col("lead"), True))
     out = F.when(F.col("salt") > 0, of_hot).when(F.col("held") <= FEW, few).otherwise(F.array(pair(None, F.col("lead"), True)))
-    rows = rows.filter((F.col("held") > 1) | (F.col("salt") > 0)).select(F.col("c").alias("x"), F.explode(out).alias("p")).select("p.*", "x")
-    rows = written(rows.filter((F.col("a") != F.col("x")) | F.col("key").isNotNull()).distinct(), "jaccard-candidates")
+    rows = rows.select(F.col("c").alias("x"), F.explode(out).alias("p")).select("p.*", "x").filter((F.col("a") != F.col("x")) | F.col("key").isNotNull())
+    rows = written(rows.groupBy("key", "a", "star", "x").agg(F.count("*").alias("keys")), "jaccard-candidates")
     leads = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("a").alias("lead"))
-    hot = rows.filter("key IS NOT NULL").join(leads, "key").filter(F.col("lead") != F.col("x")).select(F.col("lead").alias("a"), "star", "x")
-    return rows.filter("key IS NULL").select("a", "star", "x").union(hot).groupBy("a", "x").agg(F.max("star").alias("star"))
+    hot = rows.filter("key IS NOT NULL").join(leads, "key").filter(F.col("lead") != F.col("x")).select(F.col("lead").alias("a"), "star", "x", "keys")
+    pairs = rows.filter("key IS NULL").select("a", "star", "x", "keys").union(hot).groupBy("a", "x").agg(F.max("star").alias("star"), F.sum("keys").alias("keys"))
+    pairs = pairs.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("v").alias("va")), "a").join(sizes.select(F.col("c").alias("x"), "n", F.col("v").alias("vx")), "x")
+    # two sets that link share the spare keys of the smaller one; in a long list they are compared anyway
+    fit = (F.col("keys") >= spare(F.least("n", "n_a"))) & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
+    return pairs.filter(F.col("star") | fit).select(F.col("va").alias("a"), F.col("vx").alias("x"), "star")
 
 
 def _meeting(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -408,7 +433,7 @@ def similarity_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     profile = written(docs.mapInArrow(partial(_profile, k=k, small=most_small), "doc_id long, n long, key1 long, key2 long, small array<long>, block int, counts binary"), "jaccard-profile")
     rows = profile.filter("block IS NULL")
     named = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.first("small").alias("small"))
+    classes = named.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("small").alias("small"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("key1", "key2"))
     classes = written(classes.withColumn("v", F.when(place == 1, F.col("rep")).otherwise(F.xxhash64("rep", "key1", "key2"))), "jaccard-classes")
     scanned = classes.select(F.explode("small").alias("s")).groupBy("s").count()
@@ -418,10 +443,8 @@ def similarity_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
 
     texts = docs.filter("doc_id IS NOT NULL")
     tokens = texts.mapInArrow(partial(_tokens, k=k, percent=percent, boundary=boundary, frequencies=frequencies, hot=HOT), "key long, c long, salt int")
-    ids = classes.select("key1", "v")
-    pairs = _candidates(tokens)
-    pairs = pairs.join(ids.select(F.col("key1").alias("a"), F.col("v").alias("va")), "a").join(ids.select(F.col("key1").alias("x"), F.col("v").alias("vx")), "x")
-    pairs = written(pairs.select(F.col("va").alias("a"), F.col("vx").alias("x"), "star"), "jaccard-pairs")
+    sizes = classes.select(F.col("key1").alias("c"), "n", "v")
+    pairs = written(_candidates(_lists(tokens, sizes, percent), sizes, percent), "jaccard-pairs")
     asked = pairs.select(F.explode(F.array("a", "x")).alias("v")).distinct().join(classes, "v").select(F.col("rep").alias("doc_id"), "key1", "key2", "v")
     full = texts.join(asked, "doc_id").select("text", "key1", "key2", "v").mapInArrow(partial(_sets_asked, k=k), "v long, set binary")
     full = written(full, "jaccard-sets")
