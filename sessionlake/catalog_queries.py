@@ -6,15 +6,16 @@ holds the conversations as messages and sessions.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .functions import snippets
 from .functions import text as X
-from .operators import derive, reading, recall, rerank
+from .operators import derive, evaluation, reading, recall, rerank
 from .operators.selector import Selector, implies
-from .plans import adapter
+from .plans import adapter, sync
 from .plans.adapter import NOW, ROOT
-from .plans.find import FindOptions, find, message_hits, session_hits, union_hits
+from .plans.find import FindOptions, Postings, Tables, anchor, find, message_hits, session_hits, union_hits
+from .sources import jsonl
 
 QUERY = "reti of"
 TERMS = ["reti", "of"]
@@ -53,6 +54,20 @@ def _st(spark, d):
     return adapter.tokenised(_s(spark, d), *recall.SESSION_WEIGHTS)
 
 
+def _on(spark, d):
+    return Tables(_mt(spark, d), _st(spark, d))
+
+
+def _indexed(spark, d):
+    """The same surfaces through postings."""
+    fields = list(recall.SESSION_WEIGHTS)
+    m = _mt(spark, d).withColumn("n_tokens", F.size("content_text_tokens"))
+    s = _st(spark, d).withColumn("n_tokens", sum((F.size(f"{c}_tokens") for c in fields), F.lit(0)))
+    entries = {"messages": recall.postings(m, ["session_uuid", "seq", "n_tokens"], ["content_text"]), "sessions": recall.postings(s, ["session_uuid", "n_tokens"], fields)}
+    lengths = {k: t.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("total")) for k, t in (("messages", m), ("sessions", s))}
+    return Postings(m.drop("n_tokens", "content_text_tokens"), s.drop("n_tokens", *[f"{c}_tokens" for c in fields]), entries, lengths)
+
+
 _BASE = r"""
 WITH messages AS (SELECT 'conv-' || lpad(CAST(conv_id AS VARCHAR), 6, '0') AS session_uuid, conv_id,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, role, text AS content_text,
@@ -116,6 +131,36 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"), v.isNotNull().alias("ok"))
 
 
+def _logs(spark, d):
+    """Each conversation as a log: a session_meta record, a line that isn't JSON, then its turns."""
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    kind = F.when(F.col("role") == "user", "user_message").when(F.col("role") == "assistant", "agent_message").otherwise("other")
+    record = lambda type_, payload: F.to_json(F.struct(F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.lit(type_).alias("type"), payload.alias("payload")))
+    turn = record("event_msg", F.struct(kind.alias("type"), F.col("text").alias("message")))
+    id_ = F.format_string("%08d-0000-4000-8000-000000000000", "conv_id")
+    files = c.withColumn("line", turn).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    head = record("session_meta", F.struct(id_.alias("id"), F.lit("/work").alias("cwd")))
+    return files.select(F.concat(F.lit("/logs/2024/01/01/rollout-"), id_, F.lit(".jsonl")).alias("file_path"), F.concat(head, F.lit("\nnot json\n"), "body").alias("value"))
+
+
+_LOG_SQL = """WITH c AS (SELECT *, '/logs/2024/01/01/rollout-' || lpad(CAST(conv_id AS VARCHAR), 8, '0') || '-0000-4000-8000-000000000000.jsonl' AS file_path,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS line_no, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS said FROM conversations)"""
+
+
+@query("scan_records", _LOG_SQL + """ SELECT file_path, line_no, role AS kind, said AS text FROM c WHERE role IN ('user', 'assistant') UNION ALL SELECT DISTINCT file_path, 0, 'session_meta', NULL FROM c""")
+def _(spark, d):
+    return jsonl.fields(_logs(spark, d)).select("file_path", F.col("line_no").cast("long").alias("line_no"), "kind", "text")
+
+
+@query("scan_sessions", _LOG_SQL + """, k AS (SELECT * FROM c WHERE role IN ('user', 'assistant') AND said <> '')
+SELECT file_path, substr(file_path, 26, 36) AS session_uuid, '/work' AS cwd, '2024-01-01' AS path_date, count(k.said) AS message_count, CASE WHEN count(k.said) > 0 THEN 'parsed' ELSE 'skipped' END AS verdict
+FROM (SELECT DISTINCT file_path FROM c) LEFT JOIN k USING (file_path) GROUP BY file_path""")
+def _(spark, d):
+    files = _logs(spark, d)
+    listed = files.select("file_path", F.lit(0).cast("long").alias("mtime"), F.lit(0).cast("long").alias("size"), derive.path_date(F.col("file_path")).alias("path_date"))
+    return jsonl.parsed_sessions(listed, jsonl.fields(files)).select("file_path", "session_uuid", "cwd", "path_date", "message_count", "verdict")
+
+
 @query("message_seq", _BASE + " SELECT session_uuid, seq, role FROM messages")
 def _(spark, d):
     return _m(spark, d).select("session_uuid", "seq", "role")
@@ -133,11 +178,13 @@ def _(spark, d):
     return c.select("conv_id", derive.verdict(F.col("i"), F.col("k"), F.lit("x")).alias("verdict"))
 
 
-@query("filter_internal", "SELECT * FROM (VALUES (1, false), (2, true), (3, true), (4, false), (5, true)) AS t(id, internal)")
+_MARKED = f"CASE doc_id % 4 WHEN 0 THEN '{derive.INTERNAL_MARKERS[2]}' || chr(13) || chr(10) || text WHEN 1 THEN '  {derive.INTERNAL_MARKERS[0]}' || chr(10) || text WHEN 2 THEN '{derive.INTERNAL_MARKERS[2]} ' || text ELSE text END"
+
+
+@query("filter_internal", "SELECT doc_id, CASE WHEN text IS NULL THEN FALSE ELSE doc_id % 4 < 2 END AS internal FROM documents")
 def _(spark, d):
-    a = derive.INTERNAL_MARKERS
-    rows = [(1, "hello"), (2, a[2]), (3, a[2] + "\r\nmore"), (4, a[2] + " more"), (5, "  " + a[0] + "\n x")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", derive.looks_internal(F.col("text")).alias("internal"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("text", F.expr(_MARKED.replace("chr(", "char(")))
+    return docs.select("doc_id", F.coalesce(derive.looks_internal(F.col("text")), F.lit(False)).alias("internal"))
 
 
 for _name, _col in (("derive_title", "title"), ("derive_summary", "summary_text"), ("derive_compact", "compact_text")):
@@ -188,15 +235,32 @@ query("read_page_has_more", _BASE + f" SELECT message_count AS total_count, leas
 
 # --- text
 query("tokenize_words", r"""SELECT turn, conv_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+(?:[''.][\p{L}\p{M}\p{N}_]+)*'), ' ') AS words FROM conversations""")(lambda spark, d: spark.read.parquet(f"{d}/conversations.parquet").select("turn", "conv_id", F.array_join(X.words(F.col("text")), " ").alias("words")))
-_CJK_ROWS = [(1, "部署 health check"), (2, "豆包输入法"), (3, "法"), (4, "plain"), (5, "カナ漢字mixed한글")]
-query("tokenize_cjk_bigrams", "SELECT * FROM (VALUES (1, '部署'), (2, '豆包 包输 输入 入法'), (3, ''), (4, ''), (5, 'カナ ナ漢 漢字 한글')) AS t(id, bigrams)")(lambda spark, d: spark.createDataFrame(_CJK_ROWS, "id int, text string").select("id", F.array_join(X.cjk_bigrams(F.col("text")), " ").alias("bigrams")))
-query("has_cjk", "SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false), (5, true)) AS t(id, cjk)")(lambda spark, d: spark.createDataFrame(_CJK_ROWS, "id int, text string").select("id", X.has_cjk(F.col("text")).alias("cjk")))
+_CJK_ROWS = [(1, "部署 health check"), (2, "豆包输入法"), (3, "法"), (4, "plain"), (5, "カナ漢字mixed한글"), (6, "サーバー 人々"), (7, "xế 😀"), (8, "한국어 검색")]
+query("tokenize_cjk_bigrams", "SELECT * FROM (VALUES (1, '部署'), (2, '豆包 包输 输入 入法'), (3, ''), (4, ''), (5, 'カナ ナ漢 漢字 한글'), (6, '人々'), (7, ''), (8, '한국 국어 검색')) AS t(id, bigrams)")(lambda spark, d: spark.createDataFrame(_CJK_ROWS, "id int, text string").select("id", F.array_join(X.cjk_bigrams(F.col("text")), " ").alias("bigrams")))
+query("has_cjk", "SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false), (5, true), (6, true), (7, false), (8, true)) AS t(id, cjk)")(lambda spark, d: spark.createDataFrame(_CJK_ROWS, "id int, text string").select("id", X.has_cjk(F.col("text")).alias("cjk")))
+query("fts_scripts", "SELECT * FROM (VALUES (1, '部署 health check'), (2, '豆包 包输 输入 入法'), (3, ''), (4, 'plain'), (5, 'カナ ナ漢 漢字 mixed 한글'), (6, 'ー ー 人々'), (7, 'xế'), (8, '한국 국어 검색')) AS t(id, tokens)")(
+    lambda spark, d: spark.createDataFrame(_CJK_ROWS, "id int, text string").select("id", F.array_join(X.fts_tokens(F.col("text")), " ").alias("tokens"))
+)
+query("fts_query_terms", "SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, true), (5, true), (6, true), (7, true), (8, true)) AS t(id, same)")(lambda spark, d: _asked_as_indexed(spark))
+
+
+def _asked_as_indexed(spark):
+    """Whether the tokens that a query asks for are those that the index holds of the same text."""
+    asked = spark.createDataFrame([(i, [w for t in X.level1(text) for w in X.term_tokens(t)]) for i, text in _CJK_ROWS], "id int, asked array<string>")
+    held = spark.createDataFrame(_CJK_ROWS, "id int, text string").select("id", X.fts_tokens(F.col("text")).alias("held"))
+    return held.join(asked, "id").select("id", (F.col("held") == F.col("asked")).alias("same"))
+
+
 query("fts_tokens", f"SELECT doc_id, array_to_string({_toks('text')}, ' ') AS tokens FROM documents")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(X.fts_tokens(F.col("text")), " ").alias("tokens")))
 query("phrase_match", f"SELECT doc_id, {_cnt('t', PHRASE)} AS n FROM (SELECT doc_id, {_toks('text')} AS t FROM documents)")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.phrase_count(X.fts_tokens(F.col("text")), PHRASE).cast("long").alias("n")))
 _BM = _bm25_sql("messages", {"content_text": 1.0}, [["reti"], ["of"]], "session_uuid, seq")
 _BS = _bm25_sql("sessions", recall.SESSION_WEIGHTS, [["reti"], ["of"]], "session_uuid")
 query("bm25_messages", f"{_BASE}, {_BM} SELECT session_uuid, seq, round(score, 6) AS score FROM bm_messages")(lambda spark, d: recall.bm25(_mt(spark, d), {"content_text_tokens": 1.0}, TERMS).select("session_uuid", "seq", F.round("score", 6).alias("score")))
 query("bm25_sessions_weighted", f"{_BASE}, {_BS} SELECT session_uuid, round(score, 6) AS score FROM bm_sessions")(lambda spark, d: recall.bm25(_st(spark, d), {f"{c}_tokens": w for c, w in recall.SESSION_WEIGHTS.items()}, TERMS).select("session_uuid", F.round("score", 6).alias("score")))
+query("bm25_postings", f"{_BASE}, {_BM} SELECT session_uuid, seq, round(score, 6) AS score FROM bm_messages")(lambda spark, d: _indexed(spark, d).message_scores(TERMS).select("session_uuid", "seq", F.round("score", 6).alias("score")))
+query("bm25_postings_weighted", f"{_BASE}, {_BS} SELECT session_uuid, round(score, 6) AS score FROM bm_sessions")(lambda spark, d: _indexed(spark, d).session_scores(TERMS).select("session_uuid", F.round("score", 6).alias("score")))
+_BP = _bm25_sql("messages", {"content_text": 1.0}, [PHRASE], "session_uuid, seq")
+query("bm25_postings_phrase", f"{_BASE}, {_BP} SELECT session_uuid, seq, round(score, 6) AS score FROM bm_messages")(lambda spark, d: _indexed(spark, d).message_scores(["of'the"]).select("session_uuid", "seq", F.round("score", 6).alias("score")))
 query("join_hits_sessions", f"{_BASE}, {_BM} SELECT b.session_uuid, seq, title, cwd FROM bm_messages AS b JOIN sessions USING (session_uuid)")(lambda spark, d: recall.bm25(_mt(spark, d), {"content_text_tokens": 1.0}, TERMS).join(_s(spark, d), "session_uuid").select("session_uuid", "seq", "title", "cwd"))
 query("snippet_like", f"""SELECT doc_id, CASE WHEN p > 0 THEN (CASE WHEN p > 41 THEN '…' ELSE '' END) || regexp_replace(substr(text, greatest(1, p - 40), p + {len(NEEDLE)} + 80 - greatest(1, p - 40)), '({NEEDLE})', '<mark>\\1</mark>', 'gi')
   || (CASE WHEN p + {len(NEEDLE)} + 79 < length(text) THEN '…' ELSE '' END) ELSE substr(text, 1, 160) END AS snippet FROM (SELECT doc_id, text, instr(lower(text), '{NEEDLE}') AS p FROM documents)""")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.like_snippet(F.col("text"), NEEDLE).alias("snippet")))
@@ -233,7 +297,7 @@ _FIND = " SELECT rank, session_uuid, f_title AS title, f_cwd AS cwd, f_started A
 
 
 def _hits(spark, d, **o):
-    return union_hits(_mt(spark, d), _st(spark, d), QUERY, FindOptions(**o))
+    return union_hits(_on(spark, d), QUERY, FindOptions(**o))
 
 
 query("find_recall_limits", _union_sql(n=2) + " SELECT source, count(*) AS n FROM un GROUP BY source")(lambda spark, d: _hits(spark, d, limit=2).groupBy("source").agg(F.count("*").alias("n")))
@@ -243,19 +307,17 @@ for _name, _o, _sql in (
     ("find_relevance", {}, _union_sql() + _rank_sql()), ("find_selector", {"selector": _SEL["selector_cwd"][0]}, _union_sql("cwd = '/work/proj-3'") + _rank_sql()),
     ("find_sort_ended", {"sort": "ended"}, _union_sql(sort="ended") + _rank_sql("f_ended DESC, session_score DESC, first_ord")), ("find_sort_started", {"sort": "started"}, _union_sql(sort="started") + _rank_sql("f_started DESC, session_score DESC, first_ord")),
 ):
-    query(_name, _sql + _FIND)(lambda spark, d, o=_o: find(_mt(spark, d), _st(spark, d), QUERY, FindOptions(**o)))
-query("find_ranked", _union_sql(n=3) + _rank_sql(n=3) + " SELECT rank, session_uuid FROM rk")(lambda spark, d: find(_mt(spark, d), _st(spark, d), QUERY, FindOptions(limit=3)).select("rank", "session_uuid"))
+    query(_name, _sql + _FIND)(lambda spark, d, o=_o: find(_on(spark, d), QUERY, FindOptions(**o)))
+query("find_postings", _union_sql() + _rank_sql() + _FIND)(lambda spark, d: find(_indexed(spark, d), QUERY))
+query("find_ranked", _union_sql(n=3) + _rank_sql(n=3) + " SELECT rank, session_uuid FROM rk")(lambda spark, d: find(_on(spark, d), QUERY, FindOptions(limit=3)).select("rank", "session_uuid"))
 query("read_range_by_query", f"{_BASE}, {_BM}, top AS (SELECT b.seq FROM bm_messages AS b JOIN messages AS m USING (session_uuid, seq) WHERE session_uuid = (SELECT min(session_uuid) FROM bm_messages) ORDER BY -score + 8 * CAST(contains(lower(content_text), '{QUERY}') AS INTEGER) + 2 * CAST(role = 'user' AS INTEGER) DESC, b.seq LIMIT 1) SELECT m.session_uuid, m.seq FROM messages AS m, top WHERE session_uuid = (SELECT min(session_uuid) FROM bm_messages) AND m.seq BETWEEN top.seq - 2 AND top.seq + 2")(lambda spark, d: _range_by_query(spark, d))
 
 
 def _range_by_query(spark, d):
-    m = _mt(spark, d)
-    hits = recall.bm25(m, {"content_text_tokens": 1.0}, TERMS)
-    one = hits.agg(F.min("session_uuid").alias("session_uuid"))
-    own = hits.join(F.broadcast(one), "session_uuid").withColumns({"source": F.lit("message")})
-    own = own.orderBy("score", "seq").limit(20).withColumn("signal", rerank.row_signal(rerank.classify(QUERY), TERMS))
-    anchor = own.groupBy("session_uuid").agg(F.max_by("seq", F.struct("signal", -F.col("seq"))).alias("anchor"))
-    return m.join(F.broadcast(anchor), "session_uuid").filter(F.col("seq").between(F.greatest(F.lit(0), F.col("anchor") - 2), F.col("anchor") + 2)).select("session_uuid", "seq")
+    on = _on(spark, d)
+    first = on.message_scores(TERMS).agg(F.min("session_uuid")).first()[0]
+    at = anchor(on, first, QUERY, NOW).first()["seq"]
+    return reading.message_range(on.messages, first, at).select("session_uuid", "seq")
 
 
 _CJK_M = [("s1", 0, "user", "部署 法 检查"), ("s1", 1, "assistant", "plain"), ("s2", 0, "user", "法律"), ("s3", 0, "user", "none")]
@@ -268,19 +330,29 @@ def _cjk(spark):
     return m, s
 
 
-query("find_like_messages", "SELECT * FROM (VALUES ('s2', CAST(0 AS BIGINT), -1.0::DOUBLE), ('s1', CAST(0 AS BIGINT), -2.0::DOUBLE)) AS t(session_uuid, seq, score)")(lambda spark, d: message_hits(*_cjk(spark), "法", [], FindOptions()).select("session_uuid", "seq", "score"))
-query("find_like_sessions", "SELECT * FROM (VALUES ('s3', -1.0::DOUBLE)) AS t(session_uuid, score)")(lambda spark, d: session_hits(_cjk(spark)[1], "法", [], FindOptions()).select("session_uuid", "score"))
+query("find_like_messages", "SELECT * FROM (VALUES ('s2', CAST(0 AS BIGINT), -1.0::DOUBLE), ('s1', CAST(0 AS BIGINT), -2.0::DOUBLE)) AS t(session_uuid, seq, score)")(lambda spark, d: message_hits(Tables(*_cjk(spark)), "法", [], FindOptions()).select("session_uuid", "seq", "score"))
+query("find_like_sessions", "SELECT * FROM (VALUES ('s3', -1.0::DOUBLE)) AS t(session_uuid, score)")(lambda spark, d: session_hits(Tables(*_cjk(spark)), "法", [], FindOptions()).select("session_uuid", "score"))
 
 # --- rerank
-_PROFILES = ["fly deploy", "sing-box start", "envchain", "src/a.ts", "python 3", "豆包输入法", "部署 health check"]
+_PROFILES = ["rename branch", "docker-compose up", "terraform", "lib/b.py", "node 18", "搜索引擎", "日志 rotate size"]
 query("query_profile", """SELECT q, lower(trim(q)) AS normalized, regexp_matches(trim(q), '\\s') AS is_multi_term, regexp_matches(q, '\\d') AS has_digits, CASE WHEN regexp_matches(q, '[\\s\\d\\\\/._:-]') THEN 'exact' ELSE 'broad' END AS kind,
   regexp_matches(trim(q), '\\s') AND regexp_matches(q, '[\\\\/._:-]') AS is_path_like_command FROM (VALUES """ + ", ".join(f"('{q}')" for q in _PROFILES) + ") AS t(q)")(lambda spark, d: spark.createDataFrame([(q,) for q in _PROFILES], "q string").withColumns(rerank.profile_columns(F.col("q"))))
 query("term_coverage", "SELECT doc_id, " + " + ".join(f"CAST(contains(lower(text), '{t}') AS INTEGER)" for t in TERMS) + " AS n FROM documents")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", rerank.matched_terms(F.col("text"), TERMS).alias("n")))
 query("bounded_phrase", r"SELECT doc_id, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_./-])of the($|[^\p{L}\p{N}_./-])') AS hit FROM documents")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", rerank.bounded_phrase(F.lower("text"), "of the").alias("hit")))
-_SPAN_ROWS = [(1, ["a", "b", "c"]), (2, ["a", "x", "b", "a", "b", "c"]), (3, ["b", "c"]), (4, ["a", "x", "b", "y", "z", "c"]), (5, [])]
-query("ordered_span", "SELECT * FROM (VALUES (1, 0), (2, 0), (3, -1), (4, 3), (5, -1)) AS t(id, gaps)")(lambda spark, d: spark.createDataFrame(_SPAN_ROWS, "id int, t array<string>").select("id", F.coalesce(rerank.ordered_span(F.col("t"), ["a", "b", "c"]), F.lit(-1)).alias("gaps")))
-_BONUS = [(1, "run fly.io deploy now"), (2, "fly.io the deploy"), (3, "xfly.io deploy"), (4, "deploy only"), (5, "fly.io a b c d deploy")]
-query("command_bonus", "SELECT * FROM (VALUES (1, 36.0::DOUBLE), (2, 22.0::DOUBLE), (3, 0.0::DOUBLE), (4, 0.0::DOUBLE), (5, 0.0::DOUBLE)) AS t(id, bonus)")(lambda spark, d: spark.createDataFrame(_BONUS, "id int, content_text string").select("id", rerank.command_bonus(F.col("content_text"), rerank.classify("fly.io deploy"), X.query_terms("fly.io deploy")).alias("bonus")))
+_SPAN = ["the", "of", "and"]
+_SPAN_SQL = r"""SELECT doc_id, text, list_min(list_transform(list_filter(list_transform(a, lambda i: {'i': i, 'k': list_min(list_filter(c, lambda z: z > list_min(list_filter(b, lambda y: y > i))))}), lambda m: m.k IS NOT NULL), lambda m: m.k - m.i - 2)) AS gap FROM (
+  SELECT doc_id, text, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'the') AS a, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'of') AS b, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'and') AS c
+  FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+(?:[''.][\p{L}\p{M}\p{N}_]+)*') AS w FROM documents))"""
+
+
+def _docs(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+query("ordered_span", f"SELECT doc_id, CAST(gap AS INTEGER) AS gaps FROM ({_SPAN_SQL})")(lambda spark, d: _docs(spark, d).select("doc_id", rerank.ordered_span(X.words(F.col("text")), _SPAN).alias("gaps")))
+query("command_bonus", rf"""SELECT doc_id, CAST(CASE WHEN regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_./-])the of\. and($|[^\p{{L}}\p{{N}}_./-])') THEN 36 WHEN gap = 0 THEN 8 WHEN gap <= 3 THEN 24 - 2 * gap ELSE 0 END AS DOUBLE) AS bonus FROM ({_SPAN_SQL})""")(
+    lambda spark, d: _docs(spark, d).select("doc_id", rerank.command_bonus(F.col("text"), rerank.classify(PATHLIKE), X.query_terms(PATHLIKE)).alias("bonus"))
+)
 query("score_row", _union_sql() + _rank_sql() + " SELECT session_uuid, seq, source, round(signal, 4) AS signal FROM sg")(lambda spark, d: _hits(spark, d).withColumn("signal", F.round(rerank.row_signal(rerank.classify(QUERY), TERMS), 4)).select("session_uuid", "seq", "source", "signal"))
 
 
@@ -301,27 +373,37 @@ def _files(spark, d):
     return _s(spark, d).select("file_path", "cwd", "path_date", F.col("message_count").alias("size"), (F.lit(1704067200000) + F.col("message_count")).alias("mtime"))
 
 
-def _classified(spark, d):
+def _seen(spark, d):
+    """The listing against an index of the files of even size, those of size 4 with another size."""
     files = _files(spark, d)
-    indexed = files.filter("size % 2 = 0").select("file_path", F.col("mtime").alias("old_mtime"), F.when(F.col("size") == 4, 0).otherwise(F.col("size")).alias("old_size"))
-    j = files.join(indexed, "file_path", "left")
-    same = F.col("mtime").eqNullSafe(F.col("old_mtime")) & F.col("size").eqNullSafe(F.col("old_size"))
-    return j.select("file_path", F.when(same, "skipped").when(F.col("old_mtime").isNull(), "added").otherwise("updated").alias("action"))
+    old = files.filter("size % 2 = 0").withColumn("size", F.when(F.col("size") == 4, F.lit(0)).otherwise(F.col("size"))).withColumn("index_version", F.lit(sync.INDEX_VERSION))
+    return sync.classify(files, old)
 
 
-query("sync_classify", f"{_BASE} SELECT file_path, CASE WHEN size % 2 = 1 THEN 'added' WHEN size = 4 THEN 'updated' ELSE 'skipped' END AS action FROM ({_FILES})")(_classified)
-query("sync_counters", f"{_BASE} SELECT CASE WHEN size % 2 = 1 THEN 'added' WHEN size = 4 THEN 'updated' ELSE 'skipped' END AS action, count(*) AS n FROM ({_FILES}) GROUP BY 1")(lambda spark, d: _classified(spark, d).groupBy("action").agg(F.count("*").alias("n")))
-query("sync_reconcile_anti", f"{_BASE} SELECT file_path FROM ({_FILES}) WHERE cwd = '/work/proj-3' AND size % 2 = 1")(lambda spark, d: _files(spark, d).filter(_SEL["selector_cwd"][0].predicate()).join(_files(spark, d).filter("size % 2 = 0").select("file_path"), "file_path", "left_anti").select("file_path"))
-query("sync_retained_union", f"{_BASE} SELECT file_path FROM ({_FILES}) WHERE size > 2 UNION SELECT file_path FROM ({_FILES}) WHERE size % 2 = 0")(lambda spark, d: _files(spark, d).filter("size > 2").select("file_path").union(_files(spark, d).filter("size % 2 = 0").select("file_path")).distinct())
-query("source_fingerprint", f"{_BASE} SELECT sha256('{ROOT}' || string_agg(chr(0) || substr(file_path, {len(ROOT) + 2}) || chr(0) || mtime || chr(0) || size || chr(0) || path_date || chr(0) || cwd, '' ORDER BY file_path)) AS fingerprint, count(*) AS file_count FROM ({_FILES})")(lambda spark, d: reading.fingerprint(_files(spark, d), ROOT))
+def _found(spark, d):
+    """What reading the changed files gave: files of size 3 are in error, those of size 1 hold nothing."""
+    verdict = F.when(F.col("size") == 3, "error").when(F.col("size") == 1, "skipped").otherwise("parsed")
+    return _seen(spark, d).filter("NOT unchanged").select("file_path", verdict.alias("verdict"), "known")
+
+
+_ACTED = f"SELECT file_path, CASE WHEN size = 3 THEN 'errors' WHEN size = 1 THEN 'skipped' WHEN size % 2 = 1 THEN 'added' WHEN size = 4 THEN 'updated' ELSE 'skipped' END AS action FROM ({_FILES})"
+query("sync_classify", f"{_BASE} SELECT file_path, size % 2 = 0 AS known, size % 2 = 0 AND size <> 4 AS unchanged FROM ({_FILES})")(lambda spark, d: _seen(spark, d).select("file_path", "known", "unchanged"))
+query("sync_actions", f"{_BASE} {_ACTED}")(lambda spark, d: sync.actions(_seen(spark, d), _found(spark, d)))
+query("sync_counters", f"{_BASE} SELECT action, count(*) AS n FROM ({_ACTED}) GROUP BY 1")(lambda spark, d: sync.counters(sync.actions(_seen(spark, d), _found(spark, d))))
+query("sync_retained_union", f"{_BASE} SELECT file_path FROM ({_FILES}) WHERE size NOT IN (1, 3)")(lambda spark, d: sync.retained(_seen(spark, d), _found(spark, d)))
+query("sync_reconcile_anti", f"{_BASE} SELECT session_uuid FROM sessions WHERE cwd = '/work/proj-3' AND message_count IN (1, 3)")(
+    lambda spark, d: sync.lost(_s(spark, d), _SEL["selector_cwd"][0], sync.retained(_seen(spark, d), _found(spark, d))).select("session_uuid")
+)
+query("source_fingerprint", f"{_BASE}, f AS (SELECT regexp_replace(file_path, '/[^/]*$', '') AS folder, sha256(string_agg(chr(0) || substr(file_path, {len(ROOT) + 2}) || chr(0) || mtime || chr(0) || size || chr(0) || path_date || chr(0) || cwd, '' ORDER BY file_path)) AS digest, count(*) AS n FROM ({_FILES}) GROUP BY 1) SELECT sha256('{ROOT}' || string_agg(chr(0) || folder || chr(0) || digest, '' ORDER BY folder)) AS fingerprint, CAST(sum(n) AS BIGINT) AS file_count FROM f")(lambda spark, d: reading.fingerprint(_files(spark, d), ROOT))
 
 _COVER = [(1, Selector("all", "/r")), (2, Selector("date_range", "/r", None, "2024-01-01", "2024-01-31")), (3, Selector("cwd", "/r", "/a")), (4, Selector("cwd_date_range", "/r", "/a", "2024-01-05", "2024-01-09")), (5, Selector("all", "/other"))]
 
 
-def _cover(spark, suffix: str):
-    rows = [(i, s.kind, s.root, s.cwd, s.from_date, s.to_date, ["v1", "v0"][i % 2], f"f{i}") for i, s in _COVER]
-    names = ["id", "kind", "root", "cwd", "from_date", "to_date", "version", "fp"]
-    df = spark.createDataFrame(rows, "id int, kind string, root string, cwd string, from_date string, to_date string, version string, fp string")
+def _cover(spark, suffix: str = ""):
+    """Coverage of five selectors, the even ones of this version; only the files of the second are as they were."""
+    rows = [(i, s.kind, s.root, s.cwd, s.from_date, s.to_date, "v0" if i % 2 else "v1", f"f{i}", i, f"f{i}" if i == 2 else "f", i) for i, s in _COVER]
+    names = "want kind root cwd from_date to_date index_version source_fingerprint source_file_count now_fingerprint now_file_count".split()
+    df = spark.createDataFrame(rows, "want int, kind string, root string, cwd string, from_date string, to_date string, index_version string, source_fingerprint string, source_file_count int, now_fingerprint string, now_file_count int")
     return df.select(*[F.col(n).alias(n + suffix) for n in names])
 
 
@@ -329,49 +411,57 @@ def _of(suffix: str):
     return {n: F.col(n + suffix) for n in ("kind", "root", "cwd", "from_date", "to_date")}
 
 
+def _wants(spark):
+    return _cover(spark).select("want", "kind", "root", "cwd", "from_date", "to_date")
+
+
 _YES = [(1, 1), (1, 2), (1, 3), (1, 4), (2, 2), (2, 4), (3, 3), (3, 4), (4, 4), (5, 5)]
-query("coverage_implies", "SELECT * FROM (VALUES " + ", ".join(map(str, _YES)) + ") AS t(have, want)")(lambda spark, d: _cover(spark, "_h").join(F.broadcast(_cover(spark, "_w")), implies(_of("_h"), _of("_w"))).select(F.col("id_h").alias("have"), F.col("id_w").alias("want")))
+query("coverage_implies", "SELECT * FROM (VALUES " + ", ".join(map(str, _YES)) + ") AS t(have, want)")(lambda spark, d: _cover(spark, "_h").join(F.broadcast(_cover(spark, "_w")), implies(_of("_h"), _of("_w"))).select(F.col("want_h").alias("have"), F.col("want_w").alias("want")))
 query("coverage_status", "SELECT * FROM (VALUES (4, true), (5, false), (3, false), (1, false), (2, true)) AS t(want, complete)")(
-    lambda spark, d: _cover(spark, "_w").join(F.broadcast(_cover(spark, "_h").filter("version_h = 'v1'")), implies(_of("_h"), _of("_w")), "left").groupBy(F.col("id_w").alias("want")).agg(F.bool_or(F.col("id_h").isNotNull()).alias("complete"))
+    lambda spark, d: sync.answering(_cover(spark), _wants(spark), "v1").groupBy("want").agg(F.bool_or(F.col("have_kind").isNotNull()).alias("complete"))
 )
-query("coverage_freshness", "SELECT * FROM (VALUES (1, 'stale'), (2, 'fresh'), (3, 'stale'), (4, 'stale'), (5, 'stale')) AS t(id, freshness)")(
-    lambda spark, d: _cover(spark, "").select("id", F.when((F.col("fp") == "f2") & (F.col("version") == "v1"), "fresh").otherwise("stale").alias("freshness"))
+query("coverage_freshness", "SELECT * FROM (VALUES (1, 'stale'), (2, 'fresh'), (3, 'stale'), (4, 'stale'), (5, 'stale')) AS t(id, freshness)")(lambda spark, d: sync.freshness_of(_cover(spark), "v1").select(F.col("want").alias("id"), "freshness"))
+query("coverage_requested", "SELECT * FROM (VALUES (1, 'missing', 'sync'), (2, 'fresh', 'query'), (3, 'missing', 'sync'), (4, 'fresh', 'query'), (5, 'missing', 'sync')) AS t(want, state, recommended_action)")(
+    lambda spark, d: sync.requested(sync.freshness_of(_cover(spark), "v1"), _wants(spark), "v1")
 )
-query("coverage_requested", "SELECT * FROM (VALUES (1, 'missing', 'sync'), (2, 'fresh', 'query'), (3, 'missing', 'sync'), (4, 'fresh', 'query'), (5, 'missing', 'sync')) AS t(want, freshness, action)")(
-    lambda spark, d: _cover(spark, "_w").join(F.broadcast(_cover(spark, "_h").filter("version_h = 'v1'")), implies(_of("_h"), _of("_w")), "left").groupBy(F.col("id_w").alias("want"))
-    .agg(F.when(F.bool_or(F.col("fp_h") == "f2"), "fresh").when(F.count("id_h") > 0, "stale").otherwise("missing").alias("freshness"))
-    .withColumn("action", F.when(F.col("freshness") == "fresh", "query").otherwise("sync"))
-)
-
-
-def _for_session(spark, d):
-    of = {"kind": F.col("kind_s"), "root": F.lit("/r"), "cwd": F.col("cwd_s"), "from_date": F.col("date_s"), "to_date": F.col("date_s")}
-    asked = spark.createDataFrame([("all", None, None), ("cwd", "/a", None), ("date_range", None, "2024-01-07"), ("cwd_date_range", "/a", "2024-01-07")], "kind_s string, cwd_s string, date_s string")
-    return _cover(spark, "_h").join(F.broadcast(asked), implies(_of("_h"), of), "left_semi").select(F.col("id_h").alias("id"))
+query("coverage_for_session", "SELECT * FROM (VALUES (1), (2), (3), (4)) AS t(id)")(lambda spark, d: _cover(spark).filter(sync.about_session(_cover(spark), F.lit("/r"), F.lit("/a"), F.lit("2024-01-07"))).select(F.col("want").alias("id")))
 
+# --- evaluation
+def _batch(spark, firsts: dict[str, list[str]]):
+    rows = [(i, f"query {i}", [(n + 1, u, f"title {u}") for n, u in enumerate(r)]) for i, r in firsts.items()]
+    return spark.createDataFrame(rows, "id string, query string, results array<struct<rank:int,sessionUuid:string,title:string>>")
 
-query("coverage_for_session", "SELECT * FROM (VALUES (1), (2), (3), (4)) AS t(id)")(_for_session)
 
-# --- evaluation
-query("eval_compare", "SELECT * FROM (VALUES ('q2', 'b', 'c')) AS t(id, before, after)")(
-    lambda spark, d: spark.createDataFrame([("q1", "a"), ("q2", "b"), ("q3", "x")], "id string, before string").join(spark.createDataFrame([("q1", "a"), ("q2", "c"), ("q4", "x")], "id string, after string"), "id").filter("before <> after")
-)
+_BATCHES = ({"q1": ["a", "b"], "q2": ["b"], "q3": ["x"], "q5": []}, {"q1": ["a"], "q2": ["c", "b"], "q4": ["x"], "q5": ["y"]})
+query("eval_compare", "SELECT * FROM (VALUES ('q2', 'query q2', 'b', 'c', 'title b', 'title c')) AS t(id, query, before, after, before_title, after_title)")(lambda spark, d: evaluation.compare(*[_batch(spark, x) for x in _BATCHES]))
+query("eval_shared", "SELECT * FROM (VALUES ('q1'), ('q2'), ('q5')) AS t(id)")(lambda spark, d: evaluation.shared_ids(*[_batch(spark, x) for x in _BATCHES]))
 
 
-def _manual(spark, d):
-    got = find(_mt(spark, d), _st(spark, d), QUERY).agg(F.collect_list(F.struct("rank", "title", "cwd")).alias("r"))
-    asked = spark.createDataFrame([(1, "/work/", None), (2, None, "no such title"), (3, None, None)], "id int, cwd_has string, title_has string")
-    hit = lambda f, want: want.isNull() | F.exists("r", lambda x: F.contains(F.lower(x[f]), F.lower(want)) & (x["rank"] <= 5))
-    return asked.join(F.broadcast(got)).select("id", F.when(F.col("cwd_has").isNull() & F.col("title_has").isNull(), "skip").when(hit("cwd", F.col("cwd_has")) & hit("title", F.col("title_has")), "pass").otherwise("fail").alias("verdict"))
+def _asked(spark, d):
+    """What the first search finds, asked for in three ways, and its results for each."""
+    got = find(_on(spark, d), QUERY).join(_s(spark, d).select("session_uuid", "summary_text"), "session_uuid").withColumn("snippet", F.col("content_text"))
+    rows = [(1, None, "/WORK/", None), (2, "no such title", None, None), (3, None, None, None), (4, "", "/work/", "reti")]
+    asked = spark.createDataFrame(rows, "id int, expected_title_or_summary string, expected_cwd string, expected_snippet string")
+    return asked, got.join(F.broadcast(asked.select("id")))
 
 
-query("eval_manual", "SELECT * FROM (VALUES (1, 'pass'), (2, 'fail'), (3, 'skip')) AS t(id, verdict)")(_manual)
+query("eval_manual", "SELECT * FROM (VALUES (1, 'pass'), (2, 'fail'), (3, 'skip'), (4, 'pass')) AS t(id, mark)")(lambda spark, d: evaluation.manual_marks(*_asked(spark, d), 5).select("id", "mark"))
+query("eval_scoreboard", "SELECT CAST(4 AS BIGINT) AS total, CAST(1 AS BIGINT) AS skipped, CAST(2 AS BIGINT) AS pass1, CAST(2 AS BIGINT) AS pass5")(
+    lambda spark, d: evaluation.manual_scoreboard(evaluation.manual_marks(*_asked(spark, d), 1), evaluation.manual_marks(*_asked(spark, d), 5))
+)
 query("latency_percentiles", "SELECT event_type, median(value) AS p50, list_sort(list(value))[CAST(floor(0.95 * count(*)) AS BIGINT) + 1] AS p95 FROM events GROUP BY event_type")(
-    lambda spark, d: _latency(spark.read.parquet(f"{d}/events.parquet"))
+    lambda spark, d: evaluation.latencies(spark.read.parquet(f"{d}/events.parquet"), "event_type", "value")
 )
 
 
-def _latency(events):
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("value"))
-    counts = events.groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), (F.floor(F.lit(0.95) * F.count("*")) + 1).alias("at"))
-    return events.select("event_type", "value", place.alias("place")).join(counts, "event_type").filter(F.col("place") == F.col("at")).select("event_type", "p50", F.col("value").alias("p95"))
+# --- snippets of whole texts: rules of the shown page, without SQL
+def _snippets(spark, d, make):
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(snippet=[make(t or "") for t in pdf["text"]])[["doc_id", "snippet"]]
+
+    return _docs(spark, d).select("doc_id", "text").mapInPandas(run, "doc_id long, snippet string")
+
+
+query("snippet_tokens")(lambda spark, d: _snippets(spark, d, lambda t: snippets.token_snippet(snippets.stored_text(t), TERMS)))
+query("snippet_raw")(lambda spark, d: _snippets(spark, d, lambda t: snippets.raw_snippet(t, QUERY, TERMS)))

@@ -11,23 +11,42 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import printing
 from .functions import snippets
 from .functions.text import query_terms
-from .operators import reading, rerank
+from .operators import reading
 from .operators.selector import InvalidSelector, Selector
 from .plans import sync as loading
-from .plans.find import FindOptions, find, union_hits
-from .sources.store import IndexUnavailable, LockTimeout, Store
+from .plans.find import FindOptions, anchor, find
+from .sources.store import INDEX_VERSION, IndexUnavailable, LockTimeout, Store
+
+HOME, OLD_HOME = "~/.sessionlake", "~/.cache/sessionlake"
+
+
+_INNER = ("segment", "n_tokens", "message_tokens")
 
 
 class NotFound(RuntimeError):
     pass
 
 
+def move_old_home(old: str, new: str) -> bool:
+    """Take over an index from where earlier versions kept it; nothing happens where there is one already."""
+    old, new = (os.path.abspath(os.path.expanduser(x)) for x in (old, new))
+    if old == new or not os.path.isdir(old) or os.path.exists(new):
+        return False
+    try:
+        os.makedirs(os.path.dirname(new), exist_ok=True)
+        os.rename(old, new)
+    except OSError:  # another device, or no right to: the next sync builds the index anew
+        return False
+    return True
+
+
 def search(store: Store, query: str, o: FindOptions) -> list[dict]:
     """Ranked sessions with a snippet each; at most o.limit of them."""
-    terms, shown = query_terms(query), []
-    for r in find(store.messages(), store.sessions(), query, o).orderBy("rank").collect():
+    terms, shown, on = query_terms(query), [], store.searched()
+    for r in find(on, query, o).join(on.sessions.select("session_uuid", "summary_text"), "session_uuid").orderBy("rank").collect():
         row, text = r.asDict(), r["content_text"] or ""
         if not terms:
             row["snippet"] = snippets.raw_snippet(text, query, [])
@@ -43,21 +62,19 @@ def _session(store: Store, uuid: str) -> dict:
     r = store.sessions().filter(F.col("session_uuid") == uuid).limit(1).collect()
     if not r:
         raise NotFound(f"no session {uuid}")
-    return {k: v for k, v in r[0].asDict().items() if not k.endswith("_tokens")}
+    return {k: v for k, v in r[0].asDict().items() if k not in _INNER}
 
 
 def anchor_of(store: Store, uuid: str, query: str, now: str) -> int:
     """The message of a session that a query meets best: recall of 20, one kept."""
-    hits = union_hits(store.messages(), store.sessions(), query, FindOptions(limit=20, now=now, within=uuid))
-    hits = hits.filter("source = 'message'").orderBy("ord").limit(20)
-    top = rerank.ranked(rerank.aggregate_hits(hits, rerank.classify(query), query_terms(query)), now, 1, "relevance").select(F.col("shown.seq").alias("seq")).collect()
+    top = anchor(store.searched(), uuid, query, now).collect()
     if not top:
         raise NotFound(f"nothing in session {uuid} matches")
     return int(top[0]["seq"])
 
 
 def _rows(df: DataFrame) -> list[dict]:
-    return [{k: v for k, v in r.asDict().items() if not k.endswith("_tokens") and k != "segment"} for r in df.collect()]
+    return [{k: v for k, v in r.asDict().items() if k not in _INNER} for r in df.collect()]
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> object:
@@ -85,8 +102,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> object:
         total = about["message_count"]
         return {"session": about, "offset": a.offset, "limit": a.limit, "total_count": total, "has_more": a.offset + len(rows) < total, "messages": rows, "coverage": loading.session_coverage(store, about)}
     if a.command == "list":
-        return {"sessions": _rows(reading.list_sessions(store.sessions(), a.cwd, a.since, a.sort, a.limit).select("session_uuid", "title", "cwd", "model", "started_at", "ended_at", "message_count"))}
-    return reading.stats(store.sessions()).first().asDict() | {"top_cwds": _rows(reading.top_cwds(store.sessions())), "size_bytes": store.size_bytes(), "last_sync_at": store.state().get("synced_at"), "coverage": _rows(store.coverage())}
+        return {"sessions": _rows(reading.list_sessions(store.sessions(), a.cwd, a.since, a.sort, a.limit).select("session_uuid", "title", "summary_text", "cwd", "model", "started_at", "ended_at", "message_count"))}
+    return reading.stats(store.sessions()).first().asDict() | {"top_cwds": _rows(reading.top_cwds(store.sessions())), "index": store.path, "index_version": INDEX_VERSION, "size_bytes": store.size_bytes(), "last_sync_at": store.state().get("synced_at"), "coverage": _rows(store.coverage())}
 
 
 def _counted(text: str) -> int:
@@ -105,7 +122,7 @@ def _position(text: str) -> int:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sessionlake")
-    p.add_argument("--index", default=os.path.expanduser("~/.sessionlake"))
+    p.add_argument("--index", help=f"folder of the index ({HOME})")
     p.add_argument("--json", action="store_true", help="print JSON")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("sync")
@@ -141,26 +158,18 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _text(value: object, depth: int = 0) -> list[str]:
-    pad, out = "  " * depth, []
-    for k, v in value.items() if isinstance(value, dict) else enumerate(value, 1):
-        if isinstance(v, (dict, list)):
-            out += [f"{pad}{k}:", *_text(v, depth + 1)]
-        else:
-            flat = " ".join(str(v).split())
-            out.append(f"{pad}{k}: {flat[:1000] + '…' if len(flat) > 1000 else flat}")
-    return out
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.index is None:
+        move_old_home(OLD_HOME, HOME)
+        a.index = os.path.expanduser(HOME)
     spark = spark or SparkSession.builder.appName("sessionlake").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
         out = run(spark, a)
     except (InvalidSelector, IndexUnavailable, LockTimeout, NotFound, loading.SyncFailed) as e:
         print(json.dumps({"error": type(e).__name__, "message": str(e)}) if a.json else f"error: {e}", file=sys.stderr)
         return 1
-    print(json.dumps(out, indent=2, ensure_ascii=False, default=str) if a.json else "\n".join(_text(out)))
+    print(json.dumps(out, indent=2, ensure_ascii=False, default=str) if a.json else "\n".join(printing.BY_COMMAND[a.command](out)))
     return 0
 
 

@@ -1,29 +1,44 @@
-"""Text functions as Columns: trimming, tokens, accent folding, CJK bigrams."""
+"""Text functions as Columns: trimming, tokens, accent folding, CJK bigrams.
+
+One set of rules serves the index (Columns over whole tables) and queries (one
+short string on the driver): the character classes and the folding below. Level 1
+cuts a text into words and bigrams of CJK runs; the index tokens are the letters
+and digits of those, lower case, without the marks that the index ignores.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
-_CJK_PY = re.compile("[ᄀ-ᇿ぀-ヿ㄰-㆏ㇰ-ㇿ㐀-䶿一-鿿가-힯豈-﫿]")
+WORD = r"[\p{L}\p{M}\p{N}_]+(?:['.][\p{L}\p{M}\p{N}_]+)*"
+TOKEN = r"[\p{L}\p{N}\p{Co}]+"
+_CJK_RUN = regex.compile(f"([{CJK}]+)")
+_WORD, _TOKEN = regex.compile(WORD), regex.compile(TOKEN)
+
+# Combining marks that index tokens leave out, and letter forms that they unite.
+MARKS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u0309\u030a\u030b\u030c\u030f\u0311\u031b\u0323\u0324\u0325\u0326\u0327\u0328\u032d\u032e\u0330\u0331"
+FORMS = {"µ": "μ", "ſ": "s", "ς": "σ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε"}
 
 
 def _fold_table() -> tuple[str, str]:
-    """Lower-case Latin, Greek and Cyrillic letters with a mark, and their bases."""
-    pairs = {}
-    for cp in range(0xC0, 0x530):
+    """Lower-case letters that are an ASCII letter with one mark, and that letter; letters of two marks stay."""
+    pairs = dict(FORMS)
+    for cp in range(0xC0, 0x2000):
         c = chr(cp)
-        base = unicodedata.normalize("NFD", c)[0]
-        if c == c.lower() and base != c and len(unicodedata.normalize("NFD", c)) > 1:
-            pairs[c] = base
-    return "".join(pairs), "".join(pairs.values())
+        parts = unicodedata.normalize("NFD", c)
+        if c == c.lower() and len(parts) == 2 and parts[0].isascii():
+            pairs[c] = parts[0]
+    return "".join(pairs) + MARKS, "".join(pairs.values())
 
 
 FOLD_FROM, FOLD_TO = _fold_table()
+_FOLD = str.maketrans(FOLD_FROM[: len(FOLD_TO)], FOLD_TO, MARKS)
 
 
 def trim(c: Column) -> Column:
@@ -52,7 +67,7 @@ def cjk_bigrams(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Level-1 words other than CJK: letters, digits and inner ' . _ of a word, lower case."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(c, f"[{CJK}]+", " ")), F.lit(r"[\p{L}\p{M}\p{N}_]+(?:['.][\p{L}\p{M}\p{N}_]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.regexp_replace(c, f"[{CJK}]+", " ")), F.lit(WORD), F.lit(0))
 
 
 def fts_tokens(c: Column) -> Column:
@@ -60,17 +75,22 @@ def fts_tokens(c: Column) -> Column:
     spread = F.when(has_cjk(c), F.array_join(F.transform(
         F.regexp_extract_all(c, F.lit(f"[{CJK}]+|[^{CJK}]+"), F.lit(0)),
         lambda p: F.when(p.rlike(f"^[{CJK}]"), F.concat(F.lit(" "), F.array_join(cjk_bigrams(p), " "), F.lit(" "))).otherwise(p)), "")).otherwise(c)
-    return F.regexp_extract_all(fold(spread), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(fold(spread), F.lit(TOKEN), F.lit(0))
+
+
+def is_cjk(text: str) -> bool:
+    """Whether a string holds any CJK character."""
+    return bool(_CJK_RUN.search(text))
 
 
 def level1(text: str) -> list[str]:
     """Level-1 tokens of one string, in order."""
     out: list[str] = []
-    for piece in re.split(f"({_CJK_PY.pattern}+)", text):
-        if _CJK_PY.match(piece or " "):
+    for piece in _CJK_RUN.split(text):
+        if _CJK_RUN.match(piece):
             out += [piece[i : i + 2] for i in range(len(piece) - 1)]
         else:
-            out += [w.lower() for w in re.findall(r"[^\W_]+(?:_+[^\W_]+)*(?:['.][^\W_]+)*", piece)]
+            out += [w for w in _WORD.findall(piece.lower()) if _TOKEN.search(w)]
     return out
 
 
@@ -81,24 +101,16 @@ def query_terms(query: str) -> list[str]:
 
 def term_tokens(term: str) -> list[str]:
     """Index tokens of one query term: a phrase if there are several."""
-    low = unicodedata.normalize("NFD", term.lower())
-    return re.findall(r"[^\W_]+", "".join(c for c in low if not unicodedata.combining(c)))
+    return _TOKEN.findall(term.lower().translate(_FOLD))
 
 
 def phrase_count(tokens: Column, phrase: list[str]) -> Column:
     """Occurrences of the phrase in an array of tokens, overlaps counted."""
-    k = len(phrase)
-    if k == 1:
+    if len(phrase) == 1:
         return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    wanted = F.array(*map(F.lit, phrase))
-
-    # a fold reads the tokens once; an index into them inside a lambda would compute them anew each time
-    def step(state: Column, t: Column) -> Column:
-        last = F.slice(F.concat(state["w"], F.array(t)), -k, k)
-        return F.struct((state["n"] + (last == wanted).cast("int")).alias("n"), last.alias("w"))
-
-    start = F.struct(F.lit(0).alias("n"), F.array_repeat(F.lit(""), k).alias("w"))
-    return F.aggregate(tokens, start, step, lambda s: s["n"])
+    # tokens hold neither spaces nor signs of patterns; a look-ahead lets occurrences overlap
+    line = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
+    return F.regexp_count(line, F.lit("(?= " + "  ".join(phrase) + " )"))
 
 
 def like_snippet(c: Column, needle: str, before: int = 40, after: int = 80, fallback: int = 160) -> Column:

@@ -49,10 +49,13 @@ def inventory(files: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, root: str) -> DataFrame:
-    """One sha256 over the root and each file's relative path, time, size, date and cwd, in path order.
+    """One sha256 over the root and a digest of each directory's files, in path order.
 
-    A listing has a row per file; its digest needs one ordered pass over them.
+    A directory's digest is over each file's relative path, time, size, date and
+    cwd; so no row holds more than the files of one directory or the directories.
     """
     line = F.concat_ws("\0", F.lit(""), F.substring("file_path", len(root.rstrip("/")) + 2, 1 << 30), F.col("mtime").cast("string"), F.col("size").cast("string"), F.coalesce("path_date", F.lit("")), F.coalesce("cwd", F.lit("")))
-    rows = F.array_sort(F.collect_list(F.struct("file_path", line.alias("line"))))
-    return files.agg(F.sha2(F.concat(F.lit(root), F.array_join(F.transform(rows, lambda r: r["line"]), "")), 256).alias("fingerprint"), F.count("*").alias("file_count"))
+    own = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*rows))), lambda r: r[rows[-1]]), "")
+    folders = files.withColumns({"folder": F.regexp_replace("file_path", "/[^/]*$", ""), "line": line}).groupBy("folder").agg(F.sha2(own(["file_path", "line"]), 256).alias("digest"), F.count("*").alias("n"))
+    folders = folders.withColumn("line", F.concat_ws("\0", F.lit(""), "folder", "digest"))
+    return folders.agg(F.sha2(F.concat(F.lit(root), own(["folder", "line"])), 256).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("file_count"))

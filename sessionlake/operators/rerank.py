@@ -53,16 +53,23 @@ def matched_terms(c: Column, terms: list[str]) -> Column:
 
 
 def ordered_span(tokens: Column, terms: list[str]) -> Column:
-    """Fewest tokens skipped by a greedy in-order match that starts at any place of the first term; null if none."""
-    # (start, next term, last place) of every open match is folded over the tokens
-    def step(open_: Column, t: Column) -> Column:
-        moved = F.transform(open_["m"], lambda m: F.when((m["k"] < len(terms)) & (t == F.element_at(F.array(*map(F.lit, terms)), m["k"] + 1)), F.struct(m["s"].alias("s"), (m["k"] + 1).alias("k"), open_["i"].alias("e"))).otherwise(m))
-        born = F.when(t == terms[0], F.array(F.struct(open_["i"].alias("s"), F.lit(1).alias("k"), open_["i"].alias("e")))).otherwise(F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)"))
-        return F.struct((open_["i"] + 1).alias("i"), F.concat(moved, born).alias("m"))
-
-    start = F.struct(F.lit(0).alias("i"), F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)").alias("m"))
-    done = F.aggregate(tokens, start, step)["m"]
-    return F.array_min(F.transform(F.filter(done, lambda m: m["k"] == len(terms)), lambda m: m["e"] - m["s"] + 1 - len(terms)))
+    """Fewest tokens skipped by a match of the terms in order, from any place of the first term; null if none.
+
+    The fold holds, for every k, the latest start of a match of the first k
+    terms: of all matches that end at a token, that one skips fewest.
+    """
+    n, wanted = len(terms), F.array(*map(F.lit, terms))
+
+    def step(state: Column, t: Column) -> Column:
+        k = F.array_position(wanted, t).cast("int")  # 0 for any other token
+        begun = F.when(k == 1, state["i"]).otherwise(F.try_element_at(state["starts"], F.when(k > 1, k - 1)))
+        starts = F.transform(state["starts"], lambda s, j: F.when((j + 1 == k) & begun.isNotNull(), begun).otherwise(s))
+        done = F.when((k == n) & begun.isNotNull(), state["i"] - begun + 1 - n)
+        return F.struct((state["i"] + 1).alias("i"), starts.alias("starts"), F.least(state["best"], done).alias("best"))
+
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("i"), F.array_repeat(none, n).alias("starts"), none.alias("best"))
+    return F.aggregate(tokens, start, step, lambda s: s["best"])
 
 
 def command_bonus(content: Column, profile: QueryProfile, terms: list[str]) -> Column:

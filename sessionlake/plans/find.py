@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_cjk, query_terms  # noqa: F401
+from ..functions.text import is_cjk, query_terms
 from ..operators import recall, rerank
 from ..operators.selector import Selector
 
@@ -34,35 +34,65 @@ def _scoped(rows: DataFrame, o: FindOptions) -> DataFrame:
     return rows.filter(~F.col("session_uuid").isin(drop)) if drop else rows
 
 
-def message_hits(messages: DataFrame, sessions: DataFrame, query: str, terms: list[str], o: FindOptions) -> DataFrame:
+class Tables:
+    """Two surfaces to search: tables of messages and sessions with their token columns, read in full."""
+
+    def __init__(self, messages: DataFrame, sessions: DataFrame):
+        self.messages, self.sessions = messages, sessions
+
+    def message_scores(self, terms: list[str]) -> DataFrame:
+        return recall.bm25(self.messages, {"content_text_tokens": 1.0}, terms)
+
+    def session_scores(self, terms: list[str]) -> DataFrame:
+        return recall.bm25(self.sessions, {f"{c}_tokens": w for c, w in recall.SESSION_WEIGHTS.items()}, terms)
+
+
+class Postings(Tables):
+    """The same over postings (see ``recall.postings``), of which only the query's tokens are read."""
+
+    def __init__(self, messages: DataFrame, sessions: DataFrame, entries: dict[str, DataFrame], lengths: dict[str, DataFrame]):
+        super().__init__(messages, sessions)
+        self.entries, self.lengths = entries, lengths
+
+    def message_scores(self, terms: list[str]) -> DataFrame:
+        hits = recall.bm25_postings(self.entries["messages"], self.lengths["messages"], ["session_uuid", "seq"], [1.0], terms)
+        return self.messages.join(hits, ["session_uuid", "seq"])
+
+    def session_scores(self, terms: list[str]) -> DataFrame:
+        hits = recall.bm25_postings(self.entries["sessions"], self.lengths["sessions"], ["session_uuid"], list(recall.SESSION_WEIGHTS.values()), terms)
+        return self.sessions.join(hits, "session_uuid")
+
+
+def message_hits(on: Tables, query: str, terms: list[str], o: FindOptions) -> DataFrame:
+    sessions = on.sessions
     about = sessions.select("session_uuid", "title", "cwd", "started_at", "ended_at", "file_path", "path_date")
     n = recall.recall_limit(o.limit, o.sort)
     if terms:
-        hits = _scoped(recall.bm25(messages, {"content_text_tokens": 1.0}, terms).join(about, "session_uuid"), o)
+        hits = _scoped(on.message_scores(terms).join(about, "session_uuid"), o)
         hits = hits.orderBy(*recall.recall_order(o.sort, "seq", "session_uuid")).limit(n)
     else:
-        rows = _scoped(messages.join(about, "session_uuid"), o)
-        hits = recall.like(rows, ["content_text"], query.strip(), [F.col("started_at").desc(), F.col("seq"), F.col("session_uuid")]).orderBy(F.col("score").desc()).limit(n)
+        rows = _scoped(on.messages.join(about, "session_uuid"), o)
+        hits = recall.like(rows, ["content_text"], query.strip(), [*recall.recall_order(o.sort)[: o.sort != "relevance"], F.col("started_at").desc(), F.col("seq"), F.col("session_uuid")], n)
     return hits.withColumn("source", F.lit("message")).select(*HIT)
 
 
-def session_hits(sessions: DataFrame, query: str, terms: list[str], o: FindOptions) -> DataFrame:
+def session_hits(on: Tables, query: str, terms: list[str], o: FindOptions) -> DataFrame:
     n = recall.recall_limit(o.limit, o.sort)
     fields = list(recall.SESSION_WEIGHTS)
     if terms:
-        hits = _scoped(recall.bm25(sessions, {f"{c}_tokens": w for c, w in recall.SESSION_WEIGHTS.items()}, terms), o)
+        hits = _scoped(on.session_scores(terms), o)
         hits = hits.orderBy(*recall.recall_order(o.sort, "session_uuid")).limit(n)
     else:
-        hits = recall.like(_scoped(sessions, o), fields, query.strip(), [F.col("started_at").desc(), F.col("session_uuid")]).orderBy(F.col("score").desc()).limit(n)
+        hits = recall.like(_scoped(on.sessions, o), fields, query.strip(), [*recall.recall_order(o.sort)[: o.sort != "relevance"], F.col("started_at").desc(), F.col("session_uuid")], n)
     content = F.concat_ws("\n", *fields)
     return hits.withColumns({"source": F.lit("session"), "seq": F.lit(None).cast("long"), "role": F.lit(None).cast("string"), "timestamp": F.lit(None).cast("string"), "content_text": content}).select(*HIT)
 
 
-def union_hits(messages: DataFrame, sessions: DataFrame, query: str, o: FindOptions) -> DataFrame:
+def union_hits(on: Tables, query: str, o: FindOptions) -> DataFrame:
     """Both surfaces, messages first; ``ord`` is a row's place. At most two recall limits of rows."""
     terms = query_terms(query)
-    m, s = message_hits(messages, sessions, query, terms, o), session_hits(sessions, query, terms, o)
-    if not terms and not any("⺀" <= c for c in query):
+    m, s = message_hits(on, query, terms, o), session_hits(on, query, terms, o)
+    if not terms and not is_cjk(query):
         m, s = m.limit(0), s.limit(0)
     both = m.withColumn("surface", F.lit(0)).unionByName(s.withColumn("surface", F.lit(1)))
     first = F.col("score") if terms else -F.col("score")
@@ -71,10 +101,18 @@ def union_hits(messages: DataFrame, sessions: DataFrame, query: str, o: FindOpti
     return both.withColumn("ord", F.row_number().over(Window.orderBy(*order)))
 
 
-def find(messages: DataFrame, sessions: DataFrame, query: str, o: FindOptions | None = None) -> DataFrame:
-    """The best sessions for a query; both inputs carry ``*_tokens`` columns."""
+def anchor(on: Tables, session_uuid: str, query: str, now: str) -> DataFrame:
+    """seq of the message of a session that a query meets best: recall of 20, one kept."""
+    hits = message_hits(on, query, query_terms(query), FindOptions(limit=20, now=now, within=session_uuid))
+    first = F.col("score") if query_terms(query) else -F.col("score")
+    top = hits.orderBy(first, "seq").limit(20).withColumn("ord", F.row_number().over(Window.orderBy(first, "seq")))
+    return rerank.ranked(rerank.aggregate_hits(top, rerank.classify(query), query_terms(query)), now, 1, "relevance").select("session_uuid", F.col("shown.seq").alias("seq"))
+
+
+def find(on: Tables, query: str, o: FindOptions | None = None) -> DataFrame:
+    """The best sessions for a query."""
     o = o or FindOptions()
-    hits = union_hits(messages, sessions, query, o)
+    hits = union_hits(on, query, o)
     top = rerank.ranked(rerank.aggregate_hits(hits, rerank.classify(query), query_terms(query)), o.now, o.limit, o.sort)
     return top.select(
         "rank", "session_uuid", F.col("first.title").alias("title"), F.col("first.cwd").alias("cwd"), F.col("first.started_at").alias("started_at"), F.col("first.ended_at").alias("ended_at"),

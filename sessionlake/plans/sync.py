@@ -5,15 +5,15 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fts_tokens
-from ..operators import reading
+from ..operators import reading, recall
 from ..operators.derive import source_root
 from ..operators.selector import Selector, implies
 from ..sources import jsonl
-from ..sources.store import INDEX_VERSION, MESSAGES, SESSIONS, TOKENS, Store
+from ..sources.store import COVERAGE, INDEX_VERSION, MESSAGES, MOST_SEGMENTS, POSTINGS, SESSIONS, Store
 
 ACTIONS = ("added", "updated", "skipped", "filtered", "removed", "errors")
 
@@ -51,8 +51,92 @@ def classify(files: DataFrame, sessions: DataFrame) -> DataFrame:
     return files.join(old, "file_path", "left").withColumns({"known": F.col("old_version").isNotNull(), "unchanged": F.coalesce(same, F.lit(False))}).drop("old_mtime", "old_size", "old_version")
 
 
-def _tokenised(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.withColumns({f"{c}_tokens": fts_tokens(F.col(c)) for c in columns})
+def actions(seen: DataFrame, found: DataFrame | None) -> DataFrame:
+    """file_path, action of every file: unchanged ones are skipped, the others go by their verdict.
+
+    ``found`` holds file_path, verdict and known of the files that were read.
+    """
+    out = seen.filter("unchanged").select("file_path", F.lit("skipped").alias("action"))
+    if found is None:
+        return out
+    by = F.when(F.col("verdict") == "parsed", F.when(F.col("known"), "updated").otherwise("added")).when(F.col("verdict") == "error", "errors").otherwise(F.col("verdict"))
+    return out.union(found.select("file_path", by.alias("action")))
+
+
+def counters(acted: DataFrame) -> DataFrame:
+    return acted.groupBy("action").agg(F.count("*").alias("n"))
+
+
+def retained(seen: DataFrame, found: DataFrame | None) -> DataFrame:
+    """file_path of the files whose sessions stay."""
+    out = seen.filter("unchanged").select("file_path")
+    return out if found is None else out.union(found.filter("verdict = 'parsed'").select("file_path")).distinct()
+
+
+def lost(sessions: DataFrame, selector: Selector, stay: DataFrame) -> DataFrame:
+    """Sessions of a selector whose files are gone."""
+    return sessions.filter(F.coalesce(selector.predicate(), F.lit(False))).join(stay, "file_path", "left_anti")
+
+
+_PARTS = ("kind", "root", "cwd", "from_date", "to_date")
+
+
+def answering(coverage: DataFrame, wants: DataFrame, version: str = INDEX_VERSION) -> DataFrame:
+    """wants with each entry of this version that answers it: entry columns follow as ``have_*``, null where there is none.
+
+    Both are one row a selector, a handful by nature.
+    """
+    have = coverage.filter(F.col("index_version") == version).select(*[F.col(c).alias(f"have_{c}") for c in coverage.columns])
+    return wants.join(F.broadcast(have), implies({c: F.col(f"have_{c}") for c in _PARTS}, {c: F.col(c) for c in _PARTS}), "left")
+
+
+def freshness_of(entries: DataFrame, version: str = INDEX_VERSION) -> DataFrame:
+    """entries (with the present ``now_fingerprint`` and ``now_file_count``) and their ``freshness``."""
+    same = (F.col("now_fingerprint") == F.col("source_fingerprint")) & (F.col("now_file_count") == F.col("source_file_count")) & (F.col("index_version") == version)
+    return entries.withColumn("freshness", F.when(F.coalesce(same, F.lit(False)), "fresh").otherwise("stale"))
+
+
+def requested(coverage: DataFrame, wants: DataFrame, version: str = INDEX_VERSION) -> DataFrame:
+    """want, state and recommended_action of every wanted selector; coverage has its ``freshness``."""
+    by = answering(coverage, wants, version).groupBy("want").agg(
+        F.when(F.bool_or(F.col("have_freshness") == "fresh"), "fresh").when(F.count("have_kind") > 0, "stale").otherwise("missing").alias("state")
+    )
+    return by.withColumn("recommended_action", F.when(F.col("state") == "fresh", "query").otherwise("sync"))
+
+
+def about_session(coverage: DataFrame, root: Column, cwd: Column, day: Column) -> Column:
+    """Whether a coverage entry includes a session of this root, directory and date."""
+    have, none = {c: F.col(c) for c in _PARTS}, F.lit(None).cast("string")
+    asked = [("all", none, none), ("cwd", cwd, none), ("date_range", none, day), ("cwd_date_range", cwd, day)]
+    hit = F.lit(False)
+    for kind, c, d in asked:
+        named = (c.isNotNull() if "cwd" in kind else F.lit(True)) & (d.isNotNull() if "date" in kind else F.lit(True))
+        hit = hit | (named & F.coalesce(implies(have, {"kind": F.lit(kind), "root": root, "cwd": c, "from_date": d, "to_date": d}), F.lit(False)))
+    return hit
+
+
+def _session_text() -> list[str]:
+    return list(recall.SESSION_WEIGHTS)
+
+
+def _postings(rows: DataFrame, keys: list[str], fields: list[str], segment: str, spark: SparkSession) -> DataFrame:
+    entries = recall.postings(rows, [*keys, "n_tokens"], fields).withColumn("segment", F.lit(segment))
+    if "seq" not in keys:
+        entries = entries.withColumn("seq", F.lit(None).cast("long"))
+    return entries.select(*spark.createDataFrame([], POSTINGS).columns)
+
+
+def _merge(spark: SparkSession, store: Store, state: dict, sessions: DataFrame) -> DataFrame:
+    """One segment of what the segments hold for these sessions; returns the sessions that name it."""
+    segment, live = store.part("segment"), sessions.select("session_uuid", "segment")
+
+    def all_(kind: str, schema: str) -> DataFrame:
+        rows = spark.read.schema(schema).parquet(*(f"{store.path}/{x}/{kind}" for x in state["segments"]))
+        return rows.join(live, ["session_uuid", "segment"], "left_semi").withColumn("segment", F.lit(segment))
+
+    store.save_segment(segment, all_("messages", MESSAGES), all_("messages-postings", POSTINGS), all_("sessions-postings", POSTINGS))
+    state["segments"] = [segment]
+    return sessions.withColumn("segment", F.lit(segment))
 
 
 def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool = False) -> SyncResult:
@@ -80,12 +164,9 @@ def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool
             changed = [r["file_path"] for r in seen.filter("NOT unchanged").select("file_path").collect()]
             rows = stage(jsonl.records(spark, changed), "records") if changed else None
             found = stage(jsonl.parsed_sessions(seen.filter("NOT unchanged"), rows).join(seen.select("file_path", "known"), "file_path"), "sessions") if changed else None
-            out = SyncResult(scanned=print_["file_count"], skipped=seen.filter("unchanged").count())
-            if changed:
-                by = {(r["verdict"], r["known"]): r["n"] for r in found.groupBy("verdict", "known").agg(F.count("*").alias("n")).collect()}
-                n = lambda v: by.get((v, True), 0) + by.get((v, False), 0)
-                out.added, out.updated = by.get(("parsed", False), 0), by.get(("parsed", True), 0)
-                out.filtered, out.errors, out.skipped = n("filtered"), n("error"), out.skipped + n("skipped")
+            out = SyncResult(scanned=print_["file_count"])
+            for r in counters(actions(seen, found)).collect():
+                setattr(out, r["action"], r["n"])
             if not best_effort:
                 if out.errors:
                     bad = [r["file_path"] for r in found.filter("verdict = 'error'").select("file_path").orderBy("file_path").limit(20).collect()]
@@ -99,27 +180,31 @@ def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool
                 parsed = found.filter("verdict = 'parsed'")
                 last = parsed.groupBy("session_uuid").agg(F.max("file_path").alias("file_path"))  # a session in two files: the last path wins
                 parsed = parsed.join(last, ["session_uuid", "file_path"], "left_semi")
-                segment = store.part("messages")
+                segment = store.part("segment")
                 said = jsonl.kept_messages(rows).join(parsed.select("session_uuid", "file_path"), "file_path")
-                said = _tokenised(said, "content_text").withColumn("segment", F.lit(segment)).select(*spark.createDataFrame([], MESSAGES).columns)
-                said.repartitionByRange("session_uuid").sortWithinPartitions("session_uuid", "seq").write.parquet(f"{store.path}/{segment}")
+                said = said.withColumns({"n_tokens": F.size(fts_tokens(F.col("content_text"))).cast("long"), "segment": F.lit(segment)})
+                said = stage(said.select(*spark.createDataFrame([], MESSAGES).columns), "messages")
                 root = source_root(F.col("file_path")) if best_effort else F.lit(selector.root)
-                new = _tokenised(parsed, *TOKENS).withColumns({"source_root": root, "index_version": F.lit(INDEX_VERSION), "updated_at": F.lit(stamp), "segment": F.lit(segment)})
+                length = sum((F.size(fts_tokens(F.col(c))) for c in _session_text()), F.lit(0)).cast("long")
+                spoken = said.groupBy("session_uuid").agg(F.sum("n_tokens").alias("message_tokens"))
+                new = parsed.join(spoken, "session_uuid", "left").withColumns({"source_root": root, "index_version": F.lit(INDEX_VERSION), "updated_at": F.lit(stamp), "segment": F.lit(segment), "n_tokens": length, "message_tokens": F.coalesce("message_tokens", F.lit(0).cast("long"))})
+                new = stage(new.select(*sessions.columns), "new-sessions")
+                store.save_segment(segment, said, _postings(said, ["session_uuid", "seq"], ["content_text"], segment, spark), _postings(new, ["session_uuid"], _session_text(), segment, spark))
                 gone = found.filter("verdict IN ('parsed', 'filtered')")
                 kept = kept.join(gone.select("file_path"), "file_path", "left_anti").join(new.select("session_uuid"), "session_uuid", "left_anti")
             if not best_effort:
-                retained = seen.filter("unchanged").select("file_path")
-                if changed:
-                    retained = retained.union(found.filter("verdict = 'parsed'").select("file_path")).distinct()
-                mine = F.coalesce(selector.predicate(), F.lit(False))
-                lost = kept.filter(mine).join(retained, "file_path", "left_anti").select("session_uuid")
-                out.removed = lost.count()
-                kept = kept.join(lost, "session_uuid", "left_anti")
+                gone_now = lost(kept, selector, retained(seen, found)).select("session_uuid")
+                out.removed = gone_now.count()
+                kept = kept.join(gone_now, "session_uuid", "left_anti")
             if changed:
                 kept = kept.select(*sessions.columns).unionByName(new.select(*sessions.columns))
-            state["sessions"] = store.save(kept.select(*sessions.columns).sortWithinPartitions("ended_at"), "sessions")
             if segment:
                 state["segments"] = [*state["segments"], segment]
+            kept = kept.select(*sessions.columns)
+            if len(state["segments"]) > MOST_SEGMENTS:
+                kept = _merge(spark, store, state, stage(kept, "kept"))
+                staged += [segment] if segment else []  # no pointer ever names it
+            state["sessions"] = store.save(kept.sortWithinPartitions("ended_at"), "sessions")
             if best_effort:
                 out.reason = "best_effort"
             else:
@@ -139,35 +224,38 @@ def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool
                 store.drop(name)
 
 
+def _one(spark: SparkSession, selector: Selector) -> DataFrame:
+    return spark.range(1).select(F.lit(0).alias("want"), *(c.alias(k) for k, c in selector.canonical().columns().items()))
+
+
 def covering(store: Store, selector: Selector) -> DataFrame:
     """Coverage of this version of the index that answers a selector, newest first."""
-    rows = store.coverage().filter(F.col("index_version") == INDEX_VERSION)
-    have = {c: F.col(c) for c in ("kind", "root", "cwd", "from_date", "to_date")}
-    return rows.filter(implies(have, selector.canonical().columns())).orderBy(F.col("completed_at").desc(), "selector_key")
+    rows = answering(store.coverage(), _one(store.spark, selector)).filter("have_kind IS NOT NULL")
+    return rows.select(*[F.col(f"have_{c}").alias(c) for c in store.coverage().columns]).orderBy(F.col("completed_at").desc(), "selector_key")
 
 
 def session_coverage(store: Store, session: dict) -> list[dict]:
     """Coverage entries that include a session, of any version."""
-    day, root, cwd = session["path_date"] or None, session["source_root"], session["cwd"] or None
-    asked = [Selector("all", root)] + ([Selector("cwd", root, cwd)] if cwd else [])
-    asked += [Selector("date_range", root, None, day, day)] if day else []
-    asked += [Selector("cwd_date_range", root, cwd, day, day)] if day and cwd else []
-    have = {c: F.col(c) for c in ("kind", "root", "cwd", "from_date", "to_date")}
-    hit = F.lit(False)
-    for s in asked:
-        hit = hit | implies(have, s.columns())
-    return [r.asDict() for r in store.coverage().filter(hit).orderBy(F.col("completed_at").desc(), "selector_key").collect()]
-
-
-def freshness(spark: SparkSession, store: Store) -> list[dict]:
-    """Each coverage entry with its freshness: its files are listed anew. Entries are one per selector."""
-    out = []
-    for r in store.coverage().orderBy(F.col("completed_at").desc(), "selector_key").collect():
-        s = Selector(r["kind"], r["root"], r["cwd"], r["from_date"], r["to_date"])
-        at = reading.fingerprint(snapshot(spark, s), s.root).first()
-        fresh = (at["fingerprint"], at["file_count"], INDEX_VERSION) == (r["source_fingerprint"], r["source_file_count"], r["index_version"])
-        out.append(r.asDict() | {"freshness": "fresh" if fresh else "stale"})
-    return out
+    rows = store.coverage()
+    day, cwd = (F.lit(session[c] or None).cast("string") for c in ("path_date", "cwd"))
+    return [r.asDict() for r in rows.filter(about_session(rows, F.lit(session["source_root"]), cwd, day)).orderBy(F.col("completed_at").desc(), "selector_key").collect()]
+
+
+def freshness(spark: SparkSession, store: Store) -> DataFrame:
+    """Each coverage entry with its freshness: one listing of each root, and what is there now of each entry's files."""
+    entries = store.coverage()
+    now_ = []
+    for root in [r["root"] for r in entries.select("root").distinct().orderBy("root").collect()]:
+        files = jsonl.listing(spark, root)
+        for r in entries.filter(F.col("root") == root).select("selector_key", *_PARTS).collect():  # one row a selector
+            mine = files.filter(F.coalesce(Selector(*[r[c] for c in _PARTS]).predicate(), F.lit(False)))
+            now_.append(reading.fingerprint(mine, root).select(F.lit(r["selector_key"]).alias("selector_key"), F.col("fingerprint").alias("now_fingerprint"), F.col("file_count").alias("now_file_count")))
+    if not now_:
+        return entries.withColumn("freshness", F.lit("stale"))
+    at = now_[0]
+    for x in now_[1:]:
+        at = at.union(x)
+    return freshness_of(entries.join(at, "selector_key", "left")).select(*entries.columns, "freshness").orderBy(F.col("completed_at").desc(), "selector_key")
 
 
 def status(spark: SparkSession, index: str, root: str, selector: Selector | None = None) -> dict:
@@ -179,15 +267,11 @@ def status(spark: SparkSession, index: str, root: str, selector: Selector | None
     out = {"index_version": INDEX_VERSION, "root": root, "inventory": totals | {"cwds": groups}, "index": {"exists": store.exists(), "size_bytes": store.size_bytes()}, "coverage": []}
     if store.exists():
         out["index"] |= reading.stats(store.sessions()).first().asDict() | {"last_sync_at": store.state().get("synced_at")}
-        out["coverage"] = freshness(spark, store)
+        covered = [r.asDict() for r in freshness(spark, store).collect()]
+        out["coverage"] = covered
     if selector:
         want = selector.canonical()
-        usable = [c for c in out["coverage"] if c["index_version"] == INDEX_VERSION and _implied(spark, c, want)]
-        state = "missing" if not usable else "fresh" if any(c["freshness"] == "fresh" for c in usable) else "stale"
-        out["requested"] = asdict(want) | {"state": state, "recommended_action": "query" if state == "fresh" else "sync"}
+        rows = spark.createDataFrame(out["coverage"], f"{COVERAGE}, freshness string")
+        r = requested(rows, _one(spark, want)).first()
+        out["requested"] = asdict(want) | {"state": r["state"], "recommended_action": r["recommended_action"]}
     return out
-
-
-def _implied(spark: SparkSession, entry: dict, want: Selector) -> bool:
-    have = {c: F.lit(entry[c]).cast("string") for c in ("kind", "root", "cwd", "from_date", "to_date")}
-    return bool(spark.range(1).select(implies(have, want.columns()).alias("x")).first()["x"])

@@ -63,7 +63,11 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 def records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Records of the files as plain columns: file_path, line_no, bare_null, timestamp, kind, text, texts, id, cwd, model."""
-    files = spark.read.option("wholetext", "true").text(paths).select(plain_path(F.col("_metadata.file_path")).alias("file_path"), "value")
+    return fields(spark.read.option("wholetext", "true").text(paths).select(plain_path(F.col("_metadata.file_path")).alias("file_path"), "value"))
+
+
+def fields(files: DataFrame) -> DataFrame:
+    """The same of files given as rows: file_path, value."""
     rows = _records(files.select("file_path", F.posexplode(F.split("value", "\n")).alias("line_no", "line")))
     p, what = F.col("payload"), text_at(F.col("payload"), "$.type")
     kind = (

@@ -1,9 +1,13 @@
 """The index: immutable Parquet parts behind one pointer file.
 
 A load writes a new sessions table, a new coverage table and one segment of
-messages; then it renames a new pointer over the old one. Readers see the old
-or the new state, never a mixture, and messages of earlier loads aren't
-rewritten: a session row names the segment that holds its messages.
+messages with the postings of both surfaces, sorted by token so that a query
+reads the row groups of its tokens only; then it renames a new pointer over the
+old one. Readers see the old or the new state, never a mixture, and messages of
+earlier loads aren't rewritten: a session row names the segment that holds its
+messages. Beyond MOST_SEGMENTS a load merges them into one. Parts that a pointer
+no longer names are deleted by the load after the next, when no reader of that
+pointer should be left.
 """
 
 from __future__ import annotations
@@ -17,16 +21,20 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-INDEX_VERSION = "1"
+from ..plans.find import Postings
+
+INDEX_VERSION = "2"
 LOCK_WAIT_S, LOCK_POLL_S = 10.0, 0.1
-TOKENS = ("title", "summary_text", "compact_text", "reasoning_summary_text")
+MOST_SEGMENTS = 16
 SESSIONS = (
     "session_uuid string, file_path string, source_root string, title string, summary_text string, compact_text string, reasoning_summary_text string, "
     "cwd string, model string, started_at string, ended_at string, path_date string, message_count long, mtime long, size long, index_version string, "
-    "updated_at string, segment string, " + ", ".join(f"{c}_tokens array<string>" for c in TOKENS)
+    "updated_at string, segment string, n_tokens long, message_tokens long"
 )
-MESSAGES = "session_uuid string, seq long, role string, content_text string, timestamp string, source_kind string, content_text_tokens array<string>, segment string"
+MESSAGES = "session_uuid string, seq long, role string, content_text string, timestamp string, source_kind string, n_tokens long, segment string"
+POSTINGS = "token string, session_uuid string, seq long, field int, places array<int>, n_tokens long, segment string"
 COVERAGE = (
     "selector_key string, kind string, root string, cwd string, from_date string, to_date string, source_fingerprint string, "
     "source_file_count long, indexed_session_count long, completed_at string, index_version string"
@@ -85,14 +93,34 @@ class Store:
     def coverage(self) -> DataFrame:
         return self._table(self.state()["coverage"], COVERAGE)
 
-    def messages(self) -> DataFrame:
-        """Messages of the live sessions."""
+    def _live(self, kind: str, schema: str) -> DataFrame:
+        """Rows of the segments that belong to live sessions."""
         segments = self.state()["segments"]
         if not segments:
-            return self._table(None, MESSAGES)
-        rows = self.spark.read.schema(MESSAGES).parquet(*(f"{self.path}/{s}" for s in segments))
+            return self._table(None, schema)
+        rows = self.spark.read.schema(schema).parquet(*(f"{self.path}/{s}/{kind}" for s in segments))
         return rows.join(self.sessions().select("session_uuid", "segment"), ["session_uuid", "segment"], "left_semi")
 
+    def messages(self) -> DataFrame:
+        return self._live("messages", MESSAGES)
+
+    def searched(self) -> Postings:
+        """Both surfaces with their postings; the totals come from the sessions table."""
+        sessions = self.sessions()
+        entries = {k: self._live(f"{k}-postings", POSTINGS) for k in ("messages", "sessions")}
+        lengths = {
+            "messages": sessions.agg(F.sum("message_count").alias("n"), F.sum("message_tokens").alias("total")),
+            "sessions": sessions.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("total")),
+        }
+        return Postings(self.messages(), sessions, entries, lengths)
+
+    def save_segment(self, segment: str, messages: DataFrame, message_postings: DataFrame, session_postings: DataFrame) -> None:
+        """Messages by session and place, postings by token."""
+        at = f"{self.path}/{segment}"
+        messages.repartitionByRange("session_uuid").sortWithinPartitions("session_uuid", "seq").write.parquet(f"{at}/messages")
+        for kind, rows in (("messages", message_postings), ("sessions", session_postings)):
+            rows.repartitionByRange("token", "session_uuid").sortWithinPartitions("token", "session_uuid").write.parquet(f"{at}/{kind}-postings")
+
     def part(self, kind: str) -> str:
         return f"parts/{kind}-{uuid.uuid4().hex}"
 
@@ -105,7 +133,11 @@ class Store:
         self._fs.delete(self._at(name), True)
 
     def publish(self, state: dict) -> None:
-        """Rename a new pointer over the old one."""
+        """Rename a new pointer over the old one; delete what the one before the old one alone named."""
+        named = lambda x: {x["sessions"], x["coverage"], *x["segments"]} - {None}
+        before = self.state() if self.exists() else {"sessions": None, "coverage": None, "segments": []}
+        gone = [x for x in before.get("retired", []) if x not in named(state)]
+        state = state | {"retired": sorted(named(before) - named(state))}
         name = f"CURRENT.{uuid.uuid4().hex}"
         self._write(name, json.dumps(state, sort_keys=True), True)
         rename = self._jvm.org.apache.hadoop.fs.Options.Rename
@@ -114,6 +146,8 @@ class Store:
         at = self._at("")
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
         context.rename(self._fs.makeQualified(self._jvm.org.apache.hadoop.fs.Path(at, name)), self._fs.makeQualified(self._jvm.org.apache.hadoop.fs.Path(at, "CURRENT")), how)
+        for part in gone:
+            self.drop(part)
 
     def _stale(self) -> bool:
         try:

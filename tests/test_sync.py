@@ -4,14 +4,17 @@ import json
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionlake import cli
 from sessionlake.functions import snippets
-from sessionlake.functions.text import query_terms
+from sessionlake.functions.text import fts_tokens, level1, query_terms, term_tokens
 from sessionlake.operators.selector import Selector
 from sessionlake.plans import sync as S
+from sessionlake.plans.find import Tables
 from sessionlake.sources import jsonl
 from sessionlake.sources.store import IndexUnavailable, LockTimeout, Store
+from sessionlake.streaming import follow
 
 A, B = "00000000-0000-4000-8000-00000000000a", "00000000-0000-4000-8000-00000000000b"
 INTERNAL = ">>> TRANSCRIPT START\nx"
@@ -154,8 +157,82 @@ def test_token_snippet_agrees_with_fts5(query):
         assert snippets.token_snippet(stored[rowid - 1], terms) == text
 
 
+SCRIPTS = ["Éclair ÀÉÎõü ế Ế Ǆ", "한국어 검색 데이터", "サーバー データ 人々 カナ", "naïve cafe\u0301 e\u0301\u0323", "οδος ΟΔΟΣ ǅ ſtop µ", "😀 emoji x²³ ½", "й ё Ий", "snake_case a.b c'd", "ελληνικά άλφα"]
+
+
+def test_index_tokens_agree_with_fts5(spark):
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='unicode61 remove_diacritics 1')")
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", [(i, snippets.stored_text(t)) for i, t in enumerate(SCRIPTS)])
+    want = {}
+    for term, doc in con.execute("SELECT term, doc FROM v ORDER BY doc, offset"):
+        want.setdefault(doc, []).append(term)
+    df = spark.createDataFrame(list(enumerate(SCRIPTS)), "id int, t string").select("id", fts_tokens(F.col("t")).alias("x"))
+    got = {r["id"]: r["x"] for r in df.collect()}
+    assert got == {i: want.get(i, []) for i in got}
+    assert got == {i: [w for term in level1(t) for w in term_tokens(term)] for i, t in enumerate(SCRIPTS)}
+
+
+def test_segments_merge_and_old_parts_go(spark, logs, tmp_path, monkeypatch):
+    ix = str(tmp_path / "ix")
+    monkeypatch.setattr(S, "MOST_SEGMENTS", 1)
+    S.sync(spark, ix, every(logs))
+    store = Store(spark, ix)
+    before = sorted((r["session_uuid"], r["seq"], r["content_text"]) for r in store.messages().collect())
+    write(logs, "2024-01-05", "00000000-0000-4000-8000-00000000000e", "/work/e", ["deploy once more", "deployed"])
+    S.sync(spark, ix, every(logs))
+    state = store.state()
+    assert len(state["segments"]) == 1 and store.messages().count() == len(before) + 2
+    on = store.searched()
+    tables = Tables(on.messages.withColumn("content_text_tokens", fts_tokens(F.col("content_text"))), on.sessions)
+    score = lambda x: sorted((r["session_uuid"], r["seq"], round(r["score"], 9)) for r in x.message_scores(["deploy"]).collect())
+    assert score(on) == score(tables) and len(score(on)) == 2
+    S.sync(spark, ix, every(logs))
+    S.sync(spark, ix, every(logs))
+    live = {p.name for p in (tmp_path / "ix" / "parts").iterdir()}
+    state = store.state()
+    assert live == {x.split("/")[1] for x in [state["sessions"], state["coverage"], *state["segments"], *state["retired"]]}
+
+
+def test_text_output(spark, logs, tmp_path, capsys):
+    ix = str(tmp_path / "ix")
+    call = lambda *words: (cli.main(["--index", ix, *words], spark), capsys.readouterr().out)[1]
+    assert "added:    2" in call("sync", "--selector", every(logs).key())
+    assert f"next: read-range {A} --seq" in call("find", "health check") and "no results" in call("find", "absent")
+    assert ">> [3] A bye" in call("read-range", A, "--query", "bye") and "total=4" in call("read-page", A)
+    assert "msgs=4" in call("list") and "coverage_count" in call("stats") and "recommended_action" in call("status", "--root", str(logs), "--selector", every(logs).key())
+
+
+def test_old_home_moves_once(tmp_path):
+    old, new = tmp_path / "cache" / "x", tmp_path / "home" / "x"
+    assert not cli.move_old_home(str(old), str(new))
+    old.mkdir(parents=True)
+    (old / "CURRENT").write_text("{}")
+    assert cli.move_old_home(str(old), str(new)) and (new / "CURRENT").exists()
+    old.mkdir(parents=True)
+    assert not cli.move_old_home(str(old), str(new)) and not cli.move_old_home(str(new), str(new))
+
+
+def test_streams(spark, logs, tmp_path):
+    said = follow.messages(spark, str(logs))
+    q = follow.activity(said).writeStream.outputMode("complete").format("memory").queryName("activity").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start()
+    q.awaitTermination(120)
+    assert sum(r["n"] for r in spark.table("activity").collect()) == 6
+    ix = str(tmp_path / "ix")
+    for n in (6, 7):
+        q = follow.follow(spark, ix, every(logs), str(tmp_path / "c2"))
+        q.awaitTermination(120)
+        assert Store(spark, ix).messages().count() == n
+        write(logs, "2024-01-06", "00000000-0000-4000-8000-00000000000f", "/work/f", ["new"])
+
+
 def test_raw_snippet():
     far = "term alone " + "x" * 300 + " term and other close " + "y" * 300
     assert "<mark>term</mark> and <mark>other</mark>" in snippets.raw_snippet(far, "term other", ["term", "other"])
     assert snippets.raw_snippet("z" * 400, "q", ["q"]) == "z" * 160
     assert snippets.raw_snippet("", "q", ["q"]) == ""
+    # a phrase hit marks the phrase only; every hit of a term counts
+    assert snippets.raw_snippet("a term other and term", "term other", ["term", "other"]) == "a <mark>term other</mark> and term"
+    many = "aa bb " + "x" * 300 + " aa aa aa bb " + "y" * 200
+    assert "<mark>aa</mark> <mark>aa</mark> <mark>aa</mark> <mark>bb</mark>" in snippets.raw_snippet(many, "aa, bb", ["aa", "bb"])
