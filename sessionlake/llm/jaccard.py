@@ -404,7 +404,8 @@ def _links(pairs: DataFrame, full: DataFrame, percent: int, frequencies) -> Data
         rows = _meeting(left, full).mapInArrow(partial(_differences, percent=percent, frequencies=frequencies), "key long, x long, n long, label long, kind int")
         in_list = Window.partitionBy("key")
         probed = F.max(F.col("kind") > 1).over(in_list)
-        rows = rows.withColumn("ok", probed & (F.min("label").over(in_list) < F.max("label").over(in_list))).filter("ok").drop("ok")
+        split_list = F.min("label").over(in_list) < F.max("label").over(in_list)
+        rows = rows.withColumns({"a": F.min("x").over(in_list), "ok": probed & split_list}).filter("ok").drop("ok")
         rows = written(rows, "jaccard-differences")
         sums = rows.groupBy("key").agg(F.count_if(F.col("kind") % 2 == 1).alias("i"), F.count_if(F.col("kind") > 1).alias("p"), F.count("*").alias("n"))
         cost, n = sums.agg(F.sum(F.col("i") * F.col("p")), F.sum("n")).first()
@@ -412,8 +413,7 @@ def _links(pairs: DataFrame, full: DataFrame, percent: int, frequencies) -> Data
             return labels
         if cost > DENSE * n and (fewest is None or cost < fewest):
             fewest = cost
-            leads = rows.groupBy("key").agg(F.min("x").alias("a"))
-            again = rows.join(leads, "key").filter("a <> x").select("a", "x", F.lit(True).alias("star")).distinct()
+            again = rows.filter("a <> x").select("a", "x", F.lit(True).alias("star")).distinct()
         else:
             fewest = 0
             i, p = rows.filter("kind % 2 = 1").alias("i"), rows.filter("kind > 1").alias("p")
