@@ -14,8 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Shuffle files go at the end of the execution that made them.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go at the end of the execution that made them, and Python gets small batches.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 #: Frames of ``written`` with their folders.
 _paths: dict[int, tuple[DataFrame, str]] = {}
@@ -48,12 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (out, path)

@@ -60,7 +60,8 @@ FILTER_BITS = 1 << 27
 HOT_SHARE = 16  #: the filter of hot triggers is so much smaller
 HOT = 4096  #: documents
 WIDE = 20_000  #: phrases of one trigger
-PART = 1 << 21  #: triggers of a block of the parse, about
+PART = 1 << 19  #: triggers of a block of the parse, about
+MOST_TASKS = 100_000  #: of a shuffle of blocks; beyond that, a task takes several blocks, one after the other
 SHARD_BYTES = 1 << 20
 CHUNK = 1 << 19
 
@@ -186,7 +187,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], size: int, k: int, shared, ke
         base = part.offsets[row]
         held.append((fp, _span_hash(h, start, stop), part.rows.column("doc_id").to_numpy()[row], keys[row], (start - base).astype(np.int32), (stop - base).astype(np.int32)))
         n += len(fp)
-        if n > PART // 4:
+        if n > PART:
             yield flushed()
             held, n, seq = [], 0, seq + 1
     if n:
@@ -343,7 +344,7 @@ def _first_count(named: DataFrame, size: int, k: int) -> tuple[np.ndarray, np.nd
     parts = min(max(1, 2 * volume // ((size - k + 2) * PART)), FILTER_BITS // 1024)
     bits = max(1024, FILTER_BITS // parts // 1024 * 1024)
     seen = named.mapInArrow(partial(_triggers, size=size, k=k, parts=parts), "part long, fps binary, counts binary")
-    slices = seen.repartition("part").sortWithinPartitions("part").mapInArrow(partial(_common, bits=bits, hot_bits=bits // HOT_SHARE), "part long, several binary, hot binary")
+    slices = seen.repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part").mapInArrow(partial(_common, bits=bits, hot_bits=bits // HOT_SHARE), "part long, several binary, hot binary")
     several, hot = np.zeros((parts, bits // 8), np.uint8), np.zeros((parts, bits // HOT_SHARE // 8), np.uint8)
     for part, a, b in written(slices, "parse-filter").toLocalIterator():  # FILTER_BITS and a sixteenth of that
         several[part], hot[part] = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -360,7 +361,7 @@ def remove_repeated_bytes(docs: DataFrame, size: int = SIZE, k: int = TRIGGER) -
     keyed = lambda d: d.mapInArrow(_keyed, "doc_id long, text_key long, text string") if repeated else d.withColumn("text_key", F.lit(0).cast("long"))
     shared = spark.sparkContext.broadcast(_first_count(named, size, k))
     places = named.mapInArrow(partial(_candidates, size=size, k=k, shared=shared, keyed=repeated), "part long, fp binary, ctx binary, doc_id binary, text_key binary, start binary, stop binary")
-    parse = written(places.repartition("part").sortWithinPartitions("part").mapInArrow(_resolved, RESOLVED), "parse-sorted")
+    parse = written(places.repartition(min(len(shared.value[0]), MOST_TASKS), "part").sortWithinPartitions("part").mapInArrow(_resolved, RESOLVED), "parse-sorted")
 
     # hot triggers: the same by grouped minima
     hot = parse.filter(F.col("kind") == _HOT).select("fp", "ctx", "doc_id", "text_key", "start", "stop")
@@ -404,7 +405,8 @@ def op8_prefix_free_parse(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-g AS (SELECT r, doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS g FROM (SELECT r, doc_id, h, unnest(generate_series(0, length(h) // 2 - 50)) AS i FROM d WHERE length(h) >= 100 AND doc_id IS NOT NULL)),
+c AS (SELECT r, doc_id, j, substr(h, 1000 * j + 1, 1098) AS c FROM (SELECT r, doc_id, h, unnest(generate_series(0, (length(h) // 2 - 50) // 500)) AS j FROM d WHERE length(h) >= 100 AND doc_id IS NOT NULL)),
+g AS (SELECT r, doc_id, 500 * j + i AS i, md5(substr(c, 2 * i + 1, 100)) AS g FROM (SELECT r, doc_id, j, c, unnest(generate_series(0, length(c) // 2 - 50)) AS i FROM c)),
 m AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
 x AS (SELECT r, i, i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50 AS apart FROM g JOIN m USING (g) WHERE doc_id > least),
 n AS (SELECT r, i, sum(coalesce(apart, TRUE)::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM x),
