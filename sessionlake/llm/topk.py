@@ -11,9 +11,11 @@ block meets each shard by an equi-join on the shard number, so one row of work
 has a fixed size whatever the table.
 
 Defined results: a null id, a null vector or one with a null, NaN or infinite
-component takes no part; of rows that share a vec_id, the smallest vector
-counts; shorter vectors are filled up with zeros; an empty vector scores 0;
-equal scores rank by smaller vec_id; an empty table gives no rows.
+component takes no part; rows that share a vec_id are candidates each, but none
+of them is one for a query of that id, and where several of them are queries
+their scores are ranked together; shorter vectors are filled up with zeros; an
+empty vector scores 0; equal scores rank by smaller vec_id; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -40,21 +42,19 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(good).select("vec_id", F.transform("embedding", lambda x: F.floor(x * SCALE)).alias("v"))
 
 
-def _unique(pdf: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, ascending, and their vectors; of repeated ids the smallest vector."""
+def _by_id(pdf: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, ascending, and their vectors."""
     m = np.zeros((len(pdf), dim), np.int64)
     for i, v in enumerate(pdf["v"]):
         m[i, : len(v)] = v
     ids = pdf["vec_id"].to_numpy(np.int64)
     order = np.lexsort([*m.T[::-1], ids])
-    ids, m = ids[order], m[order]
-    keep = np.r_[True, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)
-    return ids[keep], m[keep]
+    return ids[order], m[order]
 
 
 def _packer(dim: int, key: str, lists: bool):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, m = _unique(pdf, dim)
+        ids, m = _by_id(pdf, dim)
         row = {key: [pdf[key].iloc[0]], "ids": [ids.tobytes()], "data": [m.tobytes()]}
         if lists:
             row["lists"] = [np.argsort(m.T, axis=1, kind="stable").astype(np.int32).tobytes()]
