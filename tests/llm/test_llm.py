@@ -1,6 +1,7 @@
 """The llm operators on small fixtures: brute force, edge cases, round trips."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -14,7 +15,8 @@ from sessionlake.llm.chat import as_events, fold, masked_texts, parse, render
 from sessionlake.llm.components import components
 from sessionlake.llm.fmindex import FMIndex, find_leaks
 from sessionlake.llm.gam import fit, quality_model, score
-from sessionlake.llm.hmm import Chain, forward, score_texts
+from sessionlake.llm import hmm
+from sessionlake.llm.hmm import Chain, expected, forward, score_texts, segments
 from sessionlake.llm.jaccard import similarity_classes
 from sessionlake.llm.mixing import mix
 from sessionlake.llm.phrases import remove_repeated
@@ -164,6 +166,44 @@ def test_forward_is_the_exact_likelihood():
     assert math.isclose(forward(chain, sym, np.array([0]), np.array([5]))[0], math.log10(total))
 
 
+@pytest.mark.parametrize("most", [2, 3, 100])
+def test_expected_counts_are_those_of_all_paths(most):
+    rng = np.random.default_rng(4)
+    k, m = 3, 5
+    emit, move = rng.random((m, k)), rng.random((k, k))
+    chain = Chain(np.array([0.2, 0.5, 0.3]), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    n = np.array([5, 1, 4, 7])
+    sym, train = rng.integers(0, m, n.sum()), np.array([True, True, False, True])
+    first, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((m, k))
+    for b, length, used in zip(np.cumsum(n) - n, n, train):
+        if not used:
+            continue
+        x, paths = sym[b : b + length], list(itertools.product(range(k), repeat=int(length)))
+        p = np.array([chain.start[s[0]] * np.prod([chain.emit[x[t], s[t]] for t in range(length)]) * np.prod([chain.move[s[t], s[t + 1]] for t in range(length - 1)]) for s in paths])
+        for w, s in zip(p / p.sum(), paths):
+            first[s[0]] += w
+            for t in range(length):
+                emitted[x[t], s[t]] += w
+                if t:
+                    moves[s[t - 1], s[t]] += w
+    s = segments(chain, sym, n, train, most)
+    got = expected(chain, sym, s.begin, s.length, s.enter, s.leave)
+    assert np.allclose(got[0], first) and np.allclose(got[1], moves)
+    assert np.allclose(np.column_stack([np.bincount(sym[got[2]], got[3][:, j], m) for j in range(k)]), emitted)
+
+
+def test_repeated_words_have_emissions_of_their_own(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(hmm, "TOP", 4)
+    nouns, verbs = [f"n{i}xx" for i in range(15)], [f"v{i}xx" for i in range(15)]  # all of one class
+    texts = [" ".join(f"{rng.choice(nouns)} {rng.choice(verbs)}" for _ in range(12)) for _ in range(150)]
+    mixed = [" ".join(rng.permutation(t.split())) for t in texts[:40]]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts + mixed)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in score_texts(d, F.col("doc_id") < 110, rounds=8).collect()}
+    fair, torn = (np.mean([out[i]["score"] for i in x]) for x in (range(110, 150), range(150, 190)))
+    assert fair > torn + 1
+
+
 def test_hmm_base_score(spark, docs):
     out = score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, rounds=2)
     rows = docs.collect()
