@@ -5,8 +5,8 @@ social security numbers, IBANs, access keys, passwords or tokens, and person
 names of the lexicons below. A found value is replaced by a surrogate of the
 same kind, drawn from a keyed hash of the value: the same value gets the same
 surrogate wherever it occurs (coreference), digits stay digits and letters stay
-letters of the same case, a valid card number stays valid, and a name becomes a
-name of the same gender and script. Known first names and surnames are permuted
+letters of the same case, valid card numbers and IBANs stay valid, and a name
+becomes a name of the same gender and script. Known first names and surnames are permuted
 within their lists, so that "Smith" alone and "John Smith" agree.
 
 Collision check: over the distinct values of all documents, a surrogate that
@@ -26,12 +26,13 @@ passed through, unless called n_entities or entity_kinds.
 
 from __future__ import annotations
 
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scratch import written
 
+KEY = "sessionlake.surrogates.key"
+DRAWN_A_TASK = 1000
 STALLED = 8  #: rounds without fewer collisions, after which the check raises
 
 # Lexicons of common names, by script and gender.
@@ -114,6 +115,24 @@ def _card(value: Column, stream: Column) -> Column:
     return F.when(valid, F.concat(fresh.substr(F.lit(1), F.length(fresh) - 1), need.cast("string"))).otherwise(fresh)
 
 
+def _mod97(iban: Column) -> Column:
+    """Remainder of the IBAN check, of a string of capitals and digits."""
+    def step(acc: Column, c: Column) -> Column:
+        v = F.ascii(c)
+        return F.when(v >= 65, (acc * 100 + v - 55) % 97).otherwise((acc * 10 + v - 48) % 97).cast("int")
+
+    moved = F.concat(iban.substr(F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+    return F.aggregate(F.split(moved, ""), F.lit(0), step)
+
+
+def _iban(value: Column, stream: Column) -> Column:
+    """One of the same country and layout; a valid one stays valid."""
+    fresh, bare = _shaped(value, stream, keep=2), lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    open_ = F.concat(F.substring(fresh, 1, 2), F.lit("00"), fresh.substr(F.lit(5), F.length(fresh)))
+    digits = F.lpad((F.lit(98) - _mod97(bare(open_))).cast("string"), 2, "0")
+    return F.when(_mod97(bare(value)) == 1, F.concat(F.substring(fresh, 1, 2), digits, fresh.substr(F.lit(5), F.length(fresh)))).otherwise(fresh)
+
+
 def _permuted(word: Column, names: list[str], key: str) -> Column:
     """The name that a keyed rotation of the list puts in word's place; null if it isn't there."""
     at = F.array_position(F.array(*map(F.lit, names)), word)
@@ -169,7 +188,7 @@ def surrogate(value: Column, attempt: Column, key: str) -> Column:
     return (
         F.when(bare, _shaped(F.regexp_replace(value, "[^A-Za-z0-9]", "x"), s)).when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", _card(value, s)).when(kind == "phone", phone)
         .when(kind == "name", F.when(new_first.isNotNull() & value.contains(" "), F.concat(new_first, F.lit(" "), new_last)).otherwise(new_last))
-        .when(kind == "key", _shaped(value, s, keep=4)).when(kind == "iban", _shaped(value, s, keep=2))
+        .when(kind == "key", _shaped(value, s, keep=4)).when(kind == "iban", _iban(value, s))
         .when(value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$"), F.when(value.rlike("[a-f]"), _shaped(value, s, hexadecimal=True)).otherwise(F.upper(_shaped(F.lower(value), s, hexadecimal=True))))
         .otherwise(_shaped(value, s))
     )
@@ -181,7 +200,8 @@ def redraws(docs: DataFrame, key: str) -> DataFrame | None:
     values = written(values.withColumn("unit", _drawn_with(F.col("value"))), "pii-values")
     now, n, fewest, stalled = values.withColumn("attempt", F.lit(0)), 0, None, 0
     while True:
-        drawn = written(now.select("value", "unit", surrogate(F.col("value"), F.col("attempt"), key).alias("s")), "pii-drawn")
+        # a surrogate costs far more than its row weighs, so tasks go by rows and not by bytes
+        drawn = written(now.repartition(max(1, -(-now.count() // DRAWN_A_TASK)), "value").select("value", "unit", surrogate(F.col("value"), F.col("attempt"), key).alias("s")), "pii-drawn")
         first = drawn.groupBy("s").agg(F.min("unit").alias("owner"), F.max("unit").alias("other")).filter("owner < other")
         shared = drawn.join(first.select("s", "owner"), "s").filter(F.col("unit") != F.col("owner")).select("unit")
         real = drawn.join(values.select(F.col("value").alias("s")), "s", "left_semi").select("unit")
@@ -199,8 +219,14 @@ def redraws(docs: DataFrame, key: str) -> DataFrame | None:
     return None if changed.isEmpty() else changed
 
 
-def replace_entities(docs: DataFrame, key: str = "surrogates", check: bool = True) -> DataFrame:
-    """docs with its entities replaced in ``text``, and n_entities, entity_kinds."""
+def session_key(spark: SparkSession) -> str:
+    """The session's secret (``sessionlake.surrogates.key``), without which surrogates can be guessed from their values."""
+    return spark.conf.get(KEY, "surrogates")
+
+
+def replace_entities(docs: DataFrame, key: str | None = None, check: bool = True) -> DataFrame:
+    """docs with its entities replaced in ``text``, and n_entities, entity_kinds; ``key`` is the session's unless given."""
+    key = session_key(docs.sparkSession) if key is None else key
     passed = [c for c in docs.columns if c not in ("text", "n_entities", "entity_kinds")]
     again = redraws(docs, key) if check else None
     # a generator of one row keeps the optimiser from repeating the search for every use of its result
