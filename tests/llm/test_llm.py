@@ -15,12 +15,12 @@ from sessionlake.llm.chat import as_events, fold, masked_texts, parse, render
 from sessionlake.llm.components import components
 from sessionlake.llm.fmindex import FMIndex, find_leaks
 from sessionlake.llm.gam import fit, quality_model, score
-from sessionlake.llm import hmm
+from sessionlake.llm import gam, hmm
 from sessionlake.llm.hmm import Chain, expected, forward, score_texts, segments
 from sessionlake.llm.jaccard import similarity_classes
 from sessionlake.llm.mixing import mix
 from sessionlake.llm.phrases import remove_repeated
-from sessionlake.llm.pii import FEMALE, MALE, SURNAMES, replace_entities
+from sessionlake.llm.pii import FEMALE, FEMALE_CYRILLIC, MALE, MALE_CYRILLIC, SURNAMES, replace_entities
 from sessionlake.llm.topk import top_k
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -247,3 +247,104 @@ def test_surrogates_stay_apart(spark):
     new = {values[r["doc_id"]]: r["text"] for r in replace_entities(d).collect()}
     assert len(set(new.values())) == len(values) and not set(new.values()) & set(values)
     assert all(new[f"James {b}"].split()[1] == new[f"Mary {b}"].split()[1] == new[f"Mr. {b}"].split()[1] for b in SURNAMES)
+
+
+def test_surrogates_keep_gender_script_and_check_digits(spark):
+    male, female = "John Smith met Robert Quellington", "Иван Петров и Мария Иванова, Mary-Ann no, Mary Jones"
+    iban, bad = "DE89 3704 0044 0532 0130 00", "DE00 3704 0044 0532 0130 00"
+    d = spark.createDataFrame([(1, male), (2, female), (3, f"{iban} and GB29NWBK60161331926819 and {bad}")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in replace_entities(d).collect()}
+    first = [x.split()[0] for x in out[1].split(" met ")]
+    assert all(x in MALE for x in first) and len(set(first)) == 2
+    a, b = re.match(r"(\w+ \w+) и (\w+ \w+),", out[2]).groups()
+    assert all(re.fullmatch("[а-яА-ЯёЁ ]+", x) for x in (a, b)) and a.split()[0] in MALE_CYRILLIC and b.split()[0] in FEMALE_CYRILLIC
+    assert out[2].split()[-2] in FEMALE and not {"Петров", "Мария", "Jones"} & set(re.split(r"\W+", out[2]))
+    rest = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+    found = [x.replace(" ", "") for x in out[3].split(" and ")]
+    assert [rest(x) == 1 for x in found[:2]] == [True, True] and out[3].split(" and ")[0][4] == " " and [x[:2] for x in found] == ["DE", "GB", "DE"]
+    assert found[0] != iban.replace(" ", "") and len(set(found)) == 3
+
+
+def test_surrogates_depend_on_the_key(spark):
+    d = spark.createDataFrame([(1, "bob@mail.example.net"), (2, "bob@mail.example.net"), (3, "BOB@mail.example.net")], "doc_id long, text string")
+    of = lambda **k: [r["text"] for r in replace_entities(d, **k).orderBy("doc_id").collect()]
+    a, b = of(key="one"), of(key="two")
+    assert a[0] == a[1] and a[0] != b[0] and a[0].lower() == a[2].lower()
+    spark.conf.set("sessionlake.surrogates.key", "two")
+    try:
+        assert of() == b
+    finally:
+        spark.conf.unset("sessionlake.surrogates.key")
+
+
+def test_topk_keeps_rows_of_one_id(spark):
+    rows = [(100, [2.0, 2.0]), (7, [1.0, 1.0]), (7, [3.0, 3.0]), (5, [0.0, 1.0]), (7, [3.0, 3.0]), (200, [1.0, 0.0]), (200, [0.0, -1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = top_k(d, F.col("vec_id") % 100 == 0, k=4).collect()
+    by = lambda q: [(r["vec_id"], r["score"] // 1048576) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
+    assert by(100) == [(7, 12), (7, 12), (7, 4), (5, 2)]
+    assert by(200) == [(7, 3), (7, 3), (100, 2), (7, 1)]
+
+
+def test_mixing_meets_targets_of_equal_ids(spark):
+    rng = np.random.default_rng(0)
+    rows = [(None if i % 2 else 3, "w " * int(rng.integers(1, 20)), s) for s in ("a", "b", "c") for i in range(300)]
+    out = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in ("a", "b", "c"):
+        own = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < 25
+        assert all(r["taken"] <= 3 * r["size"] for r in own)
+    # the tilt is exponential in size: rates of one source lie on one curve
+    a = [(r["size"], math.log(r["rate"])) for r in out if r["source"] == "b" and r["size"] and 0 < r["rate"] < 3]
+    slope = {round(y / x, 5) for x, y in a if x > 3}
+    assert max(slope) - min(slope) < 1e-4
+
+
+def test_quality_matches_a_plain_boosting(spark):
+    """The fitted tables against a direct version of cyclic boosting that splits by trying every cut."""
+    rng = np.random.default_rng(2)
+    x = np.zeros((300, len(gam.FEATURES)))
+    x[:, :3] = rng.random((300, 3)).round(1)
+    y = ((x[:, 0] > 0.5) ^ (rng.random(300) < 0.1)).astype(float)
+    model = gam.fit(x, y, rounds=5)
+    bins = [np.searchsorted(model.cuts[f], x[:, f], side="right") for f in range(x.shape[1])]
+    z = np.full(300, math.log(y.mean() / (1 - y.mean())))
+    tables = [np.zeros(len(c) + 1) for c in model.cuts]
+    for _ in range(5):
+        for f in range(x.shape[1]):
+            p = 1 / (1 + np.exp(-z))
+            g, h = y - p, p * (1 - p)
+            gain = lambda m: (g[m].sum() ** 2) / (h[m].sum() + 1)
+            parts = [np.arange(len(tables[f]))]
+            while len(parts) < gam.LEAVES:
+                best = max(((gain(np.isin(bins[f], q[:c])) + gain(np.isin(bins[f], q[c:])) - gain(np.isin(bins[f], q)), -i, -c) for i, q in enumerate(parts) for c in range(1, len(q))), default=(0, 0, 0))
+                if best[0] <= 1e-9:
+                    break
+                q = parts.pop(-best[1])
+                parts += [q[: -best[2]], q[-best[2] :]]
+            for q in parts:
+                m = np.isin(bins[f], q)
+                step = gam.RATE * g[m].sum() / (h[m].sum() + 1)
+                tables[f][q] += step
+                z[m] += step
+    assert all(np.allclose(a, b) for a, b in zip(model.tables, tables))
+    full = model.intercept + sum(t[b] for t, b in zip(model.tables, bins))
+    full += sum(t[np.searchsorted(model.coarse[a], x[:, a], side="right"), np.searchsorted(model.coarse[b], x[:, b], side="right")] for a, b, t in model.pairs)
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-full)))
+
+
+def test_quality_of_odd_texts(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(14)] + [(2, None), (None, 1), (3, 0)], "doc_id long, quality int")
+    out = score(docs, quality_model(docs, labels)).collect()
+    assert len(out) == docs.count() and all(0 <= r["score"] <= 1 for r in out)
+    same = {r["score"] for r in out if r["doc_id"] in (0, 1)}
+    assert len(same) == 1 and score(docs.limit(0), quality_model(docs, labels)).count() == 0
+
+
+def test_chat_odd_logs(spark):
+    kinds = "conv_id long, seq long, turn long, kind string, role string, text string, loss string"
+    empty = spark.createDataFrame([], kinds)
+    assert render(fold(empty)).count() == 0
+    rows = [(None, 1, 1, "message", "user", "a", "x"), (None, 1, 1, "message", "user", "a", "x"), (None, None, None, None, None, None, None), (2, 1, 1, "delta", "assistant", "b", ""), (2, 1, 1, "delta", "assistant", "a", ""), (3, 5, 1, "odd", "assistant", "t" * 50_000, "")]
+    got = {r["conv_id"]: r for r in render(fold(spark.createDataFrame(rows, kinds))).collect()}
+    assert set(got) == {None, 2, 3} and "ab" in got[2]["formatted"] and len(got[3]["formatted"]) > 50_000
