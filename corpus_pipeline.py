@@ -3,11 +3,18 @@
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; all but the last return the columns of documents. The rows of the last
 stage are the copies of the documents that the mix takes.
+
+Rows of one doc_id: the classifier, decontamination and surrogates treat every
+row by itself; for near duplicates the rows of a doc_id are one document, of whose
+equal rows one stays (the first by all columns) and whose other texts stay with it;
+the mix tells them apart by their texts. A null doc_id is no document to near
+duplicates, and its rows stay. Null and empty texts go where the classifier rejects
+them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionlake.llm._scratch import written
@@ -30,10 +37,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of every group; those without doc_id or words stay."""
     classes = written(similarity_classes(docs, SHINGLE, PERCENT), "pipeline-classes")
-    first = classes.filter(F.col("doc_id") == F.col("component_id"))
-    kept = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi")
-    if not first.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+    first = classes.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not first.filter("rows > 1").isEmpty():
+        equal = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy(F.struct(*docs.columns))
+        kept = kept.withColumn("_place", F.row_number().over(equal)).filter("_place = 1").drop("_place")
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
