@@ -18,8 +18,8 @@ occurs twice or more, anywhere, are to go.
    that its anchors name, other texts can't hold a phrase; the matches' words
    are what is removed.
 
-Counts are partial sums before any shuffle. A shard whose texts are many is
-split by text, with a copy of its patterns for each split, so that a passage in
+Counts are partial sums before any shuffle. A shard whose texts hold many bytes
+is split by text, with a copy of its patterns for each split, so that a passage in
 a third of all documents fills no task.
 
 Defined results: a null text has no words; texts shorter than a window lose
@@ -42,14 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import SPACES, _powers, chunks, mixed, rolling, window_min, words
-from ._scratch import written
+from ._scratch import released, written
 from .fmindex import merged
 
 WINDOW = 35
 CHUNK = 1 << 21  #: text bytes whose anchors are counted together before the shuffle
 ANCHOR = 8
 SHARD_WORDS = 400_000  #: pattern words of a shard, about
-SPLIT_DOCS = 1000  #: texts of a split of a shard, about
+SPLIT_BYTES = 1 << 21  #: text of a split of a shard, about
 
 
 def _anchored(h: np.ndarray, row: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,24 +120,26 @@ def _flat(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBa
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Windows of the contexts asked for: wh, n, sure, tk, start."""
+    """Windows of the contexts asked for: wh, wh2 (128 bits of each), n, sure, tk, start."""
     for part in chunks(batches, most=CHUNK):
         w = words(part, SPACES)
         rows = part.rows.select(["tk", "asked"]).to_pylist()
-        wh, n, sure, tk, start = [], [], [], [], []
+        wh, wh2, n, sure, tk, start = [], [], [], [], [], []
         for i, r in enumerate(rows):
             if not r["asked"]:
                 continue
-            all_ = rolling(w.hash[w.first[i] : w.first[i + 1]], window).view(np.int64)
+            own = w.hash[w.first[i] : w.first[i + 1]]
+            all_, other = rolling(own, window).view(np.int64), rolling(mixed(own), window).view(np.int64)
             for x in r["asked"]:
                 at = np.arange(x["start"], x["stop"] - window + 1)
                 wh.append(all_[at])
+                wh2.append(other[at])
                 start.append(at)
                 n += [x["n"]] * len(at)
                 tk += [r["tk"]] * len(at)
         sure = [x > 1 for x in n]
         if wh:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(wh)), pa.array(n, pa.int64()), pa.array(sure), pa.array(tk, pa.binary()), pa.array(np.concatenate(start).astype(np.int32))], names=["wh", "n", "sure", "tk", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(wh)), pa.array(np.concatenate(wh2)), pa.array(n, pa.int64()), pa.array(sure), pa.array(tk, pa.binary()), pa.array(np.concatenate(start).astype(np.int32))], names=["wh", "wh2", "n", "sure", "tk", "start"])
 
 
 _RANGE = 0x110000 - 0x800
@@ -249,10 +251,10 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     text_key = docs.filter(F.col("text").isNotNull()).mapInArrow(_keyed, "tk binary, text string")
     texts = written(text_key.join(flagged, "tk").groupBy("tk").agg(*[F.first(x).alias(x) for x in ("text", "asked", "whole")]), "phrase-texts")
 
-    windows = texts.filter("asked IS NOT NULL").select("tk", "text", "asked").mapInArrow(partial(_single_windows, window=window), "wh long, n long, sure boolean, tk binary, start int")
+    windows = texts.filter("asked IS NOT NULL").select("tk", "text", "asked").mapInArrow(partial(_single_windows, window=window), "wh long, wh2 long, n long, sure boolean, tk binary, start int")
     windows = written(windows, "phrase-windows")
-    again = windows.groupBy("wh").agg(F.sum("n").alias("total")).filter("total > 1").select("wh")
-    starts = windows.filter("NOT sure").join(again, "wh", "left_semi").groupBy("tk").agg(F.collect_list("start").alias("starts"))
+    again = windows.groupBy("wh", "wh2").agg(F.sum("n").alias("total")).filter("total > 1").select("wh", "wh2")
+    starts = windows.filter("NOT sure").join(again, ["wh", "wh2"], "left_semi").groupBy("tk").agg(F.collect_list("start").alias("starts"))
     cut = texts.select("tk", "text", "whole").join(starts, "tk", "left").filter("whole IS NOT NULL OR starts IS NOT NULL")
     patterns = written(cut.mapInArrow(partial(_cut_patterns, window=window), "tk binary, words binary"), "phrase-patterns")
 
@@ -262,12 +264,14 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     sure = seen.join(contexts.select("fp", "ctx", F.col("n").alias("of"), F.col("at.tk").alias("home")), ["fp", "ctx"])
     routes = sure.select("tk", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int").alias("shard")).distinct()
     routes = written(routes, "phrase-routes")
-    splits = routes.groupBy("shard").agg(F.ceil(F.count("*") / SPLIT_DOCS).cast("int").alias("splits"))
+    weighed = routes.join(texts.select("tk", F.octet_length("text").alias("bytes")), "tk")
+    splits = written(weighed.groupBy("shard").agg(F.ceil((F.sum("bytes") + 1) / SPLIT_BYTES).cast("int").alias("splits")), "phrase-splits")
     dealt = routes.join(splits, "shard").select("tk", "shard", F.pmod(F.xxhash64("tk", F.lit(3)), "splits").cast("int").alias("split"))
     copies = patterns.select(shard.alias("shard"), "words").distinct().join(splits, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), "words")
     streams = dealt.join(texts.select("tk", "text"), "tk")
     spans = streams.groupBy("shard", "split").cogroup(copies.groupBy("shard", "split")).applyInPandas(_scan, "tk binary, spans array<int>")
     spans = written(spans, "phrase-spans")
+    released(seen, contexts, windows, patterns, routes, splits)
     found = spans.groupBy("tk").agg(F.collect_list("spans").alias("spans"))
     left = texts.select("tk", "text").join(found, "tk").mapInArrow(_kept, "tk binary, n_removed long, digest binary")
     out = profile.select("doc_id", "tk", "n_words", F.col("digest").alias("whole")).join(left, "tk", "left")
