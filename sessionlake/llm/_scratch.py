@@ -22,8 +22,8 @@ _paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set to a fresh one only where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's checkpoint folder, by its conf or its context; set to a fresh one only where unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="sessionlake-")
         spark.sparkContext.setCheckpointDir(folder)

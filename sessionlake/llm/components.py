@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import written
+from ._scratch import released, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     only fall, so the rounds end; each is written to the shared folder.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
+    labels = table = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
     while True:
         jump = labels.select(F.col("v").alias("label"), F.col("label").alias("next"))
         above = labels.join(jump, "label").select("v", "label", "next")
@@ -26,6 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = low.groupBy(F.col("label").alias("v")).agg(F.min("low").alias("hook"))
         after = low.join(hooks, "v", "left").select("v", F.least("low", "hook").alias("label"), (F.least("low", "hook") < F.col("label")).alias("moved"))
         after = written(after, "cc-labels")
-        labels = after.select("v", "label")
+        released(table, low)
+        labels, table = after.select("v", "label"), after
         if after.filter("moved").isEmpty():
+            released(both)
             return labels

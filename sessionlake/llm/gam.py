@@ -225,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
     # at most max_train rows of two numbers are broadcast
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text")
-    got = found.mapInArrow(measure, "y double, x array<double>").toPandas()
+    # rows of one doc_id may be many: the first max_train by their features count
+    got = found.mapInArrow(measure, "y double, x array<double>").orderBy("x", "y").limit(max_train).toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     order = np.lexsort([*x.T, got["y"].to_numpy()])  # rows arrive in any order; the sums must not
     return fit(x[order], got["y"].to_numpy()[order])
