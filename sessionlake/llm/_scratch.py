@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: While a table is written: shuffle files go at the end of the execution that made them, and Python gets small batches.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 #: Frames of ``written`` with their folders.
 _paths: dict[int, tuple[DataFrame, str]] = {}

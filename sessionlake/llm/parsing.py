@@ -60,7 +60,7 @@ FILTER_BITS = 1 << 27
 HOT_SHARE = 16  #: the filter of hot triggers is so much smaller
 HOT = 4096  #: documents
 WIDE = 20_000  #: phrases of one trigger
-PART = 1 << 19  #: triggers of a block of the parse, about
+PART = 1 << 18  #: triggers of a block of the parse, about
 MOST_TASKS = 100_000  #: of a shuffle of blocks; beyond that, a task takes several blocks, one after the other
 SHARD_BYTES = 1 << 20
 CHUNK = 1 << 19
@@ -109,21 +109,25 @@ def _triggers(batches: Iterator[pa.RecordBatch], size: int, k: int, parts: int)
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Rows of equal ``part``, which come together; those of hot parts, below 0, as they come."""
-    now, held = None, []
+    now, held, ready = None, [], []  # what is ready is popped, so that the reader alone holds it
     for batch in batches:
         part = batch.column("part").to_numpy()
         edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
         for a, b in zip(edge, np.r_[edge[1:], len(part)]):
             if held and part[a] != now:
-                yield now, held
+                ready.append((now, held))
                 held = []
+                yield ready.pop()
             now = int(part[a])
             if now < 0:
                 yield now, [batch.slice(a, b - a)]
             else:
                 held.append(batch.slice(a, b - a))
+    batch = None
     if held:
-        yield now, held
+        ready.append((now, held))
+        held = []
+        yield ready.pop()
 
 
 def _joined(rows: list[pa.RecordBatch], name: str, kind) -> np.ndarray:
@@ -172,7 +176,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], size: int, k: int, shared, ke
         of = _part_of(cols[0], parts)
         of[_passes(cols[0], of, hot)] = -1 - seq % 97
         order = np.argsort(of, kind="stable")
-        of, cols = of[order], [x[order] for x in cols]
+        of, cols = of[order], [x[order] if len(x) else x for x in cols]
         edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         ranges = list(zip(edge, np.r_[edge[1:], len(of)]))
         return pa.RecordBatch.from_arrays([pa.array(of[edge]), *[pa.array([x[a:b].tobytes() for a, b in ranges], pa.binary()) for x in cols]], names=["part", *[x[0] for x in PLACE]])
@@ -183,9 +187,9 @@ def _candidates(batches: Iterator[pa.RecordBatch], size: int, k: int, shared, ke
         row, fp, start, stop = row[keep], fp[keep], start[keep], stop[keep]
         if not len(fp):
             continue
-        keys = _text_keys(part) if keyed else np.zeros(part.rows.num_rows, np.int64)
         base = part.offsets[row]
-        held.append((fp, _span_hash(h, start, stop), part.rows.column("doc_id").to_numpy()[row], keys[row], (start - base).astype(np.int32), (stop - base).astype(np.int32)))
+        keys = _text_keys(part)[row] if keyed else np.zeros(0, np.int64)
+        held.append((fp, _span_hash(h, start, stop), part.rows.column("doc_id").to_numpy()[row], keys, (start - base).astype(np.int32), (stop - base).astype(np.int32)))
         n += len(fp)
         if n > PART:
             yield flushed()
@@ -210,13 +214,17 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, rows in _runs(batches):
         cols = [_joined(rows, name, kind) for name, kind in PLACE]
         n = len(cols[0])
+        cols[3] = cols[3] if len(cols[3]) else np.zeros(n, np.int64)  # texts are keyed only where ids repeat
+        del rows
         if part < 0:
             for a in range(0, n, 1 << 16):
                 some = [x[a : a + (1 << 16)] for x in cols]
                 yield batch(_HOT, some, np.zeros(len(some[0]), bool), np.zeros(len(some[0]), int))
             continue
         order = np.lexsort((cols[4], cols[3], cols[2], cols[1], cols[0]))
-        fp, ctx, doc, key, start, stop = cols = [x[order] for x in cols]
+        for i in range(len(cols)):
+            cols[i] = cols[i][order]
+        fp, ctx, doc, key, start, stop = cols
         of_fp = np.r_[True, fp[1:] != fp[:-1]]
         of_ctx = of_fp | np.r_[True, ctx[1:] != ctx[:-1]]
         head = np.flatnonzero(of_ctx)
