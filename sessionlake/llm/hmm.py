@@ -1,14 +1,14 @@
 """Language model scoring with a hidden Markov model over words.
 
 1. Texts become blocks: documents of about BLOCK_BYTES of text with their words
-   numbered inside the block. A row per block and distinct word is summed by word,
-   which gives the training counts of the whole corpus; the counts go back to the
-   blocks.
+   numbered inside the block. A row per block and distinct word goes through a
+   window by word, which adds up the training counts of the whole corpus; the
+   counts go back to the blocks.
 2. A word's symbol is the word itself (counts above the TOP-th largest), its
-   suffix class (other words seen twice or more), RARE (seen once or never) or
-   END. Within RARE, words share the symbol's probability by fixed shares, so
-   every state has a proper distribution over all known words, one unknown word
-   and END.
+   suffix class (rarer words), RARE (seen once or never) or END. Within a class
+   or RARE, words share the symbol's probability by fixed shares that don't
+   depend on the state, so every state has a proper distribution over all known
+   words, one unknown word and END.
 3. Baum-Welch: every task runs scaled forward-backward over its training
    documents and gives expected counts of (state, symbol) and of transitions; these
    are summed across partitions, and only the K * (M + K) sums, a fixed number,
@@ -16,10 +16,7 @@
    run side by side; what enters a segment from the left and from the right
    follows from the products of the segments' transition matrices, so the counts
    are those of the whole text.
-4. A last round counts states for every repeated word of a class. These counts
-   stay partitioned by word, whatever their number, and are joined to the blocks
-   as the first counts are: so each repeated word has emissions of its own.
-5. The scaled forward recursion over each whole text gives its likelihood.
+4. The scaled forward recursion over each whole text gives its likelihood.
 
 Defined results: a null text is empty and has the one token END; a null doc_id
 is never held out; repeated rows count and are scored each; without training
@@ -35,7 +32,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import SPACES, chunks, mixed, words
@@ -53,7 +50,6 @@ BATCH_TOKENS = 400_000
 END, RARE, FIRST_CLASS, FIRST_TOP = 0, 1, 2, 2 + CLASSES
 UNKNOWN_SHARE = 0.5  #: of RARE's probability, for the unknown word
 SMOOTHING = 10.0
-WORD_SMOOTHING = 10.0  #: of a word's share of its class in a state, in counts of its overall share
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,13 +259,10 @@ def _batches(begin: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
             yield x
 
 
-CODED = "block long, doc_ids array<long>, train binary, n_tokens binary, codes binary, vocab binary, sym binary, share binary, c binary, n_known binary, base binary"
-_CODED_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *[(x, pa.binary()) for x in ("train", "n_tokens", "codes", "vocab", "sym", "share", "c", "n_known", "base")]])
+CODED = "doc_ids array<long>, train binary, n_tokens binary, sym binary, n_known binary, base binary, share binary"
 
 
 def _coder(vocabulary, end_known: bool):
-    """Blocks with the symbols of their own words; a token is the number of its word, END the number after the last."""
-
     def code(found: pa.Table, block: pa.Table) -> pa.Table:
         v: Vocabulary = vocabulary.value
         rows = []
@@ -278,37 +271,24 @@ def _coder(vocabulary, end_known: bool):
             c = np.zeros(len(vocab), np.int64)
             c[found.column("idx").to_numpy()] = found.column("c").to_numpy()
             sym, share = v.symbols(vocab, c, kinds)
-            n_words, words_ = np.frombuffer(r["n_words"], np.int32).astype(np.int64), np.frombuffer(r["codes"], np.int32)
+            n_words, codes = np.frombuffer(r["n_words"], np.int32).astype(np.int64), np.frombuffer(r["codes"], np.int32)
             n_tokens = n_words + 1
-            codes = np.full(int(n_tokens.sum()), len(vocab), np.int32)
-            at = np.ones(len(codes), bool)
-            at[np.cumsum(n_tokens) - 1] = False
-            codes[at] = words_
+            ends = np.cumsum(n_tokens) - 1
+            out = np.full(int(n_tokens.sum()), END, np.uint16)
+            at = np.ones(len(out), bool)
+            at[ends] = False
+            out[at] = sym[codes]
             row = np.repeat(np.arange(len(n_words)), n_words)
             lower = 0.1 * (v.n_kinds + 1) + v.n_tokens
             base = np.log10((c + 0.1) / lower)
-            known, total = (np.bincount(row, x[words_], len(n_words)) for x in ((c > 0).astype(float), base))
-            rows.append({
-                "block": r["block"], "doc_ids": r["doc_ids"], "train": r["train"], "n_tokens": n_tokens.tobytes(), "codes": codes.tobytes(), "vocab": r["vocab"], "sym": np.append(sym, END).astype(np.int32).tobytes(),
-                "share": np.append(share, 0.0).tobytes(), "c": c.tobytes(), "n_known": (known.astype(np.int64) + int(end_known)).tobytes(), "base": (total + np.log10((v.n_ends + 0.1) / lower)).tobytes(),
-            })
+            per = [np.bincount(row, x[codes], len(n_words)) for x in ((c > 0).astype(float), base, share)]
+            rows.append({"doc_ids": r["doc_ids"], "train": r["train"], "n_tokens": n_tokens.tobytes(), "sym": out.tobytes(), "n_known": (per[0].astype(np.int64) + int(end_known)).tobytes(), "base": (per[1] + np.log10((v.n_ends + 0.1) / lower)).tobytes(), "share": per[2].tobytes()})
         return pa.Table.from_pylist(rows, schema=_CODED_ARROW)
 
     return code
 
 
-def _counted(chain: Chain, r: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Expected starts and moves of a block's training texts, and words with their states, batch by batch."""
-    codes, n_tokens = np.frombuffer(r["codes"], np.int32), np.frombuffer(r["n_tokens"], np.int64)
-    local = Chain(chain.start, chain.move, chain.emit[np.frombuffer(r["sym"], np.int32)])
-    s = segments(local, codes, n_tokens, np.frombuffer(r["train"], bool))
-    for x in _batches(s.begin, s.length):
-        first, moves, places, gamma = expected(local, codes, s.begin[x], s.length[x], s.enter[x], s.leave[x])
-        yield first, moves, codes[places], gamma
-
-
-def _by_row(rows: np.ndarray, gamma: np.ndarray, n: int) -> np.ndarray:
-    return np.column_stack([np.bincount(rows, gamma[:, j], n) for j in range(gamma.shape[1])])
+_CODED_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), *[(x, pa.binary()) for x in ("train", "n_tokens", "sym", "n_known", "base", "share")]])
 
 
 def _counter(chain):
@@ -319,12 +299,14 @@ def _counter(chain):
         m, k = c.emit.shape
         total = [np.zeros((1, k)), np.zeros((k, k)), np.zeros((m, k))]
         for batch in batches:
-            for r in batch.to_pylist():
-                sym = np.frombuffer(r["sym"], np.int32)
-                for first, moves, words_, gamma in _counted(c, r):
+            for r in batch.select(["train", "n_tokens", "sym"]).to_pylist():
+                sym = np.frombuffer(r["sym"], np.uint16).astype(np.int64)
+                s = segments(c, sym, np.frombuffer(r["n_tokens"], np.int64), np.frombuffer(r["train"], bool))
+                for x in _batches(s.begin, s.length):
+                    first, moves, places, gamma = expected(c, sym, s.begin[x], s.length[x], s.enter[x], s.leave[x])
                     total[0] += first
                     total[1] += moves
-                    total[2] += _by_row(sym[words_], gamma, m)
+                    total[2] += np.column_stack([np.bincount(sym[places], gamma[:, j], m) for j in range(k)])
         for kind, x in enumerate(total):
             i, j = np.nonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), kind, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(x[i, j])], names=["kind", "i", "j", "v"])
@@ -332,25 +314,6 @@ def _counter(chain):
     return count
 
 
-def _word_counter(chain):
-    """word, kind, block, idx, n: states of the repeated words of classes, as expected in each block."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Chain = chain.value
-        k = c.emit.shape[1]
-        for batch in batches:
-            for r in batch.to_pylist():
-                sym, vocab = np.frombuffer(r["sym"], np.int32)[:-1], np.frombuffer(r["vocab"], np.int64)
-                seen = np.zeros((len(sym) + 1, k))
-                for _, _, words_, gamma in _counted(c, r):
-                    seen += _by_row(words_, gamma, len(seen))
-                at = np.flatnonzero((sym >= FIRST_CLASS) & (sym < FIRST_TOP))
-                cols = [pa.array(vocab[at]), pa.array((sym[at] - FIRST_CLASS).astype(np.int32)), pa.array(np.full(len(at), r["block"])), pa.array(at.astype(np.int32)), *[pa.array(seen[at, j].astype(np.float32)) for j in range(k)]]
-                yield pa.RecordBatch.from_arrays(cols, names=["word", "kind", "block", "idx", *[f"n{j}" for j in range(k)]])
-
-    return count
-
-
 def train_chain(coded: DataFrame, n_symbols: int, counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Chain:
     """Baum-Welch from a fixed start; counts: occurrences per symbol in training."""
     spark = coded.sparkSession
@@ -361,7 +324,7 @@ def train_chain(coded: DataFrame, n_symbols: int, counts: np.ndarray, states: in
     chain = Chain(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(0))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(chain)  # n_symbols * states numbers, at most (TOP + CLASSES + 2) * STATES
-        rows = coded.select("train", "n_tokens", "codes", "sym").mapInArrow(_counter(shared), "kind int, i int, j int, v double").groupBy("kind", "i", "j").agg(F.sum("v").alias("v"))
+        rows = coded.mapInArrow(_counter(shared), "kind int, i int, j int, v double").groupBy("kind", "i", "j").agg(F.sum("v").alias("v"))
         first, moves, emitted = np.zeros((1, states)), np.zeros((states, states)), np.zeros((n_symbols, states))
         got = rows.toPandas()
         for kind, m in enumerate((first, moves, emitted)):
@@ -384,10 +347,10 @@ def score_texts(docs: DataFrame, is_train, states: int = STATES, rounds: int = R
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(is_train, F.lit(True)).alias("train"), F.col("text"))
     blocks = written(rows.mapInArrow(_blocks, BLOCK_SCHEMA), "hmm-blocks")
     entries = blocks.select("block", "vocab", "kinds", "counts").mapInArrow(_entries, "word long, block long, idx int, kind short, n long")
-    entries = written(entries, "hmm-entries")
-    # a common word has a row in every block: sums are combined before the shuffle and the join splits skewed words
-    kinds = written(entries.groupBy("word").agg(F.sum("n").alias("c"), F.first("kind").alias("kind")).filter("c > 0"), "hmm-kinds")
-    counted = entries.select("word", "block", "idx").join(kinds.select("word", "c"), "word").select("block", "idx", "c")
+    same = Window.partitionBy("word")
+    counted = entries.withColumn("c", F.sum("n").over(same)).withColumn("lead", F.col("block") == F.min("block").over(same))
+    counted = written(counted.select("word", "block", "idx", "kind", "c", "lead"), "hmm-counts")
+    kinds = counted.filter(F.col("lead") & (F.col("c") > 0))
     largest = kinds.filter(F.col("c") > 1).orderBy(F.col("c").desc(), "word").limit(TOP).select("word", "c").toPandas()
     cut = int(largest["c"].min()) if len(largest) == TOP else 1
     top = np.sort(largest["word"][largest["c"] > cut].to_numpy(np.int64))
@@ -403,47 +366,25 @@ def score_texts(docs: DataFrame, is_train, states: int = STATES, rounds: int = R
     shared = spark.sparkContext.broadcast(v)  # at most TOP hashes and CLASSES sums
     coded = counted.select("block", "idx", "c").groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_coder(shared, n_ends > 0), CODED)
     coded = written(coded, "hmm-coded")
-    released(blocks, entries, kinds)
+    released(blocks, counted)
     chain = train_chain(coded, len(counts), counts, states, rounds)
     model = spark.sparkContext.broadcast(chain)
-    columns = [f"n{j}" for j in range(states)]
-    kinds_ = ", ".join(f"{c} float" for c in columns)
-    seen = coded.select("block", "train", "n_tokens", "codes", "vocab", "sym").mapInArrow(_word_counter(model), f"word long, kind int, block long, idx int, {kinds_}")
-    seen = written(seen, "hmm-words")
-    by_word = seen.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns])
-    class_states = np.zeros((CLASSES, states))
-    for r in seen.groupBy("kind").agg(*[F.sum(c).alias(c) for c in columns]).collect():  # at most CLASSES rows
-        class_states[r["kind"]] = [r[c] for c in columns]
-    owned = seen.select("word", "block", "idx").join(by_word, "word").select("block", "idx", *columns)
-    in_class = spark.sparkContext.broadcast((class_states, sums))
-    return coded.drop("train", "vocab").groupBy("block").cogroup(owned.groupBy("block")).applyInArrow(_scorer(model, in_class, int(v.n_tokens)), SCORED)
-
-
-SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
+    train_tokens = int(v.n_tokens)
 
-def _scorer(model, in_class, train_tokens: int):
-    """Forward recursion over whole texts; words of a class have its emission times their share of it in each state."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                sym = np.frombuffer(r["sym"], np.uint16).astype(np.int64)
+                length = np.frombuffer(r["n_tokens"], np.int64)
+                begin = np.cumsum(length) - length
+                n = len(length)
+                total = forward(model.value, sym, begin, length) + np.frombuffer(r["share"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(r["doc_ids"], pa.int64()), pa.array(length), pa.array(np.frombuffer(r["n_known"], np.int64)), pa.array(np.full(n, train_tokens)), pa.array(np.frombuffer(r["base"])), pa.array(total)],
+                    names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
-    def score(block: pa.Table, owned: pa.Table) -> pa.Table:
-        chain, (class_states, class_sums), out = model.value, in_class.value, []
-        k = chain.emit.shape[1]
-        for r in block.to_pylist():
-            sym, c = np.frombuffer(r["sym"], np.int32), np.frombuffer(r["c"], np.int64)
-            emit = chain.emit[sym] * 10.0 ** np.frombuffer(r["share"])[:, None]
-            idx = owned.column("idx").to_numpy()
-            if len(idx):
-                kind = sym[idx] - FIRST_CLASS
-                n = np.column_stack([owned.column(f"n{j}").to_numpy() for j in range(k)])
-                own = (n + WORD_SMOOTHING * (c[idx] / class_sums[kind])[:, None]) / (class_states[kind] + WORD_SMOOTHING)
-                emit[idx] = chain.emit[sym[idx]] * own
-            length = np.frombuffer(r["n_tokens"], np.int64)
-            total = forward(Chain(chain.start, chain.move, emit), np.frombuffer(r["codes"], np.int32), np.cumsum(length) - length, length)
-            cols = [pa.array(r["doc_ids"], pa.int64()), pa.array(length), pa.array(np.frombuffer(r["n_known"], np.int64)), pa.array(np.full(len(length), train_tokens)), pa.array(np.frombuffer(r["base"])), pa.array(total)]
-            out.append(pa.Table.from_arrays(cols, names=[x.split()[0] for x in SCORED.split(", ")]))
-        return pa.concat_tables(out)
-
-    return score
+    return coded.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_hmm_score(spark, sf_dir: str) -> DataFrame:

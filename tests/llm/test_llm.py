@@ -15,7 +15,7 @@ from sessionlake.llm.chat import as_events, fold, masked_texts, parse, render
 from sessionlake.llm.components import components
 from sessionlake.llm.fmindex import FMIndex, find_leaks
 from sessionlake.llm.gam import fit, quality_model, score
-from sessionlake.llm import gam, hmm
+from sessionlake.llm import gam
 from sessionlake.llm.hmm import Chain, expected, forward, score_texts, segments
 from sessionlake.llm.jaccard import similarity_classes
 from sessionlake.llm.mixing import mix
@@ -192,18 +192,6 @@ def test_expected_counts_are_those_of_all_paths(most):
     assert np.allclose(np.column_stack([np.bincount(sym[got[2]], got[3][:, j], m) for j in range(k)]), emitted)
 
 
-def test_repeated_words_have_emissions_of_their_own(spark, monkeypatch):
-    rng = np.random.default_rng(1)
-    monkeypatch.setattr(hmm, "TOP", 4)
-    nouns, verbs = [f"n{i}xx" for i in range(15)], [f"v{i}xx" for i in range(15)]  # all of one class
-    texts = [" ".join(f"{rng.choice(nouns)} {rng.choice(verbs)}" for _ in range(12)) for _ in range(150)]
-    mixed = [" ".join(rng.permutation(t.split())) for t in texts[:40]]
-    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts + mixed)], "doc_id long, text string")
-    out = {r["doc_id"]: r for r in score_texts(d, F.col("doc_id") < 110, rounds=8).collect()}
-    fair, torn = (np.mean([out[i]["score"] for i in x]) for x in (range(110, 150), range(150, 190)))
-    assert fair > torn + 1
-
-
 def test_hmm_base_score(spark, docs):
     out = score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, rounds=2)
     rows = docs.collect()
