@@ -95,13 +95,18 @@ def lowered(data: np.ndarray) -> np.ndarray:
 def _byte_values(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     """64 random bits for every byte and its place in its word (``start``: where words begin)."""
     n = len(data)
-    origin = np.zeros(n, np.int64)
+    origin = np.zeros(n, np.int32)
     origin[start] = start
     np.maximum.accumulate(origin, out=origin)
-    place = np.arange(n, dtype=np.int64) - origin
-    out = _PLACED[(np.minimum(place, _PLACES - 1) << 8) | data]
+    place = np.arange(n, dtype=np.int32)
+    place -= origin
     late = np.flatnonzero(place >= _PLACES)
-    out[late] = mixed(((place[late] << 8) | data[late]).astype(np.uint64) * _P + _P)
+    far = (place[late].astype(np.uint64) << np.uint64(8)) | data[late]
+    np.minimum(place, _PLACES - 1, out=place)
+    place <<= 8
+    place |= data
+    out = _PLACED.take(place)
+    out[late] = mixed(far * _P + _P)
     return out
 
 

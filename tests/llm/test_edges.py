@@ -134,3 +134,29 @@ def test_pipeline_stages(spark):
     before, after = seen["mixing"]
     assert set(after["doc_id"]) <= set(before["doc_id"]) and after.groupby("doc_id")["copy"].max().max() <= 3
     assert (after.groupby("doc_id")["copy"].nunique() == after.groupby("doc_id").size()).all()
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    a, b, c, long = text(60), text(60), text(60), text(30_000)
+    rows = [(1, a, "s"), (2, a + " more", "s"), (5, b, None), (5, c, "s"), (5, c, "s"), (None, a, "t"), (None, a, "t"), (7, None, "s"), (8, "", None), (9, long, "t"), (None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], schema)
+    item = " ".join(b.split()[10:25])
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    run = lambda name, d: written(dict(corpus_pipeline.STAGES)[name](spark, d, str(tmp_path)), "odd")
+    assert run("quality", docs).count() == 0  # without labels every score is 0.5
+    kept = run("near_duplicates", docs)
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (5, c), (None, a), (None, a), (7, None), (8, ""), (9, long), (None, None)], key=str)
+    clean = run("decontamination", kept)
+    assert clean.columns == docs.columns and clean.count() == 9
+    assert {r["text"] for r in clean.filter("doc_id = 5").collect()} == {" ".join([*b.split()[:10], "", *b.split()[25:]]), c}
+    safe = run("surrogates", clean)
+    assert safe.columns == docs.columns and safe.count() == 9
+    mixed = run("mixing", safe)
+    assert {r["doc_id"] for r in mixed.collect()} <= {1, 5, 7, 8, 9, None} and mixed.columns == [*docs.columns, "copy"]
+    for name, _ in corpus_pipeline.STAGES:
+        assert run(name, docs.limit(0)).count() == 0
