@@ -47,7 +47,7 @@ def golden(spark: SparkSession, path: str) -> DataFrame:
     ``error`` says what is wrong with a line and is null for a valid one.
     """
     # golden files are written by hand: a file is one row for its lines to have numbers
-    lines = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     rows = lines.withColumns({"line_no": F.col("line_no") + 1, "line": trim(F.col("line"))}).filter("line <> '' AND NOT startswith(line, '#')").withColumn("v", F.try_parse_json("line"))
     v = F.col("v")
     context = {

@@ -63,7 +63,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 def records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Records of the files as plain columns: file_path, line_no, bare_null, timestamp, kind, text, texts, id, cwd, model."""
-    return fields(spark.read.option("wholetext", "true").text(paths).select(plain_path(F.col("_metadata.file_path")).alias("file_path"), "value"))
+    return fields(spark.read.text(paths, wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("file_path"), "value"))
 
 
 def fields(files: DataFrame) -> DataFrame:

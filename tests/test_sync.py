@@ -55,6 +55,7 @@ def test_parse(spark, logs):
     files = jsonl.listing(spark, str(logs))
     assert sorted((r["path_date"], r["cwd"]) for r in files.collect()) == [("2024-01-02", "/work/a"), ("2024-01-03", "/work/b")]
     rows = jsonl.records(spark, [r["file_path"] for r in files.collect()])
+    assert [r["line_no"] for r in rows.filter(f"file_path LIKE '%{B}%'").orderBy("line_no").collect()] == [0, 1, 2, 3]
     a = {r["session_uuid"]: r for r in jsonl.parsed_sessions(files, rows).collect()}[A]
     assert (a["verdict"], a["title"], a["cwd"], a["model"], a["message_count"]) == ("parsed", "deploy the health check", "/work/a", "m1", 4)
     assert (a["compact_text"], a["reasoning_summary_text"]) == ("first note", "because")
