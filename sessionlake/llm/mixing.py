@@ -37,6 +37,7 @@ NEWTON_STEPS = 60
 PRECISION = 1e-10  #: of a source's target
 FILL_ROUNDS = 3
 BUCKET_BITS = 10
+FEW_ROWS = 200_000  #: tables of at most so many rows (a source and size each) are summed in one task
 PLACE_BITS = 62  #: of a document's place in the order of further copies
 
 
@@ -75,14 +76,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 def balance(sizes: DataFrame, targets: DataFrame, cap: int = MAX_REPEAT) -> DataFrame:
     """targets with the mean size of a source's documents that have words, and its multiplier ``tilt``."""
     held = written(sizes.filter("size > 0").groupBy(F.col("source").alias("of"), "size").agg(F.count("*").alias("n")), "mix-sizes-by-source")
+    # a step over a small table is one task and no shuffle
+    few = held.count() + targets.count() <= FEW_ROWS
+    held, targets = (held.coalesce(1), targets.coalesce(1)) if few else (held, targets)
     means = held.groupBy("of").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
     full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-9)
     none = F.lit(None).cast("double")
     state = targets.join(means, targets.source.eqNullSafe(means.of), "left").select(
         "source", "source_size", "target", "mean", F.lit(0.0).alias("tilt"), none.alias("lo"), none.alias("hi"), (full | (F.col("source_size") <= 0) | (F.col("target") <= 0)).alias("done"), full.alias("full")
     )
-    state = written(state, "mix-tilt")
+    state = table = written(state, "mix-tilt")
     for _ in range(NEWTON_STEPS):
+        state = table.coalesce(1) if few else table
         if state.filter("NOT done").isEmpty():
             return state.select("source", "source_size", "target", "mean", "tilt", "full")
         x = F.col("size") / F.col("mean")
@@ -90,8 +95,8 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: int = MAX_REPEAT) -> Data
         weight = F.col("n") * F.col("size")
         sums = held.join(state.filter("NOT done"), held.of.eqNullSafe(state.source)).groupBy("of").agg(F.sum(weight * rate).alias("g"), F.sum(F.when(rate < cap, weight * x * rate).otherwise(0.0)).alias("h"))
         after = written(_stepped(state.join(sums, state.source.eqNullSafe(sums.of), "left")), "mix-tilt")
-        released(state)
-        state = after
+        released(table)
+        table = after
     raise RuntimeError(f"balance: no multipliers after {NEWTON_STEPS} steps")
 
 
