@@ -138,7 +138,7 @@ def _slots(fp: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mixed(fp + np.uint64(s)) % np.uint64(bits)).astype(np.int64) for s in (1, 2)]
 
 
-def _common(batches: Iterator[pa.RecordBatch], bits: int, hot_bits: int) -> Iterator[pa.RecordBatch]:
+def _common(batches: Iterator[pa.RecordBatch], bits: int, hot_bits: int, hot: int) -> Iterator[pa.RecordBatch]:
     """part and its slices of both filters: triggers of several documents, and hot ones."""
     for part, rows in _runs(batches):
         fp, count = _joined(rows, "fps", np.uint64), _joined(rows, "counts", np.uint8)
@@ -147,7 +147,7 @@ def _common(batches: Iterator[pa.RecordBatch], bits: int, hot_bits: int) -> Iter
         edge = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
         total = np.add.reduceat(count, edge)
         out = []
-        for n, least in ((bits, 2), (hot_bits, HOT)):
+        for n, least in ((bits, 2), (hot_bits, hot)):
             own = np.zeros(n, bool)
             for at in _slots(fp[edge[total >= least]], n):
                 own[at] = True
@@ -352,7 +352,7 @@ def _first_count(named: DataFrame, size: int, k: int) -> tuple[np.ndarray, np.nd
     parts = min(max(1, 2 * volume // ((size - k + 2) * PART)), FILTER_BITS // 1024)
     bits = max(1024, FILTER_BITS // parts // 1024 * 1024)
     seen = named.mapInArrow(partial(_triggers, size=size, k=k, parts=parts), "part long, fps binary, counts binary")
-    slices = seen.repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part").mapInArrow(partial(_common, bits=bits, hot_bits=bits // HOT_SHARE), "part long, several binary, hot binary")
+    slices = seen.repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part").mapInArrow(partial(_common, bits=bits, hot_bits=bits // HOT_SHARE, hot=HOT), "part long, several binary, hot binary")
     several, hot = np.zeros((parts, bits // 8), np.uint8), np.zeros((parts, bits // HOT_SHARE // 8), np.uint8)
     for part, a, b in written(slices, "parse-filter").toLocalIterator():  # FILTER_BITS and a sixteenth of that
         several[part], hot[part] = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)

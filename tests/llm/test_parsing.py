@@ -3,7 +3,9 @@
 import hashlib
 
 import numpy as np
+import pytest
 
+from sessionlake.llm import parsing
 from sessionlake.llm.parsing import remove_repeated_bytes
 
 
@@ -34,6 +36,19 @@ def test_matches_brute_force(spark):
     assert remove_repeated_bytes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot, wide, part", [(2, 20_000, 1 << 18), (2, 1, 64), (4096, 1, 1 << 18)])
+def test_hot_and_wide_triggers(spark, monkeypatch, hot, wide, part):
+    for name, value in (("HOT", hot), ("WIDE", wide), ("PART", part)):
+        monkeypatch.setattr(parsing, name, value)
+    rng = np.random.default_rng(12)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    shared, other = text(70), text(200)
+    rows = [(int(i), text(int(rng.integers(0, 80))) + (shared if i % 3 else other[: 40 + i]) + text(20) + shared[: 50 + i % 9]) for i in rng.permutation(40)]
+    rows += [(5, other), (41, other + shared)]
+    got = sorted(tuple(r)[:5] for r in remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute([(i, t.encode()) for i, t in rows], 50))
+
+
 def test_passage_repeated_in_its_smallest_document(spark):
     rng = np.random.default_rng(8)
     text = lambda n: "".join(rng.choice(list("abcdef"), n))
