@@ -278,13 +278,17 @@ def reach(n_a: int, n: int, e: int, close: bool, percent: int) -> tuple[int, int
 
 
 def _differences(batches: Iterator[pa.RecordBatch], percent: int, frequencies) -> Iterator[pa.RecordBatch]:
-    """key, x, n, label, kind: first elements of the members' differences (kind 1: indexed, 2: probed, 3: both)."""
+    """key, x, n, e, at, label, kind: first elements of the members' differences.
+
+    e is the size of the difference and ``at`` the element's place in it; kind is
+    1 for indexed elements of close members, of far ones 2 if probed, 3 if both.
+    """
     levels = frequencies.value
     for pivot, rows, flat, off in _against(batches):
         at, hit = _found(pivot, flat)
         a, labels = rows.column("a")[0].as_py(), rows.column("label").to_pylist()
         star = mixed(np.array([a], np.int64).view(np.uint64))[0]
-        keys, xs, ns, owns, kinds = [], [], [], [], []
+        keys, xs, ns, es, ats, owns, kinds = [], [], [], [], [], [], []
         for j, x in enumerate(rows.column("x").to_pylist()):
             i, o = off[j], off[j + 1]
             s, inside = flat[i:o], hit[i:o]
@@ -306,10 +310,13 @@ def _differences(batches: Iterator[pa.RecordBatch], percent: int, frequencies) -
             kinds.append((rank < index).astype(np.int32) + 2 * (rank < probe))
             xs.append(np.full(len(key), x))
             ns.append(np.full(len(key), len(s)))
+            es.append(np.full(len(key), e))
+            ats.append(rank)
             owns.append(np.full(len(key), labels[j]))
         if keys:
-            key, x, n, own, kind = (np.concatenate(c) for c in (keys, xs, ns, owns, kinds))
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(key).view(np.int64)), pa.array(x), pa.array(n, pa.int64()), pa.array(own), pa.array(kind.astype(np.int32))], names=["key", "x", "n", "label", "kind"])
+            key, x, own = (np.concatenate(c) for c in (keys, xs, owns))
+            n, e, at, kind = (pa.array(np.concatenate(c).astype(np.int32)) for c in (ns, es, ats, kinds))
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(key).view(np.int64)), pa.array(x), n, e, at, pa.array(own), kind], names=["key", "x", "n", "e", "at", "label", "kind"])
 
 
 def choose_boundary(mean_list: float, percent: int) -> int:
@@ -401,7 +408,7 @@ def _links(pairs: DataFrame, full: DataFrame, percent: int, frequencies) -> Data
         left = written(members.join(split, "a").select("a", "x", "label"), "jaccard-split")
         if left.isEmpty():
             return labels
-        rows = _meeting(left, full).mapInArrow(partial(_differences, percent=percent, frequencies=frequencies), "key long, x long, n long, label long, kind int")
+        rows = _meeting(left, full).mapInArrow(partial(_differences, percent=percent, frequencies=frequencies), "key long, x long, n int, e int, at int, label long, kind int")
         in_list = Window.partitionBy("key")
         probed = F.max(F.col("kind") > 1).over(in_list)
         split_list = F.min("label").over(in_list) < F.max("label").over(in_list)
@@ -418,7 +425,12 @@ def _links(pairs: DataFrame, full: DataFrame, percent: int, frequencies) -> Data
             fewest = 0
             i, p = rows.filter("kind % 2 = 1").alias("i"), rows.filter("kind > 1").alias("p")
             near = 100 * F.least("i.n", "p.n") >= percent * F.greatest("i.n", "p.n")
-            again = i.join(p, (F.col("i.key") == F.col("p.key")) & (F.col("i.label") != F.col("p.label")) & near)
+            # the first common element has as many behind it, in both, as the overlap needs
+            both = F.col("i.n") + F.col("p.n")
+            overlap = F.ceil((F.col("i.e") + F.col("p.e") - both + 2 * F.ceil(percent * both / (100 + percent))) / 2)
+            placed = (F.col("i.at") + overlap <= F.col("i.e")) & (F.col("p.at") + overlap <= F.col("p.e"))
+            smaller = (F.col("i.kind") == 1) | (F.struct("i.e", "i.x") < F.struct("p.e", "p.x"))
+            again = i.join(p, (F.col("i.key") == F.col("p.key")) & (F.col("i.label") != F.col("p.label")) & near & placed & smaller)
             again = again.select(F.least("i.x", "p.x").alias("a"), F.greatest("i.x", "p.x").alias("x"), F.lit(False).alias("star")).distinct()
         seen = _compare(written(again, "jaccard-again"), full, percent)
         labels = _merged(labels, seen.filter("close").select("a", F.col("x").alias("b")))
