@@ -17,9 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: While a table is written: shuffle files go at the end of the execution that made them, and Python gets small batches.
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
-#: Frames of ``written`` with their folders.
-_paths: dict[int, tuple[DataFrame, str]] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder, by its conf or its context; set to a fresh one only where unset."""
@@ -58,13 +55,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
             spark.conf.set(k, v)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = (out, path)
+    out._written_to = path  # with the frame, so that nothing else keeps its plan alive
     return out
 
 
 def released(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing will read again."""
     for df in tables:
-        found = _paths.pop(id(df), None)
-        if found:
-            _remove(df.sparkSession, found[1])
+        path = df.__dict__.pop("_written_to", None)
+        if path:
+            _remove(df.sparkSession, path)
