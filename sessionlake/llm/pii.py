@@ -64,7 +64,7 @@ def may_hold(text: Column) -> Column:
     """True for any text with an entity; far cheaper than the pattern."""
     titled = text.contains("Mr. ") | text.contains("Ms. ") | text.contains("Mrs. ") | text.contains("Dr. ")
     labelled = text.rlike("[=:]") & text.rlike(_LABEL)
-    return text.rlike(r"\d") | labelled | titled | text.rlike(_NAMES)
+    return text.rlike(r"\d") | text.contains("@") | text.contains("AKIA") | text.contains("ASIA") | labelled | titled | text.rlike(_NAMES)
 
 
 def found(text: Column) -> Column:
