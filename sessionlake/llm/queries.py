@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP6_SQL, op6_chat_format
+from .collocations import OP11_SQL, op11_phrase_collocations
 from .fmindex import OP4_SQL, op4_decontamination
 from .gam import op9_quality
 from .hmm import op7_hmm_score
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_prefix_free_parse": op8_prefix_free_parse,
     "op9_quality": op9_quality,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_line_dedup": op13_line_dedup,
 }
@@ -37,6 +39,7 @@ ORACLES = {
     "op5_source_mixing": OP5_SQL,
     "op6_chat_format": OP6_SQL,
     "op8_prefix_free_parse": OP8_SQL,
+    "op11_phrase_collocations": OP11_SQL,
     "op12_periodic_runs": OP12_SQL,
     "op13_line_dedup": OP13_SQL,
 }
