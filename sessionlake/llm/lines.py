@@ -84,11 +84,12 @@ def without_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text that is left of every row of docs, by its bitmap."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", _text_hash(F.col("text")))
     b = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("n_dropped").alias("_dropped"), "keep")
-    rows = own.join(b, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
-    lines = _lines(F.col("text"))
-    left = F.flatten(F.transform("keep", lambda r: F.slice(lines, r["first"] + 1, r["length"])))
+    # bitmaps grow with the texts, so they are never broadcast
+    rows = own.join(b.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
+    rows = rows.select("doc_id", "text", "_dropped", "keep", _lines(F.col("text")).alias("lines"))  # cut once, not for every run
+    left = F.flatten(F.transform("keep", lambda r: F.slice("lines", r["first"] + 1, r["length"])))
     return rows.select(
-        "doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce("_dropped", F.lit(0).cast("long")).alias("n_dropped"),
+        "doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce("_dropped", F.lit(0).cast("long")).alias("n_dropped"),
         F.when(F.col("keep").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("kept_text"),
     )
 
