@@ -72,11 +72,12 @@ def keep_bitmaps(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int
     ranged = occurrences(docs, least_chars).repartitionByRange("h1", "h2", "doc_id")
     seen = written(ranged.sortWithinPartitions("h1", "h2", F.desc("doc_id"), "text_hash", "place"), "line-occurrences")
     counted = seen.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull().cast("int")).alias("nameless"))
-    frequent = counted.filter(F.col("docs") + F.col("nameless") >= least_docs).select("h1", "h2", "last")
+    # a table of its own, so that the join below is between two shuffles and a frequent key's rows can be split
+    frequent = written(counted.filter(F.col("docs") + F.col("nameless") >= least_docs).select("h1", "h2", "last"), "line-frequent")
     lost = seen.join(frequent, ["h1", "h2"]).filter(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))
     dropped = lost.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("place")).alias("dropped"), F.max("n_lines").alias("n_lines"))
     out = dropped.select("doc_id", "text_hash", F.size("dropped").cast("long").alias("n_dropped"), _runs(F.col("dropped"), F.col("n_lines")).alias("keep"))
-    out._occurrences = seen
+    out._scratch = (seen, frequent)
     return out
 
 
@@ -98,7 +99,7 @@ def op13_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     bitmaps = keep_bitmaps(docs)
     kept = written(bitmaps, "line-bitmaps")
-    released(bitmaps._occurrences)
+    released(*bitmaps._scratch)
     return without_lines(docs, kept).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
