@@ -14,7 +14,7 @@ from .operators import derive, evaluation, reading, recall, rerank
 from .operators.selector import Selector, implies
 from .plans import adapter, sync
 from .plans.adapter import NOW, ROOT
-from .plans.find import FindOptions, Postings, Tables, anchor, find, message_hits, session_hits, union_hits
+from .plans.find import FindOptions, Tables, anchor, find, message_hits, session_hits, union_hits
 from .sources import jsonl
 
 QUERY = "reti of"
@@ -55,17 +55,13 @@ def _st(spark, d):
 
 
 def _on(spark, d):
+    """Both surfaces as tables, read in full."""
     return Tables(_mt(spark, d), _st(spark, d))
 
 
 def _indexed(spark, d):
-    """The same surfaces through postings."""
-    fields = list(recall.SESSION_WEIGHTS)
-    m = _mt(spark, d).withColumn("n_tokens", F.size("content_text_tokens"))
-    s = _st(spark, d).withColumn("n_tokens", sum((F.size(f"{c}_tokens") for c in fields), F.lit(0)))
-    entries = {"messages": recall.postings(m, ["session_uuid", "seq", "n_tokens"], ["content_text"]), "sessions": recall.postings(s, ["session_uuid", "n_tokens"], fields)}
-    lengths = {k: t.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("total")) for k, t in (("messages", m), ("sessions", s))}
-    return Postings(m.drop("n_tokens", "content_text_tokens"), s.drop("n_tokens", *[f"{c}_tokens" for c in fields]), entries, lengths)
+    """The same surfaces from the index on disk."""
+    return adapter.stored(spark, d).searched()
 
 
 _BASE = r"""
@@ -297,7 +293,7 @@ _FIND = " SELECT rank, session_uuid, f_title AS title, f_cwd AS cwd, f_started A
 
 
 def _hits(spark, d, **o):
-    return union_hits(_on(spark, d), QUERY, FindOptions(**o))
+    return union_hits(_indexed(spark, d), QUERY, FindOptions(**o))
 
 
 query("find_recall_limits", _union_sql(n=2) + " SELECT source, count(*) AS n FROM un GROUP BY source")(lambda spark, d: _hits(spark, d, limit=2).groupBy("source").agg(F.count("*").alias("n")))
@@ -307,14 +303,15 @@ for _name, _o, _sql in (
     ("find_relevance", {}, _union_sql() + _rank_sql()), ("find_selector", {"selector": _SEL["selector_cwd"][0]}, _union_sql("cwd = '/work/proj-3'") + _rank_sql()),
     ("find_sort_ended", {"sort": "ended"}, _union_sql(sort="ended") + _rank_sql("f_ended DESC, session_score DESC, first_ord")), ("find_sort_started", {"sort": "started"}, _union_sql(sort="started") + _rank_sql("f_started DESC, session_score DESC, first_ord")),
 ):
-    query(_name, _sql + _FIND)(lambda spark, d, o=_o: find(_on(spark, d), QUERY, FindOptions(**o)))
+    query(_name, _sql + _FIND)(lambda spark, d, o=_o: find(_indexed(spark, d), QUERY, FindOptions(**o)))
+query("find_tables", _union_sql() + _rank_sql() + _FIND)(lambda spark, d: find(_on(spark, d), QUERY))
 query("find_postings", _union_sql() + _rank_sql() + _FIND)(lambda spark, d: find(_indexed(spark, d), QUERY))
-query("find_ranked", _union_sql(n=3) + _rank_sql(n=3) + " SELECT rank, session_uuid FROM rk")(lambda spark, d: find(_on(spark, d), QUERY, FindOptions(limit=3)).select("rank", "session_uuid"))
+query("find_ranked", _union_sql(n=3) + _rank_sql(n=3) + " SELECT rank, session_uuid FROM rk")(lambda spark, d: find(_indexed(spark, d), QUERY, FindOptions(limit=3)).select("rank", "session_uuid"))
 query("read_range_by_query", f"{_BASE}, {_BM}, top AS (SELECT b.seq FROM bm_messages AS b JOIN messages AS m USING (session_uuid, seq) WHERE session_uuid = (SELECT min(session_uuid) FROM bm_messages) ORDER BY -score + 8 * CAST(contains(lower(content_text), '{QUERY}') AS INTEGER) + 2 * CAST(role = 'user' AS INTEGER) DESC, b.seq LIMIT 1) SELECT m.session_uuid, m.seq FROM messages AS m, top WHERE session_uuid = (SELECT min(session_uuid) FROM bm_messages) AND m.seq BETWEEN top.seq - 2 AND top.seq + 2")(lambda spark, d: _range_by_query(spark, d))
 
 
 def _range_by_query(spark, d):
-    on = _on(spark, d)
+    on = _indexed(spark, d)
     first = on.message_scores(TERMS).agg(F.min("session_uuid")).first()[0]
     at = anchor(on, first, QUERY, NOW).first()["seq"]
     return reading.message_range(on.messages, first, at).select("session_uuid", "seq")

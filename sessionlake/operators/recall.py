@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +24,13 @@ def phrases_of(terms: list[str]) -> list[list[str]]:
     return [p for p in (term_tokens(t) for t in terms) if p]
 
 
-def _scored(weighted: list[Column], n: int) -> Column:
+def idf_of(n: int, d: int) -> float:
+    """Weight of a phrase that d of n rows hold; of frequent ones a little above zero."""
+    x = math.log((n - d + 0.5) / (d + 0.5))
+    return x if x > 0 else 1e-6
+
+
+def scored(weighted: list[Column], n: int) -> Column:
     """Minus BM25 of rows with ``_n0``.., ``_len`` and the statistics ``_N``, ``_L``, ``_d0``.. ."""
     score = F.lit(0.0)
     for i in range(n):
@@ -51,7 +58,7 @@ def bm25(rows: DataFrame, tokens: dict[str, float], terms: list[str]) -> DataFra
     hits = held.filter(reduce(lambda a, b: a & b, [F.col(f"_n{i}") > 0 for i in range(n)]))
     hits = hits.join(F.broadcast(stats))  # exactly one row
     weighted = [sum((phrase_count(F.col(c), p) * F.lit(w) for c, w in tokens.items()), F.lit(0.0)) for p in phrases]
-    return hits.withColumn("score", _scored(weighted, n)).select(*rows.columns, "score")
+    return hits.withColumn("score", scored(weighted, n)).select(*rows.columns, "score")
 
 
 def postings(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -61,6 +68,26 @@ def postings(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     return flat.groupBy("token", *keys, "field").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
+def _occurrences(at: dict[str, str], phrase: list[str]) -> Column:
+    """Places where a phrase begins: each further token's places are moved to where its phrase would begin, and shared ones stay."""
+    first = F.col(at[phrase[0]])
+    back = lambda places, j: F.transform(places, lambda x: x - j)
+    for j, t in enumerate(phrase[1:], 1):
+        first = F.array_intersect(first, back(at[t], j))
+    return F.coalesce(F.size(first), F.lit(0))
+
+
+def counted(entries: DataFrame, keys: list[str], weights: list[float], phrases: list[list[str]]) -> DataFrame:
+    """keys, ``_len`` and how often each phrase occurs in a row of the index: ``_n0``.., and weighted ``_f0``.. ."""
+    tokens = sorted({t for p in phrases for t in p})
+    at = {t: f"_p{i}" for i, t in enumerate(tokens)}
+    own = entries.filter(F.col("token").isin(tokens)).groupBy(*keys, "field").agg(F.first("n_tokens").alias("_len"), *[F.first(F.when(F.col("token") == t, F.col("places")), True).alias(c) for t, c in at.items()])
+    n = len(phrases)
+    own = own.withColumns({f"_n{i}": F.greatest(_occurrences(at, p), F.lit(0)) for i, p in enumerate(phrases)})
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("field") + 1)
+    return own.groupBy(*keys).agg(F.first("_len").alias("_len"), *[F.sum(f"_n{i}").alias(f"_n{i}") for i in range(n)], *[F.sum(F.col(f"_n{i}") * weight).alias(f"_f{i}") for i in range(n)])
+
+
 def bm25_postings(entries: DataFrame, lengths: DataFrame, keys: list[str], weights: list[float], terms: list[str]) -> DataFrame:
     """keys and ``score`` of the rows that hold every term; reads the postings of the query's tokens only.
 
@@ -72,33 +99,27 @@ def bm25_postings(entries: DataFrame, lengths: DataFrame, keys: list[str], weigh
     names = [f for f in entries.schema.fields if f.name in keys]
     if not phrases:
         return entries.sparkSession.createDataFrame([], StructType([*names, StructField("score", DoubleType())]))
-    tokens = sorted({t for p in phrases for t in p})
-    at = {t: f"_p{i}" for i, t in enumerate(tokens)}
-    own = entries.filter(F.col("token").isin(tokens)).groupBy(*keys, "field").agg(F.first("n_tokens").alias("_len"), *[F.first(F.when(F.col("token") == t, F.col("places")), True).alias(c) for t, c in at.items()])
-
-    def count(phrase: list[str]) -> Column:
-        first = F.col(at[phrase[0]])
-        if len(phrase) > 1:
-            follows = [(j, at[t]) for j, t in enumerate(phrase)][1:]
-            first = F.filter(first, lambda x: reduce(lambda a, b: a & b, [F.coalesce(F.array_contains(c, x + j), F.lit(False)) for j, c in follows]))
-        return F.coalesce(F.size(first), F.lit(0))
-
     n = len(phrases)
-    own = own.withColumns({f"_n{i}": F.greatest(count(p), F.lit(0)) for i, p in enumerate(phrases)})
-    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("field") + 1)
-    held = own.groupBy(*keys).agg(F.first("_len").alias("_len"), *[F.sum(f"_n{i}").alias(f"_n{i}") for i in range(n)], *[F.sum(F.col(f"_n{i}") * weight).alias(f"_f{i}") for i in range(n)])
+    held = counted(entries, keys, weights, phrases)
     # document frequencies and the totals: one row each
     stats = held.agg(*[F.count_if(F.col(f"_n{i}") > 0).alias(f"_d{i}") for i in range(n)]).join(F.broadcast(lengths.select(F.col("n").alias("_N"), F.col("total").alias("_L"))))
     hits = held.filter(reduce(lambda a, b: a & b, [F.col(f"_n{i}") > 0 for i in range(n)])).join(F.broadcast(stats))
-    return hits.withColumn("score", _scored([F.col(f"_f{i}") for i in range(n)], n)).select(*keys, "score")
+    return hits.withColumn("score", scored([F.col(f"_f{i}") for i in range(n)], n)).select(*keys, "score")
+
+
+def holds(fields: list[str], needle: str) -> Column:
+    """Whether any field contains the needle, whatever the case."""
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(F.col(c)), F.lit(needle.lower())) for c in fields])
+
+
+def first_of(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first rows; score is minus the 1-based place in ``order``."""
+    return rows.orderBy(*order).limit(limit).withColumn("score", -F.row_number().over(Window.orderBy(*order)).cast("double"))
 
 
 def like(rows: DataFrame, fields: list[str], needle: str, order: list[Column], limit: int) -> DataFrame:
-    """The first ``limit`` rows with the needle in any field; score is minus the 1-based place in ``order``."""
-    low = needle.lower()
-    hit = reduce(lambda a, b: a | b, [F.contains(F.lower(F.col(c)), F.lit(low)) for c in fields])
-    top = rows.filter(hit).orderBy(*order).limit(limit)
-    return top.withColumn("score", -F.row_number().over(Window.orderBy(*order)).cast("double"))
+    """The first ``limit`` rows with the needle in any field, by reading all rows."""
+    return first_of(rows.filter(holds(fields, needle)), order, limit)
 
 
 def recall_order(sort: str, *ties: str) -> list[Column]:

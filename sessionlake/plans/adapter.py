@@ -1,12 +1,16 @@
-"""The conversations table as sessions and messages, for queries and tests."""
+"""The conversations table as sessions and messages, and as an index on disk."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fts_tokens
 from ..operators.derive import joined_distinct, sessions_of, with_seq
+from ..sources.scratch import shared_folder
+from ..sources.store import INDEX_VERSION, MESSAGES, SESSIONS, SURFACES, Store
 
 ROOT = "/data/sessions"
 NOW = "2024-02-01T00:00:00Z"
@@ -35,3 +39,34 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokenised(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({f"{c}_tokens": fts_tokens(F.col(c)) for c in columns})
+
+
+def load(spark: SparkSession, sf_dir: str, path: str) -> Store:
+    """An index of the conversations at ``path``, where there was none."""
+    store = Store(spark, path)
+    segment = store.part("segment")
+    length = lambda kind: sum((F.size(fts_tokens(F.col(c))) for c in SURFACES[kind][0]), F.lit(0)).cast("long")
+    said = messages(spark, sf_dir).withColumns({"n_tokens": length("messages"), "segment": F.lit(segment), "source_kind": F.lit("table")})
+    own = said.groupBy("session_uuid").agg(F.sum("n_tokens").alias("message_tokens"))
+    rows = sessions(spark, sf_dir).join(own, "session_uuid").withColumns({
+        "n_tokens": length("sessions"), "segment": F.lit(segment), "source_root": F.lit(ROOT), "model": F.lit(""), "index_version": F.lit(INDEX_VERSION), "updated_at": F.lit(NOW),
+        "size": F.col("message_count"), "mtime": F.lit(1704067200000) + F.col("message_count"),
+    })
+    typed = lambda df, schema: df.to(spark.createDataFrame([], schema).schema)
+    with store.writing():
+        state = {"sessions": store.save(typed(rows, SESSIONS), "sessions"), "coverage": None, "segments": [segment], "synced_at": NOW}
+        kept = store._table(state["sessions"], SESSIONS)
+        store.save_segment(segment, typed(said, MESSAGES), kept)
+        store.publish(state | {"totals": store.totals(kept)})
+    return store
+
+
+_stored: dict[tuple[str, str], Store] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Store:
+    """The same, built once for an application and a folder of tables, in the shared scratch folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = load(spark, sf_dir, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return _stored[key]

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fts_tokens
-from ..operators import reading, recall
+from ..operators import reading
 from ..operators.derive import source_root
 from ..operators.selector import Selector, implies
 from ..sources import jsonl
-from ..sources.store import COVERAGE, INDEX_VERSION, MESSAGES, MOST_SEGMENTS, POSTINGS, SESSIONS, Store
+from ..sources.store import COVERAGE, INDEX_VERSION, MESSAGES, MOST_SEGMENTS, SESSIONS, SURFACES, Store
 
 ACTIONS = ("added", "updated", "skipped", "filtered", "removed", "errors")
 
@@ -115,28 +115,15 @@ def about_session(coverage: DataFrame, root: Column, cwd: Column, day: Column) -
     return hit
 
 
-def _session_text() -> list[str]:
-    return list(recall.SESSION_WEIGHTS)
-
-
-def _postings(rows: DataFrame, keys: list[str], fields: list[str], segment: str, spark: SparkSession) -> DataFrame:
-    entries = recall.postings(rows, [*keys, "n_tokens"], fields).withColumn("segment", F.lit(segment))
-    if "seq" not in keys:
-        entries = entries.withColumn("seq", F.lit(None).cast("long"))
-    return entries.select(*spark.createDataFrame([], POSTINGS).columns)
-
-
 def _merge(spark: SparkSession, store: Store, state: dict, sessions: DataFrame) -> DataFrame:
     """One segment of what the segments hold for these sessions; returns the sessions that name it."""
-    segment, live = store.part("segment"), sessions.select("session_uuid", "segment")
-
-    def all_(kind: str, schema: str) -> DataFrame:
-        rows = spark.read.schema(schema).parquet(*(f"{store.path}/{x}/{kind}" for x in state["segments"]))
-        return rows.join(live, ["session_uuid", "segment"], "left_semi").withColumn("segment", F.lit(segment))
-
-    store.save_segment(segment, all_("messages", MESSAGES), all_("messages-postings", POSTINGS), all_("sessions-postings", POSTINGS))
-    state["segments"] = [segment]
-    return sessions.withColumn("segment", F.lit(segment))
+    segment = store.part("segment")
+    rows = store.parts([f"{x}/messages" for x in state["segments"]], MESSAGES)
+    rows = rows.join(sessions.select("session_uuid", "segment"), ["session_uuid", "segment"], "left_semi")
+    moved = sessions.withColumn("segment", F.lit(segment))
+    store.save_segment(segment, rows.withColumn("segment", F.lit(segment)), moved)
+    state["segments"], state["dead"] = [segment], []
+    return moved
 
 
 def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool = False) -> SyncResult:
@@ -185,11 +172,11 @@ def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool
                 said = said.withColumns({"n_tokens": F.size(fts_tokens(F.col("content_text"))).cast("long"), "segment": F.lit(segment)})
                 said = stage(said.select(*spark.createDataFrame([], MESSAGES).columns), "messages")
                 root = source_root(F.col("file_path")) if best_effort else F.lit(selector.root)
-                length = sum((F.size(fts_tokens(F.col(c))) for c in _session_text()), F.lit(0)).cast("long")
+                length = sum((F.size(fts_tokens(F.col(c))) for c in SURFACES["sessions"][0]), F.lit(0)).cast("long")
                 spoken = said.groupBy("session_uuid").agg(F.sum("n_tokens").alias("message_tokens"))
                 new = parsed.join(spoken, "session_uuid", "left").withColumns({"source_root": root, "index_version": F.lit(INDEX_VERSION), "updated_at": F.lit(stamp), "segment": F.lit(segment), "n_tokens": length, "message_tokens": F.coalesce("message_tokens", F.lit(0).cast("long"))})
                 new = stage(new.select(*sessions.columns), "new-sessions")
-                store.save_segment(segment, said, _postings(said, ["session_uuid", "seq"], ["content_text"], segment, spark), _postings(new, ["session_uuid"], _session_text(), segment, spark))
+                store.save_segment(segment, said, new)
                 gone = found.filter("verdict IN ('parsed', 'filtered')")
                 kept = kept.join(gone.select("file_path"), "file_path", "left_anti").join(new.select("session_uuid"), "session_uuid", "left_anti")
             if not best_effort:
@@ -200,11 +187,15 @@ def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool
                 kept = kept.select(*sessions.columns).unionByName(new.select(*sessions.columns))
             if segment:
                 state["segments"] = [*state["segments"], segment]
-            kept = kept.select(*sessions.columns)
+            kept = stage(kept.select(*sessions.columns), "kept")
+            dead = sessions.join(kept.select("session_uuid", "segment"), ["session_uuid", "segment"], "left_anti")
+            if state["segments"] and store.exists() and not dead.isEmpty():
+                state["dead"] = [*state.get("dead", []), store.save(store.dead_counts(dead), "dead")]
             if len(state["segments"]) > MOST_SEGMENTS:
-                kept = _merge(spark, store, state, stage(kept, "kept"))
+                kept = _merge(spark, store, state, kept)
                 staged += [segment] if segment else []  # no pointer ever names it
             state["sessions"] = store.save(kept.sortWithinPartitions("ended_at"), "sessions")
+            state["totals"] = store.totals(store._table(state["sessions"], SESSIONS))
             if best_effort:
                 out.reason = "best_effort"
             else:

@@ -1,11 +1,14 @@
 """The index: immutable Parquet parts behind one pointer file.
 
 A load writes a new sessions table, a new coverage table and one segment of
-messages with the postings of both surfaces, sorted by token so that a query
-reads the row groups of its tokens only; then it renames a new pointer over the
+messages with the block postings of both surfaces (``operators.blocks``) and the
+postings of their CJK characters, sorted by token and block so that a query reads
+the pages of its tokens and blocks only; then it renames a new pointer over the
 old one. Readers see the old or the new state, never a mixture, and messages of
 earlier loads aren't rewritten: a session row names the segment that holds its
-messages. Beyond MOST_SEGMENTS a load merges them into one. Parts that a pointer
+messages. Rows of sessions that are gone stay in their segment; how often each
+token still counts them is kept beside, so document frequencies are those of live
+rows. Beyond MOST_SEGMENTS a load merges them into one. Parts that a pointer
 no longer names are deleted by the load after the next, when no reader of that
 pointer should be left.
 """
@@ -23,9 +26,11 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.find import Postings
+from ..functions.text import fts_tokens
+from ..operators import blocks, grams, recall
+from ..plans.find import Indexed
 
-INDEX_VERSION = "2"
+INDEX_VERSION = "3"
 LOCK_WAIT_S, LOCK_POLL_S = 10.0, 0.1
 MOST_SEGMENTS = 16
 SESSIONS = (
@@ -34,7 +39,14 @@ SESSIONS = (
     "updated_at string, segment string, n_tokens long, message_tokens long"
 )
 MESSAGES = "session_uuid string, seq long, role string, content_text string, timestamp string, source_kind string, n_tokens long, segment string"
-POSTINGS = "token string, session_uuid string, seq long, field int, places array<int>, n_tokens long, segment string"
+BLOCKS = (
+    "token string, block long, n long, most double, least long, "
+    "entries array<struct<session_uuid: string, seq: long, n_tokens: long, fields: array<struct<field: int, places: array<int>>>>>, segment string"
+)
+GRAMS = "gram string, session_uuid string, seq long, segment string"
+DEAD = "surface string, token string, n long"
+#: Text fields of both surfaces, and their weights.
+SURFACES = {"messages": (["content_text"], [1.0]), "sessions": (list(recall.SESSION_WEIGHTS), list(recall.SESSION_WEIGHTS.values()))}
 COVERAGE = (
     "selector_key string, kind string, root string, cwd string, from_date string, to_date string, source_fingerprint string, "
     "source_file_count long, indexed_session_count long, completed_at string, index_version string"
@@ -96,30 +108,61 @@ class Store:
     def _live(self, kind: str, schema: str) -> DataFrame:
         """Rows of the segments that belong to live sessions."""
         segments = self.state()["segments"]
-        if not segments:
-            return self._table(None, schema)
-        rows = self.spark.read.schema(schema).parquet(*(f"{self.path}/{s}/{kind}" for s in segments))
-        return rows.join(self.sessions().select("session_uuid", "segment"), ["session_uuid", "segment"], "left_semi")
+        rows = self.parts([f"{s}/{kind}" for s in segments], schema)
+        return rows if not segments else rows.join(self.sessions().select("session_uuid", "segment"), ["session_uuid", "segment"], "left_semi")
 
     def messages(self) -> DataFrame:
         return self._live("messages", MESSAGES)
 
-    def searched(self) -> Postings:
-        """Both surfaces with their postings; the totals come from the sessions table."""
-        sessions = self.sessions()
-        entries = {k: self._live(f"{k}-postings", POSTINGS) for k in ("messages", "sessions")}
-        lengths = {
-            "messages": sessions.agg(F.sum("message_count").alias("n"), F.sum("message_tokens").alias("total")),
-            "sessions": sessions.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("total")),
+    def parts(self, names: list[str], schema: str) -> DataFrame:
+        """Rows of some parts; none where there are none."""
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{x}" for x in names)) if names else self.spark.createDataFrame([], schema)
+
+    def searched(self) -> Indexed:
+        """Both surfaces with their postings; the totals are those of the last load."""
+        state, sessions = self.state(), self.sessions()
+        dead, segments = self.parts(state.get("dead", []), DEAD), state["segments"]
+        live = lambda rows: rows.join(sessions.select("session_uuid", "segment"), ["session_uuid", "segment"], "left_semi")
+        surfaces = {
+            k: blocks.Surface(self.parts([f"{s}/{k}-blocks" for s in segments], BLOCKS), *state["totals"][k], weights, dead.filter(F.col("surface") == k), live)
+            for k, (_, weights) in SURFACES.items()
         }
-        return Postings(self.messages(), sessions, entries, lengths)
+        return Indexed(self.messages(), sessions, surfaces, {k: self.parts([f"{s}/{k}-grams" for s in segments], GRAMS) for k in SURFACES})
 
-    def save_segment(self, segment: str, messages: DataFrame, message_postings: DataFrame, session_postings: DataFrame) -> None:
-        """Messages by session and place, postings by token."""
+    def save_segment(self, segment: str, messages: DataFrame, sessions: DataFrame) -> None:
+        """Messages by session and place, and what finds them and their sessions by tokens and characters."""
         at = f"{self.path}/{segment}"
         messages.repartitionByRange("session_uuid").sortWithinPartitions("session_uuid", "seq").write.parquet(f"{at}/messages")
-        for kind, rows in (("messages", message_postings), ("sessions", session_postings)):
-            rows.repartitionByRange("token", "session_uuid").sortWithinPartitions("token", "session_uuid").write.parquet(f"{at}/{kind}-postings")
+        rows = {"messages": messages, "sessions": sessions.withColumn("seq", F.lit(None).cast("long"))}
+        for kind, (fields, weights) in SURFACES.items():
+            own = rows[kind].select("session_uuid", "seq", "n_tokens", *fields)
+            of = blocks.block_postings(blocks.numbered(own, "session_uuid", "seq"), fields, weights)
+            self._sorted(of.withColumn("segment", F.lit(segment)), BLOCKS, f"{at}/{kind}-blocks", "token", "block")
+            chars = grams.gram_postings(own, ["session_uuid", "seq"], fields, grams.CHARS)
+            self._sorted(chars.withColumn("segment", F.lit(segment)), GRAMS, f"{at}/{kind}-grams", "gram", "session_uuid")
+
+    def _sorted(self, rows: DataFrame, schema: str, path: str, *by: str) -> None:
+        rows = rows.to(self.spark.createDataFrame([], schema).schema)
+        rows.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
+
+    def dead_counts(self, sessions: DataFrame) -> DataFrame:
+        """How often each token counts the messages and session rows of these sessions."""
+        out = None
+        for kind, rows in (("messages", self.messages_of(sessions)), ("sessions", sessions)):
+            tokens = F.array_distinct(F.flatten(F.array(*[fts_tokens(F.col(c)) for c in SURFACES[kind][0]])))
+            own = rows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n")).select(F.lit(kind).alias("surface"), "token", "n")
+            out = own if out is None else out.union(own)
+        return out
+
+    def messages_of(self, sessions: DataFrame) -> DataFrame:
+        """Messages of sessions (session_uuid, segment), dead or alive."""
+        rows = self.parts([f"{s}/messages" for s in self.state()["segments"]], MESSAGES)
+        return rows.join(sessions.select("session_uuid", "segment"), ["session_uuid", "segment"], "left_semi")
+
+    def totals(self, sessions: DataFrame) -> dict[str, list[int]]:
+        """Rows and tokens of each surface."""
+        r = sessions.agg(*[F.coalesce(x, F.lit(0)).alias(k) for k, x in (("m", F.sum("message_count")), ("mt", F.sum("message_tokens")), ("s", F.count("*")), ("st", F.sum("n_tokens")))]).first()
+        return {"messages": [r["m"], r["mt"]], "sessions": [r["s"], r["st"]]}
 
     def part(self, kind: str) -> str:
         return f"parts/{kind}-{uuid.uuid4().hex}"
@@ -134,7 +177,7 @@ class Store:
 
     def publish(self, state: dict) -> None:
         """Rename a new pointer over the old one; delete what the one before the old one alone named."""
-        named = lambda x: {x["sessions"], x["coverage"], *x["segments"]} - {None}
+        named = lambda x: {x["sessions"], x["coverage"], *x["segments"], *x.get("dead", [])} - {None}
         before = self.state() if self.exists() else {"sessions": None, "coverage": None, "segments": []}
         gone = [x for x in before.get("retired", []) if x not in named(state)]
         state = state | {"retired": sorted(named(before) - named(state))}

@@ -1,6 +1,7 @@
 """Catalogue queries against their DuckDB oracles, and behaviours that need none."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def test_oracle(spark, duck, name):
     want = duck.sql(c.ORACLES[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    key = lambda df: sorted(tuple(None if v != v else v for v in r) for r in df[cols].astype(object).itertuples(index=False))
+    key = lambda df: sorted(tuple(None if pd.isna(v) else v for v in r) for r in df[cols].astype(object).itertuples(index=False))
     assert list(map(str, key(got))) == list(map(str, key(want)))
 
 
