@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import Texts, chunks, lowered, mixed, rolling, words
-from ._scratch import written
+from ._scratch import released, written
 from .phrases import _span_hash
 
 LEAST, LONGEST, MOST, HELD_PERCENT = 10, 3, 2000, 50
@@ -125,6 +125,15 @@ def _joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def _first_bytes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """A sort key of slices that brings alike ones together: the language's code and seven bytes."""
+    at = start[:, None] + np.arange(7)
+    some = np.zeros((len(start), 8), np.uint8)
+    some[:, 0] = code
+    some[:, 1:] = np.where(at < stop[:, None], data[np.minimum(at, len(data) - 1)], 0)
+    return some.view(">u8").ravel()
+
+
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -143,7 +152,7 @@ def _ngrams(batches: Iterator[pa.RecordBatch], longest: int, buckets: int) -> It
         total = np.zeros(len(names), np.int64)
         np.add.at(total, code, copies * n_words)
         of = np.array([xxhash.xxh3_64_intdigest(x) for x in names.to_pylist()], np.uint64)
-        tables = [(names, pa.array([""] * len(names)), np.zeros(len(names), np.int8), total, of)]
+        tables = [(names, pa.array([""] * len(names)), np.zeros(len(names), np.int8), total, of, np.zeros(len(names), np.uint64))]
         for n in range(1, longest + 1):
             at = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :]) if len(row) >= n else np.zeros(0, np.int64)
             if not len(at):
@@ -152,10 +161,11 @@ def _ngrams(batches: Iterator[pa.RecordBatch], longest: int, buckets: int) -> It
             h, h2 = (mixed(rolling(x, n)[at] + salt) for x in (w.hash, mixed(w.hash)))
             own, f = _grouped(h, h2, weight)
             i = at[own]
-            tables.append((names.take(pa.array(code[row[i]])), _strings(part.data, w.start[i], w.end[i + n - 1]), np.full(len(i), n, np.int8), f, h[own]))
-        lang, phrase, n, f, h = zip(*tables)
+            start, stop, of = w.start[i], w.end[i + n - 1], code[row[i]]
+            tables.append((names.take(pa.array(of)), _strings(part.data, start, stop), np.full(len(i), n, np.int8), f, h[own], _first_bytes(part.data, start, stop, of)))
+        lang, phrase, n, f, h, key = zip(*tables)
         bucket = (np.concatenate(h) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((np.concatenate(key), bucket))  # phrases in order compress to half
         whole = pa.table({"lang": pa.concat_arrays(lang), "phrase": pa.concat_arrays(phrase), "words": np.concatenate(n), "f": np.concatenate(f)}).take(pa.array(order))
         which, first = np.unique(bucket[order], return_index=True)
         blobs = [_packed(whole.slice(a, b - a)) for a, b in zip(first, [*first[1:], len(order)])]
@@ -195,9 +205,12 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("lang").cast("string").alias("lang"), "text").filter("text IS NOT NULL")
     pieces = texts.mapInArrow(_pieces, "lang string, piece string, copies long")
-    pieces = pieces.groupBy("lang", "piece").agg(F.sum("copies").alias("copies"))
+    pieces = written(pieces.groupBy("lang", "piece").agg(F.sum("copies").alias("copies")), "phrase-pieces")
     grams = pieces.mapInArrow(partial(_ngrams, longest=longest, buckets=buckets), "bucket int, grams binary")
-    return grams.repartitionById(buckets, F.col("bucket")).mapInArrow(partial(_counted, least=least), "lang string, phrase string, words int, f long")
+    counts = grams.repartitionById(buckets, F.col("bucket")).mapInArrow(partial(_counted, least=least), "lang string, phrase string, words int, f long")
+    counts = written(counts, "phrase-counts")
+    released(pieces)
+    return counts
 
 
 def scored(counts: DataFrame, held_percent: int = HELD_PERCENT) -> DataFrame:
@@ -228,7 +241,7 @@ def best(rows: DataFrame, most: int = MOST) -> DataFrame:
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, most: int = MOST) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases."""
-    counts = written(phrase_counts(docs, longest, least), "phrase-counts")
+    counts = phrase_counts(docs, longest, least)
     words_of = counts.filter("words = 0").select("lang", F.col("f").alias("n"))
     return best(scored(counts.filter("words > 0")), most).join(words_of, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
