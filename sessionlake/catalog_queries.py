@@ -6,11 +6,12 @@ holds the conversations as messages and sessions.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import snippets
 from .functions import text as X
-from .operators import derive, evaluation, reading, recall, rerank
+from .operators import derive, evaluation, grams, reading, recall, rerank
 from .operators.selector import Selector, implies
 from .plans import adapter, sync
 from .plans.adapter import NOW, ROOT
@@ -231,22 +232,28 @@ query("read_page_has_more", _BASE + f" SELECT message_count AS total_count, leas
 
 # --- text
 query("tokenize_words", r"""SELECT turn, conv_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+(?:[''.][\p{L}\p{M}\p{N}_]+)*'), ' ') AS words FROM conversations""")(lambda spark, d: spark.read.parquet(f"{d}/conversations.parquet").select("turn", "conv_id", F.array_join(X.words(F.col("text")), " ").alias("words")))
-_CJK_ROWS = [(1, "部署 health check"), (2, "豆包输入法"), (3, "法"), (4, "plain"), (5, "カナ漢字mixed한글"), (6, "サーバー 人々"), (7, "xế 😀"), (8, "한국어 검색")]
-query("tokenize_cjk_bigrams", "SELECT * FROM (VALUES (1, '部署'), (2, '豆包 包输 输入 入法'), (3, ''), (4, ''), (5, 'カナ ナ漢 漢字 한글'), (6, '人々'), (7, ''), (8, '한국 국어 검색')) AS t(id, bigrams)")(lambda spark, d: spark.createDataFrame(_CJK_ROWS, "id int, text string").select("id", F.array_join(X.cjk_bigrams(F.col("text")), " ").alias("bigrams")))
-query("has_cjk", "SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false), (5, true), (6, true), (7, false), (8, true)) AS t(id, cjk)")(lambda spark, d: spark.createDataFrame(_CJK_ROWS, "id int, text string").select("id", X.has_cjk(F.col("text")).alias("cjk")))
-query("fts_scripts", "SELECT * FROM (VALUES (1, '部署 health check'), (2, '豆包 包输 输入 入法'), (3, ''), (4, 'plain'), (5, 'カナ ナ漢 漢字 mixed 한글'), (6, 'ー ー 人々'), (7, 'xế'), (8, '한국 국어 검색')) AS t(id, tokens)")(
-    lambda spark, d: spark.createDataFrame(_CJK_ROWS, "id int, text string").select("id", F.array_join(X.fts_tokens(F.col("text")), " ").alias("tokens"))
-)
-query("fts_query_terms", "SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, true), (5, true), (6, true), (7, true), (8, true)) AS t(id, same)")(lambda spark, d: _asked_as_indexed(spark))
+
+# documents whose letters x, k, q and j stand for CJK characters
+_CJK = ("xkqj", "法部署検")
+_CJK_SQL = f"SELECT doc_id, translate(text, '{_CJK[0]}', '{_CJK[1]}') AS t FROM documents"
+_PAIRS = "list_transform(generate_series(1, len({0}) - 1), lambda i: substr({0}, i, 2))"
+_CJK_TOKENS = rf"regexp_extract_all(strip_accents(lower(array_to_string(list_transform(regexp_extract_all(t, '[{_CJK[1]}]+|[^{_CJK[1]}]+'), lambda p: CASE WHEN regexp_matches(p, '[{_CJK[1]}]') THEN ' ' || array_to_string({_PAIRS.format('p')}, ' ') || ' ' ELSE p END), ''))), '[\p{{L}}\p{{M}}\p{{N}}]+')"
+
+
+def _cjk_docs(spark, d):
+    return _docs(spark, d).select("doc_id", F.translate("text", *_CJK).alias("t"))
 
 
-def _asked_as_indexed(spark):
-    """Whether the tokens that a query asks for are those that the index holds of the same text."""
-    asked = spark.createDataFrame([(i, [w for t in X.level1(text) for w in X.term_tokens(t)]) for i, text in _CJK_ROWS], "id int, asked array<string>")
-    held = spark.createDataFrame(_CJK_ROWS, "id int, text string").select("id", X.fts_tokens(F.col("text")).alias("held"))
-    return held.join(asked, "id").select("id", (F.col("held") == F.col("asked")).alias("same"))
+def _asked(batches):
+    """The tokens that a query asks for when it is the whole text: the driver's code for queries."""
+    for rows in batches:
+        yield rows.assign(tokens=[" ".join(w for t in X.level1(text or "") for w in X.term_tokens(t)) for text in rows["t"]])[["doc_id", "tokens"]]
 
 
+query("tokenize_cjk_bigrams", rf"SELECT doc_id, array_to_string(flatten(list_transform(regexp_extract_all(t, '[{_CJK[1]}]+'), lambda p: {_PAIRS.format('p')})), ' ') AS bigrams FROM ({_CJK_SQL})")(lambda spark, d: _cjk_docs(spark, d).select("doc_id", F.array_join(X.cjk_bigrams(F.col("t")), " ").alias("bigrams")))
+query("has_cjk", "SELECT doc_id, regexp_matches(text, '[xkqj]') AS cjk FROM documents")(lambda spark, d: _cjk_docs(spark, d).select("doc_id", X.has_cjk(F.col("t")).alias("cjk")))
+query("fts_scripts", f"SELECT doc_id, array_to_string({_CJK_TOKENS}, ' ') AS tokens FROM ({_CJK_SQL})")(lambda spark, d: _cjk_docs(spark, d).select("doc_id", F.array_join(X.fts_tokens(F.col("t")), " ").alias("tokens")))
+query("fts_query_terms", f"SELECT doc_id, array_to_string({_CJK_TOKENS}, ' ') AS tokens FROM ({_CJK_SQL})")(lambda spark, d: _cjk_docs(spark, d).mapInPandas(_asked, "doc_id long, tokens string"))
 query("fts_tokens", f"SELECT doc_id, array_to_string({_toks('text')}, ' ') AS tokens FROM documents")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(X.fts_tokens(F.col("text")), " ").alias("tokens")))
 query("phrase_match", f"SELECT doc_id, {_cnt('t', PHRASE)} AS n FROM (SELECT doc_id, {_toks('text')} AS t FROM documents)")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.phrase_count(X.fts_tokens(F.col("text")), PHRASE).cast("long").alias("n")))
 _BM = _bm25_sql("messages", {"content_text": 1.0}, [["reti"], ["of"]], "session_uuid, seq")
@@ -317,23 +324,35 @@ def _range_by_query(spark, d):
     return reading.message_range(on.messages, first, at).select("session_uuid", "seq")
 
 
-_CJK_M = [("s1", 0, "user", "部署 法 检查"), ("s1", 1, "assistant", "plain"), ("s2", 0, "user", "法律"), ("s3", 0, "user", "none")]
 
+_LIKE_BASE = _BASE.replace("FROM conversations", "FROM (SELECT * REPLACE (translate(text, '%s', '%s') AS text) FROM conversations)" % adapter.CJK_LETTERS)
+_CHAR, _CHARS = "法", "部e"  # one character, and one that a search has to compare with texts
+
+
+def _like_sql(surface: str, needle: str) -> str:
+    if surface == "message":
+        return f"{_LIKE_BASE} SELECT session_uuid, seq, CAST(-row_number() OVER (ORDER BY started_at DESC, seq, session_uuid) AS DOUBLE) AS score FROM messages JOIN sessions USING (session_uuid) WHERE contains(lower(content_text), '{needle}') ORDER BY started_at DESC, seq, session_uuid LIMIT 120"
+    hit = " OR ".join(f"contains(lower({c}), '{needle}')" for c in recall.SESSION_WEIGHTS)
+    return f"{_LIKE_BASE} SELECT session_uuid, CAST(-row_number() OVER (ORDER BY started_at DESC, session_uuid) AS DOUBLE) AS score FROM sessions WHERE {hit} ORDER BY started_at DESC, session_uuid LIMIT 120"
+
+
+for _name, _needle in (("find_like", _CHAR), ("find_like_compared", _CHARS)):
+    query(f"{_name}_messages", _like_sql("message", _needle))(lambda spark, d, x=_needle: message_hits(adapter.stored(spark, d, True).searched(), x, [], FindOptions()).select("session_uuid", "seq", "score"))
+    query(f"{_name}_sessions", _like_sql("session", _needle))(lambda spark, d, x=_needle: session_hits(adapter.stored(spark, d, True).searched(), x, [], FindOptions()).select("session_uuid", "score"))
 
-def _cjk(spark):
-    m = spark.createDataFrame(_CJK_M, "session_uuid string, seq long, role string, content_text string").withColumn("timestamp", F.lit("t"))
-    s = spark.createDataFrame([(f"s{i}", f"2024-01-0{i}") for i in (1, 2, 3)], "session_uuid string, started_at string")
-    s = s.withColumns({"title": F.when(F.col("session_uuid") == "s3", "法").otherwise("t"), "summary_text": F.lit(""), "compact_text": F.lit(""), "reasoning_summary_text": F.lit(""), "cwd": F.lit("/w"), "ended_at": F.col("started_at"), "file_path": F.lit("/x"), "path_date": F.lit("")})
-    return m, s
 
+def _by_grams(rows, needle):
+    return grams.like(rows, grams.gram_postings(rows, ["doc_id"], ["t"]), ["doc_id"], ["t"], needle).select("doc_id")
 
-query("find_like_messages", "SELECT * FROM (VALUES ('s2', CAST(0 AS BIGINT), -1.0::DOUBLE), ('s1', CAST(0 AS BIGINT), -2.0::DOUBLE)) AS t(session_uuid, seq, score)")(lambda spark, d: message_hits(Tables(*_cjk(spark)), "法", [], FindOptions()).select("session_uuid", "seq", "score"))
-query("find_like_sessions", "SELECT * FROM (VALUES ('s3', -1.0::DOUBLE)) AS t(session_uuid, score)")(lambda spark, d: session_hits(Tables(*_cjk(spark)), "法", [], FindOptions()).select("session_uuid", "score"))
+
+query("like_substring", f"SELECT doc_id FROM documents WHERE contains(lower(text), '{NEEDLE}')")(lambda spark, d: _by_grams(_docs(spark, d).select("doc_id", F.col("text").alias("t")), NEEDLE.upper()))
+query("like_one_character", "SELECT doc_id FROM documents WHERE contains(text, 'q')")(lambda spark, d: _by_grams(_cjk_docs(spark, d), "署"))
 
 # --- rerank
-_PROFILES = ["rename branch", "docker-compose up", "terraform", "lib/b.py", "node 18", "搜索引擎", "日志 rotate size"]
-query("query_profile", """SELECT q, lower(trim(q)) AS normalized, regexp_matches(trim(q), '\\s') AS is_multi_term, regexp_matches(q, '\\d') AS has_digits, CASE WHEN regexp_matches(q, '[\\s\\d\\\\/._:-]') THEN 'exact' ELSE 'broad' END AS kind,
-  regexp_matches(trim(q), '\\s') AND regexp_matches(q, '[\\\\/._:-]') AS is_path_like_command FROM (VALUES """ + ", ".join(f"('{q}')" for q in _PROFILES) + ") AS t(q)")(lambda spark, d: spark.createDataFrame([(q,) for q in _PROFILES], "q string").withColumns(rerank.profile_columns(F.col("q"))))
+query("query_profile", r"""SELECT doc_id, lower(trim(q)) AS normalized, regexp_matches(trim(q), '\s') AS is_multi_term, regexp_matches(q, '\d') AS has_digits, CASE WHEN regexp_matches(trim(q), '\s') OR regexp_matches(q, '[\d\\/._:-]') THEN 'exact' ELSE 'broad' END AS kind,
+  regexp_matches(trim(q), '\s') AND regexp_matches(q, '[\\/._:-]') AS is_path_like_command FROM (SELECT doc_id, substr(text, 1 + doc_id % 50, 1 + doc_id % 11) AS q FROM documents) WHERE NOT regexp_matches(q, '[\n\r\t]')""")(
+    lambda spark, d: _docs(spark, d).select("doc_id", F.expr("substr(text, CAST(1 + doc_id % 50 AS INT), CAST(1 + doc_id % 11 AS INT))").alias("q")).filter(~F.col("q").rlike(r"[\n\r\t]")).select("doc_id", *[c.alias(n) for n, c in rerank.profile_columns(F.col("q")).items()])
+)
 query("term_coverage", "SELECT doc_id, " + " + ".join(f"CAST(contains(lower(text), '{t}') AS INTEGER)" for t in TERMS) + " AS n FROM documents")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", rerank.matched_terms(F.col("text"), TERMS).alias("n")))
 query("bounded_phrase", r"SELECT doc_id, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_./-])of the($|[^\p{L}\p{N}_./-])') AS hit FROM documents")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", rerank.bounded_phrase(F.lower("text"), "of the").alias("hit")))
 _SPAN = ["the", "of", "and"]
@@ -393,48 +412,75 @@ query("sync_reconcile_anti", f"{_BASE} SELECT session_uuid FROM sessions WHERE c
 )
 query("source_fingerprint", f"{_BASE}, f AS (SELECT regexp_replace(file_path, '/[^/]*$', '') AS folder, sha256(string_agg(chr(0) || substr(file_path, {len(ROOT) + 2}) || chr(0) || mtime || chr(0) || size || chr(0) || path_date || chr(0) || cwd, '' ORDER BY file_path)) AS digest, count(*) AS n FROM ({_FILES}) GROUP BY 1) SELECT sha256('{ROOT}' || string_agg(chr(0) || folder || chr(0) || digest, '' ORDER BY folder)) AS fingerprint, CAST(sum(n) AS BIGINT) AS file_count FROM f")(lambda spark, d: reading.fingerprint(_files(spark, d), ROOT))
 
-_COVER = [(1, Selector("all", "/r")), (2, Selector("date_range", "/r", None, "2024-01-01", "2024-01-31")), (3, Selector("cwd", "/r", "/a")), (4, Selector("cwd_date_range", "/r", "/a", "2024-01-05", "2024-01-09")), (5, Selector("all", "/other"))]
-
-
-def _cover(spark, suffix: str = ""):
-    """Coverage of five selectors, the even ones of this version; only the files of the second are as they were."""
-    rows = [(i, s.kind, s.root, s.cwd, s.from_date, s.to_date, "v0" if i % 2 else "v1", f"f{i}", i, f"f{i}" if i == 2 else "f", i) for i, s in _COVER]
-    names = "want kind root cwd from_date to_date index_version source_fingerprint source_file_count now_fingerprint now_file_count".split()
-    df = spark.createDataFrame(rows, "want int, kind string, root string, cwd string, from_date string, to_date string, index_version string, source_fingerprint string, source_file_count int, now_fingerprint string, now_file_count int")
-    return df.select(*[F.col(n).alias(n + suffix) for n in names])
+# coverage as the sessions would leave it: of the root, every directory, every day, every directory's days and every other week
+_DAYS = "SELECT cwd, path_date AS day, count(*) AS n FROM sessions GROUP BY ALL"
+_ENTRIES = f"""days AS ({_DAYS}), entries AS (
+SELECT 'all' AS kind, CAST(NULL AS VARCHAR) AS cwd, CAST(NULL AS VARCHAR) AS from_date, CAST(NULL AS VARCHAR) AS to_date, sum(n) AS files FROM days
+UNION ALL SELECT 'cwd', cwd, NULL, NULL, sum(n) FROM days GROUP BY cwd
+UNION ALL SELECT 'date_range', NULL, day, day, sum(n) FROM days GROUP BY day
+UNION ALL SELECT 'cwd_date_range', cwd, min(day), max(day), sum(n) FROM days GROUP BY cwd),
+cover AS (SELECT concat_ws('|', kind, cwd, from_date, to_date) AS want, '{ROOT}' AS root, *, CASE WHEN files % 3 = 0 THEN 'v0' ELSE 'v1' END AS version, files % 2 = 0 AS same FROM entries)"""
+_IMPLIES = """(h.kind = 'all' OR h.kind = 'cwd' AND w.kind IN ('cwd', 'cwd_date_range') AND h.cwd = w.cwd
+  OR h.kind = 'date_range' AND w.kind IN ('date_range', 'cwd_date_range') AND h.from_date <= w.from_date AND h.to_date >= w.to_date
+  OR h.kind = 'cwd_date_range' AND w.kind = 'cwd_date_range' AND h.cwd = w.cwd AND h.from_date <= w.from_date AND h.to_date >= w.to_date)"""
+
+
+def _cover(spark, d, suffix: str = ""):
+    """Coverage entries: a third of an old version, half with the files as they were."""
+    days = _s(spark, d).groupBy("cwd", F.col("path_date").alias("day")).agg(F.count("*").alias("n"))
+    none, n = F.lit(None).cast("string"), F.sum("n").alias("files")
+    own = lambda kind, rows, cwd, first, last: rows.select(F.lit(kind).alias("kind"), cwd.alias("cwd"), first.alias("from_date"), last.alias("to_date"), "files")
+    spans = days.groupBy("cwd").agg(n, F.min("day").alias("first"), F.max("day").alias("last"))
+    rows = own("all", days.agg(n), none, none, none).union(own("cwd", spans, F.col("cwd"), none, none))
+    rows = rows.union(own("date_range", days.groupBy("day").agg(n), none, F.col("day"), F.col("day"))).union(own("cwd_date_range", spans, F.col("cwd"), F.col("first"), F.col("last")))
+    rows = rows.withColumns({
+        "want": F.concat_ws("|", "kind", "cwd", "from_date", "to_date"), "root": F.lit(ROOT), "index_version": F.when(F.col("files") % 3 == 0, "v0").otherwise("v1"),
+        "source_fingerprint": F.lit("f"), "now_fingerprint": F.when(F.col("files") % 2 == 0, "f").otherwise("g"), "source_file_count": F.col("files"), "now_file_count": F.col("files"),
+    })
+    return rows.select(*[F.col(c).alias(c + suffix) for c in rows.columns])
 
 
 def _of(suffix: str):
     return {n: F.col(n + suffix) for n in ("kind", "root", "cwd", "from_date", "to_date")}
 
 
-def _wants(spark):
-    return _cover(spark).select("want", "kind", "root", "cwd", "from_date", "to_date")
+def _wants(spark, d):
+    return _cover(spark, d).select("want", "kind", "root", "cwd", "from_date", "to_date")
 
 
-_YES = [(1, 1), (1, 2), (1, 3), (1, 4), (2, 2), (2, 4), (3, 3), (3, 4), (4, 4), (5, 5)]
-query("coverage_implies", "SELECT * FROM (VALUES " + ", ".join(map(str, _YES)) + ") AS t(have, want)")(lambda spark, d: _cover(spark, "_h").join(F.broadcast(_cover(spark, "_w")), implies(_of("_h"), _of("_w"))).select(F.col("want_h").alias("have"), F.col("want_w").alias("want")))
-query("coverage_status", "SELECT * FROM (VALUES (4, true), (5, false), (3, false), (1, false), (2, true)) AS t(want, complete)")(
-    lambda spark, d: sync.answering(_cover(spark), _wants(spark), "v1").groupBy("want").agg(F.bool_or(F.col("have_kind").isNotNull()).alias("complete"))
+query("coverage_implies", f"{_BASE}, {_ENTRIES} SELECT h.want AS have, w.want FROM cover AS h JOIN cover AS w ON {_IMPLIES}")(lambda spark, d: _cover(spark, d, "_h").join(F.broadcast(_cover(spark, d, "_w")), implies(_of("_h"), _of("_w"))).select(F.col("want_h").alias("have"), F.col("want_w").alias("want")))
+query("coverage_status", f"{_BASE}, {_ENTRIES} SELECT w.want, count(h.want) > 0 AS complete FROM cover AS w LEFT JOIN (SELECT * FROM cover WHERE version = 'v1') AS h ON {_IMPLIES} GROUP BY w.want")(
+    lambda spark, d: sync.answering(_cover(spark, d), _wants(spark, d), "v1").groupBy("want").agg(F.bool_or(F.col("have_kind").isNotNull()).alias("complete"))
 )
-query("coverage_freshness", "SELECT * FROM (VALUES (1, 'stale'), (2, 'fresh'), (3, 'stale'), (4, 'stale'), (5, 'stale')) AS t(id, freshness)")(lambda spark, d: sync.freshness_of(_cover(spark), "v1").select(F.col("want").alias("id"), "freshness"))
-query("coverage_requested", "SELECT * FROM (VALUES (1, 'missing', 'sync'), (2, 'fresh', 'query'), (3, 'missing', 'sync'), (4, 'fresh', 'query'), (5, 'missing', 'sync')) AS t(want, state, recommended_action)")(
-    lambda spark, d: sync.requested(sync.freshness_of(_cover(spark), "v1"), _wants(spark), "v1")
+query("coverage_freshness", f"{_BASE}, {_ENTRIES} SELECT want, CASE WHEN same AND version = 'v1' THEN 'fresh' ELSE 'stale' END AS freshness FROM cover")(lambda spark, d: sync.freshness_of(_cover(spark, d), "v1").select("want", "freshness"))
+query("coverage_requested", f"""{_BASE}, {_ENTRIES}, r AS (SELECT w.want, CASE WHEN coalesce(bool_or(h.same), false) THEN 'fresh' WHEN count(h.want) > 0 THEN 'stale' ELSE 'missing' END AS state
+  FROM cover AS w LEFT JOIN (SELECT * FROM cover WHERE version = 'v1') AS h ON {_IMPLIES} GROUP BY w.want) SELECT want, state, CASE WHEN state = 'fresh' THEN 'query' ELSE 'sync' END AS recommended_action FROM r""")(
+    lambda spark, d: sync.requested(sync.freshness_of(_cover(spark, d), "v1"), _wants(spark, d), "v1")
+)
+query("coverage_for_session", f"""{_BASE}, {_ENTRIES} SELECT session_uuid, h.want FROM sessions AS s JOIN cover AS h ON h.kind = 'all' OR h.kind = 'cwd' AND h.cwd = s.cwd
+  OR h.kind = 'date_range' AND s.path_date BETWEEN h.from_date AND h.to_date OR h.kind = 'cwd_date_range' AND h.cwd = s.cwd AND s.path_date BETWEEN h.from_date AND h.to_date""")(
+    lambda spark, d: _s(spark, d).select("session_uuid", F.col("cwd").alias("_c"), F.col("path_date").alias("_d")).join(F.broadcast(_cover(spark, d)), sync.about_session(_cover(spark, d), F.lit(ROOT), F.col("_c"), F.col("_d"))).select("session_uuid", "want")
 )
-query("coverage_for_session", "SELECT * FROM (VALUES (1), (2), (3), (4)) AS t(id)")(lambda spark, d: _cover(spark).filter(sync.about_session(_cover(spark), F.lit("/r"), F.lit("/a"), F.lit("2024-01-07"))).select(F.col("want").alias("id")))
 
 # --- evaluation
-def _batch(spark, firsts: dict[str, list[str]]):
-    rows = [(i, f"query {i}", [(n + 1, u, f"title {u}") for n, u in enumerate(r)]) for i, r in firsts.items()]
-    return spark.createDataFrame(rows, "id string, query string, results array<struct<rank:int,sessionUuid:string,title:string>>")
+def _batch(spark, d, by: str, but: int):
+    """A batch of searches: one for every directory, which finds its sessions in an order; one directory is not asked for."""
+    rows = _s(spark, d).filter(F.pmod(F.regexp_extract("cwd", r"(\d+)$", 1).cast("int"), F.lit(7)) != but).select("cwd", "title", "session_uuid", F.row_number().over(Window.partitionBy("cwd").orderBy(F.col(by).desc(), "session_uuid")).alias("rank"))
+    found = F.array_sort(F.collect_list(F.struct("rank", F.col("session_uuid").alias("sessionUuid"), "title")))
+    return rows.groupBy(F.col("cwd").alias("id")).agg(F.concat(F.lit("query "), F.first("cwd")).alias("query"), found.alias("results"))
+
+
+def _batches(spark, d):
+    return _batch(spark, d, "ended_at", 1), _batch(spark, d, "message_count", 2)
 
 
-_BATCHES = ({"q1": ["a", "b"], "q2": ["b"], "q3": ["x"], "q5": []}, {"q1": ["a"], "q2": ["c", "b"], "q4": ["x"], "q5": ["y"]})
-query("eval_compare", "SELECT * FROM (VALUES ('q2', 'query q2', 'b', 'c', 'title b', 'title c')) AS t(id, query, before, after, before_title, after_title)")(lambda spark, d: evaluation.compare(*[_batch(spark, x) for x in _BATCHES]))
-query("eval_shared", "SELECT * FROM (VALUES ('q1'), ('q2'), ('q5')) AS t(id)")(lambda spark, d: evaluation.shared_ids(*[_batch(spark, x) for x in _BATCHES]))
+_FIRSTS = "SELECT cwd AS id, arg_min(struct_pack(u := session_uuid, t := title), struct_pack(a := n, b := session_uuid)) AS f FROM (SELECT *, {n} AS n FROM sessions) WHERE cwd <> '/work/proj-{but}' GROUP BY cwd"
+_BATCH_SQL = _BASE + ", before AS (" + _FIRSTS.format(n="-epoch(strptime(ended_at, '%Y-%m-%dT%H:%M:%SZ'))", but=1) + "), after AS (" + _FIRSTS.format(n="-message_count", but=2) + ")"
+query("eval_compare", _BATCH_SQL + " SELECT id, 'query ' || id AS query, b.f.u AS before, a.f.u AS after, b.f.t AS before_title, a.f.t AS after_title FROM before AS b JOIN after AS a USING (id) WHERE b.f.u <> a.f.u")(lambda spark, d: evaluation.compare(*_batches(spark, d)))
+query("eval_shared", _BATCH_SQL + " SELECT id FROM before JOIN after USING (id)")(lambda spark, d: evaluation.shared_ids(*_batches(spark, d)))
 
 
-def _asked(spark, d):
+def _wanted(spark, d):
     """What the first search finds, asked for in three ways, and its results for each."""
     got = find(_on(spark, d), QUERY).join(_s(spark, d).select("session_uuid", "summary_text"), "session_uuid").withColumn("snippet", F.col("content_text"))
     rows = [(1, None, "/WORK/", None), (2, "no such title", None, None), (3, None, None, None), (4, "", "/work/", "reti")]
@@ -442,9 +488,9 @@ def _asked(spark, d):
     return asked, got.join(F.broadcast(asked.select("id")))
 
 
-query("eval_manual", "SELECT * FROM (VALUES (1, 'pass'), (2, 'fail'), (3, 'skip'), (4, 'pass')) AS t(id, mark)")(lambda spark, d: evaluation.manual_marks(*_asked(spark, d), 5).select("id", "mark"))
+query("eval_manual", "SELECT * FROM (VALUES (1, 'pass'), (2, 'fail'), (3, 'skip'), (4, 'pass')) AS t(id, mark)")(lambda spark, d: evaluation.manual_marks(*_wanted(spark, d), 5).select("id", "mark"))
 query("eval_scoreboard", "SELECT CAST(4 AS BIGINT) AS total, CAST(1 AS BIGINT) AS skipped, CAST(2 AS BIGINT) AS pass1, CAST(2 AS BIGINT) AS pass5")(
-    lambda spark, d: evaluation.manual_scoreboard(evaluation.manual_marks(*_asked(spark, d), 1), evaluation.manual_marks(*_asked(spark, d), 5))
+    lambda spark, d: evaluation.manual_scoreboard(evaluation.manual_marks(*_wanted(spark, d), 1), evaluation.manual_marks(*_wanted(spark, d), 5))
 )
 query("latency_percentiles", "SELECT event_type, median(value) AS p50, list_sort(list(value))[CAST(floor(0.95 * count(*)) AS BIGINT) + 1] AS p95 FROM events GROUP BY event_type")(
     lambda spark, d: evaluation.latencies(spark.read.parquet(f"{d}/events.parquet"), "event_type", "value")
