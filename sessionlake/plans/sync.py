@@ -39,9 +39,14 @@ def now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def snapshot(spark: SparkSession, selector: Selector) -> DataFrame:
+def about(files: DataFrame, selector: Selector) -> DataFrame:
     """The files that a selector is about."""
-    return jsonl.listing(spark, selector.root).filter(F.coalesce(selector.predicate(), F.lit(False)))
+    return files.filter(F.coalesce(selector.predicate(), F.lit(False)))
+
+
+def snapshot(spark: SparkSession, selector: Selector, known: DataFrame | None = None) -> DataFrame:
+    """The same of the files that are there now; those that are as ``known`` has them aren't opened."""
+    return about(jsonl.listing(spark, selector.root, known), selector)
 
 
 def classify(files: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -144,7 +149,9 @@ def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool
         try:
             state = store.state() if store.exists() else {"sessions": None, "coverage": None, "segments": []}
             sessions, coverage = store._table(state["sessions"], SESSIONS), store.coverage() if state["coverage"] else None
-            files = stage(snapshot(spark, selector), "listing")
+            known = store.manifest() if store.exists() else None
+            listed = stage(jsonl.listing(spark, selector.root, known), "listing")
+            files = about(listed, selector)
             seen = stage(classify(files, sessions), "classes")
             print_ = reading.fingerprint(files, selector.root).first()
             # one path per changed file: the driver holds as much to plan any scan of them
@@ -158,7 +165,7 @@ def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool
                 if out.errors:
                     bad = [r["file_path"] for r in found.filter("verdict = 'error'").select("file_path").orderBy("file_path").limit(20).collect()]
                     raise SyncFailed(f"{out.errors} files in error, nothing written: {', '.join(bad)}")
-                if reading.fingerprint(snapshot(spark, selector), selector.root).first() != print_:
+                if reading.fingerprint(snapshot(spark, selector, listed), selector.root).first() != print_:
                     raise SyncFailed("the files changed during the sync, nothing written")
 
             stamp, segment = now(), None
@@ -195,6 +202,8 @@ def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool
                 kept = _merge(spark, store, state, kept)
                 staged += [segment] if segment else []  # no pointer ever names it
             state["sessions"] = store.save(kept.sortWithinPartitions("ended_at"), "sessions")
+            elsewhere = F.col("file_path").startswith(selector.root.rstrip("/") + "/")
+            state["manifest"] = store.save(listed if known is None else listed.unionByName(known.filter(~elsewhere)), "manifest")
             state["totals"] = store.totals(store._table(state["sessions"], SESSIONS))
             if best_effort:
                 out.reason = "best_effort"
@@ -237,7 +246,7 @@ def freshness(spark: SparkSession, store: Store) -> DataFrame:
     entries = store.coverage()
     now_ = []
     for root in [r["root"] for r in entries.select("root").distinct().orderBy("root").collect()]:
-        files = jsonl.listing(spark, root)
+        files = jsonl.listing(spark, root, store.manifest())
         for r in entries.filter(F.col("root") == root).select("selector_key", *_PARTS).collect():  # one row a selector
             mine = files.filter(F.coalesce(Selector(*[r[c] for c in _PARTS]).predicate(), F.lit(False)))
             now_.append(reading.fingerprint(mine, root).select(F.lit(r["selector_key"]).alias("selector_key"), F.col("fingerprint").alias("now_fingerprint"), F.col("file_count").alias("now_file_count")))
@@ -252,7 +261,7 @@ def freshness(spark: SparkSession, store: Store) -> DataFrame:
 def status(spark: SparkSession, index: str, root: str, selector: Selector | None = None) -> dict:
     """Inventory of a root, state of the index, freshness of its coverage and what to do for a selector. Writes nothing."""
     store = Store(spark, index)
-    files = jsonl.listing(spark, root)
+    files = jsonl.listing(spark, root, store.manifest() if store.exists() else None)
     totals = files.agg(F.count("*").alias("file_count"), F.min("path_date").alias("from_date"), F.max("path_date").alias("to_date")).first().asDict()
     groups = [r.asDict() for r in reading.inventory(files).orderBy(F.col("n").desc(), "cwd").limit(100).collect()]
     out = {"index_version": INDEX_VERSION, "root": root, "inventory": totals | {"cwds": groups}, "index": {"exists": store.exists(), "size_bytes": store.size_bytes()}, "coverage": []}

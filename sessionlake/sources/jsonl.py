@@ -8,13 +8,13 @@ ignored as well, since the parser takes it for invalid.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim
 from ..operators.derive import joined_distinct, looks_internal, path_date, summary, title, verdict, with_seq
+from .listing import log_files, with_heads
 
-SNIFF_BYTES = 1 << 16
 LISTING = "file_path string, mtime long, size long, path_date string, cwd string"
 UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
@@ -29,6 +29,12 @@ def text_at(v: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
 
 
+def _whole(v: Column) -> Column:
+    """Whether a variant is a record: a time, a type and an object for its payload."""
+    named = (text_at(v, "$.timestamp") != "") & (text_at(v, "$.type") != "")
+    return F.coalesce(named & F.schema_of_variant(F.try_variant_get(v, "$.payload", "variant")).startswith("OBJECT"), F.lit(False))
+
+
 def _records(lines: DataFrame) -> DataFrame:
     """file_path, line_no, timestamp, type, payload of the lines that are records."""
     v = F.try_parse_json("line")
@@ -42,33 +48,52 @@ def _records(lines: DataFrame) -> DataFrame:
     return rows.filter(F.col("bare_null") | F.coalesce(whole, F.lit(False)))
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
+def listing(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
     """file_path, mtime, size, path_date, cwd of every .jsonl file under root.
 
     The working directory is that of the first record naming one in the first
-    64 KiB. Spark lists hidden files (names starting with _ or .) as absent.
+    64 KiB, which is all that is read of a file. Files that ``known`` (an earlier
+    listing) has with the same time and size aren't opened.
+    """
+    files = log_files(spark, root)
+    if known is None:
+        files = files.withColumn("known", F.lit(None).cast("string"))
+    else:
+        files = files.join(known.select("file_path", "mtime", "size", F.col("cwd").alias("known")), ["file_path", "mtime", "size"], "left")
+    rows = with_heads(files).select("file_path", "mtime", "size", "known", F.posexplode_outer(F.split("head", "\n")).alias("line_no", "line"))
+    v = F.try_parse_json(trim(F.col("line")))
+    rows = rows.withColumn("v", v).withColumn("cwd", F.when(_whole(F.col("v")) & text_at(F.col("v"), "$.type").isin("session_meta", "turn_context"), text_at(F.col("v"), "$.payload.cwd")))
+    out = rows.groupBy("file_path", "mtime", "size", "known").agg(F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("line_no"))).alias("cwd"))
+    return out.select("file_path", "mtime", "size", path_date(F.col("file_path")).alias("path_date"), F.coalesce("known", "cwd", F.lit("")).alias("cwd"))
+
+
+def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file_path, line_no, line of the files, which are read by ranges of bytes.
+
+    A range's lines are numbered by their order in its task, and the lines of the
+    file's earlier ranges are counted before them: the counts are one row a range.
     """
-    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.jsonl", "ignoreMissingFiles": "true"}
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], LISTING)
-    files = spark.read.format("binaryFile").options(**options).load(root)
-    files = files.select(plain_path(F.col("path")).alias("file_path"), F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"), F.substring("content", 1, SNIFF_BYTES).cast("string").alias("head"))
-    lines = files.select("file_path", F.posexplode(F.split("head", "\n")).alias("line_no", "line"))
-    named = _records(lines).filter(F.col("type").isin("session_meta", "turn_context")).select("file_path", "line_no", text_at(F.col("payload"), "$.cwd").alias("cwd")).filter("cwd IS NOT NULL")
-    sniffed = named.groupBy("file_path").agg(F.min_by("cwd", "line_no").alias("cwd"))
-    out = files.drop("head").join(sniffed, "file_path", "left")
-    return out.select("file_path", "mtime", "size", path_date(F.col("file_path")).alias("path_date"), F.coalesce("cwd", F.lit("")).alias("cwd"))
+    rows = spark.read.option("lineSep", "\n").text(paths)
+    rows = rows.select(plain_path(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    ranges = rows.groupBy("file_path", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    ranges = ranges.withColumn("before", F.sum("n").over(Window.partitionBy("file_path").orderBy("start")) - F.col("n"))
+    place = F.col("at") - F.col("first")
+    place = F.when(place.between(0, F.col("n") - 1), place).otherwise(F.raise_error("the files changed while they were read"))
+    return rows.join(ranges, ["file_path", "start"]).select("file_path", (F.col("before") + place).cast("int").alias("line_no"), "line")
 
 
 def records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Records of the files as plain columns: file_path, line_no, bare_null, timestamp, kind, text, texts, id, cwd, model."""
-    return fields(spark.read.text(paths, wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("file_path"), "value"))
+    return _fields(lines(spark, paths))
 
 
 def fields(files: DataFrame) -> DataFrame:
     """The same of files given as rows: file_path, value."""
-    rows = _records(files.select("file_path", F.posexplode(F.split("value", "\n")).alias("line_no", "line")))
+    return _fields(files.select("file_path", F.posexplode(F.split("value", "\n")).alias("line_no", "line")))
+
+
+def _fields(rows: DataFrame) -> DataFrame:
+    rows = _records(rows)
     p, what = F.col("payload"), text_at(F.col("payload"), "$.type")
     kind = (
         F.when(F.col("bare_null"), "error").when(F.col("type").isin("session_meta", "turn_context", "compacted"), F.col("type"))

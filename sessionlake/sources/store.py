@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fts_tokens
 from ..operators import blocks, grams, recall
 from ..plans.find import Indexed
+from .jsonl import LISTING
 
 INDEX_VERSION = "3"
 LOCK_WAIT_S, LOCK_POLL_S = 10.0, 0.1
@@ -105,6 +106,10 @@ class Store:
     def coverage(self) -> DataFrame:
         return self._table(self.state()["coverage"], COVERAGE)
 
+    def manifest(self) -> DataFrame:
+        """The files that the last load of each root listed."""
+        return self._table(self.state().get("manifest"), LISTING)
+
     def _live(self, kind: str, schema: str) -> DataFrame:
         """Rows of the segments that belong to live sessions."""
         segments = self.state()["segments"]
@@ -177,7 +182,7 @@ class Store:
 
     def publish(self, state: dict) -> None:
         """Rename a new pointer over the old one; delete what the one before the old one alone named."""
-        named = lambda x: {x["sessions"], x["coverage"], *x["segments"], *x.get("dead", [])} - {None}
+        named = lambda x: {x["sessions"], x["coverage"], x.get("manifest"), *x["segments"], *x.get("dead", [])} - {None}
         before = self.state() if self.exists() else {"sessions": None, "coverage": None, "segments": []}
         gone = [x for x in before.get("retired", []) if x not in named(state)]
         state = state | {"retired": sorted(named(before) - named(state))}

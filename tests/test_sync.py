@@ -193,7 +193,7 @@ def test_segments_merge_and_old_parts_go(spark, logs, tmp_path, monkeypatch):
     S.sync(spark, ix, every(logs))
     live = {p.name for p in (tmp_path / "ix" / "parts").iterdir()}
     state = store.state()
-    assert live == {x.split("/")[1] for x in [state["sessions"], state["coverage"], *state["segments"], *state["retired"]]}
+    assert live == {x.split("/")[1] for x in [state["sessions"], state["coverage"], state["manifest"], *state["segments"], *state["dead"], *state["retired"]]}
 
 
 def test_text_output(spark, logs, tmp_path, capsys):
