@@ -55,29 +55,36 @@ def matched_terms(c: Column, terms: list[str]) -> Column:
 def ordered_span(tokens: Column, terms: list[str]) -> Column:
     """Fewest tokens skipped by a match of the terms in order, from any place of the first term; null if none.
 
-    The fold holds, for every k, the latest start of a match of the first k
-    terms: of all matches that end at a token, that one skips fewest.
+    The places of the terms, in order, are swept once. The state holds, for every k,
+    the latest start of a match of the first k terms: of all matches that end at a
+    place, that one skips fewest.
     """
     n, wanted = len(terms), F.array(*map(F.lit, terms))
+    which = lambda t: F.array_position(wanted, t).cast("int")
+    places = F.transform(tokens, lambda t, i: F.when(F.array_contains(wanted, t), F.struct(which(t).alias("k"), i.alias("i"))))
+    places = F.filter(places, lambda p: p.isNotNull())
 
-    def step(state: Column, t: Column) -> Column:
-        k = F.array_position(wanted, t).cast("int")  # 0 for any other token
-        begun = F.when(k == 1, state["i"]).otherwise(F.try_element_at(state["starts"], F.when(k > 1, k - 1)))
-        starts = F.transform(state["starts"], lambda s, j: F.when((j + 1 == k) & begun.isNotNull(), begun).otherwise(s))
-        done = F.when((k == n) & begun.isNotNull(), state["i"] - begun + 1 - n)
-        return F.struct((state["i"] + 1).alias("i"), starts.alias("starts"), F.least(state["best"], done).alias("best"))
+    def step(state: Column, p: Column) -> Column:
+        begun = F.when(p["k"] == 1, p["i"]).otherwise(F.try_element_at(state["starts"], F.when(p["k"] > 1, p["k"] - 1)))
+        starts = F.transform(state["starts"], lambda s, j: F.when(j + 1 == p["k"], F.coalesce(begun, s)).otherwise(s))
+        done = F.when(p["k"] == n, p["i"] - begun + 1 - n)
+        return F.struct(starts.alias("starts"), F.least(state["best"], done).alias("best"))
 
     none = F.lit(None).cast("int")
-    start = F.struct(F.lit(0).alias("i"), F.array_repeat(none, n).alias("starts"), none.alias("best"))
-    return F.aggregate(tokens, start, step, lambda s: s["best"])
+    start = F.struct(F.array_repeat(none, n).alias("starts"), none.alias("best"))
+    return F.aggregate(places, start, step, lambda s: s["best"])
+
+
+def bound_once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def command_bonus(content: Column, profile: QueryProfile, terms: list[str]) -> Column:
     if not profile.is_path_like_command or len(terms) < 2:
         return F.lit(0.0)
-    gap = ordered_span(words(content), terms)
-    tail = F.when(gap.isNull(), 0).when(gap == 0, 8).when(gap <= 3, 24 - 2 * gap).when(gap <= len(terms), 10 - gap).otherwise(0)
-    return F.when(bounded_phrase(F.lower(content), profile.query), 36).otherwise(tail).cast("double")
+    tail = lambda gap: F.when(gap.isNull(), 0).when(gap == 0, 8).when(gap <= 3, 24 - 2 * gap).when(gap <= len(terms), 10 - gap).otherwise(0)
+    return F.when(bounded_phrase(F.lower(content), profile.query), 36).otherwise(bound_once(ordered_span(words(content), terms), tail)).cast("double")
 
 
 def row_signal(profile: QueryProfile, terms: list[str]) -> Column:
