@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fts_tokens
 from ..operators.derive import joined_distinct, sessions_of, with_seq
 from ..sources.scratch import shared_folder
-from ..sources.store import INDEX_VERSION, MESSAGES, SESSIONS, SURFACES, Store
+from ..sources.store import EMPTY, INDEX_VERSION, MESSAGES, SESSIONS, SURFACES, Store
 
 ROOT = "/data/sessions"
 NOW = "2024-02-01T00:00:00Z"
@@ -63,10 +63,10 @@ def load(spark: SparkSession, sf_dir: str, path: str, cjk: bool = False) -> Stor
     })
     typed = lambda df, schema: df.to(spark.createDataFrame([], schema).schema)
     with store.writing():
-        state = {"sessions": store.save(typed(rows, SESSIONS), "sessions"), "coverage": None, "segments": [segment], "synced_at": NOW}
-        kept = store._table(state["sessions"], SESSIONS)
-        store.save_segment(segment, typed(said, MESSAGES), kept)
-        store.publish(state | {"totals": store.totals(kept)})
+        store.save_segment(segment, typed(said, MESSAGES), typed(rows, SESSIONS))
+        state = EMPTY | {"segments": [segment], "synced_at": NOW}
+        state["rows"] = {segment: store.messages(state).count()}
+        store.publish(state | {"totals": store.totals(store.sessions(state))})
     return store
 
 

@@ -82,15 +82,12 @@ class Indexed(Tables):
         self.found[kind] = blocks.best(self.surfaces[kind], terms, scope, order, n, prune)
         return self.found[kind].rows
 
-    def _living(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.sessions.select("session_uuid", "segment"), ["session_uuid", "segment"], "left_semi")
-
     def message_scores(self, terms: list[str]) -> DataFrame:
         """session_uuid, seq, score of all rows that hold every term."""
-        return self._scores("messages", terms, self._living, [], None, False).drop("segment")
+        return self._scores("messages", terms, self.surfaces["messages"].live, [], None, False).drop("segment")
 
     def session_scores(self, terms: list[str]) -> DataFrame:
-        return self._scores("sessions", terms, self._living, [], None, False).drop("segment", "seq")
+        return self._scores("sessions", terms, self.surfaces["sessions"].live, [], None, False).drop("segment", "seq")
 
     def _about(self, o: FindOptions):
         """Scope of a search: rows of live sessions that the options take, with what is told of a session."""

@@ -13,7 +13,7 @@ from ..operators import reading
 from ..operators.derive import source_root
 from ..operators.selector import Selector, implies
 from ..sources import jsonl
-from ..sources.store import COVERAGE, INDEX_VERSION, MESSAGES, MOST_SEGMENTS, SESSIONS, SURFACES, Store
+from ..sources.store import COVERAGE, EMPTY, INDEX_VERSION, MESSAGES, SURFACES, Store
 
 ACTIONS = ("added", "updated", "skipped", "filtered", "removed", "errors")
 
@@ -120,15 +120,13 @@ def about_session(coverage: DataFrame, root: Column, cwd: Column, day: Column) -
     return hit
 
 
-def _merge(spark: SparkSession, store: Store, state: dict, sessions: DataFrame) -> DataFrame:
-    """One segment of what the segments hold for these sessions; returns the sessions that name it."""
-    segment = store.part("segment")
-    rows = store.parts([f"{x}/messages" for x in state["segments"]], MESSAGES)
-    rows = rows.join(sessions.select("session_uuid", "segment"), ["session_uuid", "segment"], "left_semi")
-    moved = sessions.withColumn("segment", F.lit(segment))
-    store.save_segment(segment, rows.withColumn("segment", F.lit(segment)), moved)
-    state["segments"], state["dead"] = [segment], []
-    return moved
+def _merge(store: Store, state: dict, segments: list[str]) -> None:
+    """One segment of what these hold of live sessions."""
+    name, some = store.part("segment"), state | {"segments": segments}
+    moved = lambda rows: rows.withColumn("segment", F.lit(name))
+    store.save_segment(name, moved(store.messages(some)), moved(store.sessions(some)))
+    state["segments"] = [s for s in state["segments"] if s not in segments] + [name]
+    state["rows"] = {s: state["rows"].get(s) for s in state["segments"]} | {name: store.parts([f"{name}/messages"], MESSAGES).count()}
 
 
 def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool = False) -> SyncResult:
@@ -147,8 +145,9 @@ def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool
 
     with store.writing():
         try:
-            state = store.state() if store.exists() else {"sessions": None, "coverage": None, "segments": []}
-            sessions, coverage = store._table(state["sessions"], SESSIONS), store.coverage() if state["coverage"] else None
+            state = store.state() if store.exists() else dict(EMPTY)
+            before = set(state["segments"])
+            sessions, coverage = store.sessions(state), store.coverage() if state["coverage"] else None
             known = store.manifest() if store.exists() else None
             listed = stage(jsonl.listing(spark, selector.root, known), "listing")
             files = about(listed, selector)
@@ -168,8 +167,7 @@ def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool
                 if reading.fingerprint(snapshot(spark, selector, listed), selector.root).first() != print_:
                     raise SyncFailed("the files changed during the sync, nothing written")
 
-            stamp, segment = now(), None
-            kept = sessions
+            stamp, dead = now(), None
             if changed:
                 parsed = found.filter("verdict = 'parsed'")
                 last = parsed.groupBy("session_uuid").agg(F.max("file_path").alias("file_path"))  # a session in two files: the last path wins
@@ -183,32 +181,32 @@ def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool
                 spoken = said.groupBy("session_uuid").agg(F.sum("n_tokens").alias("message_tokens"))
                 new = parsed.join(spoken, "session_uuid", "left").withColumns({"source_root": root, "index_version": F.lit(INDEX_VERSION), "updated_at": F.lit(stamp), "segment": F.lit(segment), "n_tokens": length, "message_tokens": F.coalesce("message_tokens", F.lit(0).cast("long"))})
                 new = stage(new.select(*sessions.columns), "new-sessions")
-                store.save_segment(segment, said, new)
-                gone = found.filter("verdict IN ('parsed', 'filtered')")
-                kept = kept.join(gone.select("file_path"), "file_path", "left_anti").join(new.select("session_uuid"), "session_uuid", "left_anti")
+                # rows of files that were read again, and of sessions that are in other files now
+                read = found.filter("verdict IN ('parsed', 'filtered')").select("file_path")
+                dead = sessions.join(read, "file_path", "left_semi").unionByName(sessions.join(new.select("session_uuid"), "session_uuid", "left_semi"))
             if not best_effort:
-                gone_now = lost(kept, selector, retained(seen, found)).select("session_uuid")
-                out.removed = gone_now.count()
-                kept = kept.join(gone_now, "session_uuid", "left_anti")
-            if changed:
-                kept = kept.select(*sessions.columns).unionByName(new.select(*sessions.columns))
-            if segment:
-                state["segments"] = [*state["segments"], segment]
-            kept = stage(kept.select(*sessions.columns), "kept")
-            dead = sessions.join(kept.select("session_uuid", "segment"), ["session_uuid", "segment"], "left_anti")
-            if state["segments"] and store.exists() and not dead.isEmpty():
-                state["dead"] = [*state.get("dead", []), store.save(store.dead_counts(dead), "dead")]
-            if len(state["segments"]) > MOST_SEGMENTS:
-                kept = _merge(spark, store, state, kept)
-                staged += [segment] if segment else []  # no pointer ever names it
-            state["sessions"] = store.save(kept.sortWithinPartitions("ended_at"), "sessions")
+                left = lost(sessions, selector, retained(seen, found))
+                left = left if dead is None else left.join(dead.select("session_uuid"), "session_uuid", "left_anti")
+                out.removed = left.count()
+                dead = left if dead is None else dead.unionByName(left)
+            if dead is not None and state["segments"] and not (dead := stage(dead.distinct(), "dead")).isEmpty():
+                state["dead"] = [*state["dead"], store.save(store.dead_counts(dead, state), "dead")]
+                state["deleted"] = [*state["deleted"], store.save(dead.select("session_uuid", "segment"), "deleted")]
+            if changed and (n := said.count()):
+                store.save_segment(segment, said, new)
+                state["segments"], state["rows"] = [*state["segments"], segment], state["rows"] | {segment: n}
+            while some := store.crowded(state):
+                _merge(store, state, some)
+                staged += [s for s in some if s not in before]  # no pointer ever names it
+            if not state["segments"]:
+                state["deleted"], state["dead"] = [], []
             elsewhere = F.col("file_path").startswith(selector.root.rstrip("/") + "/")
             state["manifest"] = store.save(listed if known is None else listed.unionByName(known.filter(~elsewhere)), "manifest")
-            state["totals"] = store.totals(store._table(state["sessions"], SESSIONS))
+            loaded = store.sessions(state)
+            state["totals"] = store.totals(loaded)
             if best_effort:
                 out.reason = "best_effort"
             else:
-                loaded = store._table(state["sessions"], SESSIONS)
                 entry = loaded.filter(F.coalesce(selector.predicate(), F.lit(False))).agg(F.count("*").alias("indexed_session_count")).select(
                     F.lit(selector.key()).alias("selector_key"), *(c.alias(k) for k, c in selector.columns().items()), F.lit(print_["fingerprint"]).alias("source_fingerprint"),
                     F.lit(print_["file_count"]).cast("long").alias("source_file_count"), "indexed_session_count", F.lit(stamp).alias("completed_at"), F.lit(INDEX_VERSION).alias("index_version"),

@@ -1,21 +1,27 @@
 """The index: immutable Parquet parts behind one pointer file.
 
-A load writes a new sessions table, a new coverage table and one segment of
-messages with the block postings of both surfaces (``operators.blocks``) and the
-postings of their CJK characters, sorted by token and block so that a query reads
-the pages of its tokens and blocks only; then it renames a new pointer over the
-old one. Readers see the old or the new state, never a mixture, and messages of
-earlier loads aren't rewritten: a session row names the segment that holds its
-messages. Rows of sessions that are gone stay in their segment; how often each
-token still counts them is kept beside, so document frequencies are those of live
-rows. Beyond MOST_SEGMENTS a load merges them into one. Parts that a pointer
-no longer names are deleted by the load after the next, when no reader of that
-pointer should be left.
+A load writes one segment: its sessions and messages, the block postings of both
+surfaces (``operators.blocks``) and the postings of their CJK characters, sorted by
+token and block so that a query reads the pages of its tokens and blocks only; then
+it renames a new pointer over the old one. Readers see the old or the new state,
+never a mixture, and nothing of earlier loads is rewritten.
+
+Rows of sessions that are gone stay in their segment. A delete vector names them
+(session, segment), so a read leaves out those few instead of looking for the live
+ones among all sessions; how often each token still counts them is kept beside, so
+document frequencies are those of live rows.
+
+Segments of about one size (a factor of TIER) are merged once there are TIER of
+them, so a row is rewritten as often as the logarithm of the index. Entries about
+merged segments lapse by themselves, since no such segment is live. Parts that a
+pointer no longer names are deleted by the load after the next, when no reader of
+that pointer should be left.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 import socket
 import time
@@ -31,9 +37,9 @@ from ..operators import blocks, grams, recall
 from ..plans.find import Indexed
 from .jsonl import LISTING
 
-INDEX_VERSION = "3"
+INDEX_VERSION = "4"
 LOCK_WAIT_S, LOCK_POLL_S = 10.0, 0.1
-MOST_SEGMENTS = 16
+TIER = 8  #: segments of about one size that are merged
 SESSIONS = (
     "session_uuid string, file_path string, source_root string, title string, summary_text string, compact_text string, reasoning_summary_text string, "
     "cwd string, model string, started_at string, ended_at string, path_date string, message_count long, mtime long, size long, index_version string, "
@@ -45,7 +51,9 @@ BLOCKS = (
     "entries array<struct<session_uuid: string, seq: long, n_tokens: long, fields: array<struct<field: int, places: array<int>>>>>, segment string"
 )
 GRAMS = "gram string, session_uuid string, seq long, segment string"
-DEAD = "surface string, token string, n long"
+DELETED = "session_uuid string, segment string"
+DEAD = "surface string, token string, n long, segment string"
+EMPTY = {"coverage": None, "manifest": None, "segments": [], "rows": {}, "deleted": [], "dead": []}
 #: Text fields of both surfaces, and their weights.
 SURFACES = {"messages": (["content_text"], [1.0]), "sessions": (list(recall.SESSION_WEIGHTS), list(recall.SESSION_WEIGHTS.values()))}
 COVERAGE = (
@@ -100,8 +108,9 @@ class Store:
     def _table(self, part: str | None, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{part}") if part else self.spark.createDataFrame([], schema)
 
-    def sessions(self) -> DataFrame:
-        return self._table(self.state()["sessions"], SESSIONS)
+    def parts(self, names: list[str], schema: str) -> DataFrame:
+        """Rows of some parts; none where there are none."""
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{x}" for x in names)) if names else self.spark.createDataFrame([], schema)
 
     def coverage(self) -> DataFrame:
         return self._table(self.state()["coverage"], COVERAGE)
@@ -110,33 +119,39 @@ class Store:
         """The files that the last load of each root listed."""
         return self._table(self.state().get("manifest"), LISTING)
 
-    def _live(self, kind: str, schema: str) -> DataFrame:
-        """Rows of the segments that belong to live sessions."""
-        segments = self.state()["segments"]
-        rows = self.parts([f"{s}/{kind}" for s in segments], schema)
-        return rows if not segments else rows.join(self.sessions().select("session_uuid", "segment"), ["session_uuid", "segment"], "left_semi")
+    def live(self, rows: DataFrame, state: dict | None = None) -> DataFrame:
+        """Rows (session_uuid, segment) that no delete vector names."""
+        state = state or self.state()
+        if not state["deleted"]:
+            return rows
+        gone = self.parts(state["deleted"], DELETED).filter(F.col("segment").isin(state["segments"])).distinct()
+        return rows.join(gone, ["session_uuid", "segment"], "left_anti")
 
-    def messages(self) -> DataFrame:
-        return self._live("messages", MESSAGES)
+    def _live(self, kind: str, schema: str, state: dict | None = None) -> DataFrame:
+        state = state or self.state()
+        return self.live(self.parts([f"{s}/{kind}" for s in state["segments"]], schema), state)
 
-    def parts(self, names: list[str], schema: str) -> DataFrame:
-        """Rows of some parts; none where there are none."""
-        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{x}" for x in names)) if names else self.spark.createDataFrame([], schema)
+    def sessions(self, state: dict | None = None) -> DataFrame:
+        return self._live("sessions", SESSIONS, state)
+
+    def messages(self, state: dict | None = None) -> DataFrame:
+        return self._live("messages", MESSAGES, state)
 
     def searched(self) -> Indexed:
         """Both surfaces with their postings; the totals are those of the last load."""
-        state, sessions = self.state(), self.sessions()
-        dead, segments = self.parts(state.get("dead", []), DEAD), state["segments"]
-        live = lambda rows: rows.join(sessions.select("session_uuid", "segment"), ["session_uuid", "segment"], "left_semi")
+        state = self.state()
+        segments = state["segments"]
+        dead = self.parts(state["dead"], DEAD).filter(F.col("segment").isin(segments))
         surfaces = {
-            k: blocks.Surface(self.parts([f"{s}/{k}-blocks" for s in segments], BLOCKS), *state["totals"][k], weights, dead.filter(F.col("surface") == k), live)
+            k: blocks.Surface(self.parts([f"{s}/{k}-blocks" for s in segments], BLOCKS), *state["totals"][k], weights, dead.filter(F.col("surface") == k), self.live)
             for k, (_, weights) in SURFACES.items()
         }
-        return Indexed(self.messages(), sessions, surfaces, {k: self.parts([f"{s}/{k}-grams" for s in segments], GRAMS) for k in SURFACES})
+        return Indexed(self.messages(state), self.sessions(state), surfaces, {k: self.parts([f"{s}/{k}-grams" for s in segments], GRAMS) for k in SURFACES})
 
     def save_segment(self, segment: str, messages: DataFrame, sessions: DataFrame) -> None:
-        """Messages by session and place, and what finds them and their sessions by tokens and characters."""
+        """Sessions by their end, messages by session and place, and what finds both by tokens and characters."""
         at = f"{self.path}/{segment}"
+        sessions.repartitionByRange("ended_at").sortWithinPartitions("ended_at").write.parquet(f"{at}/sessions")
         messages.repartitionByRange("session_uuid").sortWithinPartitions("session_uuid", "seq").write.parquet(f"{at}/messages")
         rows = {"messages": messages, "sessions": sessions.withColumn("seq", F.lit(None).cast("long"))}
         for kind, (fields, weights) in SURFACES.items():
@@ -150,25 +165,29 @@ class Store:
         rows = rows.to(self.spark.createDataFrame([], schema).schema)
         rows.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
 
-    def dead_counts(self, sessions: DataFrame) -> DataFrame:
-        """How often each token counts the messages and session rows of these sessions."""
+    def dead_counts(self, sessions: DataFrame, state: dict) -> DataFrame:
+        """How often each token of each segment counts the messages and rows of these sessions."""
+        said = self.parts([f"{s}/messages" for s in state["segments"]], MESSAGES)
+        said = said.join(sessions.select("session_uuid", "segment"), ["session_uuid", "segment"], "left_semi")
         out = None
-        for kind, rows in (("messages", self.messages_of(sessions)), ("sessions", sessions)):
+        for kind, rows in (("messages", said), ("sessions", sessions)):
             tokens = F.array_distinct(F.flatten(F.array(*[fts_tokens(F.col(c)) for c in SURFACES[kind][0]])))
-            own = rows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n")).select(F.lit(kind).alias("surface"), "token", "n")
+            own = rows.select("segment", F.explode(tokens).alias("token")).groupBy("segment", "token").agg(F.count("*").alias("n")).select(F.lit(kind).alias("surface"), "token", "n", "segment")
             out = own if out is None else out.union(own)
         return out
 
-    def messages_of(self, sessions: DataFrame) -> DataFrame:
-        """Messages of sessions (session_uuid, segment), dead or alive."""
-        rows = self.parts([f"{s}/messages" for s in self.state()["segments"]], MESSAGES)
-        return rows.join(sessions.select("session_uuid", "segment"), ["session_uuid", "segment"], "left_semi")
-
     def totals(self, sessions: DataFrame) -> dict[str, list[int]]:
         """Rows and tokens of each surface."""
         r = sessions.agg(*[F.coalesce(x, F.lit(0)).alias(k) for k, x in (("m", F.sum("message_count")), ("mt", F.sum("message_tokens")), ("s", F.count("*")), ("st", F.sum("n_tokens")))]).first()
         return {"messages": [r["m"], r["mt"]], "sessions": [r["s"], r["st"]]}
 
+    def crowded(self, state: dict) -> list[str]:
+        """Segments of the smallest size of which there are TIER."""
+        by: dict[int, list[str]] = {}
+        for s in state["segments"]:
+            by.setdefault(int(math.log(state["rows"][s] + 1, TIER)), []).append(s)
+        return next((x for _, x in sorted(by.items()) if len(x) >= TIER), [])
+
     def part(self, kind: str) -> str:
         return f"parts/{kind}-{uuid.uuid4().hex}"
 
@@ -182,8 +201,8 @@ class Store:
 
     def publish(self, state: dict) -> None:
         """Rename a new pointer over the old one; delete what the one before the old one alone named."""
-        named = lambda x: {x["sessions"], x["coverage"], x.get("manifest"), *x["segments"], *x.get("dead", [])} - {None}
-        before = self.state() if self.exists() else {"sessions": None, "coverage": None, "segments": []}
+        named = lambda x: {x["coverage"], x["manifest"], *x["segments"], *x["deleted"], *x["dead"]} - {None}
+        before = self.state() if self.exists() else EMPTY
         gone = [x for x in before.get("retired", []) if x not in named(state)]
         state = state | {"retired": sorted(named(before) - named(state))}
         name = f"CURRENT.{uuid.uuid4().hex}"

@@ -13,6 +13,7 @@ from sessionlake.operators.selector import Selector
 from sessionlake.plans import sync as S
 from sessionlake.plans.find import Tables
 from sessionlake.sources import jsonl
+from sessionlake.sources import store as store_module
 from sessionlake.sources.store import IndexUnavailable, LockTimeout, Store
 from sessionlake.streaming import follow
 
@@ -177,23 +178,27 @@ def test_index_tokens_agree_with_fts5(spark):
 
 def test_segments_merge_and_old_parts_go(spark, logs, tmp_path, monkeypatch):
     ix = str(tmp_path / "ix")
-    monkeypatch.setattr(S, "MOST_SEGMENTS", 1)
+    monkeypatch.setattr(store_module, "TIER", 3)
     S.sync(spark, ix, every(logs))
-    store = Store(spark, ix)
-    before = sorted((r["session_uuid"], r["seq"], r["content_text"]) for r in store.messages().collect())
-    write(logs, "2024-01-05", "00000000-0000-4000-8000-00000000000e", "/work/e", ["deploy once more", "deployed"])
-    S.sync(spark, ix, every(logs))
-    state = store.state()
-    assert len(state["segments"]) == 1 and store.messages().count() == len(before) + 2
-    on = store.searched()
-    tables = Tables(on.messages.withColumn("content_text_tokens", fts_tokens(F.col("content_text"))), on.sessions)
-    score = lambda x: sorted((r["session_uuid"], r["seq"], round(r["score"], 9)) for r in x.message_scores(["deploy"]).collect())
-    assert score(on) == score(tables) and len(score(on)) == 2
+    store, sizes = Store(spark, ix), []
+    for i in range(5):  # each load changes one session and adds another
+        write(logs, "2024-01-03", B, "/work/b", ["fix the parser", "fixed"] + ["deploy again"] * (i + 1))
+        write(logs, "2024-01-05", f"00000000-0000-4000-8000-00000000001{i}", "/work/e", ["deploy once more", "deployed"])
+        S.sync(spark, ix, every(logs))
+        sizes.append(len(store.state()["segments"]))
+        want = {A: 4, B: 3 + i} | {f"00000000-0000-4000-8000-00000000001{j}": 2 for j in range(i + 1)}
+        assert {r["session_uuid"]: r["n"] for r in store.messages().groupBy("session_uuid").agg(F.count("*").alias("n")).collect()} == want
+        assert {r["session_uuid"]: r["message_count"] for r in store.sessions().collect()} == want
+        on = store.searched()
+        tables = Tables(on.messages.withColumn("content_text_tokens", fts_tokens(F.col("content_text"))), on.sessions)
+        score = lambda x: sorted((r["session_uuid"], r["seq"], round(r["score"], 9)) for r in x.message_scores(["deploy"]).collect())
+        assert score(on) == score(tables) and len(score(on)) == 1 + (i + 1) + (i + 1)
+    assert max(sizes) <= 4 and min(sizes) < max(sizes)
     S.sync(spark, ix, every(logs))
     S.sync(spark, ix, every(logs))
     live = {p.name for p in (tmp_path / "ix" / "parts").iterdir()}
     state = store.state()
-    assert live == {x.split("/")[1] for x in [state["sessions"], state["coverage"], state["manifest"], *state["segments"], *state["dead"], *state["retired"]]}
+    assert live == {x.split("/")[1] for x in [state["coverage"], state["manifest"], *state["segments"], *state["deleted"], *state["dead"], *state["retired"]]}
 
 
 def test_text_output(spark, logs, tmp_path, capsys):
