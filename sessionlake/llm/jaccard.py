@@ -17,7 +17,7 @@ classes. The order of shingles comes from a sketch of SKETCH counters to which
 every document adds; common shingles stand out of it at any size, and no link
 depends on it.
 
-The work is linear in the length of a list. A list of at most FEW sets gives
+Candidates are linear in the length of a list. A list of at most FEW sets gives
 its pairs. A longer one gives a star: every set of it and the list's least one,
 its pivot. Comparing all members with their pivot leaves, for each, its
 difference from the pivot, and differences of two members differ by just what
@@ -26,6 +26,10 @@ the members differ by. So members that link must have differences that overlap
 are joined once more on the first elements of their differences, those outside
 the pivot first. Copies of one text, each with its own changes, share hardly
 any of these. Where lists of such elements are long again they give stars again.
+Lists of one group of near copies have several least sets, and so the group would
+give as many stars; a star whose members are all in a larger one is left out, since
+any two of them meet there. What is left is a row for each member, star and first
+element of a difference, of which a member far from its pivot has many.
 
 Class ids are 64 bits of a digest only while candidates are gathered; after
 that, classes are known by all 128 and every pair is compared in full.
@@ -397,6 +401,20 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.select(F.col("v").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
 
 
+def _uncovered(left: DataFrame) -> DataFrame:
+    """left (a, x, label) without the stars whose members are all in a larger one.
+
+    A star is held against one other: the largest that any of its members is in.
+    """
+    sizes = left.groupBy("a").agg(F.count("*").alias("m"))
+    ranked = left.join(sizes, "a").withColumn("own", F.struct("m", (-F.col("a")).alias("minus")))
+    largest = ranked.groupBy("x").agg(F.max("own").alias("top"), F.count("*").alias("stars")).filter("stars > 1").select("x", "top")
+    other = ranked.join(largest, "x").groupBy("a").agg(F.max("top").alias("top"), F.first("own").alias("own")).filter("top > own").select("a", (-F.col("top.minus")).alias("of"))
+    both = left.join(other, "a").join(left.select(F.col("a").alias("of"), "x"), ["of", "x"], "left_semi")
+    covered = both.groupBy("a").agg(F.count("*").alias("both")).join(sizes, "a").filter("both = m").select("a")
+    return left.join(covered, "a", "left_anti")
+
+
 def _links(pairs: DataFrame, full: DataFrame, percent: int, frequencies) -> DataFrame:
     """v, label: components of the classes that candidates (a, x, star) lead to."""
     seen = _compare(pairs, full, percent)
@@ -408,6 +426,7 @@ def _links(pairs: DataFrame, full: DataFrame, percent: int, frequencies) -> Data
         left = written(members.join(split, "a").select("a", "x", "label"), "jaccard-split")
         if left.isEmpty():
             return labels
+        left = written(_uncovered(left), "jaccard-stars")
         rows = _meeting(left, full).mapInArrow(partial(_differences, percent=percent, frequencies=frequencies), "key long, x long, n int, e int, at int, label long, kind int")
         in_list = Window.partitionBy("key")
         probed = F.max(F.col("kind") > 1).over(in_list)

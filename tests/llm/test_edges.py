@@ -160,3 +160,26 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     assert {r["doc_id"] for r in mixed.collect()} <= {1, 5, 7, 8, 9, None} and mixed.columns == [*docs.columns, "copy"]
     for name, _ in corpus_pipeline.STAGES:
         assert run(name, docs.limit(0)).count() == 0
+
+
+def test_copies_with_deletions_give_few_differences(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(400)]
+    texts = {}
+    for i in range(80):
+        gone = set(rng.choice(400, int(rng.integers(5, 20)), replace=False).tolist())
+        texts[i] = " ".join(w for j, w in enumerate(base) if j not in gone)
+    rows = {"jaccard-split": 0, "jaccard-stars": 0, "jaccard-differences": 0}
+
+    def counted(df, name):
+        out = written(df, name)
+        if name in rows:
+            rows[name] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similarity_classes(docs).collect()}
+    assert got == classes_of(texts, 4, 85)
+    assert 0 < 2 * rows["jaccard-stars"] < rows["jaccard-split"]
+    assert rows["jaccard-differences"] < 100 * rows["jaccard-stars"]
