@@ -14,10 +14,10 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import reading
+from .operators import evaluation, reading
 from .operators.selector import Selector
 from .plans import sync
 from .sources import jsonl
@@ -227,3 +227,93 @@ def _(spark, d):
     session = on.store.sessions().filter("cwd = '/work/proj-3' AND path_date = '2024-01-01'").orderBy("session_uuid").first().asDict()
     rows = sync.session_coverage(on.store, session)
     return spark.createDataFrame([(i, r["kind"]) for i, r in enumerate(rows, 1)], "place int, kind string")
+
+
+# --- evaluation files written from the conversations: a golden entry each, a tenth of them wrong in one of three ways
+_GOLDEN_SQL = """WITH c AS (SELECT conv_id, any_value(substr(text, 1, 20)) FILTER (turn = 0) AS q, count(*) AS n FROM conversations GROUP BY conv_id)"""
+_WRONG = "CASE conv_id % 30 WHEN 3 THEN 'not JSON' WHEN 13 THEN 'unknown status' WHEN 23 THEN 'nothing is expected' END"
+
+
+def _golden_file(spark: SparkSession, sf_dir: str) -> str:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.count("*").alias("n"))
+    wrong = F.col("conv_id") % 30
+    expected = F.when(wrong == 23, F.struct(F.lit(None).cast("string").alias("cwdContains"), F.lit(None).cast("int").alias("topK"))).otherwise(F.struct(F.concat(F.lit("proj-"), (F.col("conv_id") % 7).cast("string")).alias("cwdContains"), F.col("n").cast("int").alias("topK")))
+    entry = F.to_json(F.struct(
+        F.concat(F.lit(" g"), F.col("conv_id").cast("string")).alias("id"), F.concat(F.lit("query "), (F.col("conv_id") % 5).cast("string")).alias("query"), F.lit("why").alias("intent"),
+        F.when(wrong == 13, "new").when(F.col("conv_id") % 4 == 0, "hard").when(F.col("conv_id") % 4 == 1, "stale").otherwise("candidate").alias("status"), expected.alias("expected"),
+    ))
+    lines = c.select("conv_id", F.when(wrong == 3, "{" ).otherwise(entry).alias("value")).withColumn("value", F.concat(F.lit("# entry\n"), "value"))
+    path = f"{shared_folder(spark)}/golden-{uuid.uuid4().hex}"
+    lines.select("value").repartition(1, "value").write.text(path)  # a golden file is small and one by nature
+    return path
+
+
+_golden: dict[tuple[str, str], str] = {}
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _golden:
+        _golden[key] = _golden_file(spark, sf_dir)
+    return evaluation.golden(spark, _golden[key])
+
+
+@query("golden_entries", _GOLDEN_SQL + f"""SELECT CASE WHEN conv_id % 30 <> 3 THEN 'g' || conv_id END AS id, CASE WHEN conv_id % 30 <> 3 THEN 'query ' || conv_id % 5 END AS query, {_WRONG} AS error,
+  CASE WHEN conv_id % 30 NOT IN (3, 23) THEN 'proj-' || conv_id % 7 END AS cwd_contains, CASE WHEN conv_id % 30 NOT IN (3, 23) THEN n END AS top_k FROM c""")
+def _(spark, d):
+    return _entries(spark, d).select("id", "query", "error", F.col("expected.cwd_contains").alias("cwd_contains"), F.col("expected.top_k").alias("top_k"))
+
+
+# results: every entry's search finds the conversations of its number modulo 11, best first
+_RANKED = "r AS (SELECT c.conv_id AS of, o.conv_id, row_number() OVER (PARTITION BY c.conv_id ORDER BY o.conv_id) AS rank FROM c JOIN c AS o ON o.conv_id % 11 = c.conv_id % 11 AND o.conv_id <> c.conv_id)"
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct()
+    pairs = c.select(F.col("conv_id").alias("of"), (F.col("conv_id") % 11).alias("m")).join(c.select("conv_id", (F.col("conv_id") % 11).alias("m")), "m").filter("of <> conv_id")
+    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("of").orderBy("conv_id")))
+    return pairs.select(F.concat(F.lit("g"), F.col("of").cast("string")).alias("id"), "rank", F.format_string("%08d", "conv_id").alias("session_uuid"), F.concat(F.lit("/work/proj-"), (F.col("conv_id") % 7).cast("string")).alias("cwd"), F.lit("message").alias("match_source"), F.lit(1).cast("long").alias("match_seq"))
+
+
+_MARKS = _GOLDEN_SQL + ", " + _RANKED + """, f AS (SELECT of, conv_id FROM r WHERE rank = 1),
+k AS (SELECT c.conv_id, CASE WHEN c.conv_id % 4 = 1 THEN 'skip' WHEN f.conv_id % 7 = c.conv_id % 7 THEN 'pass' ELSE 'fail' END AS mark, CASE c.conv_id % 4 WHEN 0 THEN 'hard' WHEN 1 THEN 'stale' ELSE 'candidate' END AS status
+  FROM c LEFT JOIN f ON f.of = c.conv_id WHERE c.conv_id % 30 NOT IN (3, 13, 23))"""
+
+
+@query("golden_marks", _MARKS + " SELECT 'g' || conv_id AS id, mark, mark = 'fail' AND status = 'hard' AS blocking FROM k")
+def _(spark, d):
+    return evaluation.golden_marks(_entries(spark, d).filter("error IS NULL"), _found(spark, d)).select("id", "mark", "blocking")
+
+
+@query("golden_scoreboard", _MARKS + """ SELECT count(*) AS total, count(*) FILTER (mark = 'pass') AS passed, count(*) FILTER (mark = 'fail') AS failed, count(*) FILTER (mark = 'skip') AS skipped,
+  count(*) FILTER (mark = 'fail' AND status = 'hard') AS hard_failed, count(*) FILTER (mark = 'fail' AND status = 'candidate') AS candidate_failed FROM k""")
+def _(spark, d):
+    return evaluation.golden_scoreboard(evaluation.golden_marks(_entries(spark, d).filter("error IS NULL"), _found(spark, d)))
+
+
+def _saved(rows: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
+    system, top = file_system(folder)
+    for part in rows:
+        for id_, found in zip(part["id"], part["found"]):
+            results = [{"rank": int(r["rank"]), "sessionUuid": r["session_uuid"], "title": r["cwd"]} for r in sorted(found, key=lambda r: r["rank"])]
+            with system.open_output_stream(f"{top}/{id_}.find.json") as f:
+                f.write(json.dumps({"query": f"query {id_}", "results": results}, indent=2).encode())
+        yield part[["id"]]
+
+
+@query("eval_batch_files", _GOLDEN_SQL + ", " + _RANKED + " SELECT 'g' || of AS id, 'query g' || of AS query, count(*) AS results, lpad(CAST(min(conv_id) AS VARCHAR), 8, '0') AS first FROM r GROUP BY of")
+def _(spark, d):
+    folder = f"{shared_folder(spark)}/batch-{uuid.uuid4().hex}"
+    system, top = file_system(folder)
+    system.create_dir(top, recursive=True)
+    found = _found(spark, d).groupBy("id").agg(F.collect_list(F.struct("rank", "session_uuid", "cwd")).alias("found"))
+    found.mapInPandas(lambda rows: _saved(rows, folder), "id string").count()
+    return evaluation.batch(spark, folder).select("id", "query", F.size("results").cast("long").alias("results"), F.col("results")[0]["sessionUuid"].alias("first"))
+
+
+@query("read_ranges", _SQL + ' SELECT m.session_uuid, seq, content_text FROM m JOIN s USING (session_uuid) WHERE seq BETWEEN greatest(0, conv_id % 4 - 1) AND conv_id % 4 + 1')
+def _(spark, d):
+    on = logs(spark, d)
+    anchor = F.substring("session_uuid", 1, 8).cast("long") % 4
+    wanted = on.store.sessions().select("session_uuid", F.greatest(F.lit(0), anchor - 1).alias("first"), (anchor + 1).alias("last"))
+    return reading.message_ranges(on.store.messages(), wanted).select("session_uuid", "seq", "content_text")

@@ -11,7 +11,7 @@ from ..sources.jsonl import text_at
 STATUSES = ("candidate", "hard", "stale")
 ORIGINS = ("observed-user-ask", "evidence-backed-derived", "manual")
 TOP = 5
-BATCH = "query string, results array<struct<rank:int,sessionUuid:string,title:string>>"
+BATCH = "query string, results array<struct<rank:int,sessionUuid:string,session_uuid:string,title:string>>"
 
 
 def _kind(v: Column, path: str) -> Column:
@@ -89,9 +89,10 @@ def _selector_ok(v: Column) -> Column:
 
 
 def batch(spark: SparkSession, folder: str) -> DataFrame:
-    """id, query, results of every ``<id>.find.json`` in a folder."""
+    """id, query, results of every ``<id>.find.json`` in a folder, whichever way it spells a session's id."""
     rows = spark.read.schema(BATCH).option("multiLine", "true").option("pathGlobFilter", "*.find.json").json(folder)
-    return rows.select(F.regexp_replace("_metadata.file_name", r"\.find\.json$", "").alias("id"), "query", "results")
+    found = F.transform("results", lambda r: F.struct(r["rank"].alias("rank"), F.coalesce(r["sessionUuid"], r["session_uuid"]).alias("sessionUuid"), r["title"].alias("title")))
+    return rows.select(F.regexp_replace("_metadata.file_name", r"\.find\.json$", "").alias("id"), "query", found.alias("results"))
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:

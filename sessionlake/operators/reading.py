@@ -10,6 +10,12 @@ def message_range(messages: DataFrame, session_uuid: str, anchor: int, before: i
     return messages.filter((F.col("session_uuid") == session_uuid) & F.col("seq").between(max(0, anchor - before), anchor + after)).orderBy("seq")
 
 
+def message_ranges(messages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (with session_uuid, first, last) and the messages of each range."""
+    m = messages.select("session_uuid", "seq", "role", "timestamp", "content_text")
+    return m.join(wanted, "session_uuid").filter(F.col("seq").between(F.col("first"), F.col("last")))
+
+
 def message_page(messages: DataFrame, session_uuid: str, offset: int = 0, limit: int = 20) -> DataFrame:
     return messages.filter(F.col("session_uuid") == session_uuid).orderBy("seq").offset(offset).limit(limit)
 

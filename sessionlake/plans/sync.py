@@ -129,14 +129,17 @@ def _merge(store: Store, state: dict, segments: list[str]) -> None:
     state["rows"] = {s: state["rows"].get(s) for s in state["segments"]} | {name: store.parts([f"{name}/messages"], MESSAGES).count()}
 
 
-def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool = False) -> SyncResult:
+def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool = False, paths: DataFrame | None = None) -> SyncResult:
     """Bring the index up to date with the files of a selector.
 
     Strict: any file in error, or files that change meanwhile, leave the index
     as it was; rows of files that are gone are removed; coverage is recorded.
     Best effort: files in error are counted and left out; nothing else is
-    removed and no coverage is recorded.
+    removed and no coverage is recorded. A best-effort load may be told the
+    ``paths`` (file_path) that are new or changed; it then looks at no others.
     """
+    if paths is not None and not best_effort:
+        raise ValueError("only a best-effort load is of some paths")
     selector, store, staged = selector.canonical(), Store(spark, index), []
 
     def stage(df: DataFrame, kind: str) -> DataFrame:
@@ -149,7 +152,7 @@ def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool
             before = set(state["segments"])
             sessions, coverage = store.sessions(state), store.coverage() if state["coverage"] else None
             known = store.manifest() if store.exists() else None
-            listed = stage(jsonl.listing(spark, selector.root, known), "listing")
+            listed = stage(jsonl.listing(spark, selector.root, known, paths), "listing")
             files = about(listed, selector)
             seen = stage(classify(files, sessions), "classes")
             print_ = reading.fingerprint(files, selector.root).first()
@@ -200,8 +203,11 @@ def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool
                 staged += [s for s in some if s not in before]  # no pointer ever names it
             if not state["segments"]:
                 state["deleted"], state["dead"] = [], []
-            elsewhere = F.col("file_path").startswith(selector.root.rstrip("/") + "/")
-            state["manifest"] = store.save(listed if known is None else listed.unionByName(known.filter(~elsewhere)), "manifest")
+            if known is not None:  # what this load didn't list stays as it was told
+                inside = F.col("file_path").startswith(selector.root.rstrip("/") + "/")
+                others = known.filter(~inside) if paths is None else known.join(listed.select("file_path"), "file_path", "left_anti")
+                listed = listed.unionByName(others)
+            state["manifest"] = store.save(listed, "manifest")
             loaded = store.sessions(state)
             state["totals"] = store.totals(loaded)
             if best_effort:
@@ -256,13 +262,16 @@ def freshness(spark: SparkSession, store: Store) -> DataFrame:
     return freshness_of(entries.join(at, "selector_key", "left")).select(*entries.columns, "freshness").orderBy(F.col("completed_at").desc(), "selector_key")
 
 
-def status(spark: SparkSession, index: str, root: str, selector: Selector | None = None) -> dict:
-    """Inventory of a root, state of the index, freshness of its coverage and what to do for a selector. Writes nothing."""
+def status(spark: SparkSession, index: str, root: str, selector: Selector | None = None, groups: int = 100) -> dict:
+    """Inventory of a root, state of the index, freshness of its coverage and what to do for a selector. Writes nothing.
+
+    The inventory shows the ``groups`` directories of most files, and how many there are in all.
+    """
     store = Store(spark, index)
     files = jsonl.listing(spark, root, store.manifest() if store.exists() else None)
-    totals = files.agg(F.count("*").alias("file_count"), F.min("path_date").alias("from_date"), F.max("path_date").alias("to_date")).first().asDict()
-    groups = [r.asDict() for r in reading.inventory(files).orderBy(F.col("n").desc(), "cwd").limit(100).collect()]
-    out = {"index_version": INDEX_VERSION, "root": root, "inventory": totals | {"cwds": groups}, "index": {"exists": store.exists(), "size_bytes": store.size_bytes()}, "coverage": []}
+    totals = files.agg(F.count("*").alias("file_count"), F.min("path_date").alias("from_date"), F.max("path_date").alias("to_date"), F.count_distinct(F.nullif("cwd", F.lit(""))).alias("cwd_count")).first().asDict()
+    shown = [r.asDict() for r in reading.inventory(files).orderBy(F.col("n").desc(), "cwd").limit(groups).collect()]
+    out = {"index_version": INDEX_VERSION, "root": root, "inventory": totals | {"cwds": shown}, "index": {"exists": store.exists(), "size_bytes": store.size_bytes()}, "coverage": []}
     if store.exists():
         out["index"] |= reading.stats(store.sessions()).first().asDict() | {"last_sync_at": store.state().get("synced_at")}
         covered = [r.asDict() for r in freshness(spark, store).collect()]

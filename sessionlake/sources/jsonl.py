@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim
 from ..operators.derive import joined_distinct, looks_internal, path_date, summary, title, verdict, with_seq
-from .listing import log_files, with_heads
+from .listing import files_at, log_files, with_heads
 
 LISTING = "file_path string, mtime long, size long, path_date string, cwd string"
 UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
@@ -48,14 +48,14 @@ def _records(lines: DataFrame) -> DataFrame:
     return rows.filter(F.col("bare_null") | F.coalesce(whole, F.lit(False)))
 
 
-def listing(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
-    """file_path, mtime, size, path_date, cwd of every .jsonl file under root.
+def listing(spark: SparkSession, root: str, known: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """file_path, mtime, size, path_date, cwd of every .jsonl file under root, or of those at ``paths`` (file_path).
 
     The working directory is that of the first record naming one in the first
     64 KiB, which is all that is read of a file. Files that ``known`` (an earlier
     listing) has with the same time and size aren't opened.
     """
-    files = log_files(spark, root)
+    files = log_files(spark, root) if paths is None else files_at(paths)
     if known is None:
         files = files.withColumn("known", F.lit(None).cast("string"))
     else:

@@ -81,6 +81,22 @@ def log_files(spark: SparkSession, root: str) -> DataFrame:
     return files.withColumn("file_path", F.concat(F.lit(scheme), "file_path"))
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for path in batch.column("file_path").to_pylist():
+            system, at = file_system(path)
+            x = system.get_file_info(at)
+            if x.type == fs.FileType.File:
+                rows.append((path, x.mtime_ns // 1_000_000, x.size))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["file_path", "mtime", "size"])
+
+
+def files_at(paths: DataFrame) -> DataFrame:
+    """The same of the paths (file_path) that are there, without listing anything."""
+    return paths.select("file_path").mapInArrow(_told, FILES)
+
+
 def _by_spark(spark: SparkSession, root: str) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):

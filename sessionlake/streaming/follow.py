@@ -31,12 +31,16 @@ def activity(said: DataFrame, every: str = "1 hour", late: str = "1 day") -> Dat
 
 
 def follow(spark: SparkSession, index: str, selector: Selector, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Load a selector's files into the index whenever new ones arrive; once only without ``every``."""
+    """Load a selector's files into the index whenever new ones arrive; once only without ``every``.
+
+    A batch loads the files that it brought and lists no others.
+    """
     changes = messages(spark, selector.root).select("file_path")
 
     def load(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            sync(batch.sparkSession, index, selector, best_effort=True)
+        paths = batch.select("file_path").distinct()
+        if not paths.isEmpty():
+            sync(batch.sparkSession, index, selector, best_effort=True, paths=paths)
 
     how = {"processingTime": every} if every else {"availableNow": True}
     return changes.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(**how).start()

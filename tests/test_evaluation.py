@@ -66,3 +66,41 @@ def test_artefacts(spark, logs, tmp_path):  # noqa: F811
     assert card["scoreboard"] == {"total": 3, "skipped": 1, "pass1": 1, "pass5": 1}
     assert {p.name for p in out.iterdir()} >= {"README.md", "01-a.find.json", "01-a.find.txt", "01-a.read-range.json", "02-b.find.json"}
     assert json.loads((out / "01-a.find.json").read_text())["results"][0]["session_uuid"] == A
+
+
+def test_golden_run_and_comparison(spark, logs, tmp_path, capsys):  # noqa: F811
+    ix = str(tmp_path / "ix")
+    S.sync(spark, ix, every(logs))
+    say = lambda id_, query, expected, status="hard", **find: json.dumps({"id": id_, "query": query, "intent": "i", "status": status, "expected": expected, "find": find})
+    lines = [
+        "# by hand", say("around it", "health check", {"acceptableSessionUuids": [A], "context": {"mustContain": ["thanks", "DONE,"], "mode": "read-range", "after": 3}}),
+        say("page", "fix the parser", {"context": {"mustContain": ["fixed"], "mode": "read-page"}, "cwdContains": "WORK/B"}, queries=["absent words", "parser", "parser"]),
+        say("narrow", "health check", {"cwdContains": "/work/a"}, "candidate", cwd="/work/b", root=str(logs)),
+        say("old", "x", {"cwdContains": "y"}, "stale"), say("page far", "bye", {"context": {"mustContain": ["bye"], "mode": "read-page", "offset": 4}}, "candidate"),
+    ]
+    (tmp_path / "g.jsonl").write_text("\n".join(lines))
+    one, two = tmp_path / "one", tmp_path / "two"
+    assert evaluate.main(["golden", "--index", ix, "--queries", str(tmp_path / "g.jsonl"), "--out", str(one)], spark) == 0
+    card = json.loads((one / "scorecard.json").read_text())
+    assert [(x["id"], x["mark"], x["attempt"], x["attempts"]) for x in card["entries"]] == [("around it", "pass", 1, 1), ("page", "pass", 2, 2), ("narrow", "fail", 1, 1), ("page far", "fail", 1, 1)]
+    assert card["scoreboard"] == {"total": 4, "passed": 2, "failed": 2, "skipped": 0, "hard_failed": 0, "candidate_failed": 2}
+    read = json.loads((one / "01-around-it.read-range.json").read_text())
+    assert [m["seq"] for m in read["messages"]] == [m for m in range(read["from"], read["to"] + 1) if m < 4]
+    assert (one / "02-page.attempt-02.read-page.txt").exists() and (one / "02-page.attempt-01.find.json").exists()
+    assert evaluate.main(["golden", "--stale", "--index", ix, "--queries", str(tmp_path / "g.jsonl"), "--out", str(two)], spark) == 0
+    assert json.loads((two / "scorecard.json").read_text())["scoreboard"]["skipped"] == 1
+
+    # the later run finds something else first for one search, and has one more
+    changed = json.loads((two / "01-around-it.find.json").read_text())
+    changed["results"][0]["session_uuid"] = "else"
+    (two / "01-around-it.find.json").write_text(json.dumps(changed))
+    capsys.readouterr()
+    assert evaluate.main(["compare", str(one), str(two)], spark) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert told["shared"] == 4 and [(x["id"], x["before"], x["after"]) for x in told["changed"]] == [("01-around-it", A, "else")]
+
+    (tmp_path / "bad.jsonl").write_text(lines[1] + "\n{")
+    assert evaluate.main(["golden", "--index", ix, "--queries", str(tmp_path / "bad.jsonl"), "--out", str(one)], spark) == 1
+    assert "bad.jsonl:2: not JSON" in capsys.readouterr().err
+    (tmp_path / "hard.jsonl").write_text(say("h", "absent", {"cwdContains": "y"}))
+    assert evaluate.main(["golden", "--index", ix, "--queries", str(tmp_path / "hard.jsonl"), "--out", str(one)], spark) == 1
