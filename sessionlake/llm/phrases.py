@@ -240,6 +240,8 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     twice = profile.select("fp").mapInArrow(partial(_flat, full=False), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1").select("fp")
     flat = profile.select("tk", "fp", "ctx", "start", "stop").mapInArrow(partial(_flat, full=True), "fp long, ctx long, tk binary, start int, stop int")
     seen = written(flat.join(twice, "fp", "left_semi"), "phrase-seen")
+    heads = written(profile.select("doc_id", "tk", "n_words", "digest"), "phrase-heads")
+    released(profile)
     contexts = written(seen.groupBy("fp", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("tk", "start", "stop")).alias("at")), "phrase-contexts")
     unsure = contexts.groupBy("fp").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").select("fp")
 
@@ -257,6 +259,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     starts = windows.filter("NOT sure").join(again, ["wh", "wh2"], "left_semi").groupBy("tk").agg(F.collect_list("start").alias("starts"))
     cut = texts.select("tk", "text", "whole").join(starts, "tk", "left").filter("whole IS NOT NULL OR starts IS NOT NULL")
     patterns = written(cut.mapInArrow(partial(_cut_patterns, window=window), "tk binary, words binary"), "phrase-patterns")
+    released(windows)
 
     volume = patterns.agg(F.sum(F.length("words")).alias("v")).first()["v"] or 0
     shards = max(1, -(-volume // (8 * SHARD_WORDS)))
@@ -264,6 +267,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     sure = seen.join(contexts.select("fp", "ctx", F.col("n").alias("of"), F.col("at.tk").alias("home")), ["fp", "ctx"])
     routes = sure.select("tk", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int").alias("shard")).distinct()
     routes = written(routes, "phrase-routes")
+    released(seen, contexts)
     weighed = routes.join(texts.select("tk", F.octet_length("text").alias("bytes")), "tk")
     splits = written(weighed.groupBy("shard").agg(F.ceil((F.sum("bytes") + 1) / SPLIT_BYTES).cast("int").alias("splits")), "phrase-splits")
     dealt = routes.join(splits, "shard").select("tk", "shard", F.pmod(F.xxhash64("tk", F.lit(3)), "splits").cast("int").alias("split"))
@@ -271,10 +275,10 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     streams = dealt.join(texts.select("tk", "text"), "tk")
     spans = streams.groupBy("shard", "split").cogroup(copies.groupBy("shard", "split")).applyInPandas(_scan, "tk binary, spans array<int>")
     spans = written(spans, "phrase-spans")
-    released(seen, contexts, windows, patterns, routes, splits)
+    released(patterns, routes, splits)
     found = spans.groupBy("tk").agg(F.collect_list("spans").alias("spans"))
     left = texts.select("tk", "text").join(found, "tk").mapInArrow(_kept, "tk binary, n_removed long, digest binary")
-    out = profile.select("doc_id", "tk", "n_words", F.col("digest").alias("whole")).join(left, "tk", "left")
+    out = heads.select("doc_id", "tk", "n_words", F.col("digest").alias("whole")).join(left, "tk", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.lower(F.hex(F.coalesce("digest", "whole"))).alias("kept_sha256"))
 
 
