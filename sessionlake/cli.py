@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from . import printing
 from .functions import snippets
-from .functions.text import query_terms
+from .functions.segment import Dictionary
+from .functions.text import query_terms, use_dictionary
 from .operators import reading
 from .operators.selector import InvalidSelector, Selector
 from .plans import sync as loading
@@ -124,6 +125,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sessionlake")
     p.add_argument("--index", help=f"folder of the index ({HOME})")
     p.add_argument("--json", action="store_true", help="print JSON")
+    p.add_argument("--dictionary", help="file of words of scripts without spaces, one a line")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("sync")
     c.add_argument("--selector", required=True)
@@ -163,6 +165,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.index is None:
         move_old_home(OLD_HOME, HOME)
         a.index = os.path.expanduser(HOME)
+    words = None
+    if a.dictionary:
+        with open(a.dictionary, encoding="utf-8") as f:
+            words = Dictionary.read(f)
+    use_dictionary(words)
     spark = spark or SparkSession.builder.appName("sessionlake").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
         out = run(spark, a)

@@ -15,6 +15,23 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .segment import Dictionary, spaced
+
+#: The dictionary of scripts without spaces, for whatever is indexed or asked from now on.
+_dictionary: Dictionary | None = None
+
+
+def use_dictionary(dictionary: Dictionary | None) -> None:
+    """Words of scripts without spaces come from this dictionary, in texts and in queries alike."""
+    global _dictionary
+    _dictionary = dictionary
+
+
+def dictionary_digest() -> str:
+    """What tells the dictionary in use from others; empty without one."""
+    return _dictionary.digest if _dictionary else ""
+
+
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
 WORD = r"[\p{L}\p{M}\p{N}_]+(?:['.][\p{L}\p{M}\p{N}_]+)*"
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
@@ -72,6 +89,7 @@ def words(c: Column) -> Column:
 
 def fts_tokens(c: Column) -> Column:
     """Index tokens: words without marks, and CJK bigrams in their place."""
+    c = spaced(c, _dictionary)
     spread = F.when(has_cjk(c), F.array_join(F.transform(
         F.regexp_extract_all(c, F.lit(f"[{CJK}]+|[^{CJK}]+"), F.lit(0)),
         lambda p: F.when(p.rlike(f"^[{CJK}]"), F.concat(F.lit(" "), F.array_join(cjk_bigrams(p), " "), F.lit(" "))).otherwise(p)), "")).otherwise(c)
@@ -86,6 +104,7 @@ def is_cjk(text: str) -> bool:
 def level1(text: str) -> list[str]:
     """Level-1 tokens of one string, in order."""
     out: list[str] = []
+    text = _dictionary.spaced(text) if _dictionary else text
     for piece in _CJK_RUN.split(text):
         if _CJK_RUN.match(piece):
             out += [piece[i : i + 2] for i in range(len(piece) - 1)]

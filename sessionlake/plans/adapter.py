@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fts_tokens
+from ..functions.text import dictionary_digest, fts_tokens
 from ..operators.derive import joined_distinct, sessions_of, with_seq
 from ..sources.scratch import shared_folder
 from ..sources.store import EMPTY, INDEX_VERSION, MESSAGES, SESSIONS, SURFACES, Store
@@ -64,7 +64,7 @@ def load(spark: SparkSession, sf_dir: str, path: str, cjk: bool = False) -> Stor
     typed = lambda df, schema: df.to(spark.createDataFrame([], schema).schema)
     with store.writing():
         store.save_segment(segment, typed(said, MESSAGES), typed(rows, SESSIONS))
-        state = EMPTY | {"segments": [segment], "synced_at": NOW}
+        state = EMPTY | {"segments": [segment], "synced_at": NOW, "dictionary": dictionary_digest()}
         state["rows"] = {segment: store.messages(state).count()}
         store.publish(state | {"totals": store.totals(store.sessions(state))})
     return store

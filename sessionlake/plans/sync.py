@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fts_tokens
+from ..functions.text import dictionary_digest, fts_tokens
 from ..operators import reading
 from ..operators.derive import source_root
 from ..operators.selector import Selector, implies
@@ -148,7 +148,9 @@ def sync(spark: SparkSession, index: str, selector: Selector, best_effort: bool
 
     with store.writing():
         try:
-            state = store.state() if store.exists() else dict(EMPTY)
+            state = store.state() if store.exists() else EMPTY | {"dictionary": dictionary_digest()}
+            if state["dictionary"] != dictionary_digest():
+                raise SyncFailed("the index was built with another dictionary, nothing written")
             before = set(state["segments"])
             sessions, coverage = store.sessions(state), store.coverage() if state["coverage"] else None
             known = store.manifest() if store.exists() else None

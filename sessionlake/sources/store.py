@@ -32,7 +32,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fts_tokens
+from ..functions.text import dictionary_digest, fts_tokens
 from ..operators import blocks, grams, recall
 from ..plans.find import Indexed
 from .jsonl import LISTING
@@ -53,7 +53,7 @@ BLOCKS = (
 GRAMS = "gram string, session_uuid string, seq long, segment string"
 DELETED = "session_uuid string, segment string"
 DEAD = "surface string, token string, n long, segment string"
-EMPTY = {"coverage": None, "manifest": None, "segments": [], "rows": {}, "deleted": [], "dead": []}
+EMPTY = {"coverage": None, "manifest": None, "segments": [], "rows": {}, "deleted": [], "dead": [], "dictionary": ""}
 #: Text fields of both surfaces, and their weights.
 SURFACES = {"messages": (["content_text"], [1.0]), "sessions": (list(recall.SESSION_WEIGHTS), list(recall.SESSION_WEIGHTS.values()))}
 COVERAGE = (
@@ -140,6 +140,8 @@ class Store:
     def searched(self) -> Indexed:
         """Both surfaces with their postings; the totals are those of the last load."""
         state = self.state()
+        if state["dictionary"] != dictionary_digest():
+            raise IndexUnavailable(f"the index at {self.path} was built with another dictionary")
         segments = state["segments"]
         dead = self.parts(state["dead"], DEAD).filter(F.col("segment").isin(segments))
         surfaces = {
