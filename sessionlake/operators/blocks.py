@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import recall
 
 BITS = 7  #: a block holds 2^BITS rows, fewer at the end of a partition
-FIRST = 16  #: blocks that are scored first
+FIRST = 64  #: blocks that are scored first
 LISTED = 1024  #: chosen blocks up to this number are named in the scan's filter, more are joined
 SLACK = 1e-9  #: of sums in another order
 SCORED = "segment string, session_uuid string, seq long, score double"

@@ -6,6 +6,7 @@ first (heads, chosen blocks), and the plan that is left reads the texts of its r
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -135,10 +136,11 @@ def named(column: str, values: list[str]) -> Column:
     """Whether the column is one of the values, as a balanced tree of equalities: unlike a long IN, Parquet prunes pages by those."""
     if not values:
         return F.lit(False)
-    tests = [F.col(column) == v for v in values]
+    quoted = [v.replace("\\", "\\\\").replace("'", "\\'") for v in values]
+    tests = [f"{column} = '{v}'" for v in quoted]
     while len(tests) > 1:
-        tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
-    return tests[0]
+        tests = [f"({tests[i]} OR {tests[i + 1]})" if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
+    return F.expr(tests[0])  # one call, whatever the number of values
 
 
 def _like_order(o: FindOptions, *ties: str) -> list[Column]:
@@ -164,7 +166,8 @@ def union_hits(on: Tables, query: str, o: FindOptions) -> DataFrame:
     terms = query_terms(query)
     if not terms and not is_cjk(query):
         on = Tables(on.messages.limit(0), on.sessions.limit(0))  # nothing is found, nothing is read
-    m, s = message_hits(on, query, terms, o), session_hits(on, query, terms, o)
+    with ThreadPoolExecutor(2) as pool:  # over an index each of them runs jobs
+        m, s = [x.result() for x in [pool.submit(f, on, query, terms, o) for f in (message_hits, session_hits)]]
     both = m.withColumn("surface", F.lit(0)).unionByName(s.withColumn("surface", F.lit(1)))
     first = F.col("score") if terms else -F.col("score")
     times = [] if o.sort == "relevance" else [F.col("ended_at" if o.sort == "ended" else "started_at").desc()]

@@ -71,7 +71,8 @@ def by_hand(tables, phrases, n, keep=lambda uuid: True):
 
 
 @pytest.mark.parametrize("terms, fewer", [(["w350"], True), (["w0"], False), (["w3", "w9"], True), (["w20"], True), (["w1'w2"], False), (["w0", "w1'w0", "w5"], False), (["w350", "s7"], False), (["absent"], False), (["w0'w0"], False)])
-def test_bounds_lose_nothing(spark, corpus, terms, fewer):
+def test_bounds_lose_nothing(spark, corpus, monkeypatch, terms, fewer):
+    monkeypatch.setattr(blocks, "FIRST", 16)
     on = everything(spark, corpus)
     phrases = recall.phrases_of(terms)
     order = [F.col("score"), F.col("session_uuid"), F.col("seq")]
