@@ -27,8 +27,10 @@ are joined once more on the first elements of their differences, those outside
 the pivot first. Copies of one text, each with its own changes, share hardly
 any of these. Where lists of such elements are long again they give stars again.
 Lists of one group of near copies have several least sets, and so the group would
-give as many stars; a star whose members are all in a larger one is left out, since
-any two of them meet there. What is left is a row for each member, star and first
+give as many stars. So a set leaves the stars with which it shares fewest shingles,
+up to a quarter of the spare ones: two linked sets leave fewer together than they
+share. And a star whose members are all in a larger one is left out, since any two
+of them meet there. What is left is a row for each member, star and first
 element of a difference, of which a member far from its pivot has many.
 
 Class ids are 64 bits of a digest only while candidates are gathered; after
@@ -88,6 +90,11 @@ def spare(n):
     return 1 + (n * SPARE // 100 if isinstance(n, int) else F.floor(n * SPARE / 100))
 
 
+def dropped(n: Column, percent: int) -> Column:
+    """How many of its listed shingles' stars a set of n may leave: two linked sets share more than both leave."""
+    return F.floor((spare(F.floor((percent * n + 99) / 100)) - 1) / 4)
+
+
 def subset_sizes(n: int, percent: int, most: int) -> list[int]:
     """Overlaps that a light set of n can have to have with another light set."""
     return sorted({need(n, m, percent) for m in range(1, most + 1) if need(n, m, percent) <= min(n, m)})
@@ -336,7 +343,7 @@ def choose_boundary(mean_list: float, percent: int) -> int:
 
 
 def _lists(tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """key, c, salt: each class once a list, without those that share fewer keys than a link needs.
+    """key, c, salt, n: each class once a list, without those that share fewer keys than a link needs.
 
     ``sizes`` holds c and n of every class.
     """
@@ -344,15 +351,15 @@ def _lists(tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     seen = tokens.select("key", "c", "salt", F.lag("c").over(together.orderBy("c")).alias("before"), (F.min("c").over(together) < F.max("c").over(together)).alias("shared"))
     seen = written(seen.filter("(before IS NULL OR before <> c) AND (shared OR salt > 0)").select("key", "c", "salt"), "jaccard-lists")
     least = spare(F.floor((percent * F.col("n") + 99) / 100))
-    enough = seen.groupBy("c").count().join(sizes, "c").filter(F.col("count") >= least).select("c")
-    return seen.join(enough, "c", "left_semi")
+    enough = seen.groupBy("c").count().join(sizes, "c").filter(F.col("count") >= least).select("c", "n")
+    return seen.join(enough, "c")
 
 
 def _candidates(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """a, x, star: pairs of short lists, and stars of the others around their least class."""
     together = Window.partitionBy("key", "salt")
     by_class = together.orderBy("c")
-    rows = lists.select("key", "c", "salt", F.count("*").over(together).alias("held"), F.min("c").over(together).alias("lead"), *[F.lag("c", i).over(by_class).alias(f"c{i}") for i in range(1, FEW)])
+    rows = lists.select("key", "c", "salt", F.col("n").alias("nx"), F.count("*").over(together).alias("held"), F.min("c").over(together).alias("lead"), *[F.lag("c", i).over(by_class).alias(f"c{i}") for i in range(1, FEW)])
 
     def pair(key: Column | None, a: Column, star: bool) -> Column:
         return F.struct((F.lit(None).cast("long") if key is None else key).alias("key"), a.alias("a"), F.lit(star).alias("star"))
@@ -360,14 +367,20 @@ def _candidates(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     few = F.array(*[pair(None, F.col(f"c{i}"), False) for i in range(1, FEW)])
     of_hot = F.array(pair(F.col("key"), F.col("lead"), True))
     out = F.when(F.col("salt") > 0, of_hot).when(F.col("held") <= FEW, few).otherwise(F.array(pair(None, F.col("lead"), True)))
-    rows = rows.select(F.col("c").alias("x"), F.explode(out).alias("p")).select("p.*", "x").filter((F.col("a") != F.col("x")) | F.col("key").isNotNull())
-    rows = written(rows.groupBy("key", "a", "star", "x").agg(F.count("*").alias("keys")), "jaccard-candidates")
+    rows = rows.select(F.col("c").alias("x"), "nx", F.explode(out).alias("p")).select("p.*", "x", "nx").filter((F.col("a") != F.col("x")) | F.col("key").isNotNull())
+    rows = rows.groupBy("key", "a", "star", "x").agg(F.count("*").alias("keys"), F.first("nx").alias("nx"))
+    # a set leaves the stars that it shares fewest shingles with, as many as no link depends on
+    own = F.col("star") & F.col("key").isNull()
+    upto = F.sum(F.when(own, F.col("keys"))).over(Window.partitionBy("x").orderBy(~own, "keys", "a").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", upto).filter(~own | (F.col("upto") > dropped(F.col("nx"), percent))).drop("nx", "upto")
+    rows = written(rows, "jaccard-candidates")
     leads = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("a").alias("lead"))
     hot = rows.filter("key IS NOT NULL").join(leads, "key").filter(F.col("lead") != F.col("x")).select(F.col("lead").alias("a"), "star", "x", "keys")
     pairs = rows.filter("key IS NULL").select("a", "star", "x", "keys").union(hot).groupBy("a", "x").agg(F.max("star").alias("star"), F.sum("keys").alias("keys"))
     pairs = pairs.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("v").alias("va")), "a").join(sizes.select(F.col("c").alias("x"), "n", F.col("v").alias("vx")), "x")
-    # two sets that link share the spare keys of the smaller one; in a long list they are compared anyway
-    fit = (F.col("keys") >= spare(F.least("n", "n_a"))) & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
+    # two sets that link share the spare keys of the smaller one, but for those that they left; in a long list they are compared anyway
+    left = dropped(F.col("n"), percent) + dropped(F.col("n_a"), percent)
+    fit = (F.col("keys") >= spare(F.least("n", "n_a")) - left) & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
     return pairs.filter(F.col("star") | fit).select(F.col("va").alias("a"), F.col("vx").alias("x"), "star")
 
 
