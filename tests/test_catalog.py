@@ -5,12 +5,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sessionlake import catalog_logs
 from sessionlake import catalog_queries as c
 from sessionlake.functions import text as X
 from sessionlake.operators.selector import InvalidSelector, Selector
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["message_seq", "derive_summary", "derive_compact", "selector_cwd_date_range", "stats_top_cwds", "read_page", "fts_tokens", "bm25_messages", "bm25_sessions_weighted", "find_relevance", "find_sort_ended", "coverage_implies", "command_bonus", "ordered_span", "source_fingerprint", "fts_scripts", "fts_query_terms", "bm25_postings_phrase", "find_postings", "sync_counters", "sync_reconcile_anti", "coverage_requested", "eval_manual", "scan_records", "scan_sessions"]
+NAMES = ["message_seq", "derive_summary", "derive_compact", "selector_cwd_date_range", "stats_top_cwds", "read_page", "fts_tokens", "bm25_messages", "bm25_sessions_weighted", "find_relevance", "find_sort_ended", "coverage_implies", "command_bonus", "ordered_span", "source_fingerprint", "fts_scripts", "fts_query_terms", "bm25_postings_phrase", "find_postings", "sync_counters", "sync_reconcile_anti", "coverage_requested", "eval_manual", "scan_records", "scan_sessions", "find_tables", "find_like_messages", "find_like_compared_messages", "find_like_sessions", "like_substring", "like_one_character", "query_profile", "coverage_status", "eval_compare", "tokenize_cjk_bigrams"]
+LOGS = ["sync_steps", "log_listing", "log_lines", "log_snapshot", "store_sessions", "store_messages", "store_token_counts", "store_coverage", "store_freshness", "store_covering", "store_session_coverage", "golden_entries", "golden_marks", "eval_batch_files", "read_ranges"]
 
 
 @pytest.fixture(scope="module")
@@ -21,18 +23,21 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", NAMES + LOGS)
 def test_oracle(spark, duck, name):
-    got = c.QUERIES[name](spark, DATA).toPandas()
-    want = duck.sql(c.ORACLES[name]).df()
+    of = c if name in NAMES else catalog_logs
+    got = of.QUERIES[name](spark, DATA).toPandas()
+    want = duck.sql(of.ORACLES[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    key = lambda df: sorted(tuple(None if pd.isna(v) else v for v in r) for r in df[cols].astype(object).itertuples(index=False))
-    assert list(map(str, key(got))) == list(map(str, key(want)))
+    plain = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v
+    key = lambda df: sorted(map(str, (tuple(map(plain, r)) for r in df[cols].astype(object).itertuples(index=False))))
+    assert key(got) == key(want)
 
 
 def test_every_query_has_an_oracle():
     assert set(c.QUERIES) - set(c.ORACLES) == {"snippet_tokens", "snippet_raw"}
+    assert set(catalog_logs.QUERIES) == set(catalog_logs.ORACLES) and not set(c.QUERIES) & set(catalog_logs.QUERIES)
 
 
 def test_selector_rejects():
