@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,14 +54,24 @@ def inventory(files: DataFrame) -> DataFrame:
     return files.filter("cwd <> ''").groupBy("cwd").agg(F.count("*").alias("n"), F.min("path_date").alias("from_date"), F.max("path_date").alias("to_date"))
 
 
+def _joined(rows: list[str]) -> Column:
+    """The last of the columns of a group's rows, in order, one behind the other."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*rows))), lambda r: r[rows[-1]]), "")
+
+
 def fingerprint(files: DataFrame, root: str) -> DataFrame:
-    """One sha256 over the root and a digest of each directory's files, in path order.
+    """One sha256 over the root and a digest of each directory's files, in path order, and the number of files.
 
     A directory's digest is over each file's relative path, time, size, date and
     cwd; so no row holds more than the files of one directory or the directories.
     """
-    line = F.concat_ws("\0", F.lit(""), F.substring("file_path", len(root.rstrip("/")) + 2, 1 << 30), F.col("mtime").cast("string"), F.col("size").cast("string"), F.coalesce("path_date", F.lit("")), F.coalesce("cwd", F.lit("")))
-    own = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*rows))), lambda r: r[rows[-1]]), "")
-    folders = files.withColumns({"folder": F.regexp_replace("file_path", "/[^/]*$", ""), "line": line}).groupBy("folder").agg(F.sha2(own(["file_path", "line"]), 256).alias("digest"), F.count("*").alias("n"))
+    return fingerprints(files.withColumn("root", F.lit(root)), []).select(F.coalesce("fingerprint", F.sha2(F.lit(root), 256)).alias("fingerprint"), "file_count")
+
+
+def fingerprints(files: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of files that hold their ``root`` and keys, for each of the keys' values."""
+    below = F.substr(F.col("file_path"), F.length(F.rtrim("root", F.lit("/"))) + 2)
+    line = F.concat_ws("\0", F.lit(""), below, F.col("mtime").cast("string"), F.col("size").cast("string"), F.coalesce("path_date", F.lit("")), F.coalesce("cwd", F.lit("")))
+    folders = files.withColumns({"folder": F.regexp_replace("file_path", "/[^/]*$", ""), "line": line}).groupBy(*keys, "root", "folder").agg(F.sha2(_joined(["file_path", "line"]), 256).alias("digest"), F.count("*").alias("n"))
     folders = folders.withColumn("line", F.concat_ws("\0", F.lit(""), "folder", "digest"))
-    return folders.agg(F.sha2(F.concat(F.lit(root), own(["folder", "line"])), 256).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("file_count"))
+    return folders.groupBy(*keys).agg(F.sha2(F.concat(F.max("root"), _joined(["folder", "line"])), 256).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("file_count"))

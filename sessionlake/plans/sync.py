@@ -248,20 +248,17 @@ def session_coverage(store: Store, session: dict) -> list[dict]:
 
 
 def freshness(spark: SparkSession, store: Store) -> DataFrame:
-    """Each coverage entry with its freshness: one listing of each root, and what is there now of each entry's files."""
+    """Each coverage entry with its freshness: every root is listed once, and each entry's files are looked up in one plan."""
     entries = store.coverage()
-    now_ = []
-    for root in [r["root"] for r in entries.select("root").distinct().orderBy("root").collect()]:
-        files = jsonl.listing(spark, root, store.manifest())
-        for r in entries.filter(F.col("root") == root).select("selector_key", *_PARTS).collect():  # one row a selector
-            mine = files.filter(F.coalesce(Selector(*[r[c] for c in _PARTS]).predicate(), F.lit(False)))
-            now_.append(reading.fingerprint(mine, root).select(F.lit(r["selector_key"]).alias("selector_key"), F.col("fingerprint").alias("now_fingerprint"), F.col("file_count").alias("now_file_count")))
-    if not now_:
-        return entries.withColumn("freshness", F.lit("stale"))
-    at = now_[0]
-    for x in now_[1:]:
-        at = at.union(x)
-    return freshness_of(entries.join(at, "selector_key", "left")).select(*entries.columns, "freshness").orderBy(F.col("completed_at").desc(), "selector_key")
+    roots = [r["root"] for r in entries.select("root").distinct().orderBy("root").collect()]  # a handful
+    files = spark.createDataFrame([], f"{jsonl.LISTING}, root string")
+    for root in roots:
+        files = files.unionByName(jsonl.listing(spark, root, store.manifest()).withColumn("root", F.lit(root)))
+    e = entries.select("selector_key", *[F.col(c).alias(f"of_{c}") for c in _PARTS])
+    mine = (F.col("root") == F.col("of_root")) & (~F.col("of_kind").contains("cwd") | (F.col("cwd") == F.col("of_cwd"))) & (~F.col("of_kind").contains("date") | F.col("path_date").between(F.col("of_from_date"), F.col("of_to_date")))
+    now_ = reading.fingerprints(files.join(F.broadcast(e), mine), ["selector_key"])  # entries are one row a selector
+    at = entries.join(now_, "selector_key", "left").withColumns({"now_fingerprint": F.coalesce("fingerprint", F.sha2("root", 256)), "now_file_count": F.coalesce("file_count", F.lit(0))})
+    return freshness_of(at).select(*entries.columns, "freshness").orderBy(F.col("completed_at").desc(), "selector_key")
 
 
 def status(spark: SparkSession, index: str, root: str, selector: Selector | None = None, groups: int = 100) -> dict:

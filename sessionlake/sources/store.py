@@ -53,7 +53,7 @@ BLOCKS = (
 GRAMS = "gram string, session_uuid string, seq long, segment string"
 DELETED = "session_uuid string, segment string"
 DEAD = "surface string, token string, n long, segment string"
-EMPTY = {"coverage": None, "manifest": None, "segments": [], "rows": {}, "deleted": [], "dead": [], "dictionary": ""}
+EMPTY = {"format": INDEX_VERSION, "coverage": None, "manifest": None, "segments": [], "rows": {}, "deleted": [], "dead": [], "dictionary": ""}
 #: Text fields of both surfaces, and their weights.
 SURFACES = {"messages": (["content_text"], [1.0]), "sessions": (list(recall.SESSION_WEIGHTS), list(recall.SESSION_WEIGHTS.values()))}
 COVERAGE = (
@@ -94,13 +94,19 @@ class Store:
         finally:
             stream.close()
 
+    def _pointer(self) -> dict | None:
+        """What the pointer says; None without one, or where an earlier version wrote it: such an index is built anew."""
+        told = json.loads(self._read("CURRENT")) if self._fs.exists(self._at("CURRENT")) else {}
+        return told if told.get("format") == INDEX_VERSION else None
+
     def exists(self) -> bool:
-        return self._fs.exists(self._at("CURRENT"))
+        return self._pointer() is not None
 
     def state(self) -> dict:
-        if not self.exists():
+        told = self._pointer()
+        if told is None:
             raise IndexUnavailable(f"no index at {self.path}: sync first")
-        return json.loads(self._read("CURRENT"))
+        return told
 
     def size_bytes(self) -> int:
         return self._fs.getContentSummary(self._at("")).getLength() if self.exists() else 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sessionlake.operators.selector import Selector
 from sessionlake.plans import sync as S
 from sessionlake.sources import jsonl, listing
-from sessionlake.sources.store import Store
+from sessionlake.sources.store import IndexUnavailable, Store
 
 META = {"timestamp": "t", "type": "session_meta", "payload": {"id": "x", "cwd": "/first"}}
 
@@ -73,6 +73,11 @@ def test_index_keeps_a_manifest(spark, tmp_path):
     path.unlink()
     S.sync(spark, ix, Selector("cwd", str(root), "/none"))
     assert [r["file_path"] for r in store.manifest().collect()] == [str(other)]
+    # an index of an earlier form is as good as none
+    store._write("CURRENT", json.dumps({"sessions": "parts/x", "segments": []}), True)
+    with pytest.raises(IndexUnavailable):
+        store.sessions()
+    assert S.sync(spark, ix, Selector("all", str(tmp_path / "other"))).added == 1
 
 
 @pytest.mark.parametrize("size", ["64b", "1k", "128m"])
