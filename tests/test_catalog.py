@@ -66,3 +66,10 @@ def test_golden_searches_give_the_results_that_marks_read(spark, tmp_path):
     assert sorted(map(tuple, top.collect())) == sorted(map(tuple, want.collect()))
     # entries are dealt to several files
     assert catalog_logs._entries(spark, str(tmp_path)).select("file").distinct().count() > 1
+
+
+def test_query_tokens_are_those_of_its_terms():
+    for text in ("A can't 3.5 _ __a_ ._. x_y", "Éclair 部署検 a部b ΣΑΣ _é_ ́", "", "部", "İstanbul ſ ²½ fi"):
+        assert X.query_tokens(text) == [w for t in X.level1(text) for w in X.term_tokens(t)]
+        assert [t for t in X.level1(text) if t.strip("_.'") == ""] == []
+    assert X.query_tokens("A can't __a_ 部署検 Éa") == ["a", "can", "t", "a", "部署", "署検", "ea"]
