@@ -32,6 +32,10 @@ up to a quarter of the spare ones: two linked sets leave fewer together than the
 share. And a star whose members are all in a larger one is left out, since any two
 of them meet there. What is left is a row for each member, star and first
 element of a difference, of which a member far from its pivot has many.
+Two members that share such an element become a candidate only if their
+parities allow it: a set's parity is BITS bits, each saying whether an odd number
+of its shingles falls on it, and two sets are apart by as many shingles at least
+as their parities by bits. So no link is lost.
 
 Class ids are 64 bits of a digest only while candidates are gathered; after
 that, classes are known by all 128 and every pair is compared in full.
@@ -72,6 +76,7 @@ FEW = 4  #: lists of at most so many sets give all their pairs
 HOT = 4096  #: sets of a longer list are dealt to tasks in parts of about so many
 STAR = 1024  #: members of a star that meet their pivot in one task, about
 SPARE = 5  #: percent of a set's size by which its prefix is longer than need be
+BITS = 256  #: bits of a set's parity
 DENSE = 4  #: pairs a row at which lists give stars once more
 
 
@@ -288,8 +293,14 @@ def reach(n_a: int, n: int, e: int, close: bool, percent: int) -> tuple[int, int
     return first(far), 0 if close else first(least)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """BITS bits as longs, each whether an odd number of the set's elements falls on it."""
+    odd = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _differences(batches: Iterator[pa.RecordBatch], percent: int, frequencies) -> Iterator[pa.RecordBatch]:
-    """key, x, n, e, at, label, kind: first elements of the members' differences.
+    """key, x, n, e, at, label, kind, parity: first elements of the members' differences.
 
     e is the size of the difference and ``at`` the element's place in it; kind is
     1 for indexed elements of close members, of far ones 2 if probed, 3 if both.
@@ -299,7 +310,7 @@ def _differences(batches: Iterator[pa.RecordBatch], percent: int, frequencies) -
         at, hit = _found(pivot, flat)
         a, labels = rows.column("a")[0].as_py(), rows.column("label").to_pylist()
         star = mixed(np.array([a], np.int64).view(np.uint64))[0]
-        keys, xs, ns, es, ats, owns, kinds = [], [], [], [], [], [], []
+        keys, xs, ns, es, ats, owns, kinds, odds = [], [], [], [], [], [], [], []
         for j, x in enumerate(rows.column("x").to_pylist()):
             i, o = off[j], off[j + 1]
             s, inside = flat[i:o], hit[i:o]
@@ -324,10 +335,11 @@ def _differences(batches: Iterator[pa.RecordBatch], percent: int, frequencies) -
             es.append(np.full(len(key), e))
             ats.append(rank)
             owns.append(np.full(len(key), labels[j]))
+            odds += [parity(s).tolist()] * len(key)
         if keys:
             key, x, own = (np.concatenate(c) for c in (keys, xs, owns))
             n, e, at, kind = (pa.array(np.concatenate(c).astype(np.int32)) for c in (ns, es, ats, kinds))
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(key).view(np.int64)), pa.array(x), n, e, at, pa.array(own), kind], names=["key", "x", "n", "e", "at", "label", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(key).view(np.int64)), pa.array(x), n, e, at, pa.array(own), kind, pa.array(odds, pa.list_(pa.int64()))], names=["key", "x", "n", "e", "at", "label", "kind", "parity"])
 
 
 def choose_boundary(mean_list: float, percent: int) -> int:
@@ -440,7 +452,7 @@ def _links(pairs: DataFrame, full: DataFrame, percent: int, frequencies) -> Data
         if left.isEmpty():
             return labels
         left = written(_uncovered(left), "jaccard-stars")
-        rows = _meeting(left, full).mapInArrow(partial(_differences, percent=percent, frequencies=frequencies), "key long, x long, n int, e int, at int, label long, kind int")
+        rows = _meeting(left, full).mapInArrow(partial(_differences, percent=percent, frequencies=frequencies), "key long, x long, n int, e int, at int, label long, kind int, parity array<long>")
         in_list = Window.partitionBy("key")
         probed = F.max(F.col("kind") > 1).over(in_list)
         split_list = F.min("label").over(in_list) < F.max("label").over(in_list)
@@ -462,7 +474,9 @@ def _links(pairs: DataFrame, full: DataFrame, percent: int, frequencies) -> Data
             overlap = F.ceil((F.col("i.e") + F.col("p.e") - both + 2 * F.ceil(percent * both / (100 + percent))) / 2)
             placed = (F.col("i.at") + overlap <= F.col("i.e")) & (F.col("p.at") + overlap <= F.col("p.e"))
             smaller = (F.col("i.kind") == 1) | (F.struct("i.e", "i.x") < F.struct("p.e", "p.x"))
-            again = i.join(p, (F.col("i.key") == F.col("p.key")) & (F.col("i.label") != F.col("p.label")) & near & placed & smaller)
+            bits = [F.bit_count(F.col("i.parity")[b].bitwiseXOR(F.col("p.parity")[b])) for b in range(BITS // 64)]
+            apart = sum(bits[1:], bits[0]) <= both - 2 * F.ceil(percent * both / (100 + percent))
+            again = i.join(p, (F.col("i.key") == F.col("p.key")) & (F.col("i.label") != F.col("p.label")) & near & placed & smaller & apart)
             again = again.select(F.least("i.x", "p.x").alias("a"), F.greatest("i.x", "p.x").alias("x"), F.lit(False).alias("star")).distinct()
         seen = _compare(written(again, "jaccard-again"), full, percent)
         labels = _merged(labels, seen.filter("close").select("a", F.col("x").alias("b")))

@@ -6,9 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sessionlake.llm import collocations as C
+from sessionlake.llm import jaccard, phrases
 from sessionlake.llm import runs as R
 from sessionlake.llm.lines import keep_bitmaps, without_lines
 
@@ -180,3 +182,31 @@ def test_scores_stay_exact_beyond_64_bits(spark):
     a, left, right = 3_000_000_000_001, 3_000_000_000_007, 9_999_999_999_999
     counts = spark.createDataFrame([("en", "a b", 2, a), ("en", "a", 1, left), ("en", "b", 1, right)], "lang string, phrase string, words int, f long")
     assert [tuple(r) for r in C.scored(counts).collect()] == [("en", "a b", a, left, right, 10**6 * a * a // (left * right))]
+
+
+def test_parity_refuses_sets_that_are_too_far_apart_and_none_that_link():
+    rng = np.random.default_rng(3)
+    bits = lambda a, b: int(np.bitwise_count((jaccard.parity(a) ^ jaccard.parity(b)).view(np.uint64)).sum())
+    refused = 0
+    for _ in range(200):
+        base = rng.integers(0, 2**64, 150, np.uint64)
+        a, b = (np.unique(np.concatenate([base[rng.random(150) > 0.12], rng.integers(0, 2**64, 12, np.uint64)])) for _ in range(2))
+        apart = len(np.setxor1d(a, b))
+        assert bits(a, b) <= apart
+        most = jaccard.most_apart(len(a), len(b), jaccard.PERCENT)
+        assert apart > most
+        refused += bits(a, b) > most
+    assert refused >= 190  # all of them were candidates before, where they share a first element
+    assert bits(a, a) == 0 and not jaccard.parity(np.zeros(0, np.uint64)).any()
+
+
+def test_texts_of_a_split_are_hashed_together_and_stay_apart(monkeypatch):
+    texts = pd.Series(["a b a", "", " \t ", "b" * (1 << 20), "ä b", "a"])
+    calls = []
+    monkeypatch.setattr(phrases, "words", lambda *x, real=phrases.words: calls.append(1) or real(*x))
+    got = [x.tolist() for x in phrases._hashes(texts)]
+    a, b = got[0][:2]
+    assert [len(x) for x in got] == [3, 0, 0, 1, 2, 1] and got[0] == [a, b, a] and got[4][1] == b and got[5] == [a]
+    assert len(calls) < len(texts)
+    # a split's texts take longer to scan than a few copies of its automaton would
+    assert phrases.SPLIT_BYTES >= 8 * phrases.SHARD_WORDS
