@@ -49,7 +49,7 @@ WINDOW = 35
 CHUNK = 1 << 21  #: text bytes whose anchors are counted together before the shuffle
 ANCHOR = 8
 SHARD_WORDS = 400_000  #: pattern words of a shard, about
-SPLIT_BYTES = 1 << 21  #: text of a split of a shard, about
+SPLIT_BYTES = 1 << 23  #: text of a split of a shard, about; it takes about as long to scan as the shard's automaton to build
 
 
 def _anchored(h: np.ndarray, row: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,15 +204,18 @@ def _scan(texts: pd.DataFrame, phrases: pd.DataFrame) -> pd.DataFrame:
     """Spans of each text of a split: the texts through the shard's automaton."""
     rows = []
     patterns = [np.frombuffer(x, np.uint64) for x in phrases["words"]]
-    for tk, spans in zip(texts["tk"], locate(patterns, (_hashes(t) for t in texts["text"]))):
+    for tk, spans in zip(texts["tk"], locate(patterns, _hashes(texts["text"]))):
         if spans:
             rows.append((tk, [x for s in spans for x in s]))
     return pd.DataFrame(rows, columns=["tk", "spans"])
 
 
-def _hashes(text: str) -> np.ndarray:
-    batch = pa.RecordBatch.from_arrays([pa.array([text], pa.large_string())], names=["text"])
-    return next(words(x, SPACES).hash for x in chunks(iter([batch])))
+def _hashes(texts: pd.Series) -> Iterator[np.ndarray]:
+    """The hashes of each text's words; many texts are cut into words at once."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    for part in chunks(iter([batch])):
+        w = words(part, SPACES)
+        yield from (w.hash[a:b] for a, b in zip(w.first, w.first[1:]))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
