@@ -47,8 +47,10 @@ def golden(spark: SparkSession, path: str) -> DataFrame:
     ``error`` says what is wrong with a line and is null for a valid one.
     """
     # golden files are written by hand: a file is one row for its lines to have numbers
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    rows = lines.withColumns({"line_no": F.col("line_no") + 1, "line": trim(F.col("line"))}).filter("line <> '' AND NOT startswith(line, '#')").withColumn("v", F.try_parse_json("line"))
+    # a line is parsed where lines are made: a filter on error, which Spark would move below a column, parses it for every mention
+    parsed = F.transform(F.split("value", "\r?\n"), lambda x: F.struct(trim(x).alias("line"), F.try_parse_json(trim(x)).alias("v")))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(parsed).alias("line_no", "of"))
+    rows = lines.select("file", (F.col("line_no") + 1).alias("line_no"), "of.line", "of.v").filter("line <> '' AND NOT startswith(line, '#')")
     v = F.col("v")
     context = {
         "mode": F.when(text_at(v, "$.expected.context.mode").isin("auto", "read-range", "read-page"), text_at(v, "$.expected.context.mode")),
@@ -146,7 +148,8 @@ def golden_marks(entries: DataFrame, results: DataFrame, contexts: DataFrame | N
     e = F.col("expected")
     top = F.coalesce(e["top_k"], F.lit(TOP))
     listed = F.coalesce(F.array_contains(e["acceptable"], F.col("r.session_uuid")) & (F.col("r.rank") <= top), F.lit(False))
-    near = entries.select("id", "expected").join(results.select("id", F.struct(*[c for c in results.columns if c != "id"]).alias("r")), "id")
+    # Spark takes parsed entries for a small part of their files' size and would send all of them through the driver
+    near = entries.select("id", "expected").hint("merge").join(results.select("id", F.struct(*[c for c in results.columns if c != "id"]).alias("r")), "id")
     hit = near.groupBy("id").agg(F.min_by("r", F.struct((~listed).alias("no"), F.col("r.rank").alias("rank"))).alias("hit"))
     rows = entries.join(hit, "id", "left")
     rows = rows.join(contexts.select("id", F.col("text").alias("context_text")), "id", "left") if contexts is not None else rows.withColumn("context_text", F.lit(None).cast("string"))

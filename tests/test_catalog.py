@@ -68,6 +68,19 @@ def test_golden_searches_give_the_results_that_marks_read(spark, tmp_path):
     assert catalog_logs._entries(spark, str(tmp_path)).select("file").distinct().count() > 1
 
 
+def test_golden_searches_are_not_sent_to_their_results(spark, tmp_path, monkeypatch):
+    turns = [(i, t, "user", "text") for i in range(60) for t in range(1 + i % 5)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {}
+    for most in (catalog_logs.SENT_PLACES, 0):  # first results sent, or sorted
+        monkeypatch.setattr(catalog_logs, "SENT_PLACES", most)
+        top = catalog_logs._found_top(spark, str(tmp_path))
+        got[most] = str(top._jdf.queryExecution().optimizedPlan()), sorted(map(tuple, top.collect()))
+    (sent, rows), (merged, same) = got.values()
+    assert "rightHint=(strategy=broadcast)" in sent and "rightHint=(strategy=merge)" in merged and "leftHint" not in sent + merged
+    assert rows == same and 0 < len(rows) <= len(turns)
+
+
 def test_query_tokens_are_those_of_its_terms():
     for text in ("A can't 3.5 _ __a_ ._. x_y", "Éclair 部署検 a部b ΣΑΣ _é_ ́", "", "部", "İstanbul ſ ²½ fi"):
         assert X.query_tokens(text) == [w for t in X.level1(text) for w in X.term_tokens(t)]

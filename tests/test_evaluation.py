@@ -27,6 +27,19 @@ def test_golden(spark, tmp_path):
     assert (two["find"]["queries"], two["find"]["limit"], two["find"]["sort"], two["expected"]["cwd_contains"], two["expected"]["match_source"]) == (["x"], None, "ended", "w", None)
 
 
+def test_golden_lines_are_parsed_once(spark, tmp_path):
+    lines = ["", " # note", json.dumps(GOOD), "  " + json.dumps({**GOOD, "id": "g2"}) + "\u00a0", "{"]
+    (tmp_path / "g.jsonl").write_text("\n".join(lines))
+    rows = E.golden(spark, str(tmp_path / "g.jsonl"))
+    assert [(r["line_no"], r["id"], r["error"]) for r in rows.orderBy("line_no").collect()] == [(3, "g1", None), (4, "g2", None), (5, None, "not JSON")]
+    valid = rows.filter("error IS NULL").select("id", "expected")
+    assert str(valid._jdf.queryExecution().optimizedPlan()).count("parseJson") == 1
+    results = spark.createDataFrame([("g1", 1, "a", "/w", "message", 1)], "id string, rank int, session_uuid string, cwd string, match_source string, match_seq long")
+    marks = E.golden_marks(rows.filter("error IS NULL"), results)
+    assert "leftHint=(strategy=merge)" in str(marks._jdf.queryExecution().optimizedPlan())
+    assert {r["id"]: r["mark"] for r in marks.collect()} == {"g1": "fail", "g2": "fail"}  # no text was read
+
+
 def test_golden_marks(spark, tmp_path):
     entries = [
         {**GOOD, "id": "found"}, {**GOOD, "id": "late", "expected": {"topK": 1, "acceptableSessionUuids": ["b"]}}, {**GOOD, "id": "old", "status": "stale"},
