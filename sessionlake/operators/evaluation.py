@@ -12,6 +12,7 @@ STATUSES = ("candidate", "hard", "stale")
 ORIGINS = ("observed-user-ask", "evidence-backed-derived", "manual")
 TOP = 5
 BATCH = "query string, results array<struct<rank:int,sessionUuid:string,session_uuid:string,title:string>>"
+FIRSTS = "query string, results array<struct<sessionUuid:string,session_uuid:string>>"
 
 
 def _kind(v: Column, path: str) -> Column:
@@ -90,11 +91,21 @@ def _selector_ok(v: Column) -> Column:
     return kind.isin("all", "cwd", "date_range", "cwd_date_range") & (at("root") != "") & (~kind.contains("cwd") | (at("cwd") != "")) & (~kind.contains("date") | dates)
 
 
+def _batch_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    rows = spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", "*.find.json{,.gz}").json(folder)
+    return rows.withColumn("id", F.regexp_replace("_metadata.file_name", r"\.find\.json(\.gz)?$", ""))
+
+
 def batch(spark: SparkSession, folder: str) -> DataFrame:
-    """id, query, results of every ``<id>.find.json`` in a folder, whichever way it spells a session's id."""
-    rows = spark.read.schema(BATCH).option("multiLine", "true").option("pathGlobFilter", "*.find.json").json(folder)
+    """id, query, results of every ``<id>.find.json`` (or .gz) in a folder, whichever way it spells a session's id."""
     found = F.transform("results", lambda r: F.struct(r["rank"].alias("rank"), F.coalesce(r["sessionUuid"], r["session_uuid"]).alias("sessionUuid"), r["title"].alias("title")))
-    return rows.select(F.regexp_replace("_metadata.file_name", r"\.find\.json$", "").alias("id"), "query", found.alias("results"))
+    return _batch_files(spark, folder, BATCH).select("id", "query", found.alias("results"))
+
+
+def first_results(spark: SparkSession, folder: str) -> DataFrame:
+    """id, query, n (number of results) and ``first`` (the first one's session) of the same files, without the other columns of results."""
+    first = F.try_element_at("results", F.lit(1))
+    return _batch_files(spark, folder, FIRSTS).select("id", "query", F.size("results").alias("n"), F.coalesce(first["sessionUuid"], first["session_uuid"]).alias("first"))
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -1,5 +1,9 @@
 """Catalogue queries against their DuckDB oracles, and behaviours that need none."""
 
+import gzip
+import json
+from pathlib import Path
+
 import duckdb
 import pandas as pd
 import pytest
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 from sessionlake import catalog_logs
 from sessionlake import catalog_queries as c
 from sessionlake.functions import text as X
+from sessionlake.operators import evaluation
 from sessionlake.operators.selector import InvalidSelector, Selector
 
 DATA = "/root/testdata/sf0.001"
@@ -81,6 +86,29 @@ def test_golden_searches_are_not_sent_to_their_results(spark, tmp_path, monkeypa
     assert rows == same and 0 < len(rows) <= len(turns)
 
 
+@pytest.mark.parametrize("most", [10_000, 300])
+def test_saved_files_are_whole_and_few_lie_on_disk_together(spark, tmp_path, monkeypatch, most):
+    spark.createDataFrame([(i, t) for i in [*range(80), 200, 3_000_000_000] for t in range(1 + i % 3)] + [(None, 0)], "conv_id long, turn long").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(catalog_logs, "RESULTS_AT_ONCE", most, raising=False)
+    want: dict[str, list] = {}
+    for r in catalog_logs._found(spark, str(tmp_path)).orderBy("rank").collect():
+        want.setdefault(r["id"], []).append({"rank": r["rank"], "sessionUuid": r["session_uuid"], "title": r["cwd"]})
+    rounds, folders, read = [], [], getattr(evaluation, "first_results", None)
+
+    def watched(spark, folder):
+        files = list(Path(folder.removeprefix("file://")).glob("*"))
+        rounds.append({f.name.removesuffix(".find.json.gz"): gzip.decompress(f.read_bytes()).decode() for f in files})
+        folders.append(files[0].parent)
+        return read(spark, folder)
+
+    monkeypatch.setattr(evaluation, "first_results", watched, raising=False)
+    got = catalog_logs.QUERIES["eval_batch_files"](spark, str(tmp_path))
+    assert sum(map(len, rounds)) == len(want) and len(rounds) >= sum(map(len, want.values())) / most
+    assert {k: v for r in rounds for k, v in r.items()} == {k: json.dumps({"query": f"query {k}", "results": v}, indent=2) for k, v in want.items()}
+    assert max(sum(len(want[k]) for k in r) for r in rounds) <= 2 * most and not any(f.exists() for f in folders)
+    assert sorted(map(tuple, got.collect())) == sorted((k, f"query {k}", len(v), v[0]["sessionUuid"]) for k, v in want.items())
+
+
 def test_query_tokens_are_those_of_its_terms():
     for text in ("A can't 3.5 _ __a_ ._. x_y", "Éclair 部署検 a部b ΣΑΣ _é_ ́", "", "部", "İstanbul ſ ²½ fi"):
         assert X.query_tokens(text) == [w for t in X.level1(text) for w in X.term_tokens(t)]

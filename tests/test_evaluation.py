@@ -1,5 +1,6 @@
 """Golden files, saved batches, marks, and the artefacts of an evaluation."""
 
+import gzip
 import json
 
 from test_sync import A, every, logs  # noqa: F401
@@ -69,6 +70,16 @@ def test_batches(spark, tmp_path):
     assert [(r["id"], r["before"], r["after"]) for r in E.compare(before, after).collect()] == [("q2", "b", "c")]
 
 
+def test_batches_may_be_compressed(spark, tmp_path):
+    saved = lambda *found: json.dumps({"query": "q", "results": list(found)}, indent=2).encode()
+    (tmp_path / "a.find.json.gz").write_bytes(gzip.compress(saved({"rank": 1, "sessionUuid": "x", "title": "t"}, {"rank": 2, "sessionUuid": "y", "title": "u"})))
+    (tmp_path / "b.find.json").write_bytes(saved({"rank": 1, "session_uuid": "z", "title": "t"}))
+    (tmp_path / "c.find.json").write_bytes(saved())
+    (tmp_path / "d.find.json.old").write_bytes(saved())
+    assert {r["id"]: [(x["rank"], x["sessionUuid"], x["title"]) for x in r["results"]] for r in E.batch(spark, str(tmp_path)).collect()} == {"a": [(1, "x", "t"), (2, "y", "u")], "b": [(1, "z", "t")], "c": []}
+    assert {r["id"]: (r["query"], r["n"], r["first"]) for r in E.first_results(spark, str(tmp_path)).collect()} == {"a": ("q", 2, "x"), "b": ("q", 1, "z"), "c": ("q", 0, None)}
+
+
 def test_artefacts(spark, logs, tmp_path):  # noqa: F811
     ix, out = str(tmp_path / "ix"), tmp_path / "out"
     S.sync(spark, ix, every(logs))
